@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, packing, simhash, substring
 from ._common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,13 +18,47 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_table(table(spark, sf_dir, "documents"))
+
+
+#: Window for window, with the first document that has the same words.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1)::BIGINT)) AS s FROM d),
+g AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS words FROM t),
+f AS (
+  SELECT words, min(doc_id) AS first_id FROM g GROUP BY words),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT g.doc_id, unnest(range(g.s, g.s + 13)) AS p FROM g JOIN f USING (words) WHERE g.doc_id > f.first_id)),
+lists AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+placed AS (
+  SELECT d.doc_id, d.w, unnest(range(1, len(d.w) + 1)) AS p FROM d),
+kept AS (
+  SELECT placed.doc_id, string_agg(placed.w[placed.p], ' ' ORDER BY placed.p) AS line
+  FROM placed LEFT JOIN gone USING (doc_id, p) WHERE gone.p IS NULL GROUP BY placed.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(lists.ps), 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.line, '')) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_table(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op9_bpe)}
+    return {f.__name__: f for f in (op3_packing, op5_substring, op9_bpe, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring": OP5_SQL}
