@@ -7,17 +7,29 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash, substring
+from . import bpe, langid, packing, quality, simhash, substring, toxicity
 from ._common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_table(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_table(table(spark, sf_dir, "documents"))
 
@@ -57,8 +69,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_substring, op9_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_langid, op3_packing, op4_quality, op5_substring, op9_bpe, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring": OP5_SQL}
+    return {"op4_quality": quality.sql(), "op5_substring": OP5_SQL}

@@ -76,3 +76,34 @@ def gram_hashes(word: np.ndarray, n: int, mix: np.uint64 = MIX) -> np.ndarray:
         x = (x ^ word[j : j + size]) * mix
         x ^= x >> np.uint64(29)
     return _spread(x)
+
+_LETTER = np.full(256, 32, np.uint8)
+_LETTER[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
+_LETTER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+_LETTER[128:] = np.arange(128, 256)
+
+
+def letters(raw: np.ndarray) -> np.ndarray:
+    """Lower-case letters, all else a space; bytes beyond ASCII stay, but for the capitals of Latin-1."""
+    out = _LETTER[raw]
+    capital = np.flatnonzero((raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)) + 1
+    out[capital] += 0x20
+    return out
+
+
+def prefix_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: range):
+    """(size, words, hash): for each size the longer words, and a hash of their first bytes."""
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + _CHUNK, "right")))
+        s, e = start[lo:hi], end[lo:hi]
+        total = np.zeros(len(s), np.uint64)
+        power, live = np.uint64(1), np.arange(len(s))
+        with np.errstate(over="ignore"):
+            for n in range(1, sizes.stop):
+                live = live[e[live] - s[live] >= n]
+                total[live] += _BYTE[raw[s[live] + n - 1]] * power
+                power = power * MIX
+                if n >= sizes.start and len(live):
+                    yield n, live + lo, _spread(total[live] + np.uint64(n) * MIX_2 + np.uint64(1))
+        lo = hi
