@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing, quality, simhash, substring, toxicity
+from . import bpe, html, langid, packing, quality, simhash, substring, tokenstore, topk, toxicity
 from ._common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,33 @@ FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+
+
+#: Every query against every other row.
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+def op8_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.records(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -69,8 +96,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_langid, op3_packing, op4_quality, op5_substring, op9_bpe, op10_simhash)}
+    found = (op1_toxicity, op2_langid, op3_packing, op4_quality, op5_substring, op6_html, op7_topk, op8_tokenstore, op9_bpe, op10_simhash)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality.sql(), "op5_substring": OP5_SQL}
+    return {"op4_quality": quality.sql(), "op5_substring": OP5_SQL, "op7_topk": OP7_SQL}
