@@ -14,8 +14,8 @@ from ._common import staged
 
 
 def _to_minimum(pairs: DataFrame) -> DataFrame:
-    """Add to (u, v) the smallest v of each u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """Add to (u, v) the smallest of each u and its v."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return pairs.join(least, "u")
 
 
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         if (seen["n"], seen["h"]) == mark or not seen["n"]:
             break
         mark = (seen["n"], seen["h"])
-        both = now.select("u", "v").union(now.select("v", "u")).union(now.select("u", "u"))
+        both = now.select("u", "v").union(now.select("v", "u"))
         large = _to_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _to_minimum(large)
         now = staged(small.select("u", F.col("m").alias("v")).union(small.select("v", "m")).where("u <> v").distinct(), "edges")
