@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core.errors import require
+from ..core.order import running, value_bucket
 from ..operators import ranking
 
 
@@ -80,8 +81,10 @@ def evaluate(detector, df: DataFrame, spec: EvalSpec) -> DataFrame:
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
-    both = W.partitionBy("fold")
-    scored = scored.select("*", F.min("y").over(both).alias("_low"), F.max("y").over(both).alias("_high")).where("_low < _high")
+    scored = scored.cache()  # several metrics read it
+    mixed = [r["fold"] for r in scored.groupBy("fold").agg(F.min("y").alias("low"), F.max("y").alias("high")).where("low < high").collect()]
+    require(bool(mixed), "no fold has labelled test rows of both classes")
+    scored = scored.where(F.col("fold").isin(mixed))
     arguments = ("y", "score", "unit_id")
     whole = ranking.roc_auc(scored, *arguments, by=["fold"]).select("fold", F.lit("roc_auc").alias("metric"), F.lit("all").alias("k"), F.col("roc_auc").alias("value"))
     precision = ranking.average_precision(scored, *arguments, by=["fold"]).select("fold", F.lit("average_precision").alias("metric"), F.lit("all").alias("k"), F.col("average_precision").alias("value"))
@@ -121,7 +124,8 @@ def transfer(detector, source: DataFrame, target: DataFrame, controls: DataFrame
     """
     validate(source)
     fitted = detector.fit(source if detector.wants_unlabeled else source.where("y is not null"))
-    scores = fitted.score(target).select("unit_id", "score", F.row_number().over(W.orderBy(F.col("score").desc(), "unit_id")).alias("rank"))
+    found = fitted.score(target)
+    scores = running(found, [], value_bucket(found, "score"), [F.col("score").desc(), F.col("unit_id")], {"rank": F.lit(1).cast("long")}, True)
     labelled = fitted.score(source).join(source.where("y is not null").select("unit_id", "y"), "unit_id")
     calibration = ranking.calibration_curve(labelled, "y", "score", "unit_id", max_points=max_points)
     shares = None

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core import special
 from ..core.columns import double, finite
 from ..core.errors import require
+from ..core.order import running, uniform_bucket
 
 
 def anova_table(df: DataFrame, mean: str, sd: str, n: str, variable: Sequence[str]) -> DataFrame:
@@ -49,7 +49,8 @@ def combine_pvalues(df: DataFrame, pvalue: str, by: Sequence[str] = (), method:
 def ks_too_balanced(df: DataFrame, pvalue: str, by: Sequence[str] = ()) -> DataFrame:
     """One-sided Kolmogorov-Smirnov statistic for p-values above uniform, with its exact p-value."""
     rows = df.select(*by, double(pvalue).alias("p"))
-    placed = rows.select(*by, (F.col("p") - (F.row_number().over(W.partitionBy(*by).orderBy("p")) - 1) / F.count("*").over(W.partitionBy(*by))).alias("gap"))
+    placed = running(rows, by, uniform_bucket(F.col("p")), [F.col("p")], {"nth": F.lit(1).cast("long")}, totals={"nth": "n"})
+    placed = placed.select(*by, (F.col("p") - (F.col("nth") - 1) / F.col("n")).alias("gap"))
     out = placed.groupBy(*by).agg(F.count("*").alias("n"), F.greatest(F.max("gap"), F.lit(0.0)).alias("ks"))
     return out.withColumn("ks_pvalue", special.ks_sf_column(F.col("ks"), F.col("n")))
 

@@ -13,12 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core import seeding
 from ..core.columns import double, finite, numeric
 from ..core.errors import require
+from ..core.order import running, uniform_bucket
 
 GRID_TOLERANCE = 1e-9
 MOST_BINS = 10_000_000
@@ -273,22 +273,26 @@ def bootstrap_bunching(df: DataFrame, value: str, threshold: float, window: Wind
 def permutation_test(df: DataFrame, value: str, group: str, row_id: str, n_perm: int = 999, seed: int = 0) -> DataFrame:
     """Difference of two groups' means (sorted labels), two-sided; the range of more groups' means, one-sided.
 
-    Each replicate orders the rows by hash numbers, and the labels go along in the order of row_id.
-    Add-one p-value; ties count within 1e-12.
+    A replicate orders the rows by hash numbers and gives the first label to as many rows as have it,
+    then the next. Ranks are taken in buckets of the hash, so no task holds a replicate. Add-one
+    p-value; ties count within 1e-12.
     """
     numeric(df, value)
+    require(n_perm >= 1, f"n_perm must be at least 1; got {n_perm}")
     x = double(value)
     rows = df.where(finite(x) & F.col(group).isNotNull()).select(F.col(row_id).alias("id"), F.col(group).alias("g"), x.alias("x"))
-    copies = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perm))).alias("replicate"))
-    u = F.when(F.col("replicate") > 0, seeding.uniform(seed, F.col("replicate"), F.col("id"))).otherwise(0.0)
-    place = lambda *order: F.row_number().over(W.partitionBy("replicate").orderBy(*order))
-    labels = copies.select("replicate", "g", place("id").alias("at"))
-    values = copies.withColumn("u", u).select("replicate", "x", place("u", "id").alias("at"))
-    means = labels.join(values, ["replicate", "at"]).groupBy("replicate", "g").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-    two = F.max_by("m", "g") - F.min_by("m", "g")
-    stats = means.groupBy("replicate").agg(F.count("*").alias("groups"), two.alias("difference"), (F.max("m") - F.min("m")).alias("range"), F.sum("n").alias("n"))
-    value_ = F.when(F.col("groups") == 2, F.col("difference")).otherwise(F.col("range"))
-    stats = stats.select("replicate", "groups", "n", value_.alias("v"), F.when(F.col("groups") == 2, F.abs("difference")).otherwise(F.col("range")).alias("size"))
-    seen = stats.where("replicate = 0").select(F.col("v").alias("statistic"), F.col("size").alias("seen"), "n", "groups")
-    null = stats.where("replicate > 0").select("size").join(F.broadcast(seen), F.lit(True))  # one row
-    return null.groupBy("statistic", "n", "groups").agg(((1 + F.count(F.when(F.col("size") >= F.col("seen") - 1e-12, 1))) / (1.0 + n_perm)).alias("pvalue"))
+    seen = rows.groupBy("g").agg(F.avg("x").alias("m"), F.count("*").alias("n")).orderBy("g").collect()
+    require(len(seen) >= 2, "need two groups at least")
+    ends = np.cumsum([r["n"] for r in seen]).tolist()
+    means = [r["m"] for r in seen]
+    two = len(seen) == 2
+    statistic = means[1] - means[0] if two else max(means) - min(means)
+    copies = rows.select("id", "x", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("replicate"))
+    copies = copies.withColumn("u", seeding.uniform(seed, F.col("replicate"), F.col("id")))
+    placed = running(copies, ["replicate"], uniform_bucket(F.col("u")), [F.col("u"), F.col("id")], {"nth": F.lit(1).cast("long")})
+    label = F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in ends)), lambda e: e < F.col("nth")))
+    null = placed.groupBy("replicate", label.alias("g")).agg(F.avg("x").alias("m")).groupBy("replicate")
+    null = null.agg((F.max_by("m", "g") - F.min_by("m", "g")).alias("difference"), (F.max("m") - F.min("m")).alias("range"))
+    size = F.abs("difference") if two else F.col("range")
+    reached = F.count(F.when(size >= abs(statistic) - 1e-12, 1))
+    return null.agg(F.lit(statistic).alias("statistic"), F.lit(ends[-1]).cast("long").alias("n"), F.lit(len(seen)).cast("long").alias("groups"), ((1 + reached) / (1.0 + n_perm)).alias("pvalue"))

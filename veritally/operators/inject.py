@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..core import seeding
 from ..core.columns import double, finite
 from ..core.errors import EffectError, require
+from ..core.order import running, uniform_bucket
 
 QUANTITY_MECHANISMS, SHAPE_MECHANISMS = ("padding", "bunching"), ("rounding", "smoothing")
 QUANTITY_DIRECTIONALITY = 0.5
@@ -36,9 +37,8 @@ def inject_rounding(df: DataFrame, value: str, den: str, row_id: str, fraction:
     """Round the percentages of a share of the units to whole ones: before, after, moved."""
     _share("fraction", fraction)
     u = seeding.uniform(seed, F.col(row_id))
-    keyed = W.partitionBy(*by)
     rows = df.select(*by, row_id, _strict(value).alias("before"), _strict(den).alias("den"), u.alias("u"))
-    rows = rows.select("*", F.row_number().over(keyed.orderBy("u", row_id)).alias("nth"), F.count("*").over(keyed).alias("n"))
+    rows = running(rows, by, uniform_bucket(F.col("u")), [F.col("u"), F.col(row_id)], {"nth": F.lit(1).cast("long")}, totals={"nth": "n"})
     rounded = F.rint(100.0 * F.col("before") / F.when(F.col("den") != 0, F.col("den"))) * F.col("den") / 100.0
     after = F.when(F.col("nth") <= F.rint(fraction * F.col("n")), F.coalesce(rounded, F.col("before"))).otherwise(F.col("before"))
     return _compared(rows.select(*by, row_id, "before", after.alias("after")))
@@ -51,8 +51,7 @@ def inject_bunching(df: DataFrame, value: str, row_id: str, threshold: float, ma
     x = F.col("before")
     pool = (x >= threshold - window) & (x < threshold) if side == "above" else (x >= threshold) & (x < threshold + window)
     rows = df.select(*by, row_id, _strict(value).alias("before")).select("*", pool.alias("pool"), seeding.uniform(seed, F.col(row_id)).alias("u"), seeding.uniform(seed, "to", F.col(row_id)).alias("v"))
-    keyed = W.partitionBy(*by, "pool")
-    rows = rows.select("*", F.row_number().over(keyed.orderBy("u", row_id)).alias("nth"), F.count("*").over(keyed).alias("n"))
+    rows = running(rows, [*by, "pool"], uniform_bucket(F.col("u")), [F.col("u"), F.col(row_id)], {"nth": F.lit(1).cast("long")}, totals={"nth": "n"})
     place = threshold + window * F.col("v") if side == "above" else threshold - window * (1 - F.col("v"))
     after = F.when(F.col("pool") & (F.col("nth") <= F.rint(mass * F.col("n"))), place).otherwise(x)
     return _compared(rows.select(*by, row_id, "before", after.alias("after")))

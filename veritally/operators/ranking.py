@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..core import seeding
 from ..core.columns import double, finite
 from ..core.errors import require
+from ..core.order import running, value_bucket
 
 
 def resolve_k(k: int | float, n: Column) -> Column:
@@ -33,15 +34,15 @@ def scored(df: DataFrame, label: str, score: str, row_id: str, by: Sequence[str]
 
 def ranked(df: DataFrame, label: str, score: str, row_id: str, by: Sequence[str] = ()) -> DataFrame:
     """Keys, row_id, y, s, rank (1 for the highest score) and n."""
-    order = W.partitionBy(*by).orderBy(F.col("s").desc(), "row_id")
-    return scored(df, label, score, row_id, by).select("*", F.row_number().over(order).alias("rank"), F.count("*").over(W.partitionBy(*by)).alias("n"))
+    rows = scored(df, label, score, row_id, by)
+    one = F.lit(1).cast("long")
+    return running(rows, by, value_bucket(rows, "s"), [F.col("s").desc(), F.col("row_id")], {"rank": one}, True, {"rank": "n"})
 
 
 def _by_score(df: DataFrame, label: str, score: str, row_id: str, by: Sequence[str]) -> DataFrame:
     """Distinct scores with their rows and positives, and running totals from the highest down."""
     cells = scored(df, label, score, row_id, by).groupBy(*by, "s").agg(F.count("*").alias("m"), F.sum((F.col("y") > 0).cast("long")).alias("pos"))
-    down = W.partitionBy(*by).orderBy(F.col("s").desc())
-    return cells.select("*", F.sum("m").over(down).alias("selected"), F.sum("pos").over(down).alias("hits"))
+    return running(cells, by, value_bucket(cells, "s"), [F.col("s").desc()], {"selected": F.col("m"), "hits": F.col("pos")}, True)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, row_id: str, by: Sequence[str] = ()) -> DataFrame:
@@ -68,7 +69,7 @@ def at_k(df: DataFrame, label: str, score: str, row_id: str, ks: Sequence[int |
     require(gains in ("binary", "exponential"), f"unknown gains {gains!r}")
     rows = ranked(df, label, score, row_id, by)
     rows = rows.withColumn("g", F.pow(F.lit(2.0), F.col("y")) - 1 if gains == "exponential" else F.col("y"))
-    rows = rows.withColumn("best", F.row_number().over(W.partitionBy(*by).orderBy(F.col("g").desc(), "row_id")))
+    rows = running(rows, by, value_bucket(rows, "g"), [F.col("g").desc(), F.col("row_id")], {"best": F.lit(1).cast("long")}, True)
     parts = []
     for k in ks:
         cut = resolve_k(k, F.col("n"))
@@ -86,8 +87,8 @@ def at_k(df: DataFrame, label: str, score: str, row_id: str, ks: Sequence[int |
 def calibration_curve(df: DataFrame, label: str, score: str, row_id: str, by: Sequence[str] = (), max_points: int = 100) -> DataFrame:
     """Precision, recall and selected rows at distinct scores, thinned evenly, ascending by threshold."""
     cells = _by_score(df, label, score, row_id, by)
-    keyed = W.partitionBy(*by)
-    points = cells.select("*", (F.row_number().over(keyed.orderBy(F.col("s").desc())) - 1).alias("at"), F.count("*").over(keyed).alias("distinct_scores"), F.sum("pos").over(keyed).alias("all_pos"))
+    one, positives = F.lit(1).cast("long"), F.col("pos")
+    points = running(cells, by, value_bucket(cells, "s"), [F.col("s").desc()], {"nth": one, "_pos": positives}, True, {"nth": "distinct_scores", "_pos": "all_pos"}).withColumn("at", F.col("nth") - 1)
     last = F.col("distinct_scores") - 1
     steps = F.transform(F.sequence(F.lit(0), F.lit(max_points - 1)), lambda i: F.rint(i * last / F.lit(float(max_points - 1))).cast("long"))
     kept = points.where((F.col("distinct_scores") <= max_points) | F.array_contains(steps, F.col("at").cast("long")))
