@@ -34,7 +34,7 @@ LONG_WORD = 192
 #: Entries a cache holds before it is emptied.
 CACHE_ENTRIES = 600_000
 #: Text bytes taken through a worker at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _NO_RANK = np.int32(2**31 - 1)
 _SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
