@@ -80,7 +80,8 @@ def ball_masks(segments: int = SEGMENTS) -> list[int]:
 def links(values: DataFrame) -> DataFrame:
     """(u, v) between different fingerprints ``fp`` at most two bits apart, enough to connect all."""
     address = F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(m)) for m in ball_masks())))
-    met = values.select("fp", address.alias("address"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = values.select("fp").repartition(parts).select("fp", address.alias("address"))  # 65 rows from each: few large tasks would need much memory
     shared = met.groupBy("address").agg(F.min("fp").alias("v"), F.max("fp").alias("last")).where("v <> last").drop("last")
     found = met.join(shared, "address").where("fp <> v")
     return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= DISTANCE).select(F.col("fp").alias("u"), "v").distinct()
