@@ -12,6 +12,8 @@ the input are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import heapq
 import json
@@ -31,8 +33,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Words longer than this are merged with a heap, in n log n steps.
 LONG_WORD = 192
-#: Entries a cache holds before it is emptied.
-CACHE_ENTRIES = 600_000
+#: Entries of a cache, and of the one before it.
+CACHE_ENTRIES = 200_000
 #: Text bytes taken through a worker at a time.
 BATCH_BYTES = 2 << 20
 
@@ -309,12 +311,11 @@ class _Codec:
     """Cuts texts into units that can be encoded apart, and remembers units."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path, self._library = path, None
         self.table = MergeTable(path)
-        self.library = Tokenizer.from_file(path)
         self.special_marks = tuple(self.table.specials)
         self.cache: dict = {}
+        self.older: dict = {}
         self.letters = byte_alphabet()
         self.code = {c: b for b, c in enumerate(self.letters)}
         self.words = self.failures = 0
@@ -329,12 +330,29 @@ class _Codec:
             return index.setdefault(pieces[0], len(index))
         return [index.setdefault(p, len(index)) if type(p) is bytes else ~p for p in pieces]
 
+    @property
+    def library(self):
+        """The published tokenizer, for texts with characters beyond the plain ones; loaded when needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def fill(self, units: set) -> None:
-        """Encode units that the cache lacks."""
-        fresh = [u for u in units if u not in self.cache]
-        if len(self.cache) + len(fresh) > CACHE_ENTRIES:
-            self.cache.clear()
-            fresh = list(units)
+        """Have all these units in the cache.
+
+        A full cache becomes the older one, from which units in use come back.
+        """
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache, self.older = {}, self.cache
+        cache, older, fresh = self.cache, self.older, []
+        for unit in units:
+            if unit not in cache:
+                if unit in older:
+                    cache[unit] = older[unit]
+                else:
+                    fresh.append(unit)
         for lo in range(0, len(fresh), 50_000):
             index: dict[bytes, int] = {}
             plan = self.plan(fresh[lo : lo + 50_000], index)
@@ -461,6 +479,13 @@ def word_codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and stages with large arrays follow each other."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def byte_ranges(texts: pa.Array, most: int = BATCH_BYTES):
     """Index ranges of an Arrow text column that hold about ``most`` bytes each, a row at least."""
     import pyarrow.compute as pc
@@ -471,6 +496,7 @@ def byte_ranges(texts: pa.Array, most: int = BATCH_BYTES):
         hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most, "right")))
         yield lo, hi
         lo = hi
+    give_back()
 
 
 class _Encode:
