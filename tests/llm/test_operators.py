@@ -330,6 +330,31 @@ def test_op8(odd, empty, tmp_path):
     assert tokenstore.records(empty, WORD).collect() == []
 
 
+def test_op8_writes_shards(spark, odd, empty, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    want = sorted(tokenstore.records(odd.coalesce(1), WORD, window=64, shard_rows=32).collect())
+    got = sorted(tokenstore.store(odd.coalesce(1), WORD, folder, window=64, shard_rows=32).collect())
+    assert [tuple(r)[:6] for r in got] == [tuple(r) for r in want]
+    for r in got:
+        assert open(r.path, "rb").read()[r.offset : r.offset + 128] == bytes(r.ids)
+    for first in (0, 31, 32, len(want) - 1, len(want)):
+        read = list(tokenstore.read_from(folder, first, len(want), window=64, shard_rows=32))
+        assert [s for s, _ in read] == list(range(first, len(want)))
+        assert all(ids.tobytes() == bytes(want[s].ids) for s, ids in read)
+    with pytest.raises((EOFError, FileNotFoundError)):
+        list(tokenstore.read_from(folder, 0, len(want) + 1, window=64, shard_rows=32))
+    assert tokenstore.store(empty, WORD).collect() == []
+    assert all(r.path for r in queries.op8_tokenstore(spark, SF).collect())
+
+
+def test_op8_rewrites_other_bytes(odd, tmp_path):
+    folder = f"file://{tmp_path}/shards"
+    for key in (1, 2):  # files of equal sizes
+        rows = tokenstore.records(odd.coalesce(1), WORD, key=key, window=64, shard_rows=32).cache()
+        manifest = sorted(tokenstore.write_shards(rows, folder).collect())
+        assert b"".join(open(m.path, "rb").read() for m in manifest) == b"".join(bytes(r.ids) for r in sorted(rows.collect()))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

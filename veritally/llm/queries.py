@@ -84,7 +84,7 @@ SELECT * FROM r WHERE rank <= 5
 
 
 def op8_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenstore.records(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return tokenstore.store(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
