@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veritally.llm import bpe, graph, html, langid, packing, quality, queries, simhash, substring, tokenstore, topk, toxicity
+from veritally.llm import bpe, graph, html, langid, nearcopies, packing, quality, queries, simhash, substring, tokenstore, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -355,6 +355,32 @@ def test_op8_rewrites_other_bytes(odd, tmp_path):
         assert b"".join(open(m.path, "rb").read() for m in manifest) == b"".join(bytes(r.ids) for r in sorted(rows.collect()))
 
 
+def test_near_duplicate_stage(spark, odd, empty):
+    import corpus_pipeline
+
+    rng, rows, pairs = random.Random(8), [], []
+    for k in range(300):
+        words = [f"t{rng.randrange(5000)}" for _ in range(rng.randint(80, 400))]
+        edited = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) * rng.choice((1, 2, 4, 8)) // 100)):
+            edited[at] = f"e{rng.randrange(5000)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, edited))
+        pairs.append((k, len(a & b) / len(a | b)))
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    near = [k for k, s in pairs if s >= 0.8]
+    gone = sum(2 * k + 1 not in left for k in near)
+    print("near copies found", gone, "of", len(near))
+    assert len(near) > 50 and gone >= 0.97 * len(near)
+    assert all({2 * k, 2 * k + 1} <= left for k, s in pairs if s < 0.8) and all(2 * k in left for k, _ in pairs)
+    base = [f"h{i}" for i in range(120)]  # a large group, one word edited in each
+    group = [(i, " ".join([*base[: i % 120], f"x{i}", *base[i % 120 + 1 :]])) for i in range(400)]
+    assert [r.doc_id for r in nearcopies.without_copies(spark.createDataFrame(group, "doc_id long, text string")).collect()] == [0]
+    kept = nearcopies.without_copies(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 4, 5, 6, 8, 9, 10]
+    assert nearcopies.without_copies(empty).collect() == []
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

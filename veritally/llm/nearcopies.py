@@ -1,0 +1,177 @@
+"""Near-duplicates by five-word shingles: MinHash bands find pairs, the whole shingle sets decide.
+
+Documents are near copies if the Jaccard similarity of their sets of five-word shingles is at least
+``SIMILAR``. Documents with equal sets are one node. A node has ``BANDS`` addresses, each of ``ROWS``
+minima of its set; two nodes of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS
+(99.6 % at 0.8, more above). In each address a node is drawn by hash and the others are compared with
+it, set against set. Those that differ meet again, in ``ROUNDS`` rounds, under addresses with
+``FINER`` further minima, so a large group costs a fixed number of comparisons a node and not its
+square; a pair that shares addresses with many others only, none of them similar to both, can be missed.
+
+Texts without a word have the empty set and are copies of each other. A row without an id can't be
+named as the one to stay or to go: it is kept. Words are split at white space, without case.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import documents, staged
+from .bpe import byte_ranges
+from .graph import components
+
+SHINGLE = 5
+SIMILAR = 0.8
+BANDS = 24
+ROWS = 7
+ROUNDS = 3
+FINER = 2
+SEED = 42
+#: A drawn node with more comparisons than this is dealt to several tasks.
+HOT = 500
+
+_R = np.random.Generator(np.random.Philox(key=SEED))
+_XOR, _ODD = (_R.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None] for _ in range(2))
+_ODD = _ODD | np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted XXH64 values of the different shingles; a text of fewer words is one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), len(line))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    if len(words) > SHINGLE:
+        starts, ends = starts[: 1 - SHINGLE], ends[SHINGLE - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64))
+
+
+def minima(values: np.ndarray) -> np.ndarray:
+    """The smallest value of the set under each of the BANDS * ROWS hashes."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for lo in range(0, len(values), 512):
+        least = np.minimum(least, ((values[None, lo : lo + 512] ^ _XOR) * _ODD).min(axis=1))
+    return least
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _node(values: np.ndarray) -> int:
+    x = xxhash.xxh64_intdigest(values.tobytes(), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _addresses(least: np.ndarray) -> np.ndarray:
+    """BANDS addresses for each round: a band's own minima, then with those of the bands after it."""
+    by_band = least.reshape(BANDS, ROWS)
+    out, now = [], np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in by_band.T:
+        now = (now ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        now ^= now >> np.uint64(31)
+    out.append(now)
+    for r in range(1, ROUNDS):
+        for f in range(FINER):
+            now = (now ^ np.roll(by_band[:, f], -r)) * np.uint64(0x9E3779B97F4A7C15)
+            now ^= now >> np.uint64(31)
+        out.append(now)
+    return np.concatenate(out).view(np.int64)
+
+
+def _marks(batches):
+    """mapInArrow function: (doc_id, text) to (doc_id, node, addresses)."""
+    for batch in batches:
+        for lo, hi in byte_ranges(batch.column(1)):
+            part = batch.slice(lo, hi - lo)
+            sets = [shingles(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
+            columns = [part.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([_addresses(minima(s)).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "addresses"])
+
+
+class _Explode:
+    """mapInArrow function: (node, addresses) to (node, band, address of the round)."""
+
+    def __init__(self, turn: int):
+        self.turn = turn
+
+    def __call__(self, batches):
+        for batch in batches:
+            found = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, ROUNDS, BANDS)[:, self.turn]
+            columns = [pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(found))), pa.array(found.reshape(-1))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "band", "address"])
+
+
+def _sets(batches):
+    """mapInArrow function: text to (node, shingles)."""
+    for batch in batches:
+        for lo, hi in byte_ranges(batch.column(0)):
+            sets = [shingles(t or b"") for t in batch.column(0).slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+
+
+def _similar(batches):
+    """mapInArrow function: (u, v, shingles of u, shingles of v) to (u, v) of those that are similar."""
+    for batch in batches:
+        keep = [
+            similarity(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) >= SIMILAR
+            for a, b in zip(batch.column(2), batch.column(3), strict=True)
+        ]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ids = nodes.join(wanted, "node", "left_semi").select("first_id")
+    texts = docs.join(ids, docs["doc_id"] == ids["first_id"], "left_semi").select("text")
+    sets = staged(texts.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "shingles")
+    hot = pairs.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("v", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    hot = F.broadcast(staged(hot, "hot"))
+    dealt = pairs.join(hot, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    drawn = sets.withColumnRenamed("node", "v").join(hot, "v", "left")
+    drawn = drawn.select("v", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.col("hashes").alias("of_v"))
+    both = dealt.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("of_u")), "u").join(drawn, ["v", "salt"])
+    return both.select("u", "v", "of_u", "of_v").mapInArrow(_similar, "u long, v long")
+
+
+def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v) of similar nodes, enough to connect the groups."""
+    found, done = None, None
+    for turn in range(ROUNDS):
+        met = nodes.select("node", "addresses").mapInArrow(_Explode(turn), "node long, band int, address long")
+        if done is not None:
+            met = met.join(done, ["node", "band"], "left_semi")
+        by = F.struct(F.xxhash64("node", "address").alias("h"), "node")
+        shared = staged(met.groupBy("address").agg(F.min(by).alias("drawn"), F.count("*").alias("n")).where("n > 1").select("address", F.col("drawn.node").alias("v")), "addresses")
+        tried = staged(met.join(shared, "address").where("node <> v").select(F.col("node").alias("u"), "v", "band"), "tried")
+        pairs = staged(tried.select("u", "v").distinct(), "pairs")
+        same = staged(_verified(docs, nodes, pairs), "similar")
+        found = same if found is None else found.unionByName(same)
+        left = tried.join(same, ["u", "v"], "left_anti")
+        if left.isEmpty():
+            break
+        done = staged(left.select(F.col("u").alias("node"), "band"), "left")
+    return found.distinct()
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The document with the smallest id of each group, all columns kept; repeated rows of one doc_id count as one."""
+    named = documents(docs, "doc_id", "text").where("doc_id is not null")
+    marked = staged(named.mapInArrow(_marks, "doc_id long, node long, addresses binary"), "marks")
+    nodes = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("addresses").alias("addresses")), "nodes")
+    roots = components(links(named, nodes))
+    rooted = nodes.join(roots, "node", "left").select("first_id", F.coalesce("root", "node").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("first_id").alias("doc_id")).select("doc_id")
+    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
