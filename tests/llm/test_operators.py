@@ -288,6 +288,29 @@ def test_page_text(main, text):
     assert html.Page(PAGE.format(main=main)).text() == text
 
 
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ('<a href="/wiki/Hidden_Markov_model">kept</a>', "kept"),
+        ('<a title="Hidden thing" aria-hidden="false" data-hidden="false">kept</a>', "kept"),
+        ('<a href="/x?id=search">kept</a>', "kept"),
+        ('<a href=/x?class=ad>kept</a>', "kept"),
+        ('<h2 id="search-algorithms">kept</h2>', "kept"),
+        ('<h2 id="search">kept</h2>', "kept"),
+        ('<section id="related-work"><p>kept</p></section>', "kept"),
+        ('<p class="notice-period">kept</p>', "kept"),
+        ("<math><mi>x</mi></math>", "x"),
+        ("<div hidden>gone</div>", ""),
+        ('<div HIDDEN="">gone</div>', ""),
+        ("<div class='share wide'>gone</div>", ""),
+        ('<div id=comments data-x="1">gone</div>', ""),
+        ('<p style="color:red; display: none">gone</p>', ""),
+    ],
+)
+def test_whole_attributes(inner, text):
+    assert html.Page(f"<html><body><article><p>lead</p>{inner}</article></body></html>").text() == f"lead {text}".strip()
+
+
 def test_op6(spark):
     template = "<html><body><div class=box>{box}</div><div class=text><p>{text}</p></div></body></html>"
     rows = [(i, "https://a.example/%d" % i, template.format(box="Same words everywhere", text=f"page {i} says {i * i}")) for i in range(12)]

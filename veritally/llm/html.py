@@ -10,7 +10,8 @@ Branches whose combined importance is low are removed from each page of the host
 On hosts with fewer than ``LEAST_PAGES`` pages nothing can be told from repetition, and copies of one
 article would look like a template. So what HTML itself says comes first: elements that are never
 article text (menus, footers, forms, scripts, ...) go by tag, role or class; inside an ``article`` or
-``main`` element only other containers (not paragraphs or headings) can be unimportant. Where a page
+``main`` element only other containers (not paragraphs or headings) can be unimportant, and only if a
+whole class or id is a word for noise. Where a page
 has such an element its text is the page's; elsewhere the body's remaining branches are.
 
 Nodes are counted, never gathered: a host with a third of all pages costs a row for each node and
@@ -37,16 +38,19 @@ GAMMA = 0.9
 THRESHOLD = 0.3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: A whole attribute: any name, and its value with quotes if there is one.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORDS = re.compile(r"[a-z0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object canvas".split())
+_RAW = frozenset("script style textarea title noscript template iframe svg object canvas".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 _CONTAINER = frozenset("article aside body center details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
-_NOISE_TAGS = frozenset("head nav footer aside form script style noscript template svg math iframe object canvas button select option input textarea dialog menu title audio video map".split())
+#: Headings and paragraphs: their ids are anchors, and their classes say nothing about noise.
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_NOISE_TAGS = frozenset("head nav footer aside form script style noscript template svg iframe object canvas button select option input textarea dialog menu title audio video map".split())
 _NOISE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus "
     "foot footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related "
@@ -121,6 +125,7 @@ class Page:
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         i, named, noise = len(self.tag), "", tag in _NOISE_TAGS
         main = tag in ("article", "main")
+        within = any(self._up(parent))
         if attributes and not attributes.isspace():
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'").lower()
@@ -135,9 +140,9 @@ class Page:
                     noise = True
                 elif key == "style":
                     noise |= "display:none" in value.replace(" ", "")
-                elif tag not in ("html", "body") and not _NOISE_WORDS.isdisjoint(_WORDS.findall(value)):
-                    noise = True
-        if tag == "header" and not any(self._up(parent)):
+                elif key in ("class", "id") and tag not in ("html", "body"):
+                    noise |= self._named_noise(tag, value, within)
+        if tag == "header" and not within:
             noise = True
         self.tag.append(tag)
         self.parent.append(parent)
@@ -146,6 +151,13 @@ class Page:
         self.main.append(main)
         return i
 
+    @staticmethod
+    def _named_noise(tag: str, value: str, within: bool) -> bool:
+        """Whether a class or id names noise: in an article a whole name of a container, elsewhere any word of a name."""
+        if within:
+            return tag in _CONTAINER and not _NOISE_WORDS.isdisjoint(value.split())
+        return tag not in _TEXT and not _NOISE_WORDS.isdisjoint(_WORDS.findall(value))
+
     def _up(self, i: int):
         while i >= 0:
             yield self.main[i]
