@@ -323,6 +323,14 @@ def test_op6(spark):
     assert html.extract(table.where("false")).collect() == []
 
 
+def test_op6_blocks_and_siblings(spark):
+    side = "<div class=box><p>Our story</p><p>Write to us</p><p>All topics</p><p>Places</p><p>People</p><p>Today is day {i}</p></div>"
+    page = "<html><body>" + side + "<div class=box><p>page {i} says {j}</p><p>and then {j} again</p></div></body></html>"
+    rows = [(i, f"https://a.example/{i}", page.format(i=i, j=i * i + 7)) for i in range(20)]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"page {i} says {i * i + 7} and then {i * i + 7} again" for i in range(20)}
+
+
 def test_op6_on_pages(spark):
     out = html.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()
     assert len(out) == 50 and all(r.n_chars == len(r.text) > 0 for r in out)

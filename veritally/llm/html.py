@@ -3,8 +3,9 @@
 Pages of one host are merged into a style tree: a node is the path of tags and classes from the
 root, with the ways its children are laid out (presentation) and the texts it holds (content) over
 all pages of the host. Importance is an entropy, relative to the number of pages m: presentation
-is important if layouts vary; content is important if texts don't come back (a text on c of m pages
-has entropy log c / log m of at most one, and content importance is one minus the mean of these).
+is important if layouts vary; content is important if text blocks don't come back (a block on c of the
+m pages with its node has entropy log c / log m of at most one, and content importance is one minus
+the mean of these over all blocks of the branch). Siblings of one name are nodes of their own, by number.
 Branches whose combined importance is low are removed from each page of the host.
 
 On hosts with fewer than ``LEAST_PAGES`` pages nothing can be told from repetition, and copies of one
@@ -164,36 +165,38 @@ class Page:
             i = self.parent[i]
 
     def paths(self) -> list[int]:
-        """Names from the root to each element, as a 64-bit hash."""
-        path = [0]
+        """Names from the root to each element, each with its number among siblings of that name, as a 64-bit hash."""
+        path, seen = [0], {}
         for i in range(1, len(self.tag)):
             above = path[self.parent[i]]
-            name = self.name[i].encode()
+            like = self.parent[i], self.name[i]
+            seen[like] = seen.get(like, -1) + 1
+            name = f"{self.name[i]}\n{seen[like]}".encode()
             path.append(_signed(zlib.crc32(name, above & 0xFFFFFFFF) | zlib.crc32(name, (above >> 32 & 0xFFFFFFFF) ^ 0x5BD1E995) << 32))
         return path
 
     def profile(self):
-        """(path, layout, text) of container paths; a path that comes back on the page is one node."""
+        """(path, layout, containers above and itself) of each container, and (path, hash) of each different text block in it directly."""
         path = self.paths()
         layout: dict[int, int] = {}
-        text: dict[int, int] = {}
+        above: dict[int, list[int]] = {}
         last: dict[int, str] = {}
+        holder = [0] * len(self.tag)
         for i in range(1, len(self.tag)):
             p = self.parent[i]
-            if self.tag[i] in _CONTAINER:
+            holder[i] = i if self.tag[i] in _CONTAINER else holder[p]
+            if holder[i] == i:
                 layout.setdefault(path[i], 0)
-                text.setdefault(path[i], 0)
+                above[path[i]] = [*above.get(path[holder[p]], ()), path[i]]
             if self.tag[p] in _CONTAINER and last.get(p) != self.name[i]:
                 last[p] = self.name[i]
                 layout[path[p]] = zlib.crc32(self.name[i].encode(), layout[path[p]])
-        for _, i, run in self.runs:
-            if not run.isspace():
-                data = run.strip().encode("utf-8", "surrogatepass")
-                while i > 0:
-                    if self.tag[i] in _CONTAINER:
-                        text[path[i]] = zlib.crc32(data, text[path[i]])
-                    i = self.parent[i]
-        return [(p, layout[p], text[p]) for p in layout]
+        blocks: dict[tuple[int, int], list[str]] = {}
+        for block, i, run in self.runs:
+            if holder[i]:
+                blocks.setdefault((block, holder[i]), []).append(run)
+        texts = {(path[i], zlib.crc32(" ".join("".join(runs).split()).encode("utf-8", "surrogatepass"))) for (_, i), runs in blocks.items() if not all(map(str.isspace, runs))}
+        return [(p, layout[p], above[p]) for p in layout], texts
 
     def text(self, unimportant: frozenset = frozenset()) -> str:
         n = len(self.tag)
@@ -224,19 +227,27 @@ class Page:
 
 
 def _profiles(batches):
-    """mapInArrow function: (host, html) to (host, path, kind, look); kind 0 is layout, 1 text."""
+    """mapInArrow function: (host, html) to (host, path, kind, look, above); kind 0 is layout, 1 a text block."""
     for batch in batches:
         for lo, hi in byte_ranges(batch.column(1)):
             part = batch.slice(lo, hi - lo)
-            host, path, kind, look = [], [], [], []
+            host, path, kind, look, up = [], [], [], [], []
             for h, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for p, layout, text in Page(html or "").profile():
-                    host += (h, h)
-                    path += (p, p)
-                    kind += (0, 1)
-                    look += (layout, text)
-            columns = [pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(look, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "path", "kind", "look"])
+                nodes, texts = Page(html or "").profile()
+                for p, layout, above in nodes:
+                    host.append(h)
+                    path.append(p)
+                    kind.append(0)
+                    look.append(layout)
+                    up.append(above)
+                for p, text in texts:
+                    host.append(h)
+                    path.append(p)
+                    kind.append(1)
+                    look.append(text)
+                    up.append(None)
+            columns = [pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(look, pa.int64()), pa.array(up, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "path", "kind", "look", "above"])
 
 
 def host() -> F.Column:
@@ -246,14 +257,19 @@ def host() -> F.Column:
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, n_pages, presentation, content, importance) of every container node."""
     rows = documents(pages, "url", "html").where("html is not null").select(host().alias("host"), "html").where("host is not null")
-    looks = rows.mapInArrow(_profiles, "host string, path long, kind int, look long").groupBy("host", "path", "kind", "look").agg(F.count("*").alias("c"))
+    looks = rows.mapInArrow(_profiles, "host string, path long, kind int, look long, above array<long>").groupBy("host", "path", "kind", "look")
+    looks = looks.agg(F.count("*").alias("c"), F.min("above").alias("above"))
     total = F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("n_pages")
-    weighted = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("c") * F.log("c")).otherwise(0.0))
-    nodes = looks.groupBy("host", "path").agg(total, weighted(0).alias("layouts"), weighted(1).alias("texts"))
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
+    weighted = F.col("c") * F.log("c")
+    nodes = looks.groupBy("host", "path").agg(total, F.min("above").alias("above"), of(0, weighted).alias("layouts"), of(1, weighted).alias("texts"), of(1, F.col("c")).alias("blocks"))
     log_m = F.greatest(F.log("n_pages"), F.lit(1e-9))
-    same = lambda name: F.col(name) / F.col("n_pages") / log_m  # noqa: E731  1 if all pages look alike, 0 if no two do
     single = F.col("n_pages") < 2
-    nodes = nodes.select("host", "path", "n_pages", *(F.when(single, 1.0).otherwise(1 - same(a)).alias(b) for a, b in (("layouts", "presentation"), ("texts", "content"))))
+    nodes = nodes.withColumn("presentation", F.when(single, 1.0).otherwise(1 - F.col("layouts") / F.col("n_pages") / log_m))
+    nodes = nodes.withColumn("same", F.when(single, 0.0).otherwise(F.col("texts") / log_m))
+    nodes = staged(nodes.select("host", "path", "n_pages", "above", "presentation", "same", "blocks"), "style-nodes")
+    branch = nodes.where("blocks > 0").select("host", F.explode("above").alias("path"), "same", "blocks").groupBy("host", "path").agg((1 - F.sum("same") / F.sum("blocks")).alias("content"))
+    nodes = nodes.join(branch, ["host", "path"], "left").select("host", "path", "n_pages", "presentation", F.coalesce("content", F.lit(0.0)).alias("content"))
     return nodes.withColumn("importance", (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content"))
 
 
