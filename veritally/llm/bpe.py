@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from . import text
 from ._common import documents
 
 #: The patterns of the two published pre-tokenizers.
@@ -35,10 +36,16 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LONG_WORD = 192
 #: Entries of a cache, and of the one before it.
 CACHE_ENTRIES = 200_000
+#: Pieces of lower-case texts that are remembered, their ids, and the longest of them in bytes.
+CACHE_PIECES = 400_000
+CACHE_IDS = 8_000_000
+LONG_PIECE = 256
 #: Text bytes taken through a worker at a time.
 BATCH_BYTES = 2 << 20
 
 _NO_RANK = np.int32(2**31 - 1)
+#: Words that are merged side by side.
+_COLUMNS = 8192
 _SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LAST_PLAIN = "\u024f"  # up to here letters are lower-cased one by one and nothing composes
 
@@ -76,6 +83,9 @@ class MergeTable:
             pairs[a, b] = made
             self.left[made], self.right[made], self.prio[made] = a, b, rank + 1
         self._pairs = pairs
+        self.by_rank = np.zeros(len(pairs) + 2, np.int32)
+        made = np.flatnonzero(self.prio)
+        self.by_rank[self.prio[made]] = made
         self._hash(pairs)
         self.bytes_of = [b""] * n
         spelled: list[tuple[list[int], int]] = []
@@ -160,17 +170,15 @@ class MergeTable:
             a, b = np.where(undo_left, self.right[a], a), np.where(undo_left, b, self.left[b])
         return ok
 
-    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Greedy longest match: (word, token) in order, and which words can't be cut so."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        stop = b"\x00"
-        symbols = np.frombuffer(stop.join(words) + stop * 2, np.uint8).astype(np.int64)
+    def propose(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match for words back to back in ``raw``: (word, token) in order, and which words can't be cut so."""
+        symbols = np.full(len(raw) + len(sizes) + 2, 257, np.int64)
+        symbols[np.arange(len(raw)) + np.repeat(np.arange(len(sizes)), sizes)] = raw
         ends = np.cumsum(sizes + 1) - 1
         symbols[ends] = self.end if self.suffix else 257
-        symbols[-1] = 257
         last = ends + 1 if self.suffix else ends
-        pos, who = ends - sizes, np.arange(len(words))
-        failed = np.zeros(len(words), bool)
+        pos, who = ends - sizes, np.arange(len(sizes))
+        failed = np.zeros(len(sizes), bool)
         out_who, out_token = [], []
         live = pos < last
         pos, who, goal = pos[live], who[live], last[live]
@@ -199,56 +207,88 @@ class MergeTable:
         order = np.argsort(who, kind="stable")
         return who[order], token[order], failed
 
-    def merge_exactly(self, words: list[bytes]) -> list[np.ndarray]:
-        """Rule by rule, lowest rank and then leftmost first; a row of a matrix for each word."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        groups: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self._merge_long(w)
-            elif w:
-                groups.setdefault((len(w) + 3) // 4 * 4, []).append(i)
-        for width, members in groups.items():
-            for lo in range(0, len(members), 8192):
-                some = members[lo : lo + 8192]
-                raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in some), np.uint8).reshape(-1, width)
-                size = np.fromiter((len(words[i]) for i in some), np.int64, len(some))
-                rows = np.arange(len(some))
-                ids = np.where(np.arange(width) < size[:, None], self.plain[raw], np.int32(-1))
-                ids[rows, size - 1] = self.closing[raw[rows, size - 1]]
-                made = np.full((len(some), width), -1, np.int32)
-                inside = np.arange(width - 1) < (size - 1)[:, None]
-                made[:, :-1][inside] = self.merged(ids[:, :-1][inside], ids[:, 1:][inside])
-                rank = np.where(made >= 0, self.prio[made], _NO_RANK)
-                who = np.array(some)
-                columns = np.arange(width)
-                while who.size:
-                    best = rank.argmin(axis=1)
-                    rows = np.arange(len(who))
-                    over = rank[rows, best] == _NO_RANK
-                    if over.any():
-                        for i, row, n in zip(who[over].tolist(), ids[over], size[over].tolist(), strict=True):
-                            out[i] = row[:n].copy()
-                        go = ~over
-                        who, ids, made, rank, size, best = who[go], ids[go], made[go], rank[go], size[go], best[go]
-                        rows = np.arange(len(who))
-                        if not who.size:
-                            break
-                    ids[rows, best] = made[rows, best]
-                    take = np.minimum(columns + (columns > best[:, None]), width - 1)
-                    ids = np.take_along_axis(ids, take, 1)
-                    take = np.minimum(columns + (columns >= best[:, None]), width - 1)
-                    made, rank = np.take_along_axis(made, take, 1), np.take_along_axis(rank, take, 1)
-                    size = size - 1
-                    ids[rows, size] = -1
-                    made[rows, size - 1], rank[rows, size - 1] = -1, _NO_RANK
-                    for shift in (0, -1):
-                        j = best + shift
-                        r = rows[(j >= 0) & (j < size - 1)]
-                        j = j[r]
-                        new = self.merged(ids[r, j], ids[r, j + 1])
-                        made[r, j], rank[r, j] = new, np.where(new >= 0, self.prio[new], _NO_RANK)
-        return out
+    def merge_exactly(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rule by rule, lowest rank and then leftmost first: (word, token) in the order of each word's tokens.
+
+        Words of similar length are columns of one matrix; every step makes one merge in each column.
+        """
+        who, token = [], []
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            token.append(self._merge_long(raw[starts[i] : starts[i] + sizes[i]].tobytes()))
+            who.append(np.full(len(token[-1]), i))
+        short = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+        short = short[np.argsort(sizes[short], kind="stable")]
+        lo = 0
+        while lo < len(short):
+            width = (int(sizes[short[lo]]) + 3) // 4 * 4
+            hi = min(lo + _COLUMNS, int(np.searchsorted(sizes[short], width, "right")))
+            for w, t in self._merge_columns(raw, starts[short[lo:hi]], sizes[short[lo:hi]], width):
+                who.append(short[lo:hi][w])
+                token.append(t)
+            lo = hi
+        if not who:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.concatenate(who), np.concatenate(token)
+
+    def _merge_columns(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int):
+        """The tokens of words of at most ``width`` bytes, as (column, token) arrays.
+
+        ``key`` is the rank of the pair that begins at a place, with the place in the low byte; dead places and
+        the last row, which stands for what lies outside a word, have none.
+        """
+        n = len(starts)
+        place = np.arange(width)[:, None]
+        inside = place < sizes
+        symbols = raw[np.minimum(starts + place, len(raw) - 1)]
+        ids = np.full((width + 1, n), -1, np.int32)
+        ids[:-1] = np.where(inside, self.plain[symbols], -1)
+        last = sizes - 1
+        ids[last, np.arange(n)] = self.closing[symbols[last, np.arange(n)]]
+        key = np.full((width + 1, n), _NO_RANK, np.int32)
+        pair = place[:-1] < sizes - 1
+        made = self.merged(ids[: width - 1][pair], ids[1:width][pair])
+        key[: width - 1][pair] = np.where(made >= 0, self.prio[made] << 8, _NO_RANK - 255) | np.broadcast_to(place[:-1], pair.shape)[pair].astype(np.int32)
+        key[key >= _NO_RANK - 255] = _NO_RANK
+        after = np.broadcast_to(np.arange(1, width + 2, dtype=np.int32)[:, None], ids.shape).copy()
+        after[last, np.arange(n)] = width
+        after[width] = width
+        before = np.broadcast_to(np.arange(-1, width, dtype=np.int32)[:, None], ids.shape).copy()
+        before[0] = width
+        owner = np.arange(n)
+        while True:
+            least = key[:width].min(axis=0)
+            live = np.flatnonzero(least != _NO_RANK)
+            n = len(owner)
+            if live.size * 2 < n or not live.size:
+                done = np.ones(n, bool)
+                done[live] = False
+                left = ids[:width, done].T
+                held = left >= 0
+                yield np.repeat(owner[done], held.sum(axis=1)), left[held]
+                if not live.size:
+                    return
+                owner, least, n = owner[live], least[live], len(live)
+                ids, key, after, before = (np.ascontiguousarray(x[:, live]) for x in (ids, key, after, before))
+                live = np.arange(n)
+            flat_ids, flat_key, flat_after, flat_before = (x.reshape(-1) for x in (ids, key, after, before))
+            found = least[live]
+            at = found & 255
+            token = self.by_rank[found >> 8]
+            here = at * n + live
+            gone = flat_after[here] * n + live
+            next_ = flat_after[gone]
+            right = next_ * n + live
+            prior = flat_before[here]
+            left = prior * n + live
+            flat_ids[here] = token
+            flat_ids[gone] = -1
+            flat_key[gone] = _NO_RANK
+            flat_after[here] = next_
+            flat_before[right] = at
+            made = self.merged(np.concatenate([token, flat_ids[left]]), np.concatenate([flat_ids[right], token]))
+            new = np.where(made >= 0, self.prio[made] << 8 | np.concatenate([at, prior]), _NO_RANK)
+            flat_key[here] = new[: len(live)]
+            flat_key[left] = new[len(live) :]
 
     def _merge_long(self, word: bytes) -> np.ndarray:
         ids = [int(self.plain[b]) for b in word]
@@ -278,33 +318,32 @@ class MergeTable:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
         """Tokens of all words in one array, where each word's begin, and how many needed merging."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        nul = np.fromiter((b"\0" in w for w in words), bool, len(words))
-        short = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD) & ~nul)
-        counts = np.zeros(len(words), np.int64)
-        who = token = np.zeros(0, np.int32)
-        exact = np.flatnonzero((sizes > LONG_WORD) | nul)
+        return self.encode_spans(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def encode_spans(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The same for words that stand back to back in ``raw``."""
+        begins = np.cumsum(sizes) - sizes
+        odd = sizes > LONG_WORD
+        if (raw == 0).any():
+            odd[np.searchsorted(begins + sizes, np.flatnonzero(raw == 0), "right")] = True
+        short, exact = np.flatnonzero((sizes > 0) & ~odd), np.flatnonzero((sizes > 0) & odd)
+        who, token = np.zeros(0, np.int64), np.zeros(0, np.int32)
         if short.size:
-            who, token, failed = self.propose([words[i] for i in short.tolist()])
+            packed = raw if short.size == len(sizes) else raw[np.repeat((sizes > 0) & ~odd, sizes)]
+            who, token, failed = self.propose(packed, sizes[short])
             same = np.flatnonzero(who[1:] == who[:-1])
             wrong = same[~self.compatible(token[same], token[same + 1])]
             failed[who[wrong]] = True
             good = ~failed[who]
             who, token = short[who[good]], token[good]
-            counts += np.bincount(who, minlength=len(words))
             exact = np.concatenate([exact, short[failed]])
-        merged = self.merge_exactly([words[i] for i in exact.tolist()])
-        counts[exact] = [len(m) for m in merged]
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        flat = np.zeros(int(starts[-1]), np.int32)
-        if len(who):
-            first = np.searchsorted(who, who)
-            flat[starts[who] + np.arange(len(who)) - first] = token
-        if len(merged):
-            owner = np.repeat(exact, counts[exact])
-            run = np.arange(len(owner)) - np.repeat(np.cumsum(counts[exact]) - counts[exact], counts[exact])
-            flat[starts[owner] + run] = np.concatenate(merged)
-        return flat, starts, len(exact)
+        if exact.size:
+            owner, merged = self.merge_exactly(raw, begins[exact], sizes[exact])
+            who, token = np.concatenate([who, exact[owner]]), np.concatenate([token, merged])
+            order = np.argsort(who, kind="stable")
+            who, token = who[order], token[order]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(sizes)))]).astype(np.int64)
+        return token, starts, len(exact)
 
 
 class _Codec:
@@ -413,60 +452,211 @@ class ByteCodec(_Codec):
         return b"".join(known[i] for i in ids if 0 <= i < len(known)).decode("utf-8", "replace")
 
 
+class SeenPieces:
+    """Pieces met so far as arrays with open addressing: what each consists of, and where its ids stand.
+
+    A piece is compared by its length, its first 16 bytes and, beyond these, a 64-bit hash. The table starts
+    anew when it holds ``most`` pieces or ``CACHE_IDS`` ids, so its size in bytes is bounded.
+    """
+
+    def __init__(self, most: int = CACHE_PIECES):
+        self.most, self.bits = most, (4 * most).bit_length() - 1
+        self.shift, self.mask = np.uint64(64 - self.bits), (1 << self.bits) - 1
+        self.slots = np.empty(1 << self.bits, np.int32)
+        self.first, self.second, self.hash = (np.zeros(2 * most + 2, np.uint64) for _ in range(3))
+        self.size, self.at, self.count = (np.zeros(2 * most + 2, np.int32) for _ in range(3))
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        """Only piece 0 stays: the closing id."""
+        self.slots.fill(-1)
+        self.n, self.used = 1, 1
+        self.at[0], self.count[0] = 0, 1
+
+    def find(self, first: np.ndarray, second: np.ndarray, size: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 for those not met yet."""
+        slot = (hashed >> self.shift).astype(np.int64)
+        out = self.slots[slot]
+        left = np.arange(len(out))
+        while left.size:
+            number = out[left]
+            other = number >= 0
+            other &= (self.hash[number] != hashed[left]) | (self.first[number] != first[left]) | (self.second[number] != second[left]) | (self.size[number] != size[left])
+            left = left[other]
+            slot[left] = (slot[left] + 1) & self.mask
+            out[left] = self.slots[slot[left]]
+        return out
+
+    def add(self, first: np.ndarray, second: np.ndarray, size: np.ndarray, hashed: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Take up different new pieces; their numbers."""
+        n = len(first)
+        number = np.arange(self.n, self.n + n, dtype=np.int32)
+        self.first[number], self.second[number], self.size[number], self.hash[number] = first, second, size, hashed
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.count[number], self.at[number] = counts, self.used + np.cumsum(counts) - counts
+        self.n, self.used = self.n + n, self.used + len(ids)
+        slot, left = (hashed >> self.shift).astype(np.int64), np.arange(n)
+        while left.size:
+            free = self.slots[slot[left]] < 0
+            self.slots[slot[left[free]]] = number[left[free]]
+            left = left[self.slots[slot[left]] != number[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+        return number
+
+
+#: Kinds of bytes: white space, letter, digit, symbol; a word with any other byte is looked at alone.
+_SPACE, _LETTER, _DIGIT, _SYMBOL, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = _SYMBOL
+_KIND[[32, *range(9, 14)]] = _SPACE
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+for _first in b"aA":
+    _KIND[_first : _first + 26] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class WordCodec(_Codec):
-    """The lower-case vocabulary with word ends: white space separates and is dropped."""
+    """The lower-case vocabulary with word ends: white space separates and is dropped.
+
+    Texts of a batch are cut into pieces together, by the kind of each byte. Words with bytes beyond ASCII and
+    the letters of Latin-1 are taken one by one, but for repeated ones.
+    """
 
     _split = regex.compile(WORD_PATTERN)
-    _tail = _SYMBOLS.encode()
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.seen = SeenPieces()
 
     def pieces(self, text: str) -> list:
         if any(mark in text for mark in self.special_marks) or max(text) > _LAST_PLAIN:
             return self.library.encode(text, add_special_tokens=False).ids
         return [p.encode() for p in self._split.findall(text.lower())]
 
-    def plan(self, units: list[bytes], index: dict) -> list:
-        out: list = []
-        put, n = out.append, index.setdefault
-        for unit in units:
-            if unit.isascii():
-                word = unit.lower()
-                if word.isalpha():
-                    put(n(word, len(index)))
-                    continue
-                core = word.rstrip(self._tail)
-                if core.isalpha():
-                    put([n(core, len(index)), n(word[len(core) :], len(index))])
-                    continue
-                text = unit.decode()
-            else:
-                text = unit.decode("utf-8", "replace")
-                if max(text) <= _LAST_PLAIN:
-                    word = text.lower()
-                    if word.isalpha():
-                        put(n(word.encode(), len(index)))
-                        continue
-                    core = word.rstrip(_SYMBOLS)
-                    if core.isalpha():
-                        put([n(core.encode(), len(index)), n(word[len(core) :].encode(), len(index))])
-                        continue
-            put(self._place(self.pieces(text), index))
-        return out
-
-    def values(self, plan: list, flat: np.ndarray, starts: np.ndarray) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids."""
-        ids, at = flat.astype("<u4").tobytes(), (starts * 4).tolist()
-        one = int.to_bytes
-        return [
-            ids[at[p] : at[p + 1]] if type(p) is int else b"".join([ids[at[q] : at[q + 1]] if q >= 0 else one(~q, 4, "little") for q in p])
-            for p in plan
-        ]
-
-    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, as bytes."""
-        cut = [t.split() for t in texts]
-        self.fill(set().union(*cut))
-        known = self.cache.__getitem__
-        return [b"".join(map(known, units)) for units in cut]
+    @staticmethod
+    def cut(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each piece, whether it is a word to be looked at alone, and the bytes in lower case."""
+        n = len(raw)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), raw
+        kind, lower = _KIND[raw], _LOWER[raw]
+        head = np.flatnonzero(raw == 0xC3)  # two bytes: a letter of Latin-1, or one of its two signs
+        tail = raw[head + 1]
+        sign = (tail == 0x97) | (tail == 0xB7)
+        lower[head[(tail < 0x9F) & ~sign] + 1] += 0x20
+        kind[head] = kind[head + 1] = np.where(sign, _SYMBOL, _LETTER)
+        bar = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))  # a special token may begin here
+        kind[bar] = _OTHER
+        opens = np.zeros(n + 1, bool)
+        opens[at] = True
+        odd = np.flatnonzero(kind == _OTHER)
+        if odd.size:
+            start, end, _ = text.words(raw, at)
+            whole = np.unique(np.searchsorted(start, odd, "right") - 1)
+            size = end[whole] - start[whole]
+            inside = np.arange(size.sum()) + np.repeat(start[whole] - (np.cumsum(size) - size), size)
+            kind[inside], lower[inside] = _OTHER, raw[inside]
+        begins = opens[:n] | (kind == _DIGIT)
+        begins[1:] |= kind[1:] != kind[:-1]
+        mark = np.flatnonzero((raw == ord("'")) & begins & (kind == _SYMBOL))  # 's 't 'm 'd 're 've 'll
+        if mark.size:
+            wide, kinds = np.append(lower, [0, 0, 0]), np.append(kind, [_SPACE] * 3)
+            ends = np.append(opens, [True, True, True])
+            ok = (kinds[mark + 1] == _LETTER) & ~ends[mark + 1]
+            a, b = wide[mark + 1], wide[mark + 2]
+            one = ok & np.isin(a, np.frombuffer(b"stmd", np.uint8))
+            two = ok & ~ends[mark + 2] & (((b == ord("e")) & ((a == ord("r")) | (a == ord("v")))) | ((a == ord("l")) & (b == ord("l"))))
+            begins[mark[one | two] + 1] = False
+            rest = np.concatenate([mark[one] + 2, mark[two] + 3])
+            rest = rest[rest < n]
+            begins[rest[kind[rest] == _LETTER]] = True
+        start = np.flatnonzero(begins)
+        end, what = np.append(start[1:], n), kind[start]
+        ink = what != _SPACE
+        return start[ink], end[ink], what[ink] == _OTHER, lower
+
+    def encode_texts(self, texts: pa.Array, closing: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts back to back, each with the closing id if there is one, and where each text's begin (and the end)."""
+        raw, at = text.flat(texts)
+        start, end, alone, lower = self.cut(raw, at)
+        owner_cuts = np.searchsorted(start, at)
+        wide = np.append(lower, np.zeros(16, np.uint8))
+        ids, counts = [], []
+        for lo in range(0, len(start), CACHE_PIECES):
+            found, n = self._ids(wide, start[lo : lo + CACHE_PIECES], end[lo : lo + CACHE_PIECES], alone[lo : lo + CACHE_PIECES])
+            ids.append(found)
+            counts.append(n)
+        sums = np.concatenate([[0], np.cumsum(np.concatenate([*counts, np.zeros(0, np.int64)]))]).astype(np.int64)
+        token = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.uint32)
+        starts = sums[owner_cuts]
+        if closing is None:
+            return token, starts
+        return np.insert(token, starts[1:], np.uint32(closing)), starts + np.arange(len(starts))
+
+    def _ids(self, wide: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these pieces back to back, and how many each has."""
+        seen = self.seen
+        if seen.n > seen.most or seen.used > CACHE_IDS:
+            seen.clear()
+        words = np.ndarray(len(wide) - 8, "<u8", wide.data, 0, (1,))  # eight bytes from every place
+        length = end - start
+        size = (length | (alone.astype(np.int64) << 30)).astype(np.int32)
+        first = words[start] & _KEEP[np.minimum(length, 8)]
+        second = np.zeros(len(start), np.uint64)
+        more = np.flatnonzero(length > 8)
+        second[more] = words[start[more] + 8] & _KEEP[np.minimum(length[more] - 8, 8)]
+        hashed = text._spread(text._spread(first ^ (size.astype(np.uint64) * text.MIX_2)) ^ (second * text.MIX))
+        huge = length > LONG_PIECE
+        live, step = np.flatnonzero((length > 16) & ~huge), 16
+        while live.size:
+            tail = words[start[live] + step] & _KEEP[np.minimum(length[live] - step, 8)]
+            hashed[live] = text._spread((hashed[live] ^ tail) * text.MIX + np.uint64(step))
+            step += 8
+            live = live[length[live] > step]
+        if huge.any():  # taken each time, and never met again
+            hashed[huge], size[huge] = np.flatnonzero(huge).astype(np.uint64) << np.uint64(40), -1 - np.arange(huge.sum(), dtype=np.int32)
+        number = seen.find(first, second, size, hashed)
+        new = np.flatnonzero((number < 0) | huge)
+        while new.size:
+            _, one, which = np.unique(hashed[new], return_index=True, return_inverse=True)
+            one = new[one]
+            same = (first[new] == first[one][which]) & (second[new] == second[one][which]) & (size[new] == size[one][which])
+            found, counts = self._encode(wide, start[one], length[one], alone[one])
+            numbers = seen.add(first[one], second[one], size[one], hashed[one], found, counts)
+            number[new[same]] = numbers[which[same]]
+            new = new[~same]
+        counts = seen.count[number].astype(np.int64)
+        place = np.repeat(seen.at[number] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return seen.ids[place], counts
+
+    def _encode(self, wide: np.ndarray, start: np.ndarray, length: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces back to back, and how many each has."""
+        plain = np.flatnonzero(~alone)
+        size = length[plain]
+        inside = np.arange(size.sum()) + np.repeat(start[plain] - (np.cumsum(size) - size), size)
+        flat, at, failed = self.table.encode_spans(wide[inside], size)
+        self.words += len(plain)
+        self.failures += failed
+        odd = np.flatnonzero(alone)
+        if not odd.size:
+            return flat, np.diff(at)
+        index: dict[bytes, int] = {}
+        plan = self.plan([wide[start[i] : start[i] + length[i]].tobytes().decode("utf-8", "replace") for i in odd.tolist()], index)
+        more, places, failed = self.table.encode_words(list(index))
+        self.words += len(index)
+        self.failures += failed
+        found = []
+        for p in plan:
+            found.append(np.concatenate([more[places[q] : places[q + 1]] if q >= 0 else np.array([~q], np.int32) for q in ([p] if type(p) is int else p)] or [np.zeros(0, np.int32)]))
+        counts = np.zeros(len(start), np.int64)
+        counts[plain], counts[odd] = np.diff(at), [len(f) for f in found]
+        owner = np.concatenate([np.repeat(plain, counts[plain]), np.repeat(odd, counts[odd])])
+        return np.concatenate([flat, *found])[np.argsort(owner, kind="stable")], counts
 
 
 @lru_cache(maxsize=4)

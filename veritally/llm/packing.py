@@ -101,25 +101,25 @@ class _Cut:
 
     def __call__(self, batches):
         codec, part = word_codec(self.path), TaskContext.get().partitionId()
-        places: dict[int, int] = {}
-        end, stride = int(self.closing).to_bytes(4, "little"), 4 * self.window
+        places = np.zeros(self.window + 1, np.int64)
         for batch in batches:
             for lo, hi in byte_ranges(batch.column(1)):
-                some = batch.slice(lo, hi - lo)
-                texts = some.column(1).cast(pa.binary()).to_pylist()
-                rows = []
-                for doc, ids in zip(some.column(0).to_pylist(), codec.encode_batch([t or b"" for t in texts]), strict=True):
-                    ids += end
-                    for at in range(0, len(ids), stride):
-                        piece = ids[at : at + stride]
-                        n = len(piece) // 4
-                        place = places.get(n, 0)
-                        places[n] = place + 1
-                        rows.append((doc, at // 4, n, zlib.crc32(piece), len(ids) // 4, part, place))
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                ids, at = codec.encode_texts(batch.column(1).slice(lo, hi - lo), self.closing)
+                tokens = np.diff(at)
+                each = -(-tokens // self.window)
+                doc = np.repeat(np.arange(len(tokens)), each)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)) * self.window
+                length = np.minimum(tokens[doc] - start, self.window)
+                first = at[doc] + start
+                data = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(data[4 * f : 4 * t]) for f, t in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                sorted_ = length[order]
+                place = np.empty(len(doc), np.int64)
+                place[order] = places[sorted_] + np.arange(len(doc)) - np.searchsorted(sorted_, sorted_)
+                places += np.bincount(length, minlength=len(places))
+                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place"])
 
 
 class _Place:

@@ -83,7 +83,7 @@ class _Sequences:
 
     def __call__(self, batches):
         codec, part, number, rest = word_codec(self.path), TaskContext.get().partitionId(), 0, b""
-        end, kind, stride = int(self.closing).to_bytes(4, "little"), f"<u{self.width}", self.window * self.width
+        kind, stride = f"<u{self.width}", self.window * self.width
 
         def rows(ids: bytes):
             nonlocal number
@@ -98,9 +98,8 @@ class _Sequences:
 
         for batch in batches:
             for lo, hi in byte_ranges(batch.column(0)):
-                texts = batch.column(0).slice(lo, hi - lo).cast(pa.binary()).to_pylist()
-                found = end.join([*codec.encode_batch([t or b"" for t in texts]), b""])
-                rest += np.frombuffer(found, "<u4").astype(kind).tobytes()
+                ids, _ = codec.encode_texts(batch.column(0).slice(lo, hi - lo), self.closing)
+                rest += ids.astype(kind).tobytes()
                 whole = len(rest) // stride * stride
                 if whole:
                     yield rows(rest[:whole])
