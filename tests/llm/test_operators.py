@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veritally.llm import bpe, graph, html, langid, nearcopies, packing, quality, queries, simhash, substring, tokenstore, topk, toxicity
+from veritally.llm import bpe, graph, html, langid, packing, quality, queries, simhash, substring, tokenstore, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -166,9 +166,6 @@ def test_op10(odd, docs, empty):
         want = Counter((i, format(f, "016x"), least.get(find(f))) for i, f in rows)
         assert Counter(map(tuple, simhash.group_table(table).collect())) == want
     assert simhash.group_table(empty).collect() == []
-    kept = simhash.without_copies(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 8, 9, 10, 11]
-
 
 def test_links_reach_distance_two_and_no_further(spark):
     base = 0x0123456789ABCDEF
@@ -177,6 +174,49 @@ def test_links_reach_distance_two_and_no_further(spark):
     assert [tuple(sorted(r)) for r in simhash.links(rows).collect()] == [tuple(sorted((base, near)))]
 
 
+def test_links_in_hot_buckets(spark):
+    """100,000 fingerprints share a segment; all pairs within two bits are linked, without a row for each pair of the bucket."""
+    rng = np.random.default_rng(3)
+    low = np.unique(rng.integers(0, 1 << 32, 100_000))
+    base = int(low[0]) | 7 << 32
+    more = [base ^ 1, base ^ 1 << 40, base ^ 0b11, base ^ (1 << 33 | 1 << 12), base ^ 0b111000, int(low[1]) | 7 << 32 | 1 << 63]
+    values = sorted({int(x) | 7 << 32 for x in low} | {x - (1 << 64) if x >> 63 else x for x in more})
+    rows = spark.createDataFrame([(v,) for v in values], "fp long")
+    roots = {r.node: r.root for r in graph.components(simhash.links(rows)).collect()}
+    u = np.array(values, np.int64).view(np.uint64)
+    known, root = set(u.tolist()), {}
+    for v in u.tolist():  # brute force: the two-bit neighbourhood of each value
+        if v in root:
+            continue
+        root[v], stack = v, [v]
+        while stack:
+            x = stack.pop()
+            for m in simhash.ball_masks(64, 2):
+                y = x ^ (m & (1 << 64) - 1)
+                if y in known and y not in root:
+                    root[y] = v
+                    stack.append(y)
+        if len(root) > 300:  # the rest is found the same way
+            break
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for x in root:
+        assert (roots.get(signed(x), signed(x)) == roots.get(signed(root[x]), signed(root[x])))
+    groups = {}
+    for x, r in root.items():
+        groups.setdefault(r, []).append(x)
+    of = {g: roots.get(signed(g), signed(g)) for g in groups}
+    assert len(set(of.values())) == len(of)
+
+
+def test_balls_follow_segments():
+    assert [len(simhash.ball_masks(w, r)) for w, r in ((32, 0), (32, 1), (21, 2), (64, 1))] == [1, 33, 1 + 21 + 210, 65]
+    assert len(set(simhash.ball_masks(16, 2))) == 137 and max(m.bit_count() for m in simhash.ball_masks(16, 2)) == 2
+    few, many = simhash.segment_bits(1000), simhash.segment_bits(10**9)
+    assert many.shape[1] > few.shape[1] and many.shape[0] > few.shape[0] and all(len(set(r)) == len(r) for r in many.tolist())
+    longer = simhash.segment_bits(1000, 1)
+    assert (longer[:, : few.shape[1]] == few).all() and longer.shape[1] == few.shape[1] + simhash.TURN_BITS
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(100 * c + i, 100 * c + rng.randint(max(0, i - 2), i - 1)) for c in range(30) for i in range(1, rng.randint(2, 12))]
@@ -406,12 +446,23 @@ def test_near_duplicate_stage(spark, odd, empty):
     print("near copies found", gone, "of", len(near))
     assert len(near) > 50 and gone >= 0.97 * len(near)
     assert all({2 * k, 2 * k + 1} <= left for k, s in pairs if s < 0.8) and all(2 * k in left for k, _ in pairs)
+    rows, near = [], 0  # copies with a block added, close to the limit
+    for k in range(300):
+        words = [f"t{rng.randrange(5000)}" for _ in range(rng.randint(80, 400))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + [f"n{rng.randrange(5000)}" for _ in range(int(0.23 * len(words)))]))]
+    left = {r.doc_id for r in simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = 300 - sum(2 * k + 1 in left for k in range(300))
+    print("near copies with an added block found", near, "of 300")
+    assert near >= 0.9 * 300
+    twice = [(1, "a b c d e f g"), (1, "another text of some words here"), (2, "a b c d e f g")]
+    kept = simhash.without_copies(spark.createDataFrame(twice, "doc_id long, text string")).collect()
+    assert kept == simhash.without_copies(spark.createDataFrame(twice[::-1], "doc_id long, text string")).collect() and [r.doc_id for r in kept] == [1]
     base = [f"h{i}" for i in range(120)]  # a large group, one word edited in each
     group = [(i, " ".join([*base[: i % 120], f"x{i}", *base[i % 120 + 1 :]])) for i in range(400)]
-    assert [r.doc_id for r in nearcopies.without_copies(spark.createDataFrame(group, "doc_id long, text string")).collect()] == [0]
-    kept = nearcopies.without_copies(odd)
+    assert [r.doc_id for r in simhash.without_copies(spark.createDataFrame(group, "doc_id long, text string")).collect()] == [0]
+    kept = simhash.without_copies(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 4, 5, 6, 8, 9, 10]
-    assert nearcopies.without_copies(empty).collect() == []
+    assert simhash.without_copies(empty).collect() == []
 
 
 def test_pipeline(spark, tmp_path):

@@ -517,7 +517,6 @@ for _first in b"aA":
     _KIND[_first : _first + 26] = _LETTER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class WordCodec(_Codec):
@@ -585,10 +584,10 @@ class WordCodec(_Codec):
         raw, at = text.flat(texts)
         start, end, alone, lower = self.cut(raw, at)
         owner_cuts = np.searchsorted(start, at)
-        wide = np.append(lower, np.zeros(16, np.uint8))
+        lanes = text.lanes(lower)
         ids, counts = [], []
         for lo in range(0, len(start), CACHE_PIECES):
-            found, n = self._ids(wide, start[lo : lo + CACHE_PIECES], end[lo : lo + CACHE_PIECES], alone[lo : lo + CACHE_PIECES])
+            found, n = self._ids(lower, lanes, start[lo : lo + CACHE_PIECES], end[lo : lo + CACHE_PIECES], alone[lo : lo + CACHE_PIECES])
             ids.append(found)
             counts.append(n)
         sums = np.concatenate([[0], np.cumsum(np.concatenate([*counts, np.zeros(0, np.int64)]))]).astype(np.int64)
@@ -598,23 +597,22 @@ class WordCodec(_Codec):
             return token, starts
         return np.insert(token, starts[1:], np.uint32(closing)), starts + np.arange(len(starts))
 
-    def _ids(self, wide: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, raw: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these pieces back to back, and how many each has."""
         seen = self.seen
         if seen.n > seen.most or seen.used > CACHE_IDS:
             seen.clear()
-        words = np.ndarray(len(wide) - 8, "<u8", wide.data, 0, (1,))  # eight bytes from every place
         length = end - start
         size = (length | (alone.astype(np.int64) << 30)).astype(np.int32)
-        first = words[start] & _KEEP[np.minimum(length, 8)]
+        first = words[start] & text.KEEP[np.minimum(length, 8)]
         second = np.zeros(len(start), np.uint64)
         more = np.flatnonzero(length > 8)
-        second[more] = words[start[more] + 8] & _KEEP[np.minimum(length[more] - 8, 8)]
+        second[more] = words[start[more] + 8] & text.KEEP[np.minimum(length[more] - 8, 8)]
         hashed = text._spread(text._spread(first ^ (size.astype(np.uint64) * text.MIX_2)) ^ (second * text.MIX))
         huge = length > LONG_PIECE
         live, step = np.flatnonzero((length > 16) & ~huge), 16
         while live.size:
-            tail = words[start[live] + step] & _KEEP[np.minimum(length[live] - step, 8)]
+            tail = words[start[live] + step] & text.KEEP[np.minimum(length[live] - step, 8)]
             hashed[live] = text._spread((hashed[live] ^ tail) * text.MIX + np.uint64(step))
             step += 8
             live = live[length[live] > step]
@@ -626,7 +624,7 @@ class WordCodec(_Codec):
             _, one, which = np.unique(hashed[new], return_index=True, return_inverse=True)
             one = new[one]
             same = (first[new] == first[one][which]) & (second[new] == second[one][which]) & (size[new] == size[one][which])
-            found, counts = self._encode(wide, start[one], length[one], alone[one])
+            found, counts = self._encode(raw, start[one], length[one], alone[one])
             numbers = seen.add(first[one], second[one], size[one], hashed[one], found, counts)
             number[new[same]] = numbers[which[same]]
             new = new[~same]
@@ -634,19 +632,19 @@ class WordCodec(_Codec):
         place = np.repeat(seen.at[number] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         return seen.ids[place], counts
 
-    def _encode(self, wide: np.ndarray, start: np.ndarray, length: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different pieces back to back, and how many each has."""
         plain = np.flatnonzero(~alone)
         size = length[plain]
         inside = np.arange(size.sum()) + np.repeat(start[plain] - (np.cumsum(size) - size), size)
-        flat, at, failed = self.table.encode_spans(wide[inside], size)
+        flat, at, failed = self.table.encode_spans(raw[inside], size)
         self.words += len(plain)
         self.failures += failed
         odd = np.flatnonzero(alone)
         if not odd.size:
             return flat, np.diff(at)
         index: dict[bytes, int] = {}
-        plan = self.plan([wide[start[i] : start[i] + length[i]].tobytes().decode("utf-8", "replace") for i in odd.tolist()], index)
+        plan = self.plan([raw[start[i] : start[i] + length[i]].tobytes().decode("utf-8", "replace") for i in odd.tolist()], index)
         more, places, failed = self.table.encode_words(list(index))
         self.words += len(index)
         self.failures += failed

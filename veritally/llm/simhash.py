@@ -1,24 +1,40 @@
 """Near-duplicates by SimHash and multi-index hashing.
 
-A fingerprint is cut into segments. Within each segment all values of a small Hamming ball are
-enumerated while the other segments stand verbatim, and the table is addressed with the whole
-value. Two fingerprints that differ by at most two bits meet at an address (each is within one bit
-of it), and those that meet are no further apart than that; the complete distance is verified
-nevertheless. As an address is the whole value and not the bare segment, at most 65 different
-fingerprints can share one: a value of a segment that millions of fingerprints share makes no
-large bucket, no cap is needed, and the work is linear in the number of different fingerprints.
-
-Equal fingerprints are one node. Each address links its fingerprints to the smallest of them, and
-the components of these links are the groups.
-
-Null and empty texts, and texts without a word, have fingerprint zero and are linked like others.
-Repeated rows get equal rows. A null doc_id is carried; it never names a group unless the group
-has no other id (then component_id is null). An empty table gives an empty table, and other columns
-of the input are ignored.
+A fingerprint of ``bits`` bits is cut into segments, and a table holds the fingerprints under each (segment,
+value). Two fingerprints at most ``distance`` bits apart differ by at most distance // segments bits in some
+segment. So each fingerprint enumerates the Hamming ball of that radius within each of its segments, fetches
+what the tables hold under these values, and the complete distances decide.
+
+``groups`` does so for 64 bits over three-word shingles, distance 2, two segments (balls of 33 values). It loses
+no link. A value of a segment that more than ``HOT`` fingerprints share (a large group of near copies) would be
+searched in quadratic time; fingerprints in such buckets are addressed by their whole value instead, with the
+ball over all bits on both sides. At most 65 different fingerprints can share such an address, and each is
+linked to the smallest of them, so the work stays in proportion, without a cap. (A pair is missed by the tables
+only if both are in hot buckets: otherwise one finds the other in the bucket that isn't.)
+
+``without_copies`` keeps one document of each group of similar ones: sets of five-word shingles with a Jaccard
+similarity of ``SIMILAR`` at least. At that similarity the bits of fingerprints agree with probability 0.849,
+so 256 bits differ in 39 +- 6, and a match in some segment can't be forced by few segments. There are as many
+segments as give a pair of similarity 0.8 a match with probability ``RECALL`` (more above: at 0.9 all but one
+in 10,000), each of so many bits that unrelated fingerprints rarely meet, whatever their number; as there are
+more segments than bits may differ, the balls have radius zero. Segments take their bits anew from the
+fingerprint and so overlap. What shares a bucket is compared with one fingerprint of it, by complete
+distance, then by the whole shingle sets. What isn't similar to that one is looked up again under longer
+segments, ``TURNS`` times, so that a large group costs a fixed number of comparisons a document.
+
+Equal fingerprints (in ``without_copies``: equal shingle sets) are one node. The components of the links are
+the groups.
+
+Null and empty texts, and texts without a word, have fingerprint zero and are linked like others; their sets are
+empty and equal. Repeated rows get equal rows. A null doc_id is carried; it never names a group unless the group
+has no other id (then component_id is null), and ``without_copies`` keeps such rows, as none can be named as the
+one to stay. An empty table gives an empty table, and other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,33 +44,58 @@ from pyspark.sql import functions as F
 from ._common import documents, staged
 from .bpe import byte_ranges
 from .graph import components
+from .text import MIX, _spread, flat, gram_hashes, word_hashes, words
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
 BITS = 64
 SEGMENTS = 2
+#: Fingerprints in a bucket above which it is addressed by whole values.
+HOT = 64
 
+WIDE_SHINGLE = 5
+WIDE_WORDS = 4
+WIDE_BITS = 64 * WIDE_WORDS
+SIMILAR = 0.8
+RECALL = 0.97
+#: Bits of a segment beyond the logarithm of the number of fingerprints, and those added in each further turn.
+SPARE_BITS = 4
+TURN_BITS = 12
+TURNS = 3
+#: A fingerprint with more comparisons than this is dealt to several tasks.
+DEALT = 500
 
-def fingerprint(text: bytes) -> int:
-    """64 majority bits over the XXH64 values of the shingles; 0 without a word."""
+
+def shingle_hashes(text: bytes, n: int) -> np.ndarray:
+    """XXH64 of every ``n`` consecutive words in lower case (A-Z), joined by a space; of all words if they are fewer."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), len(line))
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) > SHINGLE:
-        starts, ends = starts[: 1 - SHINGLE], ends[SHINGLE - 1 :]
+    if len(words) > n:
+        starts, ends = starts[: 1 - n], ends[n - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    set_ = np.zeros(BITS, np.int64)
-    for lo in range(0, len(starts), 1 << 16):
-        spans = zip(starts[lo : lo + (1 << 16)].tolist(), ends[lo : lo + (1 << 16)].tolist(), strict=True)
-        h = np.array([digest(line[a:b], SEED) for a, b in spans], "<u8")
-        set_ += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_ > len(starts), bitorder="little").view("<i8")[0])
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the rows of 64-bit words have each bit."""
+    total = np.zeros(64 * (hashes.shape[1] if hashes.ndim > 1 else 1), np.int64)
+    for lo in range(0, len(hashes), 1 << 13):
+        raw = np.ascontiguousarray(hashes[lo : lo + (1 << 13)], "<u8").view(np.uint8).reshape(len(hashes[lo : lo + (1 << 13)]), -1)
+        total += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return total
+
+
+def fingerprint(text: bytes) -> int:
+    """64 majority bits over the XXH64 values of the shingles; 0 without a word."""
+    hashes = shingle_hashes(text, SHINGLE)
+    return int(np.packbits(2 * _ones(hashes) > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def _fingerprints(batches):
@@ -70,21 +111,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return documents(docs, "doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def ball_masks(segments: int = SEGMENTS) -> list[int]:
-    """What to XOR a fingerprint with: radius one within each segment, and the value itself."""
+def ball_masks(width: int, radius: int) -> list[int]:
+    """What to XOR a value of ``width`` bits with: all values within the radius, itself first; as signed 64-bit integers."""
+    masks, last = [0], [0]
+    for _ in range(radius):
+        last = [m | 1 << b for m in last for b in range(m.bit_length(), width)]
+        masks += last
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def segment_keys(fp: F.Column, masks: list[int], segments: int = SEGMENTS) -> F.Column:
+    """An array of (segment, value XOR mask) as one integer each, for all segments and masks."""
     width = BITS // segments
-    flips = [1 << (s * width + bit) for s in range(segments) for bit in range(width)]
-    return [0, *(m - (1 << 64) if m >> 63 else m for m in flips)]
+    low = F.lit((1 << width) - 1).cast("long")
+    value = [F.shiftrightunsigned(fp, s * width).bitwiseAND(low) for s in range(segments)]
+    return F.array(*(value[s].bitwiseXOR(F.lit(m).cast("long")) * segments + s for s in range(segments) for m in masks))
 
 
 def links(values: DataFrame) -> DataFrame:
     """(u, v) between different fingerprints ``fp`` at most two bits apart, enough to connect all."""
-    address = F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(m)) for m in ball_masks())))
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = values.select("fp").repartition(parts).select("fp", address.alias("address"))  # 65 rows from each: few large tasks would need much memory
-    shared = met.groupBy("address").agg(F.min("fp").alias("v"), F.max("fp").alias("last")).where("v <> last").drop("last")
-    found = met.join(shared, "address").where("fp <> v")
-    return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= DISTANCE).select(F.col("fp").alias("u"), "v").distinct()
+    dealt = values.select("fp").repartition(parts)  # dozens of rows from each: few large tasks would need much memory
+    table = dealt.select(F.col("fp").alias("held"), F.explode(segment_keys(F.col("fp"), [0])).alias("key"))
+    hot = staged(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot-buckets")
+    probes = dealt.select("fp", F.explode(segment_keys(F.col("fp"), ball_masks(BITS // SEGMENTS, DISTANCE // SEGMENTS))).alias("key"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("held"))) <= DISTANCE
+    found = probes.join(table.join(hot, "key", "left_anti"), "key").where(near & (F.col("fp") != F.col("held"))).select("fp", "held")
+    crowded = staged(table.join(hot, "key", "left_semi").select(F.col("held").alias("fp")).distinct(), "crowded")
+    met = crowded.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in ball_masks(BITS, DISTANCE // 2)))).alias("address"))
+    least = met.groupBy("address").agg(F.min("fp").alias("held"), F.max("fp").alias("last")).where("held <> last").drop("last")
+    found = found.unionByName(met.join(least, "address").where(near & (F.col("fp") != F.col("held"))).select("fp", "held"))
+    return found.select(F.greatest("fp", "held").alias("u"), F.least("fp", "held").alias("v")).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -104,12 +161,173 @@ def group_table(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted hashes of the different five-word shingles of each text; a text of fewer words is one shingle."""
+    raw, at = flat(texts)
+    capital = (raw >= ord("A")) & (raw <= ord("Z"))
+    raw = raw + np.uint8(32) * capital
+    start, end, _ = words(raw, at)
+    word = word_hashes(raw, start, end)
+    grams, cuts, out = gram_hashes(word, WIDE_SHINGLE), np.searchsorted(start, at).tolist(), []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        out.append(np.unique(grams[lo : hi - WIDE_SHINGLE + 1]) if hi - lo >= WIDE_SHINGLE else gram_hashes(word[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.uint64))
+    return out
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """256 majority bits over a set of shingle hashes; where half of the set has a bit, the smallest hash decides."""
+    if not len(values):
+        return bytes(WIDE_BITS // 8)
+    wide = _spread(values[:, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * MIX)
+    ones = 2 * _ones(wide)
+    least = np.unpackbits(wide[0].astype("<u8").view(np.uint8), bitorder="little")
+    return np.packbits((ones > len(values)) | ((ones == len(values)) & (least == 1)), bitorder="little").tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def agreement(similar: float) -> float:
+    """Probability that a bit of two sets of equal size and this Jaccard similarity is the same."""
+    return 1 - math.acos(min(1.0, 2 * similar / (1 + similar))) / math.pi
+
+
+def wide_distance(similar: float = SIMILAR) -> int:
+    """Differing bits that all but one in some thousand pairs of this similarity stay within."""
+    off = 1 - agreement(similar)
+    return math.ceil(WIDE_BITS * off + 3.5 * math.sqrt(WIDE_BITS * off * (1 - off)))
+
+
+def segment_bits(nodes: int, turn: int = 0) -> np.ndarray:
+    """Which bits of a fingerprint each segment takes: a row for each segment."""
+    width = max(12, math.ceil(math.log2(max(nodes, 2)))) + SPARE_BITS
+    p = agreement(SIMILAR) ** width
+    segments = math.ceil(math.log(1 - RECALL) / math.log(1 - p))
+    drawn = np.random.Generator(np.random.Philox(key=SEED)).permuted(np.tile(np.arange(WIDE_BITS), (segments, 1)), axis=1)
+    return drawn[:, : min(width + turn * TURN_BITS, WIDE_BITS)]
+
+
+def _node(values: np.ndarray) -> int:
+    x = xxhash.xxh64_intdigest(values.tobytes(), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _marks(batches):
+    """mapInArrow function: (doc_id, text) to (doc_id, node, sketch)."""
+    for batch in batches:
+        for lo, hi in byte_ranges(batch.column(1)):
+            part = batch.slice(lo, hi - lo)
+            sets = shingle_sets(part.column(1))
+            columns = [part.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "sketch"])
+
+
+class _Segments:
+    """mapInArrow function: (node, sketch) to (node, segment, address)."""
+
+    def __init__(self, taken: np.ndarray):
+        self.taken = taken
+
+    def __call__(self, batches):
+        n = len(self.taken)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")
+                address = np.empty((len(raw), n), np.uint64)
+                for s, taken in enumerate(self.taken):
+                    value = np.packbits(bits[:, taken], axis=1, bitorder="little")
+                    found = np.full(len(raw), s + 1, np.uint64)
+                    for at in range(0, value.shape[1], 8):
+                        word = np.zeros((len(raw), 8), np.uint8)
+                        word[:, : value.shape[1] - at] = value[:, at : at + 8]
+                        found = _spread((found * MIX) ^ word.view("<u8")[:, 0])
+                    address[:, s] = found
+                columns = [pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(raw))), pa.array(address.reshape(-1).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "segment", "address"])
+
+
+class _Near:
+    """mapInArrow function: (u, v, sketch of u, sketch of v) to those within the distance."""
+
+    def __init__(self, distance: int):
+        self.distance = distance
+
+    def __call__(self, batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, WIDE_WORDS) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= self.distance))
+
+
+def _sets(batches):
+    """mapInArrow function: text to (node, shingles)."""
+    for batch in batches:
+        for lo, hi in byte_ranges(batch.column(0)):
+            sets = shingle_sets(batch.column(0).slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+
+
+def _similar(batches):
+    """mapInArrow function: (u, v, shingles of u, shingles of v) to (u, v) of those that are similar."""
+    for batch in batches:
+        keep = [
+            similarity(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) >= SIMILAR
+            for a, b in zip(batch.column(2), batch.column(3), strict=True)
+        ]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _dealt(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+    """(u, v, of_u, of_v): what ``held`` has of both; a v with many pairs is copied to several tasks."""
+    hot = staged(pairs.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > DEALT).select("v", F.ceil(F.col("n") / DEALT).cast("int").alias("salts")), "hot")
+    salted = pairs.join(hot, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    drawn = held.select(F.col("node").alias("v"), F.col(column).alias("of_v")).join(hot, "v", "left")
+    drawn = drawn.select("v", "of_v", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return salted.join(held.select(F.col("node").alias("u"), F.col(column).alias("of_u")), "u").join(drawn, ["v", "salt"]).select("u", "v", "of_u", "of_v")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose fingerprints are near and whose whole sets are similar."""
+    pairs = staged(_dealt(pairs, nodes, "sketch").mapInArrow(_Near(wide_distance()), "u long, v long"), "near")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ids = nodes.join(wanted, "node", "left_semi").select("first_id")
+    texts = docs.join(ids, docs["doc_id"] == ids["first_id"], "left_semi").select("text")
+    sets = staged(texts.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "shingles")
+    return _dealt(pairs, sets, "hashes").mapInArrow(_similar, "u long, v long")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v) of similar nodes, enough to connect the groups but for what no segment brings together."""
+    found, open_, n = None, None, nodes.count()
+    for turn in range(TURNS):
+        met = nodes.select("node", "sketch").mapInArrow(_Segments(segment_bits(n, turn)), "node long, segment int, address long")
+        if open_ is not None:
+            met = met.join(open_, ["node", "segment"], "left_semi")
+        # the smallest node first: the same for most segments of a group; later any of them
+        by = F.struct((F.xxhash64("node", "address") if turn else F.col("node")).alias("h"), "node")
+        shared = met.groupBy("address").agg(F.min(by).alias("one"), F.max("node").alias("most"), F.min("node").alias("least")).where("most <> least").select("address", F.col("one.node").alias("v"))
+        tried = staged(met.join(staged(shared, "addresses"), "address").where("node <> v").select(F.col("node").alias("u"), "v", "segment"), "tried")
+        same = staged(_verified(docs, nodes, staged(tried.select("u", "v").distinct(), "pairs")), "similar")
+        found = same if found is None else found.unionByName(same)
+        left = staged(tried.join(same, ["u", "v"], "left_anti").select(F.col("u").alias("node"), "segment"), "left")
+        if left.isEmpty():
+            break
+        open_ = left
+    return found.distinct()
+
+
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group, all columns kept.
-
-    Repeated rows of one doc_id count as one document. A row without an id can't be named as the
-    one to stay or to go: it is kept.
-    """
-    stays = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The document with the smallest id of each group of similar ones, all columns kept; of several rows of one doc_id one stays, always the same."""
+    named = documents(docs, "doc_id", "text").where("doc_id is not null")
+    marked = staged(named.mapInArrow(_marks, "doc_id long, node long, sketch binary"), "marks")
+    nodes = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("sketch").alias("sketch")), "nodes")
+    roots = components(similar_links(named, nodes))
+    rooted = nodes.join(roots, "node", "left").select("first_id", F.coalesce("root", "node").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("first_id").alias("doc_id")).select("doc_id")
+    kept = docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = kept.groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(row))).alias("row")).select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))

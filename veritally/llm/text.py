@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Odd multipliers with well-spread bits.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX_2 = np.uint64(0xD6E8FEB86659FD93)
+#: Masks of the lowest 0 to 8 bytes.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 1024
 _CHUNK = 1 << 20
 
 
@@ -46,23 +50,24 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as an integer, zeros beyond the end."""
+    wide = np.append(raw, np.zeros(24, np.uint8))
+    return np.ndarray(len(wide) - 7, "<u8", wide.data, 0, (1,))
+
+
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64 bits for each word, by its bytes alone."""
-    out = np.zeros(len(start), np.uint64)
-    lo = 0
-    while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + _CHUNK, "right")))
-        s, e = start[lo:hi] - start[lo], end[lo:hi] - start[lo]
-        size = e - s
-        inside = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        nth = inside - np.repeat(s, size)
-        powers = np.cumprod(np.full(int(size.max()), MIX, np.uint64))
-        terms = np.cumsum(_BYTE[raw[start[lo] :][inside]] * powers[nth])
-        done = np.cumsum(size)
-        total = terms[done - 1]
-        total[1:] = total[1:] - terms[done[:-1] - 1]
-        out[lo:hi] = _spread(total + size.astype(np.uint64) * MIX_2)
-        lo = hi
+    """64 bits for each word, by its bytes alone: eight at a time; words beyond ``LONG`` bytes by XXH64."""
+    size, at = end - start, lanes(raw)
+    out = _spread((at[start] & KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * MIX_2))
+    live, step = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while live.size:
+        lane = at[start[live] + step] & KEEP[np.minimum(size[live] - step, 8)]
+        out[live] = _spread((out[live] ^ lane) * MIX + np.uint64(step))
+        step += 8
+        live = live[size[live] > step]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes())
     return out
 
 
