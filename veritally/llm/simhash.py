@@ -18,9 +18,9 @@ so 256 bits differ in 39 +- 6, and a match in some segment can't be forced by fe
 segments as give a pair of similarity 0.8 a match with probability ``RECALL`` (more above: at 0.9 all but one
 in 10,000), each of so many bits that unrelated fingerprints rarely meet, whatever their number; as there are
 more segments than bits may differ, the balls have radius zero. Segments take their bits anew from the
-fingerprint and so overlap. What shares a bucket is compared with one fingerprint of it, by complete
-distance, then by the whole shingle sets. What isn't similar to that one is looked up again under longer
-segments, ``TURNS`` times, so that a large group costs a fixed number of comparisons a document.
+fingerprint and so overlap. In a bucket of two or three all are compared, in a larger one all with one of them:
+by complete distance, then by the whole shingle sets. What isn't similar to that one is looked up again under
+longer segments, ``TURNS`` times, so that a large group costs a fixed number of comparisons a document.
 
 Equal fingerprints (in ``without_copies``: equal shingle sets) are one node. The components of the links are
 the groups.
@@ -225,7 +225,10 @@ def _marks(batches):
 
 
 class _Segments:
-    """mapInArrow function: (node, sketch) to (node, segment, address)."""
+    """mapInArrow function: (node, sketch), or (node, sketch, segments), to (node, address) of all or of these segments.
+
+    The number of the segment stands in the top 16 bits of an address, a hash of its bits below.
+    """
 
     def __init__(self, taken: np.ndarray):
         self.taken = taken
@@ -245,9 +248,13 @@ class _Segments:
                         word = np.zeros((len(raw), 8), np.uint8)
                         word[:, : value.shape[1] - at] = value[:, at : at + 8]
                         found = _spread((found * MIX) ^ word.view("<u8")[:, 0])
-                    address[:, s] = found
-                columns = [pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(raw))), pa.array(address.reshape(-1).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "segment", "address"])
+                    address[:, s] = (found >> np.uint64(16)) | np.uint64(s) << np.uint64(48)
+                row, segment = np.repeat(np.arange(len(raw)), n), np.tile(np.arange(n), len(raw))
+                if part.num_columns > 2:
+                    lists = part.column(2)
+                    row, segment = np.repeat(np.arange(len(raw)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+                columns = [pa.array(part.column(0).to_numpy()[row]), pa.array(address[row, segment].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "address"])
 
 
 class _Near:
@@ -299,23 +306,34 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return _dealt(pairs, sets, "hashes").mapInArrow(_similar, "u long, v long")
 
 
+def _buckets(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (node, address): all pairs (u, v) of buckets of two and three, and (address, v) of larger ones with their smallest node.
+
+    A bucket is summed up by four numbers, combined before the shuffle, so a large one is no load to any task.
+    """
+    full = met.groupBy("address").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("c"), F.sum(F.col("node").cast("decimal(38,0)")).alias("total")).where("a <> c")
+    full = staged(full.select("address", "n", "a", "c", F.when(F.col("n") == 3, (F.col("total") - F.col("a") - F.col("c")).cast("long")).alias("b")), "buckets")
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    few = full.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair("c", "a"))).otherwise(F.array(pair("c", "a"), pair("c", "b"), pair("b", "a")))).alias("p")).select("p.*")
+    return few, full.where("n > 3").select("address", F.col("a").alias("v"))
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v) of similar nodes, enough to connect the groups but for what no segment brings together."""
-    found, open_, n = None, None, nodes.count()
+    n, parts = nodes.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, found = nodes.select("node", "sketch").repartition(parts), None  # many rows from each
     for turn in range(TURNS):
-        met = nodes.select("node", "sketch").mapInArrow(_Segments(segment_bits(n, turn)), "node long, segment int, address long")
-        if open_ is not None:
-            met = met.join(open_, ["node", "segment"], "left_semi")
-        # the smallest node first: the same for most segments of a group; later any of them
-        by = F.struct((F.xxhash64("node", "address") if turn else F.col("node")).alias("h"), "node")
-        shared = met.groupBy("address").agg(F.min(by).alias("one"), F.max("node").alias("most"), F.min("node").alias("least")).where("most <> least").select("address", F.col("one.node").alias("v"))
-        tried = staged(met.join(staged(shared, "addresses"), "address").where("node <> v").select(F.col("node").alias("u"), "v", "segment"), "tried")
-        same = staged(_verified(docs, nodes, staged(tried.select("u", "v").distinct(), "pairs")), "similar")
+        met = rows.mapInArrow(_Segments(segment_bits(n, turn)), "node long, address long")
+        few, large = _buckets(met)
+        tried = staged(met.join(large, "address").where("node <> v").select(F.col("node").alias("u"), "v", F.shiftrightunsigned("address", 48).cast("int").alias("segment")), "tried")
+        pairs = staged(few.unionByName(tried.select("u", "v")).distinct(), "pairs")
+        same = staged(_verified(docs, nodes, pairs), "similar")
         found = same if found is None else found.unionByName(same)
-        left = staged(tried.join(same, ["u", "v"], "left_anti").select(F.col("u").alias("node"), "segment"), "left")
-        if left.isEmpty():
+        left = tried.join(same, ["u", "v"], "left_anti").groupBy(F.col("u").alias("node")).agg(F.collect_set("segment").alias("segments"))
+        rows = staged(nodes.select("node", "sketch").join(left, "node"), "left")  # a node has a bounded number of segments
+        if rows.isEmpty():
             break
-        open_ = left
+        rows = rows.repartition(parts)
     return found.distinct()
 
 
