@@ -75,3 +75,14 @@ def literals(values: Sequence[float]) -> Column:
 def tidy(x: Column, places: int = 6) -> Column:
     """Rounded, and without a negative zero."""
     return F.round(x, places) + F.lit(0.0)
+
+
+def on_keys(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two tables with a row for each key (without keys: a row each); null keys meet."""
+    if not by:
+        return left.join(right, F.lit(True), how)
+    renamed = right.select(*(F.col(k).alias(f"_right_{k}") for k in by), *(c for c in right.columns if c not in by))
+    match = F.lit(True)
+    for k in by:
+        match = match & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, match, how).drop(*(f"_right_{k}" for k in by))

@@ -9,25 +9,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..core.columns import on_keys
 from ..core.errors import require
 from ..core.order import running, value_bucket
 from ..operators import ranking
 
 
+METRICS = ("roc_auc", "average_precision", "precision", "recall", "ndcg")
+
+
 @dataclass(frozen=True)
 class EvalSpec:
-    split: str = "group"
+    split: str = "group"  # temporal, group, anchor, or none: fitted and graded on the same labelled rows
     train_end: object = None
     n_splits: int = 5
     anchor: str = ""
     ks: tuple = (0.01, 0.05, 0.10)
+    metrics: tuple = METRICS
 
     def __post_init__(self):
-        require(self.split in ("temporal", "group", "anchor"), f"unknown split {self.split!r}")
+        require(self.split in ("temporal", "group", "anchor", "none"), f"unknown split {self.split!r}")
+        require(bool(self.metrics) and set(self.metrics) <= set(METRICS), f"metrics must be some of {METRICS}; got {self.metrics}")
         require(self.split != "temporal" or self.train_end is not None, "a temporal split needs train_end")
         require(self.split != "anchor" or bool(self.anchor), "an anchor split needs a condition")
         require(self.n_splits >= 2, "n_splits must be at least 2")
@@ -52,17 +58,31 @@ def group_folds(df: DataFrame, n_splits: int) -> DataFrame:
 
 
 def folds(df: DataFrame, spec: EvalSpec) -> DataFrame:
-    """The dataset with ``fold`` (where a row is tested; null if never)."""
-    if spec.split == "temporal":
-        return df.withColumn("fold", F.when(F.col("time") > F.lit(spec.train_end), 0))
-    if spec.split == "anchor":
-        return df.withColumn("fold", F.when(~F.coalesce(F.expr(spec.anchor), F.lit(False)), 0))
+    """The dataset with ``fold`` (where a row is tested; null if never).
+
+    A temporal split tests what is later than ``train_end`` and refuses rows without a time. An anchor split tests the
+    anchor rows and trains on all others. Both refuse an empty side. Without a split the labelled rows are tested.
+    """
+    if spec.split in ("temporal", "anchor"):
+        if spec.split == "temporal":
+            undated = df.where("time is null").limit(1).count()
+            require(not undated, "rows without a time can't be split by time")
+            tested = F.col("time") > F.lit(spec.train_end)
+        else:
+            tested = F.coalesce(F.expr(spec.anchor), F.lit(False))
+        sides = df.agg(F.count(F.when(tested, 1)).alias("test"), F.count(F.when(~tested, 1)).alias("train")).first()
+        require(sides["train"] > 0, f"the {spec.split} split leaves nothing to train on")
+        require(sides["test"] > 0, f"the {spec.split} split leaves nothing to test on")
+        return df.withColumn("fold", F.when(tested, 0))
+    if spec.split == "none":
+        return df.withColumn("fold", F.when(F.col("y").isNotNull(), 0))
     return df.join(group_folds(df, spec.n_splits), "grp", "left")
 
 
-def training(df: DataFrame, fold: int, wants_unlabeled: bool) -> DataFrame:
-    """Rows to fit on: those not tested in this fold, and all unlabelled ones for detectors that want them."""
-    other = ~F.coalesce(F.col("fold") == fold, F.lit(False))
+def training(df: DataFrame, fold: int, wants_unlabeled: bool, same: bool = False) -> DataFrame:
+    """Rows to fit on: those not tested in this fold (``same``: those tested), and all unlabelled ones for detectors that want them."""
+    tested = F.coalesce(F.col("fold") == fold, F.lit(False))
+    other = tested if same else ~tested
     return df.where(other | F.col("y").isNull()) if wants_unlabeled else df.where(other)
 
 
@@ -75,7 +95,7 @@ def evaluate(detector, df: DataFrame, spec: EvalSpec) -> DataFrame:
     placed = folds(df, spec)
     parts = []
     for fold in [0] if spec.split != "group" else range(spec.n_splits):
-        fitted = detector.fit(training(placed, fold, detector.wants_unlabeled))
+        fitted = detector.fit(training(placed, fold, detector.wants_unlabeled, spec.split == "none"))
         test = placed.where((F.col("fold") == fold) & F.col("y").isNotNull())
         parts.append(fitted.score(test).join(test.select("unit_id", "y", "fold"), "unit_id"))
     scored = parts[0]
@@ -90,7 +110,7 @@ def evaluate(detector, df: DataFrame, spec: EvalSpec) -> DataFrame:
     precision = ranking.average_precision(scored, *arguments, by=["fold"]).select("fold", F.lit("average_precision").alias("metric"), F.lit("all").alias("k"), F.col("average_precision").alias("value"))
     at = ranking.at_k(scored, *arguments, list(spec.ks), by=["fold"])
     at = at.select("fold", "k", F.expr("stack(3, 'precision', `precision`, 'recall', recall, 'ndcg', ndcg) as (metric, value)")).select("fold", "metric", "k", "value")
-    single = whole.union(precision).union(at)
+    single = whole.union(precision).union(at).where(F.col("metric").isin(*spec.metrics))
     return single.union(single.groupBy("metric", "k").agg(F.avg("value").alias("value")).select(F.lit(None).cast("int").alias("fold"), "metric", "k", "value"))
 
 
@@ -114,7 +134,7 @@ def flagged_shares(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] =
     points = scores.select(*by, F.col("score").alias("v"), F.lit(1).alias("is_score")).union(cuts)
     down = W.partitionBy(*by).orderBy(F.col("v").desc(), F.col("is_score").desc()).rowsBetween(W.unboundedPreceding, 0)
     passed = points.withColumn("above", F.sum("is_score").over(down)).where("is_score = 0")
-    return passed.join(total, list(by)).select(*by, F.col("v").alias("threshold"), (F.col("above") / F.col("n")).alias("flagged_share"))
+    return on_keys(passed, total, by).select(*by, F.col("v").alias("threshold"), (F.col("above") / F.col("n")).alias("flagged_share"))
 
 
 def transfer(detector, source: DataFrame, target: DataFrame, controls: DataFrame | None = None, max_points: int = 100) -> Transfer:
@@ -133,7 +153,3 @@ def transfer(detector, source: DataFrame, target: DataFrame, controls: DataFrame
         scored = fitted.score(controls).join(controls.select("unit_id", "control"), "unit_id")
         shares = flagged_shares(scored, calibration)
     return Transfer(scores, calibration, shares)
-
-
-def fit_condition(train: Column, wants_unlabeled: bool) -> Column:
-    return train | F.col("y").isNull() if wants_unlabeled else train

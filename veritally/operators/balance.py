@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import special
-from ..core.columns import double, finite
+from ..core.columns import double, finite, on_keys
 from ..core.errors import require
 from ..core.order import running, uniform_bucket
 
@@ -60,8 +60,7 @@ def carlisle_test(df: DataFrame, mean: str, sd: str, n: str, variable: str, tabl
     single = anova_table(df, mean, sd, n, [*table, variable])
     total = df.groupBy(*table).agg(F.countDistinct(variable).alias("n_variables"))
     share = single.groupBy(*table).agg(F.avg((F.col("pvalue") > 0.9).cast("double")).alias("share_pvalue_above_0p9"))
-    keys = list(table) or F.lit(True)
     joined = combine_pvalues(single, "pvalue", table, method, clip)
     for other in (ks_too_balanced(single, "pvalue", table).drop("n"), share, total):
-        joined = joined.join(other, keys)
+        joined = on_keys(joined, other, table)
     return joined.withColumn("n_dropped", F.col("n_variables") - F.col("n"))

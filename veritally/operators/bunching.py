@@ -13,13 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core import seeding
-from ..core.columns import double, finite, numeric
+from ..core.columns import double, finite, numeric, on_keys
 from ..core.errors import require
-from ..core.order import running, uniform_bucket
 
+#: Fixed value.
 GRID_TOLERANCE = 1e-9
 MOST_BINS = 10_000_000
 
@@ -212,7 +213,7 @@ def bunching_linear(df: DataFrame, value: str, threshold: float, window: Window,
     z, out = F.col("bin") + 0.5, (F.col("bin") >= -window.below) & (F.col("bin") < window.above)
     y = F.when(~out, F.col("count"))
     line = bins.groupBy(*by).agg(F.regr_slope(y, z).alias("b"), F.regr_intercept(y, z).alias("a"), F.sum("count").alias("n"))
-    joined = bins.join(line, list(by) or F.lit(True))
+    joined = on_keys(bins, line, by)
     expected = F.col("a") + F.col("b") * z
     low, high = out & (F.col("bin") < 0), out & (F.col("bin") >= 0)
     a, b = (low, high) if window.side == "below" else (high, low)
@@ -270,12 +271,29 @@ def bootstrap_bunching(df: DataFrame, value: str, threshold: float, window: Wind
     return counts.groupBy(*by).applyInPandas(solve, _kinds(df, by) + "estimate double, se double, low double, high double, n_failed long")
 
 
+def _bands(ends: Sequence[int]) -> tuple[list[float], list[int]]:
+    """Edges of the bands of uniform numbers that hold the boundaries after ``ends[:-1]`` rows, and how many boundaries lie before each sure zone.
+
+    Seven standard errors of an order statistic on either side; bands that overlap are one.
+    """
+    n, bands = ends[-1], []
+    for e in ends[:-1]:
+        p = e / n
+        half = 7 * np.sqrt(p * (1 - p) / n) + 8 / n
+        if bands and bands[-1][1] >= p - half:
+            bands[-1][1:] = [p + half, bands[-1][2] + 1]
+        else:
+            bands.append([p - half, p + half, 1])
+    return [edge for low, high, _ in bands for edge in (low, high)], np.cumsum([0, *(b[2] for b in bands)]).tolist()
+
+
 def permutation_test(df: DataFrame, value: str, group: str, row_id: str, n_perm: int = 999, seed: int = 0) -> DataFrame:
     """Difference of two groups' means (sorted labels), two-sided; the range of more groups' means, one-sided.
 
-    A replicate orders the rows by hash numbers and gives the first label to as many rows as have it,
-    then the next. Ranks are taken in buckets of the hash, so no task holds a replicate. Add-one
-    p-value; ties count within 1e-12.
+    A replicate orders the rows by hash numbers and gives the first label to as many rows as have it, then the
+    next. A row whose number is far from every boundary has its label without being ranked: such rows are
+    added up before the shuffle, and only those near a boundary (some sqrt(n) in a replicate) are sorted.
+    Add-one p-value; ties count within 1e-12.
     """
     numeric(df, value)
     require(n_perm >= 1, f"n_perm must be at least 1; got {n_perm}")
@@ -287,11 +305,23 @@ def permutation_test(df: DataFrame, value: str, group: str, row_id: str, n_perm:
     means = [r["m"] for r in seen]
     two = len(seen) == 2
     statistic = means[1] - means[0] if two else max(means) - min(means)
+    edges, before = _bands(ends)
+    numbers = lambda values, kind: F.array(*(F.lit(v).cast(kind) for v in values))
     copies = rows.select("id", "x", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("replicate"))
     copies = copies.withColumn("u", seeding.uniform(seed, F.col("replicate"), F.col("id")))
-    placed = running(copies, ["replicate"], uniform_bucket(F.col("u")), [F.col("u"), F.col("id")], {"nth": F.lit(1).cast("long")})
-    label = F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in ends)), lambda e: e < F.col("nth")))
-    null = placed.groupBy("replicate", label.alias("g")).agg(F.avg("x").alias("m")).groupBy("replicate")
+    copies = copies.withColumn("zone", F.size(F.filter(numbers(edges, "double"), lambda e: e <= F.col("u"))))
+    near = F.col("zone") % 2 == 1
+    parts = copies.groupBy("replicate", "zone", *(F.when(near, F.col(c)).alias(c) for c in ("u", "id", "x"))).agg(F.count("*").alias("c"), F.sum(F.col("x")).alias("s"))
+    each = F.when(near, F.sequence(F.lit(1), F.col("c").cast("int"))).otherwise(F.array(F.lit(1)))  # repeated rows are ranked apart
+    parts = parts.select("replicate", "zone", "u", "id", F.when(near, 1).otherwise(F.col("c")).alias("c"), F.when(near, F.col("x")).otherwise(F.col("s")).alias("s"), F.explode(each).alias("nth_copy"))
+    along = W.partitionBy("replicate").orderBy("zone", "u", "id", "s", "nth_copy").rowsBetween(W.unboundedPreceding, 0)
+    placed = parts.withColumn("nth", F.sum("c").over(along))
+    ranked = F.size(F.filter(numbers(ends, "long"), lambda e: e < F.col("nth")))
+    sure = F.element_at(numbers(before, "int"), (F.col("zone") / 2).cast("int") + 1)
+    upper, lower = F.element_at(numbers(ends, "long"), sure + 1), F.element_at(numbers([0, *ends], "long"), sure + 1)
+    inside = (F.col("nth") <= upper) & (F.col("nth") - F.col("c") >= lower)
+    label = F.when(near, ranked).when(inside, sure).otherwise(F.raise_error(F.lit("a boundary lies outside its band: take another seed")).cast("int"))
+    null = placed.select("replicate", label.alias("g"), "c", "s").groupBy("replicate", "g").agg((F.sum("s") / F.sum("c")).alias("m")).groupBy("replicate")
     null = null.agg((F.max_by("m", "g") - F.min_by("m", "g")).alias("difference"), (F.max("m") - F.min("m")).alias("range"))
     size = F.abs("difference") if two else F.col("range")
     reached = F.count(F.when(size >= abs(statistic) - 1e-12, 1))

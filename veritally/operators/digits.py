@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import special
-from ..core.columns import array_sum, dense_counts, double, finite, literals, numeric, observed
+from ..core.columns import array_sum, dense_counts, double, finite, literals, numeric, observed, on_keys
 from ..core.errors import require
 
 #: The published conformity bands of the mean absolute deviation, and their names.
@@ -159,7 +159,7 @@ def terminal_pair_test(df: DataFrame, value: str, by: Sequence[str] = (), weight
     tens, ones = F.floor(F.col("pair") / 10), F.col("pair") % 10
     share = lambda test: F.sum(F.when(test, F.col("w")).otherwise(0.0)) / F.sum("w")
     shares = pairs.where("pair is not null").groupBy(*by).agg(share(tens == ones).alias("repeated"), share(F.abs(tens - ones) == 1).alias("adjacent"))
-    joined = out.join(shares, list(by)) if by else out.join(shares, how="inner", on=F.lit(True))
+    joined = on_keys(out, shares, by)
     z = lambda p, null: (F.col(p) - null) / F.sqrt(F.lit(null * (1 - null)) / F.col("effective_n"))
     joined = joined.withColumns({"repeated_z": z("repeated", 0.10), "adjacent_z": z("adjacent", 0.18)}).withColumnRenamed("n_", "n")
     two_sided = lambda name: 2 * special.norm_sf_column(F.abs(F.col(name)))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core import seeding, special
-from ..core.columns import double, finite, numeric
+from ..core.columns import double, finite, numeric, on_keys
 from ..core.errors import require
 
 
@@ -109,7 +109,7 @@ def too_smooth_test(df: DataFrame, value: str, order: Sequence[str], by: Sequenc
     shuffled = copies.withColumn("u", seeding.uniform(seed, F.col("replicate"), *(F.col(c) for c in by), F.col("t")))
     walk = shuffled.withColumn("d", F.col("x") - F.lag("x").over(W.partitionBy(*by, "replicate").orderBy("u", "t")))
     null = walk.groupBy(*by, "replicate").agg(F.sum(F.col("d") * F.col("d")).alias("ss"))
-    joined = null.join(seen, list(by)) if by else null.join(seen, F.lit(True))
+    joined = on_keys(null, seen, by)
     eta = F.col("ss") / ((F.col("m") - 1) * F.col("s2"))
     out = joined.groupBy(*by, "m", "s2", "eta").agg(
         ((1 + F.count(F.when(eta <= F.col("eta"), 1))) / (n_perm + 1.0)).alias("pvalue"), F.avg(eta).alias("null_mean"), F.stddev_samp(eta).alias("null_sd"), F.expr(f"percentile(ss / ((m - 1) * s2), 0.05)").alias("null_q05")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import special
-from ..core.columns import double, finite, kish, numeric
+from ..core.columns import double, finite, kish, numeric, on_keys
 from ..core.errors import require
 
 
@@ -126,7 +126,7 @@ def integer_excess_exact(df: DataFrame, num: str, den: str, by: Sequence[str] =
     w, p = F.col("w"), F.col("p")
     null = units.where("pct is not null").select(*by, "w", chance("den", "pct").alias("p")).groupBy(*by).agg(F.sum(w * p).alias("expected_mean"), F.sqrt(F.sum(w * w * p * (1 - p))).alias("expected_sd"))
     seen = _observed(units, by, tolerance, neighbour_bins).where("n > 0")
-    return _finish(seen.join(null, list(by)) if by else seen.join(null, F.lit(True)))
+    return _finish(on_keys(seen, null, by))
 
 
 def integer_excess(df: DataFrame, num: str, den: str, unit: str, by: Sequence[str] = (), tolerance: float = 0.05, min_denominator: int = 100, neighbour_bins: int = 5, n_mc: int = 200, seed: int = 0, weight: str | None = None) -> DataFrame:
@@ -167,6 +167,6 @@ def integer_excess(df: DataFrame, num: str, den: str, unit: str, by: Sequence[st
         F.array(*(F.max(F.when(seen, F.col(f"c{i}"))) - F.avg(F.when(null, F.col(f"c{i}"))) for i in range(101))).alias("per_integer"),
     )
     counts = _observed(units, keys, tolerance, neighbour_bins)
-    joined = counts.join(stats, keys, "left") if keys else counts.join(stats, F.lit(True), "left")
+    joined = on_keys(counts, stats, keys, "left")
     reached = F.size(F.filter("null", lambda h: h >= F.col("observed")))
     return _finish(joined.withColumn("mc_pvalue", (1 + reached) / (n_mc + 1.0))).drop("null")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..core.columns import double, finite
 from ..core.errors import AtlasError, LadderError, require
 
+#: The published grid of sizes, and how far above alpha a test may reject.
 SAMPLE_SIZES = (50, 100, 300, 1000, 3000, 10_000, 30_000, 95_000)
 ATLAS = "method string, n long, effect_size double, power double, power_se double, n_replicates long, alpha double, false_positive_rate double"
 SEMANTICS = ("sum_then_ratio", "mean_of_ratios")

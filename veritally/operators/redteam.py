@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ TRAPS = {
     "reweighting": "a new base year changes an index without any change of output",
     "ocr_noise": "misread digits change digit frequencies",
 }
-#: Digits that are read as another because their shapes are alike.
+#: Digits that are read as another because their shapes are alike.
 GLYPHS = {3: 8, 5: 8, 6: 8, 9: 8}
 
 
@@ -53,10 +54,13 @@ def heterogeneous_mixture(spark: SparkSession, groups: Sequence[tuple[int, float
 
 
 def level_shift(df: DataFrame, value: str, order: str, at, size: float, kind: str = "additive") -> DataFrame:
-    """A series that from ``at`` on is raised by a constant, or by a factor."""
+    """A series that from ``at`` on is raised by a constant, or multiplied by a factor; the break lies inside the series."""
     require(kind in ("additive", "multiplicative"), f"unknown kind {kind!r}", RedTeamError)
+    require(kind == "additive" or size > 0, "a factor must be positive", RedTeamError)
+    sides = df.agg(F.count(F.when(F.col(order) < at, 1)).alias("before"), F.count(F.when(F.col(order) >= at, 1)).alias("after")).first()
+    require(sides["before"] > 0 and sides["after"] > 0, f"the shift must fall inside the series; got {at}", RedTeamError)
     x = double(value)
-    moved = x + size if kind == "additive" else x * (1 + size)
+    moved = x + size if kind == "additive" else x * size
     return df.withColumn("shifted", F.when(F.col(order) >= at, moved).otherwise(x))
 
 
@@ -92,15 +96,19 @@ def ocr_noise(df: DataFrame, value: str, row_id: str, rate: float, confusion: di
 def red_team(detectors: dict[str, Callable[[DataFrame], float]], samples: dict[str, DataFrame], spark: SparkSession, alpha: float = 0.05) -> DataFrame:
     """Every detector on every trap: (detector, trap, fired, pvalue, error). A detector gives a p-value for a sample.
 
-    A detector that fails didn't fire; its error is recorded.
+    A detector that fails, or whose p-value isn't a finite number, didn't fire: its p-value is null and its error recorded.
     """
+    require(bool(detectors) and bool(samples), "need at least one detector and one trap", RedTeamError)
     rows = []
     for trap_name, sample in samples.items():
         trap(trap_name)
         for name, detector in detectors.items():
             try:
                 p = float(detector(sample))
-                rows.append((name, trap_name, p <= alpha, p, None))
+                if math.isfinite(p):
+                    rows.append((name, trap_name, p <= alpha, p, None))
+                else:
+                    rows.append((name, trap_name, False, None, f"the p-value is {p}"))
             except Exception as failure:  # noqa: BLE001  what a detector raises is part of the result
                 rows.append((name, trap_name, False, None, f"{type(failure).__name__}: {str(failure)[:200]}"))
     return spark.createDataFrame(rows, "detector string, trap string, fired boolean, pvalue double, error string")

@@ -145,6 +145,11 @@ def redteam_level_shift(spark, sf_dir):
     return shown(redteam.level_shift(_series(spark, sf_dir), "total", "day", 15, 100.0))
 
 
+@query(f"""WITH {_SERIES} SELECT event_type, day, {r6("x")} AS total, {r6("CASE WHEN day >= 15 THEN x * 0.1 ELSE x END")} AS shifted FROM s""")
+def redteam_rebasing(spark, sf_dir):
+    return shown(redteam.level_shift(_series(spark, sf_dir), "total", "day", 15, 0.1, "multiplicative"))
+
+
 @query(f"""WITH l AS (SELECT year(l_shipdate) AS y, p_brand AS g, l_quantity AS q, p_retailprice AS p FROM lineitem JOIN part ON l_partkey = p_partkey),
 b AS (SELECT g, avg(p) AS p, sum(q) AS q FROM l WHERE y = 1995 GROUP BY g), v AS (SELECT y, g, sum(q) AS q FROM l GROUP BY y, g)
 SELECT CAST(y AS BIGINT) AS y, {r6("100.0 * sum(v.q * b.p) / (SELECT sum(p * q) FROM b)")} AS volume_index FROM v JOIN b USING (g) GROUP BY y""")

@@ -76,7 +76,7 @@ def group_fold_eval(spark, sf_dir):
     return shown(harness.evaluate(detectors.FunctionDetector("x0"), _features(spark, sf_dir), harness.EvalSpec("group", n_splits=4, ks=(0.1,))))
 
 
-@query(f"""WITH {_ROWS}, t AS (SELECT * FROM x WHERE NOT (doc_id % 2 = 0)), c AS (SELECT s, count(*) AS m, sum(y) AS pos FROM t GROUP BY s),
+@query(f"""WITH {_ROWS}, t AS (SELECT * FROM x WHERE doc_id % 2 = 0), c AS (SELECT s, count(*) AS m, sum(y) AS pos FROM t GROUP BY s),
 h AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS hits FROM c)
 SELECT {r6("sum((m - pos) * (hits - pos + pos / 2.0)) / (sum(pos) * sum(m - pos))")} AS value FROM h""")
 def anchor_eval(spark, sf_dir):
@@ -84,6 +84,24 @@ def anchor_eval(spark, sf_dir):
     return shown(found.where("fold is null and metric = 'roc_auc'"), "value")
 
 
+_AUC = r6("sum((m - pos) * (hits - pos + pos / 2.0)) / (sum(pos) * sum(m - pos))")
+
+
+@query(f"""WITH {_ROWS}, t AS (SELECT * FROM x WHERE doc_id > 100), c AS (SELECT s, count(*) AS m, sum(y) AS pos FROM t GROUP BY s),
+h AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS hits FROM c) SELECT {_AUC} AS value FROM h""")
+def temporal_eval(spark, sf_dir):
+    rows = _features(spark, sf_dir).withColumn("time", F.col("unit_id"))
+    found = harness.evaluate(detectors.FunctionDetector("x0"), rows, harness.EvalSpec("temporal", train_end=100, metrics=("roc_auc",)))
+    return shown(found.where("fold is null"), "value")
+
+
+@query(f"""WITH {_ROWS}, c AS (SELECT s, count(*) AS m, sum(y) AS pos FROM x GROUP BY s),
+h AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS hits FROM c) SELECT {_AUC} AS value FROM h""")
+def unsplit_eval(spark, sf_dir):
+    found = harness.evaluate(detectors.FunctionDetector("x0"), _features(spark, sf_dir), harness.EvalSpec("none", metrics=("roc_auc",)))
+    return shown(found.where("fold is null"), "value")
+
+
 @query(f"SELECT doc_id AS unit_id, {r6('ln(1 + n_chars)')} AS score, row_number() OVER (ORDER BY ln(1 + n_chars) DESC, doc_id) AS rank FROM documents")
 def transfer_rank(spark, sf_dir):
     rows = _features(spark, sf_dir)

@@ -32,20 +32,28 @@ def registry_rules(spark, sf_dir):
 
 
 @query(f"""WITH s AS {_ROWS.format(sha="sha256(html)")},
-f AS (SELECT 'p' || page_id AS id, CASE WHEN page_id % 6 = 0 THEN 200 WHEN page_id % 6 = 1 THEN 403 WHEN page_id % 6 = 2 THEN 404 WHEN page_id % 6 = 3 THEN 500 WHEN page_id % 6 = 4 THEN 418 END AS code FROM pages WHERE page_id % 6 < 5)
-SELECT id, status, CASE WHEN code IS NULL THEN status WHEN code = 200 THEN 'verified' WHEN code = 403 THEN 'blocked' WHEN access = 'paywalled' AND code = 418 THEN 'blocked' WHEN code = 404 THEN 'unverified' ELSE 'partial' END AS new_status,
+f AS (SELECT 'p' || page_id AS id, CASE WHEN page_id % 6 = 0 THEN 200 WHEN page_id % 6 = 1 THEN 403 WHEN page_id % 6 = 2 THEN 404 WHEN page_id % 6 = 3 THEN 500 WHEN page_id % 6 = 4 THEN 418 END AS code,
+  CASE WHEN page_id % 6 = 0 AND page_id % 4 <> 0 THEN sha256(url) END AS got, CASE WHEN page_id % 9 = 3 THEN 'timed out' END AS error FROM pages WHERE page_id % 6 < 5)
+SELECT id, status, CASE WHEN code IS NULL THEN status WHEN error IS NULL AND got IS NOT NULL THEN 'verified' WHEN code = 403 THEN 'blocked' WHEN access = 'paywalled' AND code IN (403, 418) THEN 'blocked' WHEN code = 404 THEN 'unverified' ELSE 'partial' END AS new_status,
+       CASE WHEN code IS NULL OR (error IS NULL AND got IS NOT NULL) THEN NULL WHEN code = 403 THEN 'HTTP 403' WHEN access = 'paywalled' AND code = 418 THEN 'HTTP 418 (paywalled source)' END AS blocked_reason,
+       CASE WHEN code IS NULL OR (error IS NULL AND got IS NOT NULL) THEN NULL ELSE '2026-01-01 u: ' || coalesce(error, 'HTTP ' || code) END AS notes,
+       CASE WHEN code IS NOT NULL AND error IS NULL AND got IS NOT NULL THEN got ELSE sha256 END AS sha256,
        CAST(code AS BIGINT) AS http_status FROM s LEFT JOIN f USING (id)""")
 def fetch_state_machine(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").where("page_id % 6 < 5")
     code = F.element_at(F.array(*(F.lit(c) for c in (200, 403, 404, 500, 418))), (F.col("page_id") % 6 + 1).cast("int"))
     null = lambda kind: F.lit(None).cast(kind)
-    fetches = pages.select(F.concat(F.lit("p"), "page_id").alias("source_id"), F.lit("2026-01-01").alias("finished_at"), code.alias("http_status"), null("string").alias("error"), null("string").alias("sha256"), null("long").alias("bytes"), F.lit(False).alias("skipped_cached"))
-    return shown(registry.transitions(_sources(spark, sf_dir), fetches), "id", "status", "new_status", "http_status")
+    got = F.when((F.col("page_id") % 6 == 0) & (F.col("page_id") % 4 != 0), registry.digest("url")).alias("sha256")
+    fetches = pages.select(
+        F.concat(F.lit("p"), "page_id").alias("source_id"), F.lit("u").alias("url"), F.lit("2026-01-01").alias("finished_at"), code.alias("http_status"),
+        F.when(F.col("page_id") % 9 == 3, "timed out").alias("error"), got, null("long").alias("bytes"), null("string").alias("local_path"), F.lit(False).alias("skipped_cached"),
+    )
+    return shown(registry.transitions(_sources(spark, sf_dir), fetches), "id", "status", "new_status", "blocked_reason", "notes", "sha256", "http_status")
 
 
 @query("SELECT page_id, sha256(html) AS sha256 FROM pages")
 def content_sha256(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha256"))
+    return load(spark, sf_dir, "pages").select("page_id", registry.digest("html").alias("sha256"))
 
 
 @query("""WITH g AS (SELECT CAST(user_id % 50 AS BIGINT) AS host, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS gap FROM events)

@@ -7,6 +7,7 @@ import json
 import threading
 import time
 import urllib.parse
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -60,10 +61,25 @@ def load_sources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_sources(sources: DataFrame, path: str) -> None:
-    """Refused if any entry has a problem."""
+    """Refused if any entry has a problem.
+
+    The registry is written aside and then takes the old one's place, so ``sources`` may have been read from ``path``,
+    and a write that fails leaves the old registry.
+    """
     bad = validate_sources(sources).limit(1).collect()
     require(not bad, f"{bad and bad[0]['id']}: {bad and bad[0]['problem']}", CatalogueError)
-    sources.coalesce(1).write.mode("overwrite").json(path)
+    spark, mark = sources.sparkSession, uuid.uuid4().hex
+    aside, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    sources.coalesce(1).write.json(aside)
+    jvm = spark.sparkContext._jvm
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    system = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = system.exists(place(path))
+    require(not there or system.rename(place(path), place(old)), f"{path} can't be replaced", CatalogueError)
+    require(system.rename(place(aside), place(path)), f"{path} can't be written; the old one is {old}", CatalogueError)
+    if there:
+        system.delete(place(old), True)
+    spark.catalog.refreshByPath(path)
 
 
 def update_source(sources: DataFrame, source_id: str, **fields) -> DataFrame:
@@ -81,28 +97,48 @@ def log_fetch(spark: SparkSession, path: str, record: dict) -> None:
     spark.createDataFrame([tuple(record.get(n) for n in names)], FETCH).write.mode("append").json(path)
 
 
-def transitions(sources: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Status of every source after its last fetch that wasn't served from the cache."""
-    last = fetches.where(~F.coalesce("skipped_cached", F.lit(False))).groupBy("source_id").agg(F.max_by(F.struct("http_status", "error", "finished_at", "sha256", "bytes"), F.struct("finished_at", "http_status")).alias("f"))
-    code, failed = F.col("f.http_status"), F.coalesce(F.col("f.error"), F.lit("")) != ""
+def transitions(sources: DataFrame, fetches: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """Every source after its last fetch that wasn't served from the cache: status, reason, notes and recorded file.
+
+    A fetch without an error and with a digest verifies the entry and clears its reason. Any other appends a dated note,
+    and lowers the status unless the recorded file is intact: ``digests`` (path, sha256) has it with the recorded digest.
+    """
+    facts = F.struct("url", "http_status", "error", "finished_at", "sha256", "bytes", "local_path")
+    last = fetches.where(~F.coalesce("skipped_cached", F.lit(False))).groupBy("source_id").agg(F.max_by(facts, F.struct("finished_at", "http_status")).alias("f"))
+    out = sources.join(last, F.col("id") == F.col("source_id"), "left")
+    if digests is not None:
+        files = digests.select(F.col("path").alias("local_path"), F.col("sha256").alias("_digest")).dropDuplicates(["local_path"])
+        out = out.join(files, "local_path", "left").withColumn("_intact", F.coalesce(F.lower("_digest") == F.lower("sha256"), F.lit(False)))
+    else:
+        out = out.withColumn("_intact", F.lit(False))
+    code, none = F.col("f.http_status"), F.col("f").isNull()
+    good = F.col("f.error").isNull() & F.col("f.sha256").isNotNull()
+    refused = F.coalesce(code.isin(*BLOCKING), F.lit(False))
+    behind = F.coalesce((F.col("access") == "paywalled") & (code >= 400) & (code < 500) & (code != 404), F.lit(False))
     status = (
-        F.when(F.col("f").isNull(), F.col("status"))
-        .when(~failed & code.isin(200, 206), "verified")
-        .when(code.isin(*BLOCKING), "blocked")
-        .when((F.col("access") == "paywalled") & (code >= 400) & (code < 500) & (code != 404), "blocked")
-        .when(code == 404, "unverified")
-        .otherwise("partial")
-    )
-    out = sources.join(last, F.col("id") == F.col("source_id"), "left").withColumn("new_status", status)
-    reason = F.when(F.col("new_status") == "blocked", F.coalesce("blocked_reason", F.concat(F.lit("HTTP "), code.cast("string")))).when(F.col("new_status") != "verified", F.col("blocked_reason"))
-    return out.select("id", "status", "new_status", reason.alias("blocked_reason"), code.alias("http_status"))
+        F.when(none, F.col("status")).when(good, "verified").when(F.col("_intact"), F.col("status"))
+        .when(refused | behind, "blocked").when(code == 404, "unverified").otherwise("partial")
+    )
+    said = F.concat(F.lit("HTTP "), F.coalesce(code.cast("string"), F.lit("None")))
+    reason = F.when(none, F.col("blocked_reason")).when(good, F.lit(None)).when(F.col("_intact"), F.col("blocked_reason")).when(refused, said).when(behind, F.concat(said, F.lit(" (paywalled source)"))).otherwise(F.col("blocked_reason"))
+    note = F.concat(F.coalesce("f.finished_at", F.lit("None")), F.lit(" "), F.coalesce("f.url", F.lit("None")), F.lit(": "), F.coalesce("f.error", said))
+    before = F.trim(F.coalesce("notes", F.lit("")))
+    notes = F.when(none | good, F.col("notes")).otherwise(F.when(before == "", note).otherwise(F.concat(before, F.lit("\n"), note)))
+    taken = lambda c: F.when(F.coalesce(good & ~none, F.lit(False)), F.col(f"f.{c}")).otherwise(F.col(c)).alias(c)
+    fetched = F.coalesce("f.finished_at", "fetched_at").alias("fetched_at")
+    return out.select("id", "status", status.alias("new_status"), reason.alias("blocked_reason"), code.alias("http_status"), notes.alias("notes"), taken("sha256"), taken("bytes"), taken("local_path"), fetched)
 
 
 def placement(responses: DataFrame) -> DataFrame:
-    """What to do with a body, from (part_bytes, http_status, content_range): write, append, restart or refuse."""
-    start = F.regexp_extract("content_range", r"bytes (\d+)-", 1)
+    """What to do with a body, from (part_bytes, http_status, content_range): write, append, restart or refuse.
+
+    A part is appended only where the local file ends and begins anew only at byte 0; a range that starts elsewhere, or that
+    can't be read, is refused.
+    """
+    start = F.regexp_extract(F.coalesce("content_range", F.lit("")), r"^\s*bytes\s+(\d+)-(\d+)/(\d+|\*)\s*$", 1)
     begins = F.when(start != "", start.cast("long"))
-    plan = F.when(F.col("http_status") == 200, "write").when((F.col("http_status") == 206) & (begins == F.col("part_bytes")), "append").when(F.col("http_status") == 206, "restart").otherwise("refuse")
+    part = F.coalesce(F.col("http_status") == 206, F.lit(False))
+    plan = F.when(F.col("http_status") == 200, "write").when(part & (F.col("part_bytes") > 0) & (begins == F.col("part_bytes")), "append").when(part & (begins == 0), "restart").otherwise("refuse")
     return responses.withColumn("plan", plan)
 
 
@@ -114,9 +150,14 @@ def size_errors(responses: DataFrame) -> DataFrame:
     return responses.withColumn("size_error", text)
 
 
+def digest(content: Column | str) -> Column:
+    """SHA-256 in lower-case hexadecimal digits; of a string its UTF-8 bytes."""
+    return F.sha2(content, 256)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every file."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(path).select("path", "length", digest("content").alias("sha256"))
 
 
 def rate_audit(requests: DataFrame, host: Column, ts: str, per_second: float, order: str) -> DataFrame:
