@@ -217,6 +217,58 @@ def test_balls_follow_segments():
     assert (longer[:, : few.shape[1]] == few).all() and longer.shape[1] == few.shape[1] + simhash.TURN_BITS
 
 
+def test_importance_by_hand(spark):
+    """Eight pages of one host: every number of the tree follows from counts."""
+    rows = []
+    for i in range(8):
+        note = "same words all" if i < 4 else f"words of page{i}"  # 14 letters each
+        body = f"alone{i} " + "y" * 70
+        layout = "<p>a</p>" if i % 2 else "<p>a</p><ul></ul>"
+        rows.append((i, "http://h.org/", f'<body><div class="k"><a href="/">a menu</a></div><div class="n">{note}</div><div class="m">{body}</div><div class="v">{layout}</div></body>'))
+    tree = html.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    path = {n: p for page in [html.Page(rows[0][2])] for n, p in zip(page.name, page.paths())}
+    found = {name: next(r for r in tree if r.path == path[name]) for name in ("body", "div.k", "div.n", "div.m", "div.v")}
+    log = lambda x: float(np.log(x))
+    total = 14 + 77 + 1
+    want = {
+        "div.k": (0.0, 0.0, 0.0),  # one block, on all pages, a link
+        "div.n": (0.0, 1 - 4 * log(4) / log(8) / 8, 14 / total / 0.25),  # one block on four pages, four on one
+        "div.m": (0.0, 1.0, 1.0),
+        "div.v": (1 - 2 * 4 * log(4) / log(8) / 8, 0.0, 1 / total / 0.25),  # two layouts, four pages each
+    }
+    for name, (presentation, content, mass) in want.items():
+        r = found[name]
+        assert (r.n_pages, r.presentation, r.content, r.mass) == (8, pytest.approx(presentation), pytest.approx(content), pytest.approx(min(1.0, mass)))
+        assert r.importance == pytest.approx(0.1 * presentation + 0.9 * content * min(1.0, mass))
+    assert found["body"].mass == 1.0 and found["body"].content == pytest.approx(1 - (8 + 4 * log(4) / log(8) + 0 + 8) / 32)
+
+
+def test_tree_decides_where_names_say_nothing(spark):
+    """A host without any telling tag or class: the tree finds its article; a host of two pages keeps all."""
+    page = '<html><body><div class="a1"><ul><li><a href="/x">Item {0}</a></li><li><a href="/y">Thing {0}</a></li></ul></div><div class="b2">Offer {0} now</div><div class="c3"><h1>T{0}</h1><p>{1}</p></div><div class="d4"><p>Owner {0}</p></div></body></html>'
+    text = lambda i: " ".join(f"word{i}x{k}" for k in range(40 + i))
+    rows = [(i, f"http://{'big' if i < 12 else 'tiny'}.org/{i}", page.format(i, text(i))) for i in range(14)]
+    clashing = [(*r, "h", [1], True) for r in rows]
+    pages = spark.createDataFrame(clashing, "page_id long, url string, html string, host string, above array<int>, good boolean")
+    found = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert all(found[i] == f"T{i} {text(i)}" for i in range(12))
+    assert all(found[i].startswith(f"Item {i} Thing {i} Offer {i} now T{i}") for i in (12, 13))
+    assert all(html.Page(r[2]).text() != found[r[0]] for r in rows[:12])
+    alone = {r.page_id: r.text for r in html.extract(pages, prior=False).collect()}
+    assert alone == found
+
+
+@pytest.mark.parametrize("source", ["<a " * 350_000, "<div>" * 200_000, "<a \"'" * 200_000, "<ul><li><ul>" + "<b>" * 100_000 + "<li></li>" * 60_000, "<span>" * 80_000 + "</x>" * 80_000, '<a title="x>' * 80_000])
+def test_large_broken_pages_take_linear_time(source):
+    import time
+
+    began = time.process_time()
+    page = html.Page(source)
+    page.profile()
+    page.text({1: True})
+    assert time.process_time() - began < 20
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(100 * c + i, 100 * c + rng.randint(max(0, i - 2), i - 1)) for c in range(30) for i in range(1, rng.randint(2, 12))]

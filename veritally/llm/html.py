@@ -1,33 +1,43 @@
 """Main text of web pages by site style trees.
 
-Pages of one host are merged into a style tree: a node is the path of tags and classes from the
-root, with the ways its children are laid out (presentation) and the texts it holds (content) over
-all pages of the host. Importance is an entropy, relative to the number of pages m: presentation
-is important if layouts vary; content is important if text blocks don't come back (a block on c of the
-m pages with its node has entropy log c / log m of at most one, and content importance is one minus
-the mean of these over all blocks of the branch). Siblings of one name are nodes of their own, by number.
-Branches whose combined importance is low are removed from each page of the host.
-
-On hosts with fewer than ``LEAST_PAGES`` pages nothing can be told from repetition, and copies of one
-article would look like a template. So what HTML itself says comes first: elements that are never
-article text (menus, footers, forms, scripts, ...) go by tag, role or class; inside an ``article`` or
-``main`` element only other containers (not paragraphs or headings) can be unimportant, and only if a
-whole class or id is a word for noise. Where a page
-has such an element its text is the page's; elsewhere the body's remaining branches are.
-
-Nodes are counted, never gathered: a host with a third of all pages costs a row for each node and
-task. Null html counts as empty, and gives ''. A null url has no host and no tree. Broken markup is
-read leniently; repeated rows, null ids and empty tables are no special cases, and other columns are
-ignored.
+Pages of one host are merged into a style tree: a node is the path of tags and classes from the root, with the
+ways its children are laid out (presentation) and the text blocks it holds (content) over all pages of the host.
+Siblings of one name are nodes of their own, by number. On m pages with a node:
+
+* presentation importance is the entropy of its layouts, relative to log m;
+* content importance is one minus the mean evenness of all text blocks of its branch: a block found on c of the m
+  pages has evenness log c / log m, so what comes back word for word on every page is worth nothing;
+* mass is the share of the page's unlinked text that the branch and its siblings of the same name hold, in the
+  mean over the pages and relative to ``FULL_SHARE`` (at most one): menus are links, and notices and adverts are short,
+  whatever their words.
+
+Importance is (1 - GAMMA) * presentation + GAMMA * content * mass. On a host with ``LEAST_PAGES`` pages with a node, it
+decides: branches below ``THRESHOLD`` go, and no tag name, class or role is asked, but for elements that are never text
+(scripts, styles, titles, form controls, ...) and for reader comments and the like inside an article (see below).
+
+Where the tree has seen a node on fewer pages nothing can be told from repetition. There (and for what the
+tree keeps outside the article of a page that has one) HTML's own words are the prior: elements that are never article
+text (menus, footers, forms, ...) go by tag, role or class, and where a page has an ``article`` or ``main`` element
+its text is the page's. Inside an article only containers (not paragraphs or headings) can go, and by name only if a whole
+class or id is a word for noise.
+
+Nodes are counted, never gathered: a host with a third of all pages costs a row for each node and task. The tree is
+``LEVELS`` containers deep; what lies deeper belongs to the last of them. Pages are read in one pass, in time linear in
+their length, whatever their nesting or unclosed tags.
+
+Null html counts as empty, and gives ''. A null url has no host and no tree. Broken markup is read leniently: a tag
+without an end is text, one with an unbalanced quote ends at the next >. Repeated rows, null ids and empty tables are no
+special cases, and other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +47,11 @@ from .bpe import byte_ranges
 LEAST_PAGES = 5
 GAMMA = 0.9
 THRESHOLD = 0.3
+FULL_SHARE = 0.25
+LEVELS = 64
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 #: A whole attribute: any name, and its value with quotes if there is one.
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -68,88 +81,150 @@ _CLOSES = {
     "th": ("td", "th"),
     "option": ("option",),
 }
+#: Elements that hold no text of a page.
+_NEVER = frozenset("head script style noscript template svg iframe object canvas button select option input textarea title audio video map".split())
+_LISTS = frozenset(("ul", "ol", "menu"))
 _SCOPE = frozenset("article aside body div footer form header main nav ol section table td th ul dl blockquote".split())
 
 
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+class _Scan:
+    """Tags of a page in order. A search that finds nothing isn't repeated, so all of them together pass the page once."""
+
+    def __init__(self, html: str):
+        self.html, self.none = html, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends a tag, quoted ones left out; -1 if there is none."""
+        while True:
+            if ">" in self.none or self.find(">", at) < 0:
+                return -1
+            m = _STOP.search(self.html, at)
+            if m[0] == ">":
+                return m.start()
+            close = self.find(m[0], m.end())
+            at = close + 1 if close >= 0 else m.end()
+            if close < 0:
+                return self.find(">", at)
+
+    def tags(self):
+        """(start, end, closing, name, attributes) of each tag; without a name for comments and declarations."""
+        html, at = self.html, 0
+        while (at := self.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                end = len(html) if end < 0 else end + 3
+                yield at, end, False, "", ""
+            elif html[at + 1 : at + 2] in ("!", "?"):
+                end = self.find(">", at)
+                end = len(html) if end < 0 else end + 1
+                yield at, end, False, "", ""
+            else:
+                m = _NAME.match(html, at)
+                stop = self.end(m.end()) if m else -1
+                if stop < 0:
+                    at += 1
+                    continue
+                end = stop + 1
+                skip = yield at, end, bool(m[1]), m[2].lower(), html[m.end() : stop]
+                if skip is not None:
+                    end = skip
+                    yield
+            at = end
+
+
 class Page:
     """Elements of a page in order, each with its parent, and runs of text by block."""
 
     def __init__(self, html: str):
         self.tag, self.parent, self.name, self.noise = ["#"], [-1], [""], [False]
-        self.main = [False]
+        self.main, self.within, self.raw, self.named = [False], [False], [False], [False]
         self.runs: list[tuple[int, int, str]] = []
-        stack, block, at = [0], 0, 0
-        find = _TOKEN.search
-        while True:
-            m = find(html, at)
-            text = html[at : m.start()] if m else html[at:]
-            if text:
-                self.runs.append((block, stack[-1], text))
-            if not m:
-                break
-            at = m.end()
-            tag = m[2]
+        self.depths: dict[str, list[int]] = {}
+        self.stack, block, at = [0], 0, 0
+        scan = _Scan(html)
+        tags = scan.tags()
+        for start, end, closing, tag, attributes in tags:
+            if start > at:
+                self.runs.append((block, self.stack[-1], html[at:start]))
+            at = end
             if not tag:
                 continue
-            tag = tag.lower()
             if tag in _BLOCK:
                 block += 1
-            if m[1]:
-                self._close(stack, tag)
+            if closing:
+                self._close(tag)
                 continue
             if tag in _BLOCK and tag != "br":
-                self._close(stack, "p", _SCOPE)
+                self._close("p", _SCOPE)
                 for other in _CLOSES.get(tag, ()):
-                    self._close(stack, other, _SCOPE if other != "li" else frozenset(("ul", "ol", "menu")))
-            i = self._open(tag, m[3], stack[-1])
+                    self._close(other, _SCOPE if other != "li" else _LISTS)
+            i = self._open(tag, attributes, self.stack[-1])
             if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-            elif tag not in _VOID and not m[3].endswith("/"):
-                stack.append(i)
-            elif tag not in _VOID and tag in _BLOCK:
-                stack.append(i)  # a slash doesn't close these
-
-    def _close(self, stack: list[int], tag: str, scope: frozenset = frozenset()) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[depth]]
-            if name == tag:
-                del stack[depth:]
-                return
-            if name in scope:
-                return
+                close = _raw_end(tag).search(html, at)
+                at = close.end() if close else len(html)
+                tags.send(at)
+            elif tag not in _VOID and (tag in _BLOCK or not attributes.endswith("/")):  # a slash doesn't close blocks
+                self.depths.setdefault(tag, []).append(len(self.stack))
+                self.stack.append(i)
+        if at < len(html):
+            self.runs.append((block, self.stack[-1], html[at:]))
+
+    def _close(self, tag: str, scope: frozenset = frozenset()) -> None:
+        mine = self.depths.get(tag)
+        if not mine or any((at := self.depths.get(s)) and at[-1] > mine[-1] for s in scope):
+            return
+        depth = mine[-1]
+        for i in self.stack[depth:]:
+            self.depths[self.tag[i]].pop()
+        del self.stack[depth:]
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
-        i, named, noise = len(self.tag), "", tag in _NOISE_TAGS
-        main = tag in ("article", "main")
-        within = any(self._up(parent))
+        i, name, noise = len(self.tag), "", tag in _NOISE_TAGS
+        main, raw, named = tag in ("article", "main"), tag in _NEVER, False
+        within = self.within[parent]
         if attributes and not attributes.isspace():
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key == "class":
-                    named = value
+                    name = value
                 if key == "role":
                     noise |= value in _NOISE_ROLES
                     main |= value in ("main", "article")
                 elif key == "itemprop":
                     main |= value == "articlebody"
                 elif key == "hidden":
-                    noise = True
+                    raw = True
                 elif key == "style":
-                    noise |= "display:none" in value.replace(" ", "")
+                    raw |= "display:none" in value.replace(" ", "")
                 elif key in ("class", "id") and tag not in ("html", "body"):
-                    noise |= self._named_noise(tag, value, within)
+                    named |= self._named_noise(tag, value, within)
         if tag == "header" and not within:
             noise = True
         self.tag.append(tag)
         self.parent.append(parent)
-        self.name.append(f"{tag}.{named}" if named else tag)
-        self.noise.append(noise)
+        self.name.append(f"{tag}.{name}" if name else tag)
+        self.raw.append(raw)
+        self.noise.append(noise or raw or named)
+        self.named.append((noise or named) and within)
         self.main.append(main)
+        self.within.append(main or within)
         return i
 
     @staticmethod
@@ -159,61 +234,70 @@ class Page:
             return tag in _CONTAINER and not _NOISE_WORDS.isdisjoint(value.split())
         return tag not in _TEXT and not _NOISE_WORDS.isdisjoint(_WORDS.findall(value))
 
-    def _up(self, i: int):
-        while i >= 0:
-            yield self.main[i]
-            i = self.parent[i]
-
     def paths(self) -> list[int]:
         """Names from the root to each element, each with its number among siblings of that name, as a 64-bit hash."""
         path, seen = [0], {}
         for i in range(1, len(self.tag)):
-            above = path[self.parent[i]]
             like = self.parent[i], self.name[i]
             seen[like] = seen.get(like, -1) + 1
-            name = f"{self.name[i]}\n{seen[like]}".encode()
-            path.append(_signed(zlib.crc32(name, above & 0xFFFFFFFF) | zlib.crc32(name, (above >> 32 & 0xFFFFFFFF) ^ 0x5BD1E995) << 32))
+            path.append(_signed(xxhash.xxh64_intdigest(f"{path[self.parent[i]]}\n{self.name[i]}\n{seen[like]}".encode("utf-8", "surrogatepass"))))
         return path
 
     def profile(self):
-        """(path, layout, containers above and itself) of each container, and (path, hash) of each different text block in it directly."""
-        path = self.paths()
-        layout: dict[int, int] = {}
-        above: dict[int, list[int]] = {}
-        last: dict[int, str] = {}
-        holder = [0] * len(self.tag)
-        for i in range(1, len(self.tag)):
+        """(path, layout, mass, containers above and itself) of each container, and (path, hash) of each different text block in it directly."""
+        n, path = len(self.tag), self.paths()
+        gone, linked, level = [False] * n, [False] * n, [0] * n
+        holder, layout, above, last = [0] * n, {}, {}, {}
+        for i in range(1, n):
             p = self.parent[i]
-            holder[i] = i if self.tag[i] in _CONTAINER else holder[p]
-            if holder[i] == i:
+            gone[i] = gone[p] or self.raw[i]
+            linked[i] = linked[p] or self.tag[i] == "a"
+            holder[i], level[i] = holder[p], level[p]
+            if self.tag[i] in _CONTAINER and level[p] < LEVELS:
+                holder[i], level[i] = i, level[p] + 1
                 layout.setdefault(path[i], 0)
                 above[path[i]] = [*above.get(path[holder[p]], ()), path[i]]
-            if self.tag[p] in _CONTAINER and last.get(p) != self.name[i]:
+            if holder[p] == p and last.get(p) != self.name[i]:
                 last[p] = self.name[i]
-                layout[path[p]] = zlib.crc32(self.name[i].encode(), layout[path[p]])
-        blocks: dict[tuple[int, int], list[str]] = {}
+                layout[path[p]] = layout.get(path[p], 0) * 31 + xxhash.xxh32_intdigest(self.name[i].encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
+        layout.pop(path[0], None)
+        own, blocks = [0] * n, {}
         for block, i, run in self.runs:
-            if holder[i]:
-                blocks.setdefault((block, holder[i]), []).append(run)
-        texts = {(path[i], zlib.crc32(" ".join("".join(runs).split()).encode("utf-8", "surrogatepass"))) for (_, i), runs in blocks.items() if not all(map(str.isspace, runs))}
-        return [(p, layout[p], above[p]) for p in layout], texts
-
-    def text(self, unimportant: frozenset = frozenset()) -> str:
-        n = len(self.tag)
+            if not gone[i] and not run.isspace():
+                if holder[i]:
+                    blocks.setdefault((block, holder[i]), []).append(run)
+                if not linked[i]:
+                    own[i] += len(run.strip())
+        total = sum(own)
+        for i in range(n - 1, 0, -1):
+            own[self.parent[i]] += own[i]
+        alike: dict[tuple[int, str], int] = {}
+        for i in range(1, n):
+            if holder[i] == i:
+                like = self.parent[i], self.name[i]
+                alike[like] = alike.get(like, 0) + own[i]
+        mass = {path[i]: alike[self.parent[i], self.name[i]] / total if total else 0.0 for i in range(1, n) if holder[i] == i}
+        texts = {(path[i], xxhash.xxh32_intdigest(" ".join("".join(runs).split()).encode("utf-8", "surrogatepass"))) for (_, i), runs in blocks.items()}
+        return [(p, layout[p], mass[p], above[p]) for p in layout], texts
+
+    def text(self, verdicts: dict[int, bool] | None = None, prior: bool = True) -> str:
+        """The page's text. ``verdicts`` has for nodes of the tree whether they are important; ``prior``: names decide elsewhere."""
+        n, verdicts = len(self.tag), verdicts or {}
         holds = [False] * n  # an article somewhere below
         for i in range(n - 1, 0, -1):
-            if (self.main[i] and not self.noise[i]) or holds[i]:
+            if (self.main[i] and not self.raw[i]) or holds[i]:
                 holds[self.parent[i]] = True
-        path = self.paths() if unimportant else None
+        path = self.paths() if verdicts else None
         gone, inside = [False] * n, [False] * n
         for i in range(1, n):
             p = self.parent[i]
-            noise = self.noise[i] and not (holds[i] and self.tag[i] not in _NOISE_TAGS)
-            if path and not noise and self.tag[i] in _CONTAINER and not (self.main[i] or holds[i] or self.tag[i] == "body"):
-                noise = path[i] in unimportant
+            noise = self.noise[i] and not (holds[i] and self.tag[i] not in _NOISE_TAGS) if prior else self.raw[i]
+            found = verdicts.get(path[i]) if path and self.tag[i] in _CONTAINER else None
+            if found is not None and self.tag[i] != "body":
+                noise = self.raw[i] or self.named[i] or (not found and not holds[i])
             gone[i] = gone[p] or noise
             inside[i] = inside[p] or (self.main[i] and not gone[i])
-        only = any(inside)
+        only = prior and any(inside)
         out, held, current = [], [], -1
         for block, i, run in self.runs:
             if gone[i] or (only and not inside[i]):
@@ -227,27 +311,18 @@ class Page:
 
 
 def _profiles(batches):
-    """mapInArrow function: (host, html) to (host, path, kind, look, above); kind 0 is layout, 1 a text block."""
+    """mapInArrow function: (host, html) to (host, path, kind, look, mass, above); kind 0 is layout, 1 a text block."""
     for batch in batches:
         for lo, hi in byte_ranges(batch.column(1)):
             part = batch.slice(lo, hi - lo)
-            host, path, kind, look, up = [], [], [], [], []
+            rows = []
             for h, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 nodes, texts = Page(html or "").profile()
-                for p, layout, above in nodes:
-                    host.append(h)
-                    path.append(p)
-                    kind.append(0)
-                    look.append(layout)
-                    up.append(above)
-                for p, text in texts:
-                    host.append(h)
-                    path.append(p)
-                    kind.append(1)
-                    look.append(text)
-                    up.append(None)
-            columns = [pa.array(host, pa.string()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(look, pa.int64()), pa.array(up, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "path", "kind", "look", "above"])
+                rows += [(h, p, 0, layout, mass, above) for p, layout, mass, above in nodes]
+                rows += [(h, p, 1, text, 0.0, None) for p, text in texts]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "kind", "look", "mass", "above"])
 
 
 def host() -> F.Column:
@@ -255,40 +330,47 @@ def host() -> F.Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, n_pages, presentation, content, importance) of every container node."""
+    """(host, path, n_pages, presentation, content, mass, importance) of every container node."""
     rows = documents(pages, "url", "html").where("html is not null").select(host().alias("host"), "html").where("host is not null")
-    looks = rows.mapInArrow(_profiles, "host string, path long, kind int, look long, above array<long>").groupBy("host", "path", "kind", "look")
-    looks = looks.agg(F.count("*").alias("c"), F.min("above").alias("above"))
+    looks = rows.mapInArrow(_profiles, "host string, path long, kind int, look long, mass double, above array<long>").groupBy("host", "path", "kind", "look")
+    looks = looks.agg(F.count("*").alias("c"), F.sum("mass").alias("mass"), F.min("above").alias("above"))
     total = F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("n_pages")
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
     weighted = F.col("c") * F.log("c")
-    nodes = looks.groupBy("host", "path").agg(total, F.min("above").alias("above"), of(0, weighted).alias("layouts"), of(1, weighted).alias("texts"), of(1, F.col("c")).alias("blocks"))
+    nodes = looks.groupBy("host", "path").agg(total, F.min("above").alias("above"), F.sum("mass").alias("masses"), of(0, weighted).alias("layouts"), of(1, weighted).alias("texts"), of(1, F.col("c")).alias("blocks"))
     log_m = F.greatest(F.log("n_pages"), F.lit(1e-9))
     single = F.col("n_pages") < 2
     nodes = nodes.withColumn("presentation", F.when(single, 1.0).otherwise(1 - F.col("layouts") / F.col("n_pages") / log_m))
-    nodes = nodes.withColumn("same", F.when(single, 0.0).otherwise(F.col("texts") / log_m))
-    nodes = staged(nodes.select("host", "path", "n_pages", "above", "presentation", "same", "blocks"), "style-nodes")
+    nodes = nodes.withColumn("same", F.when(single, 0.0).otherwise(F.col("texts") / log_m)).withColumn("mass", F.least(F.lit(1.0), F.col("masses") / F.col("n_pages") / FULL_SHARE))
+    nodes = staged(nodes.select("host", "path", "n_pages", "above", "presentation", "same", "blocks", "mass"), "style-nodes")
     branch = nodes.where("blocks > 0").select("host", F.explode("above").alias("path"), "same", "blocks").groupBy("host", "path").agg((1 - F.sum("same") / F.sum("blocks")).alias("content"))
-    nodes = nodes.join(branch, ["host", "path"], "left").select("host", "path", "n_pages", "presentation", F.coalesce("content", F.lit(0.0)).alias("content"))
-    return nodes.withColumn("importance", (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content"))
+    nodes = nodes.join(branch, ["host", "path"], "left").select("host", "path", "n_pages", "presentation", F.coalesce("content", F.lit(0.0)).alias("content"), "mass")
+    return nodes.withColumn("importance", (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content") * F.col("mass"))
 
 
 class _Extract:
-    """mapInArrow function: (page_id, url, html, paths) to text."""
+    """mapInArrow function: (page_id, url, html, important, unimportant) to text."""
+
+    def __init__(self, prior: bool):
+        self.prior = prior
 
     def __call__(self, batches):
         for batch in batches:
             for lo, hi in byte_ranges(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
-                texts = [Page(h or "").text(frozenset(p or ())) for h, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                texts = []
+                for html, good, bad in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                    verdicts = dict.fromkeys(good or (), True) | dict.fromkeys(bad or (), False)
+                    texts.append(Page(html or "").text(verdicts, self.prior))
                 columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
-    low = style_tree(pages).where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD))
-    removed = staged(low.groupBy("host").agg(F.collect_list("path").alias("paths")), "style-tree")
+def extract(pages: DataFrame, prior: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page. Without the prior the tree alone decides, and what it hasn't seen often stays."""
+    known = style_tree(pages).where(F.col("n_pages") >= LEAST_PAGES)
+    listed = lambda test: F.collect_list(F.when(test, F.col("path")))
+    verdicts = known.groupBy("host").agg(listed(F.col("importance") >= THRESHOLD).alias("good"), listed(F.col("importance") < THRESHOLD).alias("bad"))
     rows = documents(pages, "page_id", "url", "html").withColumn("host", host())
-    marked = rows.join(removed, "host", "left").select("page_id", "url", "html", "paths")
-    return marked.mapInArrow(_Extract(), "page_id long, url string, text string, n_chars long")
+    marked = rows.join(staged(verdicts, "style-tree"), "host", "left").select("page_id", "url", "html", "good", "bad")
+    return marked.mapInArrow(_Extract(prior), "page_id long, url string, text string, n_chars long")
