@@ -91,14 +91,14 @@ def catalogue_scan(spark, sf_dir):
 _SHUFFLE = seeding.uniform_sql("'11'", "r", "event_id")
 
 
-@query(f"""WITH x AS (SELECT event_id, event_type AS g, value AS x FROM events WHERE event_type IN ('click', 'purchase')), z AS (SELECT x.*, r FROM x CROSS JOIN range(1, 21) t(r)),
+@query(f"""WITH x AS (SELECT event_id, event_type AS g, value AS x FROM events WHERE event_type IN ('click', 'purchase')), z AS (SELECT x.*, r FROM x CROSS JOIN range(1, 200) t(r)),
 b AS (SELECT r, x, row_number() OVER (PARTITION BY r ORDER BY {_SHUFFLE}, event_id) AS p FROM z),
 k AS (SELECT count(*) FILTER (g = 'click') AS n1, count(*) AS n, avg(x) FILTER (g = 'purchase') - avg(x) FILTER (g = 'click') AS v FROM x),
 s AS (SELECT r, avg(x) FILTER (p > n1) - avg(x) FILTER (p <= n1) AS v FROM b CROSS JOIN k GROUP BY r)
-SELECT {r6("max(k.v)")} AS statistic, max(n) AS n, {r6("(1 + count(*) FILTER (abs(s.v) >= abs(k.v) - 1e-12)) / 21.0")} AS pvalue FROM s CROSS JOIN k""")
+SELECT {r6("max(k.v)")} AS statistic, max(n) AS n, {r6("(1 + count(*) FILTER (abs(s.v) >= abs(k.v) - 1e-12)) / 200.0")} AS pvalue FROM s CROSS JOIN k""")
 def permutation_diff(spark, sf_dir):
     events = load(spark, sf_dir, "events").where("event_type in ('click', 'purchase')")
-    return shown(bunching.permutation_test(events, "value", "event_type", "event_id", 20, 11), "statistic", "n", "pvalue")
+    return shown(bunching.permutation_test(events, "value", "event_type", "event_id", 199, 11), "statistic", "n", "pvalue")
 
 
 @query()
