@@ -63,6 +63,8 @@ RECALL = 0.97
 SPARE_BITS = 4
 TURN_BITS = 12
 TURNS = 3
+#: Size of the bitmap that tells addresses of large buckets (8 MB, whatever their number).
+FILTER_BITS = 1 << 26
 #: A fingerprint with more comparisons than this is dealt to several tasks.
 DEALT = 500
 
@@ -227,11 +229,12 @@ def _marks(batches):
 class _Segments:
     """mapInArrow function: (node, sketch), or (node, sketch, segments), to (node, address) of all or of these segments.
 
-    The number of the segment stands in the top 16 bits of an address, a hash of its bits below.
+    The number of the segment stands in the top 16 bits of an address, a hash of its bits below. ``marked``: a bitmap of
+    ``FILTER_BITS`` bits; addresses whose lowest bits aren't in it are left out.
     """
 
-    def __init__(self, taken: np.ndarray):
-        self.taken = taken
+    def __init__(self, taken: np.ndarray, marked: np.ndarray | None = None):
+        self.taken, self.marked = taken, marked
 
     def __call__(self, batches):
         n = len(self.taken)
@@ -253,12 +256,17 @@ class _Segments:
                 if part.num_columns > 2:
                     lists = part.column(2)
                     row, segment = np.repeat(np.arange(len(raw)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-                columns = [pa.array(part.column(0).to_numpy()[row]), pa.array(address[row, segment].view(np.int64))]
+                found = address[row, segment]
+                if self.marked is not None:
+                    place = found & np.uint64(FILTER_BITS - 1)
+                    held = (self.marked[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    row, found = row[held], found[held]
+                columns = [pa.array(part.column(0).to_numpy()[row]), pa.array(found.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "address"])
 
 
 class _Near:
-    """mapInArrow function: (u, v, sketch of u, sketch of v) to those within the distance."""
+    """mapInArrow function: (u, v, sketch of u, sketch of v) to (u, v, distance) of those within the distance."""
 
     def __init__(self, distance: int):
         self.distance = distance
@@ -266,7 +274,9 @@ class _Near:
     def __call__(self, batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, WIDE_WORDS) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= self.distance))
+            apart = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int32)
+            columns = [*batch.columns[:2], pa.array(apart)]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "apart"]).filter(pa.array(apart <= self.distance))
 
 
 def _sets(batches):
@@ -296,9 +306,13 @@ def _dealt(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
     return salted.join(held.select(F.col("node").alias("u"), F.col(column).alias("of_u")), "u").join(drawn, ["v", "salt"]).select("u", "v", "of_u", "of_v")
 
 
+def _near(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v, apart) whose complete fingerprints are near."""
+    return staged(_dealt(pairs, nodes, "sketch").mapInArrow(_Near(wide_distance()), "u long, v long, apart int"), "near")
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose fingerprints are near and whose whole sets are similar."""
-    pairs = staged(_dealt(pairs, nodes, "sketch").mapInArrow(_Near(wide_distance()), "u long, v long"), "near")
+    """The pairs (u, v) whose whole sets are similar."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     ids = nodes.join(wanted, "node", "left_semi").select("first_id")
     texts = docs.join(ids, docs["doc_id"] == ids["first_id"], "left_semi").select("text")
@@ -311,25 +325,51 @@ def _buckets(met: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A bucket is summed up by four numbers, combined before the shuffle, so a large one is no load to any task.
     """
-    full = met.groupBy("address").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("c"), F.sum(F.col("node").cast("decimal(38,0)")).alias("total")).where("a <> c")
-    full = staged(full.select("address", "n", "a", "c", F.when(F.col("n") == 3, (F.col("total") - F.col("a") - F.col("c")).cast("long")).alias("b")), "buckets")
+    full = met.groupBy("address").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("c"), F.bit_xor("node").alias("x")).where("a <> c")
+    full = staged(full.select("address", "n", "a", "c", F.expr("x ^ a ^ c").alias("b")), "buckets")
     pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     few = full.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair("c", "a"))).otherwise(F.array(pair("c", "a"), pair("c", "b"), pair("b", "a")))).alias("p")).select("p.*")
     return few, full.where("n > 3").select("address", F.col("a").alias("v"))
 
 
+def _bitmap(addresses: DataFrame) -> np.ndarray:
+    """The lowest bits of all addresses as a bitmap of ``FILTER_BITS`` bits, whatever their number."""
+    place = F.col("address").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")) + 1
+    parts = addresses.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out, width = np.zeros(FILTER_BITS // 8, np.uint8), 1 << 12  # parts of 2^15 bits, counted from 1
+    for r in parts.toLocalIterator():
+        at = (r["n"] - 1) * width
+        out[at : at + width] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` whose two nodes aren't in one group yet."""
+    for c in ("u", "v"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left")
+    return pairs.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).drop("_u", "_v")
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v) of similar nodes, enough to connect the groups but for what no segment brings together."""
+    """(u, v) of similar nodes, enough to connect the groups but for what no segment brings together.
+
+    First every node is compared with the nearest one that it met; then those that are still in different groups.
+    """
     n, parts = nodes.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, found = nodes.select("node", "sketch").repartition(parts), None  # many rows from each
     for turn in range(TURNS):
-        met = rows.mapInArrow(_Segments(segment_bits(n, turn)), "node long, address long")
-        few, large = _buckets(met)
+        taken, addressed = segment_bits(n, turn), "node long, address long"
+        few, large = _buckets(rows.mapInArrow(_Segments(taken), addressed))
+        met = rows.mapInArrow(_Segments(taken, _bitmap(large)), addressed)  # again, but for addresses of small buckets
         tried = staged(met.join(large, "address").where("node <> v").select(F.col("node").alias("u"), "v", F.shiftrightunsigned("address", 48).cast("int").alias("segment")), "tried")
-        pairs = staged(few.unionByName(tried.select("u", "v")).distinct(), "pairs")
-        same = staged(_verified(docs, nodes, pairs), "similar")
-        found = same if found is None else found.unionByName(same)
-        left = tried.join(same, ["u", "v"], "left_anti").groupBy(F.col("u").alias("node")).agg(F.collect_set("segment").alias("segments"))
+        near = _near(nodes, staged(few.unionByName(tried.select("u", "v")).distinct(), "pairs"))
+        nearest = staged(near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("one")).select("u", "one.v"), "nearest")
+        same = staged(_verified(docs, nodes, nearest), "similar")
+        roots = staged(components(same), "roots")
+        rest = staged(_rooted(near.select("u", "v").join(nearest, ["u", "v"], "left_anti"), roots), "rest")
+        more = staged(_verified(docs, nodes, rest), "similar")
+        found = same.unionByName(more) if found is None else found.unionByName(same).unionByName(more)
+        left = _rooted(tried, roots).join(more, ["u", "v"], "left_anti").groupBy(F.col("u").alias("node")).agg(F.collect_set("segment").alias("segments"))
         rows = staged(nodes.select("node", "sketch").join(left, "node"), "left")  # a node has a bounded number of segments
         if rows.isEmpty():
             break
