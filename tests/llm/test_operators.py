@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables and awkward rows."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -174,6 +175,35 @@ def test_links_reach_distance_two_and_no_further(spark):
     assert [tuple(sorted(r)) for r in simhash.links(rows).collect()] == [tuple(sorted((base, near)))]
 
 
+def test_top_k_over_many_cells(spark, monkeypatch):
+    """Small blocks and groups, so that the grid has many cells; ties, and values whose sums need 64-bit integers."""
+    for name, value in (("QUERY_ROWS", 3), ("BLOCK_ROWS", 7), ("QUERY_BLOCKS", 2), ("CANDIDATE_BLOCKS", 2), ("PROBED", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(4)
+    for scale in (1.0, 2.0**20):
+        rows = [(i, [float(rng.randint(-3, 3)) * scale for _ in range(6)]) for i in range(400)]
+        found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), "vec_id % 20 = 0", 4)
+        whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+        want = []
+        for q in range(0, 400, 20):
+            scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:4]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+        assert sorted(map(tuple, found.collect())) == want
+    large = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64-bit"):
+        topk.top_k(large).collect()
+
+
+def test_language_of_letters_only(spark):
+    rows = [(i, f"the words of text number {i} and some more of them", "en") for i in range(60)]
+    rows += [(i, f"les mots du texte {i} et quelques autres encore", "fr") for i in range(60, 120)]
+    rows += [(1000, "½ ² ³ 12 _", "en"), (1001, "\u0661 \u2164 !", "en"), (1002, "", "fr"), (1003, None, None), (1004, "中文", None)]
+    rows += [(5, f"copy {i} of one id with the words of it", "en") for i in range(300)]
+    found = {r.doc_id: r for r in langid.language_table(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 1000").collect()}
+    assert all((found[i].lang_pred, found[i].score) == ("und", 0.0) for i in (1000, 1002, 1003)) and found[1001].lang_pred == "und"
+    assert found[1004].rejected
+
+
 def test_links_in_hot_buckets(spark):
     """100,000 fingerprints share a segment; all pairs within two bits are linked, without a row for each pair of the bucket."""
     rng = np.random.default_rng(3)
@@ -462,13 +492,22 @@ def test_op8_writes_shards(spark, odd, empty, tmp_path):
     assert [tuple(r)[:6] for r in got] == [tuple(r) for r in want]
     for r in got:
         assert open(r.path, "rb").read()[r.offset : r.offset + 128] == bytes(r.ids)
+    place = "file://" + os.path.dirname(got[0].path)
     for first in (0, 31, 32, len(want) - 1, len(want)):
-        read = list(tokenstore.read_from(folder, first, len(want), window=64, shard_rows=32))
+        read = list(tokenstore.read_from(place, first, len(want), window=64, shard_rows=32))
         assert [s for s, _ in read] == list(range(first, len(want)))
         assert all(ids.tobytes() == bytes(want[s].ids) for s, ids in read)
     with pytest.raises((EOFError, FileNotFoundError)):
-        list(tokenstore.read_from(folder, 0, len(want) + 1, window=64, shard_rows=32))
+        list(tokenstore.read_from(place, 0, len(want) + 1, window=64, shard_rows=32))
     assert tokenstore.store(empty, WORD).collect() == []
+    places = set()
+    for df, key in ((odd.coalesce(1), 1), (odd.coalesce(1), 2), (odd.repartition(3, "n_chars"), 1)):  # into one folder: shards never mix
+        rows = tokenstore.store(df, WORD, f"file://{tmp_path}/shared", key=key, window=64, shard_rows=32).collect()
+        places.add(os.path.dirname(rows[0].path))
+        assert len({os.path.dirname(r.path) for r in rows}) == 1 and all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
+    assert len(places) == 3
+    with pytest.raises(Exception, match="don't fit 1 bytes"):
+        tokenstore.store(odd, WORD, width=1).collect()
     assert all(r.path for r in queries.op8_tokenstore(spark, SF).collect())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint directory is present (local tests) a
-    temporary folder is made and set.
+    Only where neither that setting nor a checkpoint directory is present a temporary folder is made and set, and
+    only on a local master: executors of a cluster wouldn't see it.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="veritally-")
         spark.sparkContext.setCheckpointDir(place)
         place = spark.sparkContext.getCheckpointDir() or place

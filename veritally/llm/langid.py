@@ -7,7 +7,7 @@ the largest cosine is predicted. A text whose cosine is below its language's dis
 rejected: the limit is a quarter of what all but one in a thousand training texts of the language reach.
 
 Document frequencies are counted over all training rows. Centroids are fitted on a bounded sample:
-about ``PER_LANGUAGE`` rows of each language, by a hash of doc_id. Training uses rows with a text, a
+about ``PER_LANGUAGE`` different rows of each language, by a hash of doc_id and text, and the ``MOST_LANGUAGES`` most frequent languages. Training uses rows with a text, a
 language and a doc_id whose CRC-32 isn't 2 modulo 4; every row is predicted.
 
 A text that is null or has no letter is ``und`` with score 0, and rejected. So is every text if
@@ -18,10 +18,9 @@ special cases.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +32,9 @@ UNKNOWN = "und"
 BUCKETS = 1 << 14
 PER_LANGUAGE = 800
 CENTROIDS = 4
+MOST_LANGUAGES = 500
 HELD_OUT = 2
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ANY_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(texts: pa.Array):
@@ -75,9 +75,11 @@ def _frequencies(batches):
 
 def _vectors(batches):
     for batch in batches:
-        found = list(grams(batch.column(0)))
-        columns = [batch.column(1), pa.array([u.astype("<i4").tobytes() for u, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "buckets", "counts"])
+        for lo, hi in byte_ranges(batch.column(0)):
+            part = batch.slice(lo, hi - lo)
+            found = list(grams(part.column(0)))
+            columns = [part.column(1), pa.array([u.astype("<i4").tobytes() for u, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "buckets", "counts"])
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -117,7 +119,8 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS) -> Model:
     rows = documents(docs, "doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null").where(~held_out())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in sizes.collect()}
     languages = sorted(sizes)
     found: dict[str, list] = {}
     if languages:
@@ -126,9 +129,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS) -
         n = count.pop(BUCKETS, 0)
         weight = np.log((1 + n) / (1 + np.array([count.get(i, 0) for i in range(BUCKETS)], float))) + 1
         share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / sizes[lang])))))
-        u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         sample = rows.where(u < share[F.col("lang")]).select("text", "lang").mapInArrow(_vectors, "lang string, buckets binary, counts binary")
-        for r in sample.toLocalIterator():
+        for r in sample.distinct().toLocalIterator():
             found.setdefault(r["lang"], []).append((bytes(r["buckets"]), bytes(r["counts"])))
     owner, centroids, limit = [], [np.zeros((0, BUCKETS), np.float32)], np.zeros(len(languages))
     for i, lang in enumerate(languages):

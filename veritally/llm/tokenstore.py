@@ -22,6 +22,7 @@ once to the shared folder before their number is known and slots are given.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -83,6 +84,8 @@ class _Sequences:
 
     def __call__(self, batches):
         codec, part, number, rest = word_codec(self.path), TaskContext.get().partitionId(), 0, b""
+        if max(len(codec.table.bytes_of), self.closing + 1) > 1 << 8 * self.width:
+            raise ValueError(f"ids of this vocabulary don't fit {self.width} bytes")
         kind, stride = f"<u{self.width}", self.window * self.width
 
         def rows(ids: bytes):
@@ -244,11 +247,16 @@ class _Read:
 def store(docs: DataFrame, path: str, folder: str = "", key: int = 1, window: int = 2048, closing: int = 1, width: int = 2, shard_rows: int = SHARD_ROWS, waves: int = WAVES) -> DataFrame:
     """Write all sequences as shards; the records, each with the file it stands in and the bytes read from there.
 
-    ``folder`` is a URI that pyarrow opens on every executor; without one a new folder in the shared folder.
+    ``folder`` is a URI that pyarrow opens on every executor; without one a new folder in the shared folder. The shards go
+    to a folder in it that is named by a fingerprint of the key, the layout and all sequences in their order. So a
+    rerun finds what it has written, and shards of another key, corpus or partitioning never mix with these.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/veritally-{spark.sparkContext.applicationId}/shards-{uuid.uuid4().hex}"
     cut, bases, n = _sequences(docs, path, window, closing, width)
+    total = cut.agg(F.sum(F.xxhash64("part", "number", "n_tokens", "ids_crc32").cast("decimal(38,0)"))).first()[0]
+    facts = (str(total), n, key, window, closing, width, shard_rows, path.rsplit("/", 1)[-1])
+    folder = f"{folder.rstrip('/')}/{hashlib.sha256(repr(facts).encode()).hexdigest()[:16]}"
     shards, order = -(-n // shard_rows), Permutation(n, key)
     each = max(1, -(-shards // waves))
     index = spark.createDataFrame([], INDEX)

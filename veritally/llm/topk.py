@@ -1,20 +1,22 @@
 """Exact top-k inner products by the three-phase uniform threshold.
 
-A score is the sum of partial scores over ``SEGMENTS`` groups of components, so each segment is a
-list of partial scores.
-
-1. Every block of candidates takes its k best of each list for each query. The k-th best complete
-   score among these is a score that k candidates reach, so the largest over all blocks is a safe
-   cutoff.
-2. The cutoff T goes back to all blocks. A candidate that reaches T has a partial score of T /
-   SEGMENTS at least in some list, so the entries that do are collected, and all others are left.
-3. What was collected is resolved to complete scores; each block passes on its k best, which are
+A score is the sum of partial scores over ``SEGMENTS`` groups of components, so each segment is a list of partial
+scores.
+
+1. One group of candidates in ``PROBED`` gives its k best of each list for each query. The k-th best complete score
+   among these is a score that k candidates reach, so the largest over all blocks is a safe cutoff, whichever groups
+   are asked.
+2. The cutoff T goes to all blocks. They add up the lists but the last; a candidate whose sum and largest possible
+   rest (the product of both lengths in the last segment) don't reach T is left out.
+3. What remains gets its last partial score, and so its complete score. Each block passes on its k best, which are
    ranked for each query.
 
-Queries and candidates are packed into blocks of a fixed number of rows. Each block of queries
-meets each block of candidates once, in cells that are spread over all tasks; no table is broadcast
-or collected. Scores are integers and exact: products run in double precision while their sums stay
-below 2^53, else in 64-bit integers.
+Queries and candidates are packed into blocks of a fixed number of rows, blocks into groups of a fixed number of blocks,
+and every group of queries meets every group of candidates in a cell of a grid. A cell is merged by its number: a task
+holds the queries of one cell, whatever the number of queries and candidates. No table is broadcast or collected.
+
+Scores are integers and exact: products run in double precision while their sums stay below 2^53, else in 64-bit
+integers. Scores that could pass 2^63 have no place in the result and are refused with an error.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without
 a vec_id. Vectors of another length than the query's are no candidates. Of repeated query rows one
@@ -37,12 +39,19 @@ SCALE = 256
 SEGMENTS = 4
 QUERY_ROWS = 512
 BLOCK_ROWS = 2048
+#: Blocks of a group.
+QUERY_BLOCKS = 8
+CANDIDATE_BLOCKS = 32
+#: Every so many groups of candidates give a cutoff.
+PROBED = 8
 
 
 def valid(vectors: DataFrame) -> DataFrame:
     rows = documents(vectors, "vec_id", "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+    scaled = lambda x: x.cast("double") * SCALE
+    fits = lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x)).cast("double")).otherwise(F.raise_error(F.lit("a component is beyond 64-bit integers")).cast("double"))
+    whole = F.transform("embedding", fits)
     return rows.where(F.coalesce(finite, F.lit(False))).select("vec_id", whole.alias("vector"), F.size("embedding").alias("width"))
 
 
@@ -79,22 +88,38 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(_Pack(size), "part int, number int, width int, ids binary, vectors binary, extra binary")
 
 
+def _numbered(blocks: DataFrame, group: int, least: int = 1) -> tuple[DataFrame, int]:
+    """Blocks with the number of their group of ``group`` blocks at most (fewer, to make ``least`` groups), and how many groups there are."""
+    counts = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each partition
+    bases, n = [], 0
+    for part, size in counts:
+        bases.append((part, n))
+        n += size
+    group = max(1, min(group, n // least))
+    base = F.broadcast(blocks.sparkSession.createDataFrame(bases, "part int, base long"))
+    return blocks.join(base, "part").withColumn("grp", F.floor((F.col("base") + F.col("number") - 1) / group).cast("int")).drop("base"), -(-n // group)
+
+
 class _Cells:
-    """Shared by both passes: the partial scores of every cell."""
+    """Shared by both passes: the vectors of every pair of blocks."""
 
     def __init__(self, k: int):
         self.k = k
 
     def cells(self, batches):
+        """(query ids, candidate ids, cutoffs, [(queries, candidates) of each segment])."""
         for batch in batches:
-            for width, q_ids, q, cut, c_ids, c in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in range(batch.num_rows):
+                width, q_ids, q, cut, c_ids, c = (batch.column(i)[row].as_py() for i in range(6))
                 q_ids, c_ids, cut = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64), np.frombuffer(cut)
                 q, c = np.frombuffer(q).reshape(-1, width), np.frombuffer(c).reshape(-1, width)
-                if np.abs(q).max() * np.abs(c).max() * width >= 2**53:
+                largest = float(np.abs(q).max()) * float(np.abs(c).max()) * width
+                if largest >= 2.0**63:
+                    raise ValueError("scores could pass 64-bit integers")
+                if largest >= 2.0**53:
                     q, c = q.astype(np.int64), c.astype(np.int64)
                 bounds = np.linspace(0, width, min(SEGMENTS, width) + 1).astype(int)
-                lists = [q[:, a:b] @ c[:, a:b].T for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield q_ids, c_ids, cut, lists
+                yield q_ids, c_ids, cut, [(q[:, a:b], c[:, a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 class _Cutoffs(_Cells):
@@ -102,7 +127,8 @@ class _Cutoffs(_Cells):
 
     def __call__(self, batches):
         k = self.k
-        for q_ids, c_ids, _, lists in self.cells(batches):
+        for q_ids, c_ids, _, segments in self.cells(batches):
+            lists = [q @ c.T for q, c in segments]
             total = sum(lists)
             best = [np.argpartition(s, -min(k + 1, len(c_ids)), axis=1)[:, -min(k + 1, len(c_ids)) :] for s in lists]
             chosen = np.sort(np.concatenate(best, axis=1), axis=1)
@@ -118,16 +144,25 @@ class _Cutoffs(_Cells):
 
 
 class _Entries(_Cells):
-    """mapInArrow function, phases two and three: entries that suffice, resolved; k of each block at most."""
+    """mapInArrow function, phases two and three: entries that can suffice, resolved; k of each block at most."""
 
     def __call__(self, batches):
-        for q_ids, c_ids, cut, lists in self.cells(batches):
-            enough = lists[0] * len(lists) >= cut[:, None]
-            for s in lists[1:]:
-                enough |= s * len(lists) >= cut[:, None]
-            enough &= c_ids[None, :] != q_ids[:, None]
+        for q_ids, c_ids, cut, segments in self.cells(batches):
+            last_q, last_c = segments[-1]
+            partial = sum(q @ c.T for q, c in segments[:-1]) if len(segments) > 1 else np.zeros((len(q_ids), len(c_ids)), last_q.dtype)
+            long_q, long_c = (np.sqrt((x.astype(float) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-9 for x in (last_q, last_c))
+            reach = np.multiply.outer(long_q, long_c)
+            reach += partial
+            slack = 1 + np.abs(cut) * 1e-9
+            enough = (reach >= (cut - np.where(np.isfinite(slack), slack, 0))[:, None]) & (c_ids[None, :] != q_ids[:, None])
             row, column = np.nonzero(enough)
-            score = sum(s[row, column] for s in lists)
+            if len(row) * 4 > enough.size:  # most remain: cheaper all together
+                score = (partial + last_q @ last_c.T)[row, column]
+            else:
+                score = partial[row, column]
+                for lo in range(0, len(row), 1 << 16):
+                    part = slice(lo, lo + (1 << 16))
+                    score[part] += np.einsum("ij,ij->i", last_q[row[part]], last_c[column[part]])
             stays = score >= cut[row]
             row, column, score = row[stays], column[stays], score[stays].astype(np.int64)
             order = np.lexsort((c_ids[column], -score, row))
@@ -137,15 +172,17 @@ class _Entries(_Cells):
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[row[top]]), pa.array(c_ids[column[top]]), pa.array(score[top])], ["query_id", "vec_id", "score"])
 
 
-def _grid(queries: DataFrame, candidates: DataFrame, spread: int) -> DataFrame:
-    """Every block of queries beside every block of candidates of its width.
+def _grid(queries: DataFrame, candidates: DataFrame, n_query: int, groups: range) -> DataFrame:
+    """Every block of queries beside every block of candidates of its width, of these groups of candidates.
 
-    Candidates are dealt to ``spread`` cells, and each block of queries is copied to every cell.
+    Cells are merged, so that a task goes from cell to cell and holds the queries of one.
     """
-    cell = F.pmod(F.hash("part", "number"), F.lit(spread))
-    c = candidates.select("width", cell.alias("cell"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c"))
-    q = queries.select("width", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("cell"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.col("extra").alias("cut"))
-    return q.hint("shuffle_hash").join(c, ["width", "cell"]).select("width", "q_ids", "q", "cut", "c_ids", "c")
+    numbers = F.sequence(F.lit(groups[0]), F.lit(groups[-1]), F.lit(groups[1] - groups[0] if len(groups) > 1 else 1))
+    q = queries.select("width", F.col("grp").alias("i"), F.explode(numbers).alias("j"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.col("extra").alias("cut"))
+    step = groups[1] - groups[0] if len(groups) > 1 else 1
+    c = candidates.where((F.col("grp") <= groups[-1]) & (F.col("grp") % step == groups[0] % step))
+    c = c.select("width", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("i"), F.col("grp").alias("j"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c"))
+    return c.hint("merge").join(q.hint("merge"), ["width", "i", "j"]).select("width", "q_ids", "q", "cut", "c_ids", "c")
 
 
 def top_k(vectors: DataFrame, query_ids: str = "vec_id % 50 = 0", k: int = 5) -> DataFrame:
@@ -155,16 +192,20 @@ def top_k(vectors: DataFrame, query_ids: str = "vec_id % 50 = 0", k: int = 5) ->
     """
     spark = vectors.sparkSession
     rows = valid(vectors)
-    candidates = staged(packed(rows.select("vec_id", "vector", "width", F.lit(None).cast("double").alias("extra")), BLOCK_ROWS), "vector-blocks")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    blank = F.lit(None).cast("double").alias("extra")
+    candidates, groups = _numbered(staged(packed(rows.select("vec_id", "vector", "width", blank), BLOCK_ROWS), "vector-blocks"), CANDIDATE_BLOCKS, parts)
     asked = rows.where(query_ids).groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", "vector", F.size("vector").alias("width"))
     asked = staged(asked, "query-vectors")
-    n = asked.count()
-    blocks = -(-n // QUERY_ROWS) or 1
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    plain = packed(asked.select("vec_id", "vector", "width", F.lit(None).cast("double").alias("extra")).repartition(blocks), QUERY_ROWS)
-    cutoffs = _grid(plain, candidates, spread).mapInArrow(_Cutoffs(k), "query_id long, cutoff double").groupBy("query_id").agg(F.max("cutoff").alias("cutoff"))
+    ranks = "query_id long, rank int, vec_id long, score long"
+    if not groups or asked.isEmpty():
+        return spark.createDataFrame([], ranks)
+    plain, n_query = _numbered(staged(packed(asked.select("vec_id", "vector", "width", blank), QUERY_ROWS), "query-blocks"), QUERY_BLOCKS)
+    probed = range(0, groups, PROBED)
+    cutoffs = _grid(plain, candidates, n_query, probed).mapInArrow(_Cutoffs(k), "query_id long, cutoff double").groupBy("query_id").agg(F.max("cutoff").alias("cutoff"))
     bounded = asked.join(cutoffs, asked["vec_id"] == cutoffs["query_id"], "left").select("vec_id", "vector", "width", F.col("cutoff").alias("extra"))
-    entries = _grid(packed(bounded.repartition(blocks), QUERY_ROWS), candidates, spread).mapInArrow(_Entries(k), "query_id long, vec_id long, score long")
+    known, n_query = _numbered(staged(packed(bounded, QUERY_ROWS), "bounded-queries"), QUERY_BLOCKS)
+    entries = _grid(known, candidates, n_query, range(groups)).mapInArrow(_Entries(k), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
