@@ -226,6 +226,24 @@ def _marks(batches):
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "sketch"])
 
 
+def _held(marked: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the lowest bits of each value are in the bitmap."""
+    place = values & np.uint64(FILTER_BITS - 1)
+    return (marked[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+class _Marked:
+    """mapInArrow function: (doc_id, hash of doc_id, text) to (doc_id, text) of ids that may be wanted."""
+
+    def __init__(self, marked: np.ndarray):
+        self.marked = marked
+
+    def __call__(self, batches):
+        for batch in batches:
+            held = _held(self.marked, batch.column(1).to_numpy().view(np.uint64))
+            yield batch.select([0, 2]).filter(pa.array(held))
+
+
 class _Segments:
     """mapInArrow function: (node, sketch), or (node, sketch, segments), to (node, address) of all or of these segments.
 
@@ -258,8 +276,7 @@ class _Segments:
                     row, segment = np.repeat(np.arange(len(raw)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
                 found = address[row, segment]
                 if self.marked is not None:
-                    place = found & np.uint64(FILTER_BITS - 1)
-                    held = (self.marked[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    held = _held(self.marked, found)
                     row, found = row[held], found[held]
                 columns = [pa.array(part.column(0).to_numpy()[row]), pa.array(found.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "address"])
@@ -315,7 +332,10 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     ids = nodes.join(wanted, "node", "left_semi").select("first_id")
-    texts = docs.join(ids, docs["doc_id"] == ids["first_id"], "left_semi").select("text")
+    ids = staged(ids, "wanted")
+    marked = _bitmap(ids.select(F.xxhash64("first_id").alias("address")))  # else the join would shuffle all texts
+    texts = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_Marked(marked), "doc_id long, text string")
+    texts = texts.join(ids, texts["doc_id"] == ids["first_id"], "left_semi").select("text")
     sets = staged(texts.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "shingles")
     return _dealt(pairs, sets, "hashes").mapInArrow(_similar, "u long, v long")
 
