@@ -662,8 +662,8 @@ def byte_codec(path: str) -> ByteCodec:
     return ByteCodec(path)
 
 
-@lru_cache(maxsize=4)
 def word_codec(path: str) -> WordCodec:
+    """A codec for one task. It isn't kept: workers live on, and those of later stages would hold it beside their own arrays."""
     return WordCodec(path)
 
 

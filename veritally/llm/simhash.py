@@ -232,16 +232,21 @@ def _held(marked: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (marked[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-class _Marked:
-    """mapInArrow function: (doc_id, hash of doc_id, text) to (doc_id, text) of ids that may be wanted."""
+class _Sets:
+    """mapInArrow function: (hash of doc_id, text) to (node, shingles) of documents whose id may be wanted.
+
+    The bitmap is asked before a text is read, and the only work in Python of its stage is here: one worker a task.
+    """
 
     def __init__(self, marked: np.ndarray):
         self.marked = marked
 
     def __call__(self, batches):
         for batch in batches:
-            held = _held(self.marked, batch.column(1).to_numpy().view(np.uint64))
-            yield batch.select([0, 2]).filter(pa.array(held))
+            texts = batch.column(1).filter(pa.array(_held(self.marked, batch.column(0).to_numpy().view(np.uint64))))
+            for lo, hi in byte_ranges(texts):
+                sets = shingle_sets(texts.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
 
 class _Segments:
@@ -296,14 +301,6 @@ class _Near:
             yield pa.RecordBatch.from_arrays(columns, ["u", "v", "apart"]).filter(pa.array(apart <= self.distance))
 
 
-def _sets(batches):
-    """mapInArrow function: text to (node, shingles)."""
-    for batch in batches:
-        for lo, hi in byte_ranges(batch.column(0)):
-            sets = shingle_sets(batch.column(0).slice(lo, hi - lo))
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
-
-
 def _similar(batches):
     """mapInArrow function: (u, v, shingles of u, shingles of v) to (u, v) of those that are similar."""
     for batch in batches:
@@ -330,13 +327,10 @@ def _near(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select("first_id")
-    ids = staged(ids, "wanted")
-    marked = _bitmap(ids.select(F.xxhash64("first_id").alias("address")))  # else the join would shuffle all texts
-    texts = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_Marked(marked), "doc_id long, text string")
-    texts = texts.join(ids, texts["doc_id"] == ids["first_id"], "left_semi").select("text")
-    sets = staged(texts.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "shingles")
+    wanted = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node"), "wanted")
+    marked = _bitmap(wanted.select(F.xxhash64("first_id").alias("address")))  # else all texts would become sets
+    found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_Sets(marked), "node long, hashes binary")
+    sets = staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
     return _dealt(pairs, sets, "hashes").mapInArrow(_similar, "u long, v long")
 
 
