@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, packing, quality, simhash, substring, tokenstore, topk, toxicity
+from . import audit, bpe, html, langid, packing, quality, sharding, simhash, substring, tokenstore, topk, toxicity, whitening
 from ._common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -95,10 +95,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_table(table(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_langid, op3_packing, op4_quality, op5_substring, op6_html, op7_topk, op8_tokenstore, op9_bpe, op10_simhash)
+    found = (op1_toxicity, op2_langid, op3_packing, op4_quality, op5_substring, op6_html, op7_topk, op8_tokenstore, op9_bpe, op10_simhash, op11_audit, op12_sharding, op13_whitening)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": quality.sql(), "op5_substring": OP5_SQL, "op7_topk": OP7_SQL}
+    return {"op4_quality": quality.sql(), "op5_substring": OP5_SQL, "op7_topk": OP7_SQL, "op11_audit": audit.SQL}
