@@ -13,14 +13,20 @@ linked to the smallest of them, so the work stays in proportion, without a cap.
 only if both are in hot buckets: otherwise one finds the other in the bucket that isn't.)
 
 ``without_copies`` keeps one document of each group of similar ones: sets of five-word shingles with a Jaccard
-similarity of ``SIMILAR`` at least. At that similarity the bits of fingerprints agree with probability 0.849,
-so 256 bits differ in 39 +- 6, and a match in some segment can't be forced by few segments. There are as many
-segments as give a pair of similarity 0.8 a match with probability ``RECALL`` (more above: at 0.9 all but one
-in 10,000), each of so many bits that unrelated fingerprints rarely meet, whatever their number; as there are
-more segments than bits may differ, the balls have radius zero. Segments take their bits anew from the
-fingerprint and so overlap. In a bucket of two or three all are compared, in a larger one all with one of them:
-by complete distance, then by the whole shingle sets. What isn't similar to that one is looked up again under
-longer segments, ``TURNS`` times, so that a large group costs a fixed number of comparisons a document.
+similarity of ``SIMILAR`` at least. At that similarity fingerprints differ in 15 % of their bits, too many for tables
+by segments (they'd need hundreds of rows from each document, growing with the corpus), so candidates meet by another
+index: ``BANDS`` keys of ``ROWS`` minima each, 14 rows from each document, whatever the corpus. A pair of
+similarity 0.8 shares a key with probability 0.996, one of 0.9 all but surely. Then
+
+1. In each bucket all are compared with one of them, the one that shares most keys with others, as it is the most
+   likely origin of the rest.
+2. In buckets that hold several groups still, all members of different groups are compared, in blocks of ``BLOCK``
+   rows, so that a large bucket is dealt to many tasks. No turn is limited and nothing is left open.
+
+Compared means: by complete distance (a fingerprint of 256 bits and the minima give an estimate of the similarity, which
+must come to ``NEAR``), and what passes by the whole shingle sets, which decide. Only pairs that pass the estimate are
+ever written, so a large group costs a comparison in numpy for each pair of a bucket with open members, and reading sets for
+those close to the limit.
 
 Equal fingerprints (in ``without_copies``: equal shingle sets) are one node. The components of the links are
 the groups.
@@ -33,8 +39,6 @@ one to stay. An empty table gives an empty table, and other columns of the input
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -58,11 +62,12 @@ WIDE_SHINGLE = 5
 WIDE_WORDS = 4
 WIDE_BITS = 64 * WIDE_WORDS
 SIMILAR = 0.8
-RECALL = 0.97
-#: Bits of a segment beyond the logarithm of the number of fingerprints, and those added in each further turn.
-SPARE_BITS = 4
-TURN_BITS = 12
-TURNS = 3
+#: Keys of each document, and minima in a key.
+BANDS, ROWS = 14, 5
+#: Estimated similarity that candidates must reach: all but one in some hundred pairs of similarity 0.8 do. For sets
+#: below ``FEW`` shingles estimates are rough.
+NEAR, ROUGH, FEW = 0.72, 0.5, 32
+BLOCK = 8192
 #: Size of the bitmap that tells addresses of large buckets (8 MB, whatever their number).
 FILTER_BITS = 1 << 26
 #: A fingerprint with more comparisons than this is dealt to several tasks.
@@ -191,24 +196,43 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def agreement(similar: float) -> float:
-    """Probability that a bit of two sets of equal size and this Jaccard similarity is the same."""
-    return 1 - math.acos(min(1.0, 2 * similar / (1 + similar))) / math.pi
+_MINIMA = np.random.Generator(np.random.Philox(key=SEED)).integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The least product of the hashes of each set with each odd number; the largest number for empty sets."""
+    out = np.full((len(sets), len(_MINIMA)), np.iinfo(np.uint64).max)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if full:
+        joined = np.concatenate([sets[i] for i in full])
+        starts = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
+        for j, odd in enumerate(_MINIMA):
+            out[full, j] = np.minimum.reduceat(joined * odd, starts)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of each set: hashes of ``ROWS`` minima and the number of the band."""
+    with np.errstate(over="ignore"):
+        key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * MIX, (len(least), 1))
+        for r in range(ROWS):
+            key = _spread((key ^ least[:, r::ROWS]) * MIX)
+    return key.view(np.int64)
 
 
-def wide_distance(similar: float = SIMILAR) -> int:
-    """Differing bits that all but one in some thousand pairs of this similarity stay within."""
-    off = 1 - agreement(similar)
-    return math.ceil(WIDE_BITS * off + 3.5 * math.sqrt(WIDE_BITS * off * (1 - off)))
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity by fingerprints (their angle) and by the lowest bytes of the minima, for rows of marks."""
+    n = WIDE_BITS // 8
+    apart = np.bitwise_count(np.ascontiguousarray(a[:, :n]).view("<u8") ^ np.ascontiguousarray(b[:, :n]).view("<u8")).sum(axis=1)
+    cosine = np.cos(np.pi * apart / WIDE_BITS)
+    same = ((a[:, n:] == b[:, n:]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+    return 0.55 * same + 0.45 * cosine / (2 - cosine)
 
 
-def segment_bits(nodes: int, turn: int = 0) -> np.ndarray:
-    """Which bits of a fingerprint each segment takes: a row for each segment."""
-    width = max(12, math.ceil(math.log2(max(nodes, 2)))) + SPARE_BITS
-    p = agreement(SIMILAR) ** width
-    segments = math.ceil(math.log(1 - RECALL) / math.log(1 - p))
-    drawn = np.random.Generator(np.random.Philox(key=SEED)).permuted(np.tile(np.arange(WIDE_BITS), (segments, 1)), axis=1)
-    return drawn[:, : min(width + turn * TURN_BITS, WIDE_BITS)]
+def is_near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether pairs of marks can be similar: sizes allow it, and the estimate comes near."""
+    low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    return (low >= SIMILAR * high) & (estimate(a, b) >= np.where(low < FEW, ROUGH, NEAR))
 
 
 def _node(values: np.ndarray) -> int:
@@ -216,14 +240,20 @@ def _node(values: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+MARKS = "node long, size int, mark binary, keys array<long>"
+
+
 def _marks(batches):
-    """mapInArrow function: (doc_id, text) to (doc_id, node, sketch)."""
+    """mapInArrow function: (doc_id, text) to (doc_id, node, size, mark, keys); a mark is a fingerprint and a byte of each of the minima."""
     for batch in batches:
         for lo, hi in byte_ranges(batch.column(1)):
             part = batch.slice(lo, hi - lo)
             sets = shingle_sets(part.column(1))
-            columns = [part.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "sketch"])
+            least = minima(sets)
+            tail = (least >> np.uint64(40)).astype(np.uint8)
+            marks = [sketch(s) + t.tobytes() for s, t in zip(sets, tail, strict=True)]
+            columns = [part.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(marks, pa.binary()), pa.array(list(band_keys(least)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "mark", "keys"])
 
 
 def _held(marked: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -249,56 +279,60 @@ class _Sets:
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
 
-class _Segments:
-    """mapInArrow function: (node, sketch), or (node, sketch, segments), to (node, address) of all or of these segments.
+def _rows(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
-    The number of the segment stands in the top 16 bits of an address, a hash of its bits below. ``marked``: a bitmap of
-    ``FILTER_BITS`` bits; addresses whose lowest bits aren't in it are left out.
-    """
 
-    def __init__(self, taken: np.ndarray, marked: np.ndarray | None = None):
-        self.taken, self.marked = taken, marked
+def _near(batches):
+    """mapInArrow function: (u, v, (size, mark) of u, (size, mark) of v) to (u, v) of those that can be similar."""
+    for batch in batches:
+        if batch.num_rows:
+            (size_u, u), (size_v, v) = ((x.field(0).to_numpy(), _rows(x.field(1))) for x in (batch.column(2), batch.column(3)))
+            yield batch.select([0, 1]).filter(pa.array(is_near(u, v, size_u, size_v)))
 
-    def __call__(self, batches):
-        n = len(self.taken)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")
-                address = np.empty((len(raw), n), np.uint64)
-                for s, taken in enumerate(self.taken):
-                    value = np.packbits(bits[:, taken], axis=1, bitorder="little")
-                    found = np.full(len(raw), s + 1, np.uint64)
-                    for at in range(0, value.shape[1], 8):
-                        word = np.zeros((len(raw), 8), np.uint8)
-                        word[:, : value.shape[1] - at] = value[:, at : at + 8]
-                        found = _spread((found * MIX) ^ word.view("<u8")[:, 0])
-                    address[:, s] = (found >> np.uint64(16)) | np.uint64(s) << np.uint64(48)
-                row, segment = np.repeat(np.arange(len(raw)), n), np.tile(np.arange(n), len(raw))
-                if part.num_columns > 2:
-                    lists = part.column(2)
-                    row, segment = np.repeat(np.arange(len(raw)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-                found = address[row, segment]
-                if self.marked is not None:
-                    held = _held(self.marked, found)
-                    row, found = row[held], found[held]
-                columns = [pa.array(part.column(0).to_numpy()[row]), pa.array(found.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "address"])
-
-
-class _Near:
-    """mapInArrow function: (u, v, sketch of u, sketch of v) to (u, v, distance) of those within the distance."""
-
-    def __init__(self, distance: int):
-        self.distance = distance
 
-    def __call__(self, batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, WIDE_WORDS) for i in (2, 3))
-            apart = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int32)
-            columns = [*batch.columns[:2], pa.array(apart)]
-            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "apart"]).filter(pa.array(apart <= self.distance))
+def _cells(batches):
+    """mapInArrow function: members of buckets, by cell, to (u, v) that can be similar and are in different groups.
+
+    A cell (address, ci, cj) holds blocks ci and cj of a bucket (one, if they are the same), and comes in one piece.
+    """
+
+    def compare(rows: pa.Table):
+        node, root, size, block = (rows.column(c).to_numpy() for c in ("node", "root", "size", "block"))
+        mark = _rows(rows.column("mark"))
+        bits = np.ascontiguousarray(mark[:, : WIDE_BITS // 8]).view("<u8")
+        one, left = rows.column("ci")[0].as_py() == rows.column("cj")[0].as_py(), np.flatnonzero(block == rows.column("ci")[0].as_py())
+        right = left if one else np.flatnonzero(block == rows.column("cj")[0].as_py())
+        step = max(1, (1 << 20) // max(len(right), 1))
+        for lo in range(0, len(left), step):
+            own = left[lo : lo + step]
+            apart = sum(np.bitwise_count(bits[own, None, w] ^ bits[None, right, w]).astype(np.int16) for w in range(WIDE_WORDS))
+            i, j = np.nonzero((apart <= WIDE_BITS // 3) & (root[own][:, None] != root[right][None]))
+            i, j = own[i], right[j]
+            if one:
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), 1 << 16):
+                u, v = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                near = is_near(mark[u], mark[v], size[u], size[v])
+                yield pa.RecordBatch.from_arrays([pa.array(node[u[near]]), pa.array(node[v[near]])], ["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = np.stack([batch.column(c).to_numpy() for c in ("address", "ci", "cj")])
+        cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(cell[:, lo])
+            if now != last and held:
+                yield from compare(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield from compare(pa.Table.from_batches(held))
 
 
 def _similar(batches):
@@ -320,11 +354,6 @@ def _dealt(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
     return salted.join(held.select(F.col("node").alias("u"), F.col(column).alias("of_u")), "u").join(drawn, ["v", "salt"]).select("u", "v", "of_u", "of_v")
 
 
-def _near(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v, apart) whose complete fingerprints are near."""
-    return staged(_dealt(pairs, nodes, "sketch").mapInArrow(_Near(wide_distance()), "u long, v long, apart int"), "near")
-
-
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar."""
     wanted = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node"), "wanted")
@@ -334,18 +363,6 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return _dealt(pairs, sets, "hashes").mapInArrow(_similar, "u long, v long")
 
 
-def _buckets(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (node, address): all pairs (u, v) of buckets of two and three, and (address, v) of larger ones with their smallest node.
-
-    A bucket is summed up by four numbers, combined before the shuffle, so a large one is no load to any task.
-    """
-    full = met.groupBy("address").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("c"), F.bit_xor("node").alias("x")).where("a <> c")
-    full = staged(full.select("address", "n", "a", "c", F.expr("x ^ a ^ c").alias("b")), "buckets")
-    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
-    few = full.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair("c", "a"))).otherwise(F.array(pair("c", "a"), pair("c", "b"), pair("b", "a")))).alias("p")).select("p.*")
-    return few, full.where("n > 3").select("address", F.col("a").alias("v"))
-
-
 def _bitmap(addresses: DataFrame) -> np.ndarray:
     """The lowest bits of all addresses as a bitmap of ``FILTER_BITS`` bits, whatever their number."""
     place = F.col("address").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")) + 1
@@ -357,47 +374,41 @@ def _bitmap(addresses: DataFrame) -> np.ndarray:
     return out
 
 
-def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """``pairs`` whose two nodes aren't in one group yet."""
-    for c in ("u", "v"):
-        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left")
-    return pairs.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).drop("_u", "_v")
-
-
 def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v) of similar nodes, enough to connect the groups but for what no segment brings together.
-
-    First every node is compared with the nearest one that it met; then those that are still in different groups.
-    """
-    n, parts = nodes.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, found = nodes.select("node", "sketch").repartition(parts), None  # many rows from each
-    for turn in range(TURNS):
-        taken, addressed = segment_bits(n, turn), "node long, address long"
-        few, large = _buckets(rows.mapInArrow(_Segments(taken), addressed))
-        met = rows.mapInArrow(_Segments(taken, _bitmap(large)), addressed)  # again, but for addresses of small buckets
-        tried = staged(met.join(large, "address").where("node <> v").select(F.col("node").alias("u"), "v", F.shiftrightunsigned("address", 48).cast("int").alias("segment")), "tried")
-        near = _near(nodes, staged(few.unionByName(tried.select("u", "v")).distinct(), "pairs"))
-        nearest = staged(near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("one")).select("u", "one.v"), "nearest")
-        same = staged(_verified(docs, nodes, nearest), "similar")
-        roots = staged(components(same), "roots")
-        rest = staged(_rooted(near.select("u", "v").join(nearest, ["u", "v"], "left_anti"), roots), "rest")
-        more = staged(_verified(docs, nodes, rest), "similar")
-        found = same.unionByName(more) if found is None else found.unionByName(same).unionByName(more)
-        left = _rooted(tried, roots).join(more, ["u", "v"], "left_anti").groupBy(F.col("u").alias("node")).agg(F.collect_set("segment").alias("segments"))
-        rows = staged(nodes.select("node", "sketch").join(left, "node"), "left")  # a node has a bounded number of segments
-        if rows.isEmpty():
-            break
-        rows = rows.repartition(parts)
-    return found.distinct()
+    """(u, v) of similar nodes, enough to connect the groups but for pairs that share no key."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = nodes.select("node", F.explode("keys").alias("address"))
+    buckets = staged(met.groupBy("address").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = staged(met.join(buckets, "address"), "shared")
+    # the member of a bucket that meets most others is what all are compared with
+    weight = shared.groupBy("node").agg(F.sum("n").alias("w"))
+    centre = shared.join(weight, "node").groupBy("address").agg(F.max(F.struct("w", "node")).alias("c")).select("address", F.col("c.node").alias("v"))
+    tried = staged(shared.join(centre, "address").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "tried")
+    marked = nodes.select("node", F.struct("size", "mark").alias("seen"))
+    near = staged(_dealt(tried, marked, "seen").mapInArrow(_near, "u long, v long"), "near")
+    same = staged(_verified(docs, nodes, near), "similar")
+    # buckets that still hold several groups; in one of two members both have been compared
+    roots = components(same).withColumnRenamed("node", "member")
+    placed = shared.where("n > 2").join(roots, F.col("node") == F.col("member"), "left").select("address", "n", "node", F.coalesce("root", "node").alias("root"))
+    placed = staged(placed, "placed")
+    mixed = placed.groupBy("address").agg(F.min("root").alias("least"), F.max("root").alias("last")).where("least <> last").select("address")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = placed.join(mixed, "address").select("address", "node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    members = members.join(nodes.select("node", "size", "mark"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = members.select("address", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "node", "root", "size", "mark")
+    cells = cells.repartition(parts, "address", "ci", "cj").sortWithinPartitions("address", "ci", "cj")
+    open_pairs = cells.mapInArrow(_cells, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    rest = staged(open_pairs, "open")
+    return same if rest.isEmpty() else same.unionByName(staged(_verified(docs, nodes, rest), "similar"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each group of similar ones, all columns kept; of several rows of one doc_id one stays, always the same."""
     named = documents(docs, "doc_id", "text").where("doc_id is not null")
-    marked = staged(named.mapInArrow(_marks, "doc_id long, node long, sketch binary"), "marks")
-    nodes = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("sketch").alias("sketch")), "nodes")
+    marked = staged(named.mapInArrow(_marks, f"doc_id long, {MARKS}"), "marks")
+    nodes = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("mark").alias("mark"), F.first("keys").alias("keys")), "nodes")
     roots = components(similar_links(named, nodes))
-    rooted = nodes.join(roots, "node", "left").select("first_id", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.select("node", "first_id").join(roots, "node", "left").select("first_id", F.coalesce("root", "node").alias("root"))
     stays = rooted.groupBy("root").agg(F.min("first_id").alias("doc_id")).select("doc_id")
     kept = docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
