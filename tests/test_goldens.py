@@ -153,7 +153,7 @@ def test_refusals(spark):
     with pytest.raises(AnalysisError):
         bunching.Window.of(1.0, 0.5, 0.5)
     with pytest.raises(AnalysisError):
-        power.power_curve(spark, np.arange(10.0), lambda x: 1.0, lambda x, e, g: x + 1, "m", [1.0], [5])
+        power.power_curve(spark.range(10).selectExpr("id", "double(id) x"), "x", "id", lambda x: 1.0, lambda x, e, g: x + 1, "m", [1.0], [5])
 
 
 def test_rate_limiter():

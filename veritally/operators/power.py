@@ -1,21 +1,26 @@
 """Statistical power: rejection rates by sample size and effect, and aggregation ladders.
 
-Every cell (size, effect, replicate) is independent, so cells are rows dealt to all tasks; the
-population they draw from is a bounded sample, passed to them.
+Samples are drawn from the whole population where it lies, without replacement and without passing it through one place: rows
+are ordered by a hash, and every ``n`` rows in that order are a sample. Orders are made anew only when a population is used up.
+A ladder distorts and rolls up all units, once for each replicate, as rows of one aggregate.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..core import seeding
 from ..core.columns import double, finite
 from ..core.errors import AtlasError, LadderError, require
+from ..core.order import running, uniform_bucket
 
 #: The published grid of sizes, and how far above alpha a test may reject.
 SAMPLE_SIZES = (50, 100, 300, 1000, 3000, 10_000, 30_000, 95_000)
@@ -25,11 +30,31 @@ SEMANTICS = ("sum_then_ratio", "mean_of_ratios")
 FPR_TOLERANCE = 2.0
 
 
-def population(df: DataFrame, value: str, row_id: str, most: int = 200_000) -> np.ndarray:
-    """Finite values of a column; of more than ``most`` rows those with the smallest hash of row_id."""
+def samples(df: DataFrame, value: str, row_id: str, sizes: Sequence[int], n_samples: int, seed: int = 0) -> DataFrame:
+    """(n, sample, nth, x): ``n_samples`` samples of each size, each without replacement, from all finite values of the column.
+
+    An order is by a hash of (seed, n, number of the order, row_id), so samples don't depend on partitions. One order gives as many
+    samples as have room in the population, and these share no row. Only rows that can belong to a sample are ranked: those
+    with a hash below the share that is needed, and eight standard errors more. Repeated ids lie side by side in an order.
+    """
     x = double(value)
-    rows = df.where(finite(x)).select(x.alias("x"), F.xxhash64(row_id).alias("h")).orderBy("h").limit(most)
-    return rows.select("x").toPandas()["x"].to_numpy()
+    rows = df.where(finite(x)).select(F.col(row_id).alias("id"), x.alias("x"))
+    total = rows.count()
+    require(bool(sizes) and total >= max(sizes) and min(sizes) >= 1, f"the population has {total} values; samples can't be larger, as they are drawn without replacement", AtlasError)
+    parts = []
+    for n in sizes:
+        per = min(n_samples, total // n)
+        orders = -(-n_samples // per)
+        share = (per * n + 8 * math.sqrt(per * n) + 64) / total
+        u = seeding.uniform(seed, F.lit(n), F.col("ordering"), F.col("id"))
+        drawn = rows.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("ordering")).withColumn("u", u)
+        if share < 1:
+            drawn = drawn.where(F.col("u") < share)
+        ranked = running(drawn, ["ordering"], uniform_bucket(F.col("u") / min(share, 1.0)), [F.col("u"), F.col("id"), F.col("x")], {"nth": F.lit(1).cast("long")})
+        sample = F.col("ordering") * per + F.floor((F.col("nth") - 1) / n)
+        kept = ranked.where(F.col("nth") <= per * n).select(F.lit(n).cast("long").alias("n"), sample.cast("long").alias("sample"), "nth", "x")
+        parts.append(kept.where(F.col("sample") < n_samples))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _generator(*key) -> np.random.Generator:
@@ -45,33 +70,30 @@ def _rejects(test: Callable, alpha: float, *sample) -> bool:
     return math.isfinite(p) and p <= alpha
 
 
-def power_curve(spark: SparkSession, values: np.ndarray, test: Callable, injector: Callable, method: str, effect_sizes: Sequence[float], sample_sizes: Sequence[int] = SAMPLE_SIZES, n_replicates: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Rejection rate of ``test`` for each size and effect; effect 0 is always there and gives the false-positive rate."""
-    values = np.asarray(values, float)
-    values = values[np.isfinite(values)]
+def power_curve(df: DataFrame, value: str, row_id: str, test: Callable, injector: Callable, method: str, effect_sizes: Sequence[float], sample_sizes: Sequence[int] = SAMPLE_SIZES, n_replicates: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Rejection rate of ``test`` for each size and effect; effect 0 is always there and gives the false-positive rate.
+
+    ``test(values)`` gives a p-value, ``injector(values, effect, generator)`` distorts a copy. Every effect is tried on the same
+    samples. A task holds one sample.
+    """
     sizes, effects = sorted({int(n) for n in sample_sizes}), sorted({float(e) for e in effect_sizes} | {0.0})
-    require(bool(sizes) and len(values) >= max(sizes), "the population is smaller than the largest sample", AtlasError)
-    probe = values[:1000]
-    require(np.allclose(injector(probe, 0.0, _generator("probe")), probe), "the injector changes values at effect 0", AtlasError)
-    shared = spark.sparkContext.broadcast(values)  # bounded by ``population``
-
-    def run(batches):
-        for frame in batches:
-            out = []
-            for n, effect, replicate in frame.itertuples(index=False):
-                generator = _generator(seed, method, n, effect, replicate)
-                sample = generator.choice(shared.value, n, replace=False)
-                out.append(_rejects(test, alpha, injector(sample, effect, generator) if effect else sample))
-            yield frame[["n", "effect_size"]].assign(rejected=out)
-
-    cells = spark.range(n_replicates).select(F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))).alias("n"), "id")
-    cells = cells.select("n", F.explode(F.array(*(F.lit(e) for e in effects))).alias("effect_size"), F.col("id").alias("replicate"))
-    done = cells.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "n long, effect_size double, rejected boolean")
+    drawn = samples(df, value, row_id, sizes, n_replicates, seed)
+    probe = np.array([r["x"] for r in df.where(finite(double(value))).select(double(value).alias("x")).limit(1000).collect()])
+    require(np.allclose(injector(probe.copy(), 0.0, _generator("probe")), probe), "the injector changes values at effect 0", AtlasError)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        n, number = int(frame["n"].iloc[0]), int(frame["sample"].iloc[0])
+        require(len(frame) == n, "a sample is incomplete: take another seed", AtlasError)
+        values = frame.sort_values("nth")["x"].to_numpy()
+        found = [_rejects(test, alpha, injector(values.copy(), e, _generator(seed, method, n, e, number)) if e else values.copy()) for e in effects]
+        return pd.DataFrame({"n": n, "effect_size": effects, "rejected": found})
+
+    done = drawn.groupBy("n", "sample").applyInPandas(run, "n long, effect_size double, rejected boolean")
     power = done.groupBy("n", "effect_size").agg(F.avg(F.col("rejected").cast("double")).alias("power"))
-    false = power.where("effect_size = 0").select("n", F.col("power").alias("false_positive_rate"))
+    false = F.max(F.when(F.col("effect_size") == 0, F.col("power"))).over(W.partitionBy("n"))
     se = F.sqrt(F.col("power") * (1 - F.col("power")) / n_replicates)
-    return power.join(false, "n").select(
-        F.lit(method).alias("method"), "n", "effect_size", "power", se.alias("power_se"), F.lit(n_replicates).cast("long").alias("n_replicates"), F.lit(alpha).alias("alpha"), "false_positive_rate"
+    return power.select(
+        F.lit(method).alias("method"), "n", "effect_size", "power", se.alias("power_se"), F.lit(n_replicates).cast("long").alias("n_replicates"), F.lit(alpha).alias("alpha"), false.alias("false_positive_rate")
     )
 
 
@@ -106,48 +128,45 @@ def roll_up(df: DataFrame, num: str, den: str, levels: Sequence[str]) -> DataFra
 LADDER = "level string, semantics string, effect_size double, n_units long, mean_group_size double, power double, power_se double, false_positive_rate double, n_replicates long, alpha double"
 
 
-def aggregation_ladder(df: DataFrame, num: str, den: str, levels: Sequence[tuple[str, str | None]], test: Callable, injector: Callable, effect_sizes: Sequence[float], semantics: Sequence[str] = SEMANTICS, n_replicates: int = 100, alpha: float = 0.05, seed: int = 0, most: int = 200_000) -> DataFrame:
+def aggregation_ladder(df: DataFrame, num: str, den: str, row_id: str, levels: Sequence[tuple[str, str | None]], test: Callable[[Column, Column, Column], Column], injector: Callable[[Column, Column, Column, Column], Column], effect_sizes: Sequence[float], semantics: Sequence[str] = SEMANTICS, n_replicates: int = 100, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Power after aggregating units by each level: distort units, roll up, test.
 
-    ``levels`` are (name, key column), the first being the units themselves (None). The panel is
-    bounded by ``most`` rows, as every cell of the grid works on all of it.
+    ``levels`` are (name, key column), the first being the units themselves (None). Both callables make columns:
+    ``injector(num, den, effect, draw)`` the distorted numerator of a unit, draw being a uniform number of (seed, replicate, row_id), and
+    ``test(num, den, pct)`` a p-value as an aggregate over the groups of a level; a null or NaN doesn't reject. So every
+    unit is distorted and rolled up where it lies, and a replicate of a level costs its groups, added up before the shuffle.
     """
     require(bool(levels) and levels[0][1] is None, "the first level must be the units themselves", LadderError)
     require(all(s in SEMANTICS for s in semantics), f"semantics must be among {SEMANTICS}", LadderError)
     require(0 < alpha < 1, f"alpha must lie in (0, 1); got {alpha}", LadderError)
-    keys = [k for _, k in levels if k]
-    panel = df.select(double(num).alias("num"), double(den).alias("den"), *keys).limit(most + 1).toPandas()
-    require(0 < len(panel) <= most, f"the panel must have 1 to {most} rows", LadderError)
-    require(bool(np.isfinite(panel[["num", "den"]]).all().all() and (panel["den"] > 0).all()), "numerators must be finite and denominators positive", LadderError)
-    spark = df.sparkSession
-    base_num, base_den = panel["num"].to_numpy(), panel["den"].to_numpy()
-    codes = {name: np.arange(len(panel)) if key is None else pd.factorize(panel[key])[0] for name, key in levels}
-    shared = spark.sparkContext.broadcast((base_num, base_den, codes))
+    require(n_replicates >= 1, "need a replicate", LadderError)
+    n, d, effect, draw = F.col("num"), F.col("den"), F.col("effect_size"), seeding.uniform(seed, F.col("replicate"), F.col("unit"))
+    units = df.select(double(num).alias("num"), double(den).alias("den"), F.col(row_id).alias("unit"), *(F.col(k).alias(f"key{i}") for i, (_, k) in enumerate(levels) if k))
+    still = injector(n, d, F.lit(0.0), seeding.uniform(seed, F.lit(0), F.col("unit")))
+    good = finite(n) & finite(d) & (d > 0)
+    facts = units.agg(F.count("*").alias("n"), F.count_if(~good).alias("bad"), F.count_if(good & (F.abs(still - n) > 1e-9 * (1 + F.abs(n)))).alias("changed")).first()
+    require(facts["n"] > 0 and not facts["bad"], "there must be units, with finite numerators and positive denominators", LadderError)
+    require(not facts["changed"], "the injector changes units at effect 0", LadderError)
     effects = sorted({float(e) for e in effect_sizes} | {0.0})
-
-    def run(batches):
-        base_num, base_den, codes = shared.value
-        for frame in batches:
-            out = []
-            for level, kind, effect, replicate in frame.itertuples(index=False):
-                generator, code = _generator(seed, effect, replicate), codes[level]
-                n = injector(base_num, base_den, effect, generator) if effect else base_num
-                a, b = np.bincount(code, n), np.bincount(code, base_den)
-                pct = 100.0 * a / b if kind == "sum_then_ratio" else np.bincount(code, 100.0 * n / base_den) / np.bincount(code)
-                out.append(_rejects(test, alpha, a, b, pct))
-            yield frame[["level", "semantics", "effect_size"]].assign(rejected=out)
-
-    literal = lambda values: F.explode(F.array(*(F.lit(v) for v in values)))
-    cells = spark.range(n_replicates).select(literal([n for n, _ in levels]).alias("level"), "id")
-    cells = cells.select("level", literal(semantics).alias("semantics"), "id").select("level", "semantics", literal(effects).alias("effect_size"), F.col("id").alias("replicate"))
-    done = cells.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "level string, semantics string, effect_size double, rejected boolean")
-    power = done.groupBy("level", "semantics", "effect_size").agg(F.avg(F.col("rejected").cast("double")).alias("power"))
-    false = power.where("effect_size = 0").select("level", "semantics", F.col("power").alias("false_positive_rate"))
-    size = F.create_map(*(x for name, code in codes.items() for x in (F.lit(name), F.lit(int(code.max()) + 1).cast("long"))))[F.col("level")]
-    order = F.create_map(*(x for i, (name, _) in enumerate(levels) for x in (F.lit(name), F.lit(i))))[F.col("level")]
-    return power.join(false, ["level", "semantics"]).select(
-        "level", order.alias("level_ordinal"), "semantics", "effect_size", size.alias("n_units"), (F.lit(float(len(panel))) / size).alias("mean_group_size"), "power",
-        F.sqrt(F.col("power") * (1 - F.col("power")) / n_replicates).alias("power_se"), "false_positive_rate", F.lit(n_replicates).cast("long").alias("n_replicates"), F.lit(alpha).alias("alpha"),
+    cells = units.select("*", F.explode(F.array(*(F.lit(e) for e in effects))).alias("effect_size"))
+    numbers = F.when(effect == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(n_replicates)))  # undistorted units are the same in every replicate
+    cells = cells.select("*", F.explode(numbers).alias("replicate"))
+    cells = cells.select("den", "effect_size", "replicate", F.when(effect == 0, n).otherwise(injector(n, d, effect, draw)).alias("num"), *(c for c in units.columns if c.startswith("key")))
+    parts = []
+    for i, (name, key) in enumerate(levels):
+        if key is None:
+            rows = cells.select("effect_size", "replicate", "num", "den", *((100.0 * n / d).alias(s) for s in SEMANTICS))
+        else:
+            rows = cells.groupBy("effect_size", "replicate", f"key{i}").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.avg(100.0 * n / d).alias("mean_of_ratios")).withColumn("sum_then_ratio", 100.0 * n / d)
+        wide = rows.groupBy("effect_size", "replicate").agg(F.count("*").alias("n_units"), *(test(n, d, F.col(s)).alias(s) for s in semantics))
+        long = wide.select("effect_size", "n_units", F.explode(F.array(*(F.struct(F.lit(s).alias("semantics"), F.col(s).cast("double").alias("p")) for s in semantics))).alias("t"))
+        rejected = F.coalesce((F.col("t.p") <= alpha) & ~F.isnan("t.p"), F.lit(False)).cast("double")
+        power = long.groupBy(F.col("t.semantics").alias("semantics"), "effect_size").agg(F.max("n_units").alias("n_units"), F.avg(rejected).alias("power"))
+        parts.append(power.select(F.lit(name).alias("level"), F.lit(i).alias("level_ordinal"), "*"))
+    false = F.max(F.when(effect == 0, F.col("power"))).over(W.partitionBy("level", "semantics"))
+    return reduce(DataFrame.unionAll, parts).select(
+        "level", "level_ordinal", "semantics", "effect_size", "n_units", (F.lit(float(facts["n"])) / F.col("n_units")).alias("mean_group_size"), "power",
+        F.sqrt(F.col("power") * (1 - F.col("power")) / n_replicates).alias("power_se"), false.alias("false_positive_rate"), F.lit(n_replicates).cast("long").alias("n_replicates"), F.lit(alpha).alias("alpha"),
     )
 
 

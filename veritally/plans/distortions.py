@@ -1,5 +1,7 @@
 """Injection, effect, ladder, power, control and red-team queries."""
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -86,21 +88,35 @@ def _shift(x, effect, generator):
     return x + effect
 
 
+_SIZES, _EFFECTS, _REPLICATES = (50, 100, 300, 1000), (0.0, 0.1, 0.3), 200
+_CURVE = f"""WITH m AS (SELECT avg(o_totalprice) AS a, stddev_pop(o_totalprice) AS s, count(*) AS total FROM orders),
+x AS (SELECT o_orderkey, (o_totalprice - a) / s AS x FROM orders CROSS JOIN m),
+g AS (SELECT n, least({_REPLICATES}, total // n) AS per FROM m CROSS JOIN (SELECT unnest({list(_SIZES)!r}) AS n) v),
+k AS (SELECT n, per, unnest(range(CAST(ceil({_REPLICATES} / per) AS BIGINT))) AS ordering FROM g),
+u AS (SELECT n, per, ordering, x, o_orderkey, {seeding.uniform_sql("'0'", "n", "ordering", "o_orderkey")} AS u FROM x CROSS JOIN k),
+r AS (SELECT n, per, ordering, x, row_number() OVER (PARTITION BY n, ordering ORDER BY u, o_orderkey) AS nth FROM u),
+c AS (SELECT n, ordering * per + (nth - 1) // n AS sample, avg(x) AS mean, stddev_samp(x) AS sd FROM r WHERE nth <= per * n GROUP BY ALL),
+t AS (SELECT n, e, avg(CASE WHEN abs(mean + e) / sd * sqrt(n) >= 1.959963984540054 THEN 1.0 ELSE 0 END) AS power FROM c CROSS JOIN (SELECT unnest({list(_EFFECTS)!r}) AS e) v WHERE sample < {_REPLICATES} GROUP BY n, e)
+SELECT 'mean_shift' AS method, CAST(n AS BIGINT) AS n, {r6("e")} AS effect_size, {r6("power")} AS power, {r6(f"sqrt(power * (1 - power) / {_REPLICATES})")} AS power_se, CAST({_REPLICATES} AS BIGINT) AS n_replicates,
+  {r6("0.05")} AS alpha, {r6("max(power) FILTER (e = 0) OVER (PARTITION BY n)")} AS false_positive_rate FROM t"""
+
+
 def _curve(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders")
-    values = power.population(orders.select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
-    z = (values - values.mean()) / values.std()
-    return power.power_curve(spark, z, _t_test, _shift, "mean_shift", [0.1, 0.3], [50, 300], n_replicates=40)
+    """Standardised prices of all orders, tested for a mean of zero."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    mean, sd = orders.agg(F.avg("o_totalprice"), F.stddev_pop("o_totalprice")).first()
+    scaled = orders.select("o_orderkey", ((F.col("o_totalprice") - mean) / sd).alias("x"))
+    return power.power_curve(scaled, "x", "o_orderkey", _t_test, _shift, "mean_shift", _EFFECTS, _SIZES, _REPLICATES)
 
 
-@query()
+@query(_CURVE)
 def power_curve(spark, sf_dir):
     return shown(_curve(spark, sf_dir))
 
 
-@query()
+@query(_CURVE)
 def atlas_roundtrip(spark, sf_dir):
-    place = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/veritally-atlas-{spark.sparkContext.applicationId}"
+    place = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/veritally-atlas-{uuid.uuid4().hex}"
     atlas.publish_atlas(_curve(spark, sf_dir), place, "mean_shift", "unit", seed=0)
     return shown(atlas.PowerLookup(spark, place).select("mean_shift", "unit"))
 
@@ -117,16 +133,30 @@ def atlas_mde(spark, sf_dir):
     return shown(power.minimum_detectable_effect(rows))
 
 
-@query()
+_LADDER = f"""WITH u AS (SELECT n_name AS nation, CAST(n_regionkey AS BIGINT) AS region, l_suppkey AS unit, CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS num, CAST(count(*) AS DOUBLE) AS den
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3),
+e AS (SELECT 0.0 AS e, 0 AS r UNION ALL SELECT e, r FROM (SELECT unnest([0.5, 1.0]) AS e), (SELECT unnest(range(1, 101)) AS r)),
+c AS (SELECT u.*, e, r, num + CASE WHEN e = 0 THEN 0 ELSE e * den * 0.05 * {seeding.uniform_sql("'0'", "r", "unit")} END AS moved FROM u CROSS JOIN e),
+p AS (SELECT 'supplier' AS level, 0 AS o, 'both' AS kind, e, r, 100.0 * moved / den AS pct FROM c
+  UNION ALL SELECT 'nation', 1, 'sum_then_ratio', e, r, 100.0 * sum(moved) / sum(den) FROM c GROUP BY nation, e, r UNION ALL SELECT 'nation', 1, 'mean_of_ratios', e, r, avg(100.0 * moved / den) FROM c GROUP BY nation, e, r
+  UNION ALL SELECT 'region', 2, 'sum_then_ratio', e, r, 100.0 * sum(moved) / sum(den) FROM c GROUP BY region, e, r UNION ALL SELECT 'region', 2, 'mean_of_ratios', e, r, avg(100.0 * moved / den) FROM c GROUP BY region, e, r),
+t AS (SELECT level, o, kind, e, r, count(*) AS units, coalesce(abs(avg(pct) - 24.5) / nullif(stddev_samp(pct), 0) * sqrt(count(*)) >= 1.959963984540054, false) AS rejected FROM p GROUP BY ALL),
+s AS (SELECT level, o, unnest(CASE WHEN kind = 'both' THEN ['sum_then_ratio', 'mean_of_ratios'] ELSE [kind] END) AS semantics, e, units, rejected FROM t),
+w AS (SELECT level, o, semantics, e, max(units) AS units, avg(CASE WHEN rejected THEN 1.0 ELSE 0 END) AS power FROM s GROUP BY ALL)
+SELECT level, CAST(o AS BIGINT) AS level_ordinal, semantics, {r6("e")} AS effect_size, units AS n_units, {r6("(SELECT count(*) FROM u) / units")} AS mean_group_size, {r6("power")} AS power,
+  {r6("sqrt(power * (1 - power) / 100)")} AS power_se, {r6("max(power) FILTER (e = 0) OVER (PARTITION BY level, semantics)")} AS false_positive_rate, CAST(100 AS BIGINT) AS n_replicates, {r6("0.05")} AS alpha FROM w"""
+
+
+@query(_LADDER)
 def ladder_power(spark, sf_dir):
-    def moved(num, den, effect, generator):
-        return num + effect * den * 0.05
+    def moved(num, den, effect, draw):
+        return num + effect * den * 0.05 * draw
 
-    def test(num, den, pct) -> float:
-        return _t_test(pct - 25.0)
+    def test(num, den, pct):
+        z = F.abs(F.avg(pct) - 24.5) / F.when(F.stddev_samp(pct) > 0, F.stddev_samp(pct)) * F.sqrt(F.count(pct))
+        return 2 * special.norm_sf_column(z)
 
-    panel = _suppliers(spark, sf_dir)
-    return shown(power.aggregation_ladder(panel, "num", "den", [("supplier", None), ("nation", "nation")], test, moved, [1.0], n_replicates=5))
+    return shown(power.aggregation_ladder(_suppliers(spark, sf_dir), "num", "den", "l_suppkey", [("supplier", None), ("nation", "nation"), ("region", "region")], test, moved, [0.5, 1.0]))
 
 
 _P = seeding.uniform_sql("'9'", "event_id")
