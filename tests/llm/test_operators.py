@@ -247,26 +247,55 @@ def test_importance_by_hand(spark):
     """Eight pages of one host: every number of the tree follows from counts."""
     rows = []
     for i in range(8):
-        note = "same words all" if i < 4 else f"words of page{i}"  # 14 letters each
-        body = f"alone{i} " + "y" * 70
+        note = "same words" if i < 4 else f"words of page{i}"
+        body = f"alone{i} " + "y " * 20  # 21 words: one feature
         layout = "<p>a</p>" if i % 2 else "<p>a</p><ul></ul>"
         rows.append((i, "http://h.org/", f'<body><div class="k"><a href="/">a menu</a></div><div class="n">{note}</div><div class="m">{body}</div><div class="v">{layout}</div></body>'))
     tree = html.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     path = {n: p for page in [html.Page(rows[0][2])] for n, p in zip(page.name, page.paths())}
     found = {name: next(r for r in tree if r.path == path[name]) for name in ("body", "div.k", "div.n", "div.m", "div.v")}
-    log = lambda x: float(np.log(x))
-    total = 14 + 77 + 1
+    log = lambda x: float(np.log(x) / np.log(8))
+    note = 4 * log(4) + 8 * log(8) + 4 * log(4)  # same, words, of, and four words of one page each; all in all 4 + 8 + 4 + 4
     want = {
-        "div.k": (0.0, 0.0, 0.0),  # one block, on all pages, a link
-        "div.n": (0.0, 1 - 4 * log(4) / log(8) / 8, 14 / total / 0.25),  # one block on four pages, four on one
-        "div.m": (0.0, 1.0, 1.0),
-        "div.v": (1 - 2 * 4 * log(4) / log(8) / 8, 0.0, 1 / total / 0.25),  # two layouts, four pages each
+        "div.k": (0.0, 0.0, 2),  # two words, on all pages
+        "div.n": (0.0, 1 - note / 20, 20 / 8),
+        "div.m": (0.0, 1.0, 21),
+        "div.v": (1 - 2 * 4 * log(4) / 8, 0.0, 1),  # two layouts, four pages each
     }
-    for name, (presentation, content, mass) in want.items():
+    for name, (presentation, content, words) in want.items():
         r = found[name]
-        assert (r.n_pages, r.presentation, r.content, r.mass) == (8, pytest.approx(presentation), pytest.approx(content), pytest.approx(min(1.0, mass)))
-        assert r.importance == pytest.approx(0.1 * presentation + 0.9 * content * min(1.0, mass))
-    assert found["body"].mass == 1.0 and found["body"].content == pytest.approx(1 - (8 + 4 * log(4) / log(8) + 0 + 8) / 32)
+        assert (r.n_pages, r.presentation, r.content, r.own_words, r.own_content) == (8, pytest.approx(presentation), pytest.approx(content), words, pytest.approx(content))
+        assert r.importance == pytest.approx(0.1 * presentation + 0.9 * content)
+    assert found["body"].own_words == 0 and found["body"].content == pytest.approx(1 - (16 + note + 0 + 8) / (16 + 20 + 8 * 21 + 8))
+
+
+PARTS = """<article><div class="post-header"><h1>Title {i}</h1></div><p>{text}</p><ul><li>one of {i}</li><li>two</li></ul><table><tr><td>cell</td></tr></table><figure><img src="x"><figcaption>Figure</figcaption></figure>
+<dl><dt>term</dt><dd>meaning</dd></dl><section><h2>Part</h2><p>{text}</p></section><div class="box"><p>In a box</p></div><div class="share-buttons">Share</div></article>"""
+
+
+@pytest.mark.parametrize("pages", [2, 12])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_parts_of_an_article_stay(spark, pages, tag):
+    """Lists, tables, captions and sections come out whole, on a host with a tree and on one without; also if no tag tells the article, but for named noise."""
+    body = PARTS if tag == "article" else PARTS.replace("<article>", '<div class="c">').replace("</article>", "</div>")
+    page = '<html><body><nav><a href="/">Home</a></nav><div class="header-image story"><p>{text}</p></div>' + body + '<div class="site-footer">All rights</div></body></html>'
+    words = lambda i: " ".join(f"word{i}x{k}" for k in range(80))
+    rows = [(i, f"http://h{pages}{tag}.org/{i}", page.format(i=i, text=words(i))) for i in range(pages)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = "" if tag == "article" else "{1} "  # beside an article; without one nothing says that it isn't part of the text
+    want = (story + "Title {0} {1} one of {0} two cell Figure term meaning Part {1} In a box").format
+    assert found == {i: want(i, words(i)) for i in range(pages)}
+
+
+@pytest.mark.parametrize(
+    ("box", "stays"),
+    [
+        ('<div class="header-image story">', True), ('<div class="post-header">', True), ('<div class="site-header">', False), ('<div class="cookie-notice">', False), ('<div id="main-menu">', False), ('<div class="a comments">', False),
+        ('<div class="comment-free story">', True), ('<section id="related-work">', True), ('<div class="ads">', False), ('<div class="advert box">', False), ('<div class="wrapper">', True), ('<p class="footer">', True),
+    ],
+)
+def test_names_speak_as_a_whole(box, stays):
+    assert html.Page(f"<html><body>{box}words</{box[1 : box.index(' ')]}></body></html>").text() == ("words" if stays else "")
 
 
 def test_tree_decides_where_names_say_nothing(spark):
@@ -291,7 +320,7 @@ def test_large_broken_pages_take_linear_time(source):
     began = time.process_time()
     page = html.Page(source)
     page.profile()
-    page.text({1: True})
+    page.text({1: 1.0})
     assert time.process_time() - began < 20
 
 

@@ -1,27 +1,26 @@
 """Main text of web pages by site style trees.
 
 Pages of one host are merged into a style tree: a node is the path of tags and classes from the root, with the
-ways its children are laid out (presentation) and the text blocks it holds (content) over all pages of the host.
+ways its children are laid out (presentation) and the text it holds (content) over all pages of the host.
 Siblings of one name are nodes of their own, by number. On m pages with a node:
 
 * presentation importance is the entropy of its layouts, relative to log m;
-* content importance is one minus the mean evenness of all text blocks of its branch: a block found on c of the m
-  pages has evenness log c / log m, so what comes back word for word on every page is worth nothing;
-* mass is the share of the page's unlinked text that the branch and its siblings of the same name hold, in the
-  mean over the pages and relative to ``FULL_SHARE`` (at most one): menus are links, and notices and adverts are short,
-  whatever their words.
-
-Importance is (1 - GAMMA) * presentation + GAMMA * content * mass. On a host with ``LEAST_PAGES`` pages with a node, it
-decides: branches below ``THRESHOLD`` go, and no tag name, class or role is asked, but for elements that are never text
-(scripts, styles, titles, form controls, ...) and for reader comments and the like inside an article (see below).
-
-Where the tree has seen a node on fewer pages nothing can be told from repetition. There (and for what the
-tree keeps outside the article of a page that has one) HTML's own words are the prior: elements that are never article
-text (menus, footers, forms, ...) go by tag, role or class, and where a page has an ``article`` or ``main`` element
-its text is the page's. Inside an article only containers (not paragraphs or headings) can go, and by name only if a whole
-class or id is a word for noise.
-
-Nodes are counted, never gathered: a host with a third of all pages costs a row for each node and task. The tree is
+* content importance is one minus the mean evenness of the features of its branch. A feature found on c of the m
+  pages has evenness log c / log m. Blocks of up to ``SHORT`` words are taken apart into words, each a feature, so that a
+  template with a number or a name in it still comes back; a longer block is one feature, with the weight of its words.
+
+Importance is (1 - GAMMA) * presentation + GAMMA * content: entropies alone, whatever the length or the names of a branch. On a
+host with ``LEAST_PAGES`` pages with a node, branches go that come to less than ``THRESHOLD`` of the most important branch beside them. But parts of a text stay: nothing within an article,
+nor within a branch that the tree has found to hold text of its own that matters (``OWN_WORDS`` words a page at least, directly
+in it), is judged by the tree, as lists, tables and captions of an article have few and common words.
+
+What comes anew on every page but isn't the article (a menu of the day, an advert) can't be told by entropy. So HTML's own words
+are asked on every host: elements that are never article text (menus, footers, forms, ...) go by tag, role or class, and where a
+page has an ``article`` or ``main`` element its text is the page's. A class or id speaks only as a whole: all its words must be words for noise, or
+neutral ones beside one for noise ("site-header" goes, "header-image" and "post-header" stay), and never for headings and paragraphs. Inside an article only containers can go
+by name. So a page comes out the same on a large host and on a small one, but for what the tree removes outside of articles.
+
+Nodes are counted, never gathered: a host with a third of all pages costs a row for each feature and task. The tree is
 ``LEVELS`` containers deep; what lies deeper belongs to the last of them. Pages are read in one pass, in time linear in
 their length, whatever their nesting or unclosed tags.
 
@@ -46,8 +45,11 @@ from .bpe import byte_ranges
 
 LEAST_PAGES = 5
 GAMMA = 0.9
-THRESHOLD = 0.3
-FULL_SHARE = 0.25
+THRESHOLD = 0.6
+#: Importance of a branch that holds text of its own, whatever is beside it.
+HOLDING = 0.5
+SHORT = 16
+OWN_WORDS = 20
 LEVELS = 64
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -70,6 +72,8 @@ _NOISE_WORDS = frozenset(
     "foot footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related "
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say nothing beside one for noise.
+_NEUTRAL_WORDS = frozenset("area bar block bottom box button buttons container content global inner items left link links list main outer page primary right secondary section site top wrap wrapper".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Elements that an opening tag of the key closes.
 _CLOSES = {
@@ -154,7 +158,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.name, self.noise = ["#"], [-1], [""], [False]
-        self.main, self.within, self.raw, self.named = [False], [False], [False], [False]
+        self.main, self.within, self.raw = [False], [False], [False]
         self.runs: list[tuple[int, int, str]] = []
         self.depths: dict[str, list[int]] = {}
         self.stack, block, at = [0], 0, 0
@@ -222,17 +226,16 @@ class Page:
         self.name.append(f"{tag}.{name}" if name else tag)
         self.raw.append(raw)
         self.noise.append(noise or raw or named)
-        self.named.append((noise or named) and within)
         self.main.append(main)
         self.within.append(main or within)
         return i
 
     @staticmethod
     def _named_noise(tag: str, value: str, within: bool) -> bool:
-        """Whether a class or id names noise: in an article a whole name of a container, elsewhere any word of a name."""
-        if within:
-            return tag in _CONTAINER and not _NOISE_WORDS.isdisjoint(value.split())
-        return tag not in _TEXT and not _NOISE_WORDS.isdisjoint(_WORDS.findall(value))
+        """Whether a whole class or id names noise: in an article only for containers, elsewhere for all but headings and paragraphs."""
+        if tag in _TEXT or (within and tag not in _CONTAINER):
+            return False
+        return any(not _NOISE_WORDS.isdisjoint(w) and not w - _NOISE_WORDS - _NEUTRAL_WORDS for w in (set(_WORDS.findall(name)) for name in value.split()))
 
     def paths(self) -> list[int]:
         """Names from the root to each element, each with its number among siblings of that name, as a 64-bit hash."""
@@ -244,14 +247,13 @@ class Page:
         return path
 
     def profile(self):
-        """(path, layout, mass, containers above and itself) of each container, and (path, hash) of each different text block in it directly."""
+        """(path, layout, containers above and itself) of each container, and {(path, hash): words} of each different feature directly in it."""
         n, path = len(self.tag), self.paths()
-        gone, linked, level = [False] * n, [False] * n, [0] * n
+        gone, level = [False] * n, [0] * n
         holder, layout, above, last = [0] * n, {}, {}, {}
         for i in range(1, n):
             p = self.parent[i]
             gone[i] = gone[p] or self.raw[i]
-            linked[i] = linked[p] or self.tag[i] == "a"
             holder[i], level[i] = holder[p], level[p]
             if self.tag[i] in _CONTAINER and level[p] < LEVELS:
                 holder[i], level[i] = i, level[p] + 1
@@ -261,41 +263,41 @@ class Page:
                 last[p] = self.name[i]
                 layout[path[p]] = layout.get(path[p], 0) * 31 + xxhash.xxh32_intdigest(self.name[i].encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
         layout.pop(path[0], None)
-        own, blocks = [0] * n, {}
+        blocks = {}
         for block, i, run in self.runs:
-            if not gone[i] and not run.isspace():
-                if holder[i]:
-                    blocks.setdefault((block, holder[i]), []).append(run)
-                if not linked[i]:
-                    own[i] += len(run.strip())
-        total = sum(own)
-        for i in range(n - 1, 0, -1):
-            own[self.parent[i]] += own[i]
-        alike: dict[tuple[int, str], int] = {}
-        for i in range(1, n):
-            if holder[i] == i:
-                like = self.parent[i], self.name[i]
-                alike[like] = alike.get(like, 0) + own[i]
-        mass = {path[i]: alike[self.parent[i], self.name[i]] / total if total else 0.0 for i in range(1, n) if holder[i] == i}
-        texts = {(path[i], xxhash.xxh32_intdigest(" ".join("".join(runs).split()).encode("utf-8", "surrogatepass"))) for (_, i), runs in blocks.items()}
-        return [(p, layout[p], mass[p], above[p]) for p in layout], texts
-
-    def text(self, verdicts: dict[int, bool] | None = None, prior: bool = True) -> str:
-        """The page's text. ``verdicts`` has for nodes of the tree whether they are important; ``prior``: names decide elsewhere."""
-        n, verdicts = len(self.tag), verdicts or {}
+            if not gone[i] and holder[i] and not run.isspace():
+                blocks.setdefault((block, holder[i]), []).append(run)
+        features = {}
+        for (_, i), runs in blocks.items():
+            words = "".join(runs).split()
+            for feature in words if len(words) <= SHORT else [" ".join(words)]:
+                features[path[i], xxhash.xxh32_intdigest(feature.encode("utf-8", "surrogatepass"))] = 1 if len(words) <= SHORT else len(words)
+        return [(p, layout[p], above[p]) for p in layout], features
+
+    def text(self, importance: dict[int, float] | None = None, prior: bool = True, holding: frozenset = frozenset()) -> str:
+        """The page's text. ``importance``: of nodes of the tree; ``holding``: those with a text of their own; ``prior``: names decide too."""
+        n, importance = len(self.tag), importance or {}
         holds = [False] * n  # an article somewhere below
         for i in range(n - 1, 0, -1):
             if (self.main[i] and not self.raw[i]) or holds[i]:
                 holds[self.parent[i]] = True
-        path = self.paths() if verdicts else None
-        gone, inside = [False] * n, [False] * n
+        known = {}  # containers that the tree knows
+        best = {}  # the most important of them by parent
+        if importance:
+            for i, p in enumerate(self.paths()):
+                if p in importance and self.tag[i] in _CONTAINER and self.tag[i] != "body":
+                    known[i] = p
+                    best[self.parent[i]] = max(best.get(self.parent[i], 0.0), importance[p])
+        gone, inside, whole = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             p = self.parent[i]
             noise = self.noise[i] and not (holds[i] and self.tag[i] not in _NOISE_TAGS) if prior else self.raw[i]
-            found = verdicts.get(path[i]) if path and self.tag[i] in _CONTAINER else None
-            if found is not None and self.tag[i] != "body":
-                noise = self.raw[i] or self.named[i] or (not found and not holds[i])
+            if i in known:
+                article = prior and (self.main[i] or self.within[i] or holds[i])
+                noise |= not (whole[p] or article) and importance[known[i]] < THRESHOLD * best[p]
+                whole[i] = known[i] in holding
             gone[i] = gone[p] or noise
+            whole[i] |= whole[p]
             inside[i] = inside[p] or (self.main[i] and not gone[i])
         only = prior and any(inside)
         out, held, current = [], [], -1
@@ -311,18 +313,18 @@ class Page:
 
 
 def _profiles(batches):
-    """mapInArrow function: (host, html) to (host, path, kind, look, mass, above); kind 0 is layout, 1 a text block."""
+    """mapInArrow function: (host, html) to (host, path, kind, look, words, above); kind 0 is a layout, 1 a feature."""
     for batch in batches:
         for lo, hi in byte_ranges(batch.column(1)):
             part = batch.slice(lo, hi - lo)
             rows = []
             for h, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                nodes, texts = Page(html or "").profile()
-                rows += [(h, p, 0, layout, mass, above) for p, layout, mass, above in nodes]
-                rows += [(h, p, 1, text, 0.0, None) for p, text in texts]
+                nodes, features = Page(html or "").profile()
+                rows += [(h, p, 0, layout, 0, above) for p, layout, above in nodes]
+                rows += [(h, p, 1, feature, words, None) for (p, feature), words in features.items()]
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "kind", "look", "mass", "above"])
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "kind", "look", "words", "above"])
 
 
 def host() -> F.Column:
@@ -330,26 +332,27 @@ def host() -> F.Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, n_pages, presentation, content, mass, importance) of every container node."""
+    """(host, path, n_pages, presentation, content, importance, own_words, own_content) of every container node; own: without its containers."""
     rows = documents(pages, "url", "html").where("html is not null").select(host().alias("host"), "html").where("host is not null")
-    looks = rows.mapInArrow(_profiles, "host string, path long, kind int, look long, mass double, above array<long>").groupBy("host", "path", "kind", "look")
-    looks = looks.agg(F.count("*").alias("c"), F.sum("mass").alias("mass"), F.min("above").alias("above"))
-    total = F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("n_pages")
-    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
-    weighted = F.col("c") * F.log("c")
-    nodes = looks.groupBy("host", "path").agg(total, F.min("above").alias("above"), F.sum("mass").alias("masses"), of(0, weighted).alias("layouts"), of(1, weighted).alias("texts"), of(1, F.col("c")).alias("blocks"))
+    looks = rows.mapInArrow(_profiles, "host string, path long, kind int, look long, words long, above array<long>").groupBy("host", "path", "kind", "look")
+    looks = looks.agg(F.count("*").alias("c"), F.sum("words").alias("words"), F.min("above").alias("above"))
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
+    nodes = looks.groupBy("host", "path").agg(
+        of(0, F.col("c")).alias("n_pages"), F.min("above").alias("above"), of(0, F.col("c") * F.log("c")).alias("layouts"), of(1, F.col("words") * F.log("c")).alias("even"), of(1, F.col("words")).alias("words")
+    )
     log_m = F.greatest(F.log("n_pages"), F.lit(1e-9))
     single = F.col("n_pages") < 2
-    nodes = nodes.withColumn("presentation", F.when(single, 1.0).otherwise(1 - F.col("layouts") / F.col("n_pages") / log_m))
-    nodes = nodes.withColumn("same", F.when(single, 0.0).otherwise(F.col("texts") / log_m)).withColumn("mass", F.least(F.lit(1.0), F.col("masses") / F.col("n_pages") / FULL_SHARE))
-    nodes = staged(nodes.select("host", "path", "n_pages", "above", "presentation", "same", "blocks", "mass"), "style-nodes")
-    branch = nodes.where("blocks > 0").select("host", F.explode("above").alias("path"), "same", "blocks").groupBy("host", "path").agg((1 - F.sum("same") / F.sum("blocks")).alias("content"))
-    nodes = nodes.join(branch, ["host", "path"], "left").select("host", "path", "n_pages", "presentation", F.coalesce("content", F.lit(0.0)).alias("content"), "mass")
-    return nodes.withColumn("importance", (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content") * F.col("mass"))
+    nodes = nodes.withColumn("presentation", F.when(single, 1.0).otherwise(1 - F.col("layouts") / F.col("n_pages") / log_m)).withColumn("even", F.when(single, 0.0).otherwise(F.col("even") / log_m))
+    nodes = staged(nodes.select("host", "path", "n_pages", "above", "presentation", "even", "words"), "style-nodes")
+    branch = nodes.where("words > 0").select("host", F.explode("above").alias("path"), "even", "words").groupBy("host", "path").agg((1 - F.sum("even") / F.sum("words")).alias("content"))
+    nodes = nodes.join(branch, ["host", "path"], "left").select("host", "path", "n_pages", "presentation", F.coalesce("content", F.lit(0.0)).alias("content"), "even", "words")
+    own = F.when(F.col("words") > 0, 1 - F.col("even") / F.col("words")).otherwise(0.0)
+    importance = (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content")
+    return nodes.select("host", "path", "n_pages", "presentation", "content", importance.alias("importance"), (F.col("words") / F.col("n_pages")).alias("own_words"), own.alias("own_content"))
 
 
 class _Extract:
-    """mapInArrow function: (page_id, url, html, important, unimportant) to text."""
+    """mapInArrow function: (page_id, url, html, nodes of its host with their importance, and those that hold text) to text."""
 
     def __init__(self, prior: bool):
         self.prior = prior
@@ -359,9 +362,9 @@ class _Extract:
             for lo, hi in byte_ranges(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
                 texts = []
-                for html, good, bad in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                    verdicts = dict.fromkeys(good or (), True) | dict.fromkeys(bad or (), False)
-                    texts.append(Page(html or "").text(verdicts, self.prior))
+                for html, nodes, values, holding in zip(*(part.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                    importance = dict(zip(nodes or (), values or (), strict=True))
+                    texts.append(Page(html or "").text(importance, self.prior, frozenset(holding or ())))
                 columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
@@ -369,8 +372,9 @@ class _Extract:
 def extract(pages: DataFrame, prior: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of every page. Without the prior the tree alone decides, and what it hasn't seen often stays."""
     known = style_tree(pages).where(F.col("n_pages") >= LEAST_PAGES)
-    listed = lambda test: F.collect_list(F.when(test, F.col("path")))
-    verdicts = known.groupBy("host").agg(listed(F.col("importance") >= THRESHOLD).alias("good"), listed(F.col("importance") < THRESHOLD).alias("bad"))
+    holding = (F.col("importance") >= HOLDING) & (F.col("own_words") >= OWN_WORDS) & (F.col("own_content") >= HOLDING)
+    node = F.collect_list(F.struct("path", "importance")).alias("node")
+    verdicts = known.groupBy("host").agg(node, F.collect_list(F.when(holding, F.col("path"))).alias("holding")).select("host", F.col("node.path").alias("nodes"), F.col("node.importance").alias("values"), "holding")
     rows = documents(pages, "page_id", "url", "html").withColumn("host", host())
-    marked = rows.join(staged(verdicts, "style-tree"), "host", "left").select("page_id", "url", "html", "good", "bad")
+    marked = rows.join(staged(verdicts, "style-tree"), "host", "left").select("page_id", "url", "html", "nodes", "values", "holding")
     return marked.mapInArrow(_Extract(prior), "page_id long, url string, text string, n_chars long")
