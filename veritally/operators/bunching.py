@@ -7,7 +7,7 @@ on the bins outside the window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -245,30 +245,51 @@ def placebo_test(df: DataFrame, value: str, threshold: float, placebos: Sequence
     return out.select("observed", n.alias("n_placebo"), ((1 + reached) / (1 + n) if add_one else reached / n).alias("pvalue"))
 
 
-def bootstrap_bunching(df: DataFrame, value: str, threshold: float, window: Window, by: Sequence[str] = (), n_boot: int = 499, alpha: float = 0.05, seed: int = 0, method: str = "residual", statistic: str = "normalized_excess") -> DataFrame:
-    """Percentile interval by resampling residuals, or rows through the multinomial of their bins."""
+def _statistic(name: str | Callable[[dict], float]) -> Callable[[dict], float]:
+    if callable(name):
+        return name
+    require(name in ("excess_mass", "missing_mass", "normalized_excess"), f"unknown statistic {name!r}")
+    return lambda found: found[name]
+
+
+def bunching_draws(df: DataFrame, value: str, threshold: float, window: Window, by: Sequence[str] = (), n_boot: int = 499, seed: int = 0, method: str = "residual", statistic: str | Callable[[dict], float] = "normalized_excess") -> DataFrame:
+    """(keys, replicate, draw) of a statistic of refitted bins: replicate 0 is the estimate itself, a null a fit that failed.
+
+    Residuals are resampled, or rows through the multinomial of their bins. ``statistic`` is a name, or a function of what ``fit`` returns.
+    """
     require(method in ("residual", "pairs"), f"unknown method {method!r}")
-    require(statistic in ("excess_mass", "missing_mass", "normalized_excess"), f"unknown statistic {statistic!r}")
-    require(0 < alpha < 1 and n_boot >= 2, "bad alpha or n_boot")
+    require(n_boot >= 2, f"n_boot must be at least 2; got {n_boot}")
+    of = _statistic(statistic)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         first, dense = _dense(frame)
         found = fit(first, dense, window)
-        row = {k: frame[k].iloc[0] for k in by}
-        draws = []
-        if found:
-            generator = np.random.Generator(np.random.Philox(key=[seed, int(pd.util.hash_array(np.array([str(row)], object))[0])]))
-            n, pool = int(dense.sum()), np.array(found["residuals"])
-            for _ in range(n_boot):
-                sample = generator.multinomial(n, dense / dense.sum()).astype(float) if method == "pairs" else np.array(found["counterfactual"]) + generator.choice(pool, len(pool))
-                if again := fit(first, sample, window):
-                    draws.append(again[statistic])
-        low, high = (float(np.quantile(draws, q)) for q in (alpha / 2, 1 - alpha / 2)) if len(draws) > 1 else (None, None)
-        row |= {"estimate": found[statistic] if found else None, "se": float(np.std(draws, ddof=1)) if len(draws) > 1 else None, "low": low, "high": high, "n_failed": n_boot - len(draws)}
-        return pd.DataFrame([row])
-
-    counts = bin_counts(df, value, threshold, window.bin_width, by)
-    return counts.groupBy(*by).applyInPandas(solve, _kinds(df, by) + "estimate double, se double, low double, high double, n_failed long")
+        draws = [float(of(found)) if found else None]
+        generator = np.random.Generator(np.random.Philox(key=[seed, int(pd.util.hash_array(np.array([str({k: frame[k].iloc[0] for k in by})], object))[0])]))
+        n, pool = int(dense.sum()), np.array(found["residuals"] if found else [])
+        for _ in range(n_boot if found else 0):
+            sample = generator.multinomial(n, dense / dense.sum()).astype(float) if method == "pairs" else np.array(found["counterfactual"]) + generator.choice(pool, len(pool))
+            again = fit(first, sample, window)
+            draws.append(float(of(again)) if again else None)
+        out = pd.DataFrame({"replicate": range(len(draws)), "draw": pd.array(draws, "Float64")})
+        for i, k in enumerate(by):
+            out.insert(i, k, frame[k].iloc[0])
+        return out
+
+    counts = bin_counts(df, value, threshold, window.bin_width, by).where("bin is not null")
+    return counts.groupBy(*by).applyInPandas(solve, _kinds(df, by) + "replicate int, draw double")
+
+
+def bootstrap_bunching(df: DataFrame, value: str, threshold: float, window: Window, by: Sequence[str] = (), n_boot: int = 499, alpha: float = 0.05, seed: int = 0, method: str = "residual", statistic: str | Callable[[dict], float] = "normalized_excess") -> DataFrame:
+    """Percentile interval of each key over its draws; where the bins can't be fitted, nulls, and all draws failed."""
+    require(0 < alpha < 1, f"alpha must lie in (0, 1); got {alpha}")
+    draws = bunching_draws(df, value, threshold, window, by, n_boot, seed, method, statistic)
+    x = F.when((F.col("replicate") > 0) & ~F.isnan("draw"), F.col("draw"))
+    two = lambda c: F.when(F.count(x) >= 2, c)
+    return draws.groupBy(*by).agg(
+        F.max(F.when(F.col("replicate") == 0, F.col("draw"))).alias("estimate"), two(F.stddev_samp(x)).alias("se"), two(F.percentile(x, F.lit(alpha / 2))).alias("low"),
+        two(F.percentile(x, F.lit(1 - alpha / 2))).alias("high"), (F.lit(n_boot) - F.count(x)).alias("n_failed"),
+    )
 
 
 def _bands(ends: Sequence[int]) -> tuple[list[float], list[int]]:

@@ -19,6 +19,10 @@ from ..core.errors import require
 from ..core.order import running, value_bucket
 
 
+#: Where the Poisson distribution of mean one reaches 1, 2, ... counts.
+POISSON_STEPS = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(11)]
+
+
 def resolve_k(k: int | float, n: Column) -> Column:
     """A count, or a fraction of n rounded up, one at least."""
     require(not isinstance(k, bool) and (isinstance(k, int) or 0 < k < 1), f"k must be a count or a fraction below 1; got {k!r}")
@@ -95,23 +99,27 @@ def calibration_curve(df: DataFrame, label: str, score: str, row_id: str, by: Se
     return kept.select(*by, F.col("s").alias("threshold"), (F.col("hits") / F.col("selected")).alias("precision"), (F.col("hits") / F.when(F.col("all_pos") > 0, F.col("all_pos"))).alias("recall"), F.col("selected").alias("n_selected"))
 
 
-def bootstrap_auc(df: DataFrame, label: str, score: str, row_id: str, by: Sequence[str] = (), n_boot: int = 499, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Percentile interval of the area under the curve, by Poisson resampling within each class.
+def poisson_auc_draws(df: DataFrame, label: str, score: str, row_id: str, by: Sequence[str] = (), n_boot: int = 499, seed: int = 0) -> DataFrame:
+    """(keys, replicate, draw): the area under the curve by Poisson resampling within each class; null where a class is empty.
 
-    A row's count in a replicate depends on (seed, replicate, row_id) alone, so nothing is joined or
-    indexed; replicates in which a class is empty are counted as failed.
+    A row's count in a replicate depends on (seed, replicate, row_id) alone, so nothing is joined or indexed, and SQL can
+    check every draw. ``bootstrap.metric_draws`` costs cells instead of rows.
     """
-    require(0 < alpha < 1, f"alpha must lie in (0, 1); got {alpha}")
     rows = scored(df, label, score, row_id, by).select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("replicate"))
     u = seeding.uniform(seed, F.col("replicate"), F.col("row_id"))
-    chances = [math.exp(-1) / math.factorial(k) for k in range(12)]
-    count = sum((F.when(u >= sum(chances[: k + 1]), 1).otherwise(0) for k in range(11)), F.lit(0))
+    count = sum((F.when(u >= t, 1).otherwise(0) for t in POISSON_STEPS), F.lit(0))
     cells = rows.withColumn("c", count).where("c > 0").groupBy(*by, "replicate", "s").agg(F.sum("c").alias("m"), F.sum(F.when(F.col("y") > 0, F.col("c")).otherwise(0)).alias("pos"))
     down = W.partitionBy(*by, "replicate").orderBy(F.col("s").desc())
     cells = cells.select("*", (F.sum("pos").over(down) - F.col("pos")).alias("above"), (F.col("m") - F.col("pos")).alias("neg"))
     pairs = F.sum("pos") * F.sum("neg")
-    draws = cells.groupBy(*by, "replicate").agg((F.sum(F.col("neg") * (F.col("above") + F.col("pos") / 2.0)) / F.when(pairs > 0, pairs)).alias("auc"))
+    return cells.groupBy(*by, "replicate").agg((F.sum(F.col("neg") * (F.col("above") + F.col("pos") / 2.0)) / F.when(pairs > 0, pairs)).alias("draw"))
+
+
+def bootstrap_auc(df: DataFrame, label: str, score: str, row_id: str, by: Sequence[str] = (), n_boot: int = 499, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Percentile interval of the area under the curve over Poisson draws; replicates in which a class is empty are counted as failed."""
+    require(0 < alpha < 1, f"alpha must lie in (0, 1); got {alpha}")
+    draws = poisson_auc_draws(df, label, score, row_id, by, n_boot, seed)
     return draws.groupBy(*by).agg(
-        F.expr(f"percentile(auc, {alpha / 2})").alias("low"), F.expr(f"percentile(auc, {1 - alpha / 2})").alias("high"), F.stddev_samp("auc").alias("se"),
-        (F.lit(n_boot) - F.count("auc")).alias("n_failed"),
+        F.expr(f"percentile(draw, {alpha / 2})").alias("low"), F.expr(f"percentile(draw, {1 - alpha / 2})").alias("high"), F.stddev_samp("draw").alias("se"),
+        (F.lit(n_boot) - F.count("draw")).alias("n_failed"),
     )

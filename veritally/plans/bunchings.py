@@ -103,4 +103,4 @@ def permutation_diff(spark, sf_dir):
 
 @query()
 def bunching_bootstrap(spark, sf_dir):
-    return shown(bunching.bootstrap_bunching(load(spark, sf_dir, "events"), "value", 50.0, bunching.Window.of(2.0, 4.0, 4.0, poly_degree=5), ["event_type"], n_boot=99))
+    return shown(bunching.bootstrap_bunching(load(spark, sf_dir, "events"), "value", 50.0, bunching.Window.of(2.0, 4.0, 4.0, poly_degree=5), ["event_type"]))

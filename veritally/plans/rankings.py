@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..core import seeding
 from ..ml import detectors, harness, pu
-from ..operators import ranking
+from ..operators import bootstrap, ranking
 from .registry import load, query, r6, shown
 
 
@@ -43,9 +44,44 @@ def calibration_curve(spark, sf_dir):
     return shown(ranking.calibration_curve(_scored(spark, sf_dir), "quality", "n_chars", "doc_id"))
 
 
-@query()
+def _draws(key: str, n_boot: int) -> str:
+    """Every row's Poisson count in every replicate, and the area of each replicate of each key."""
+    count = " + ".join(f"CASE WHEN u >= {t!r} THEN 1 ELSE 0 END" for t in ranking.POISSON_STEPS)
+    return f"""{_ROWS}, u AS (SELECT {key} AS k, s, y, r, {seeding.uniform_sql("'0'", "r", "doc_id")} AS u FROM x CROSS JOIN range(1, {n_boot + 1}) t(r)),
+c AS (SELECT k, r, s, sum({count}) AS m, sum(CASE WHEN y > 0 THEN {count} ELSE 0 END) AS pos FROM u GROUP BY k, r, s),
+h AS (SELECT *, sum(pos) OVER (PARTITION BY k, r ORDER BY s DESC) - pos AS above FROM c),
+d AS (SELECT k, r, sum((m - pos) * (above + pos / 2.0)) / nullif(sum(pos) * sum(m - pos), 0) AS draw FROM h GROUP BY k, r)"""
+
+
+@query(f"WITH {_draws('0', 499)} SELECT {r6('quantile_cont(draw, 0.025)')} AS low, {r6('quantile_cont(draw, 0.975)')} AS high, {r6('stddev_samp(draw)')} AS se, CAST(499 - count(draw) AS BIGINT) AS n_failed FROM d")
 def metric_bootstrap(spark, sf_dir):
-    return shown(ranking.bootstrap_auc(_scored(spark, sf_dir), "quality", "n_chars", "doc_id", n_boot=99))
+    return shown(ranking.bootstrap_auc(_scored(spark, sf_dir), "quality", "n_chars", "doc_id"))
+
+
+@query(f"""WITH {_draws("lang", 99)}, z AS (SELECT lang AS k, s, count(*) AS m, sum(y) AS pos FROM x GROUP BY 1, 2), w AS (SELECT *, sum(pos) OVER (PARTITION BY k ORDER BY s DESC) - pos AS above FROM z),
+p AS (SELECT k, sum((m - pos) * (above + pos / 2.0)) / nullif(sum(pos) * sum(m - pos), 0) AS point FROM w GROUP BY k),
+q AS (SELECT p.k, max(point) AS point, stddev_samp(draw) AS se, quantile_cont(draw, 0.05) AS low, quantile_cont(draw, 0.95) AS high, avg(draw) - max(point) AS bias, count(draw) AS n FROM p JOIN d ON p.k IS NOT DISTINCT FROM d.k GROUP BY p.k)
+SELECT k AS lang, {r6("point")} AS point, {r6("se")} AS se, {r6("low")} AS ci_low, {r6("high")} AS ci_high, {r6("bias")} AS bias, CAST(99 AS BIGINT) AS n_boot, CAST(99 - n AS BIGINT) AS n_failed, low <= 0.6 AND 0.6 <= high AS covers FROM q""")
+def bootstrap_result(spark, sf_dir):
+    rows = _scored(spark, sf_dir)
+    draws = ranking.poisson_auc_draws(rows, "quality", "n_chars", "doc_id", ["lang"], 99)
+    found = bootstrap.summary(draws, ranking.roc_auc(rows, "quality", "n_chars", "doc_id", ["lang"]), "roc_auc", ["lang"], 0.1, "poisson")
+    return shown(found.withColumn("covers", bootstrap.covers(0.6)), "lang", "point", "se", "ci_low", "ci_high", "bias", "n_boot", "n_failed", "covers")
+
+
+@query()
+def metric_bootstrap_ap(spark, sf_dir):
+    rows = _scored(spark, sf_dir)
+    draws = bootstrap.metric_draws(rows, "quality", "n_chars", "doc_id", "average_precision", stratified=True)
+    return shown(bootstrap.summary(draws, ranking.average_precision(rows, "quality", "n_chars", "doc_id"), "average_precision", method="stratified_pairs"))
+
+
+@query()
+def metric_bootstrap_ndcg(spark, sf_dir):
+    rows = _scored(spark, sf_dir)
+    draws = bootstrap.metric_draws(rows, "quality", "n_chars", "doc_id", "ndcg", 0.05, ["lang"], 199)
+    point = ranking.at_k(rows, "quality", "n_chars", "doc_id", [0.05], ["lang"])
+    return shown(bootstrap.summary(draws, point, "ndcg", ["lang"]))
 
 
 @query(f"""WITH {_ROWS} SELECT lang, {r6("least(1, greatest(0, avg(s) FILTER (y = 0) / avg(s) FILTER (y = 1)))")} AS class_prior FROM x GROUP BY lang""")
