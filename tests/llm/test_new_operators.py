@@ -239,3 +239,55 @@ def test_triangles_keep_small_eigenvalues():
 
     got = np.linalg.svd(whitening.orthogonal_factor(gram, *a.shape))[1]
     assert np.allclose(got / sizes, 1, atol=1e-5)  # the Gram matrix of a has lost all digits of the last
+
+
+def test_uniform_threshold_touches_few_pairs():
+    """Every pair that reaches a cutoff passes; of vectors of very different lengths few partial scores are worked out."""
+    from veritally.llm import topk
+
+    rng = np.random.default_rng(7)
+    for skew, most in ((2.0, 0.15), (0.0, 1.0)):
+        c = np.floor(rng.normal(size=(3000, 32)) * 200 * np.exp(skew * rng.normal(size=(3000, 1))))
+        q = np.floor(rng.normal(size=(40, 32)) * 200)
+        total = q @ c.T
+        cut = np.sort(total, axis=1)[:, -5]
+        bounds = topk._bounds(32)
+        segments = [(q[:, a:b], c[:, a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+        enough, touched = topk.uniform_entries(segments, cut)
+        assert enough[total >= cut[:, None]].all() and enough.mean() < 0.3 * (1 + most)
+        assert touched <= most * 4 * total.size
+        everything, _ = topk.uniform_entries(segments, np.full(40, -np.inf))
+        assert everything.all()
+        low, _ = topk.uniform_entries(segments, np.full(40, -1e4))  # a cutoff below zero
+        assert low[total >= -1e4].all()
+
+
+def test_blocks_that_cannot_matter_are_not_sent(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from veritally.llm import topk
+
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCKS", 1)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCKS", 1)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1500, 12)) * np.exp(3 * rng.normal(size=(1500, 1)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    sizes, sent = [], topk._sent
+
+    def counted(queries, candidates, n):
+        out = sent(queries, candidates, n)
+        sizes.append((candidates.count() * n, out.count(), queries.where(F.exists("need", lambda x: x > 0)).count()))
+        return out
+
+    monkeypatch.setattr(topk, "_sent", counted)
+    found = sorted(map(tuple, topk.top_k(df, "vec_id % 50 = 0", 5).collect()))
+    x = np.floor(v * 256)
+    want = []
+    for i in range(0, 1500, 50):
+        best = sorted(((-int(x[i] @ x[j]), j) for j in range(1500) if j != i))[:5]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert found == sorted(want)
+    everything, passed, bounded = sizes[-1]
+    assert bounded and passed < 0.5 * everything

@@ -1,18 +1,20 @@
 """Exact top-k inner products by the three-phase uniform threshold.
 
 A score is the sum of partial scores over ``SEGMENTS`` groups of components, so each segment is a list of partial
-scores.
+scores of all candidates.
 
 1. One group of candidates in ``PROBED`` gives its k best of each list for each query. The k-th best complete score
-   among these is a score that k candidates reach, so the largest over all blocks is a safe cutoff, whichever groups
+   among these is a score that k candidates reach, so the largest over all blocks is a safe cutoff T, whichever groups
    are asked.
-2. The cutoff T goes to all blocks. They add up the lists but the last; a candidate whose sum and largest possible
-   rest (the product of both lengths in the last segment) don't reach T is left out.
-3. What remains gets its last partial score, and so its complete score. Each block passes on its k best, which are
-   ranked for each query.
+2. The cutoff goes to all lists, each with the same threshold T / SEGMENTS: a candidate that reaches T has a partial score of at least that
+   much in some list. A list passes on its entries above the threshold, and only these. It is read by falling length of the candidates' segment, and
+   no further than length times the query's length can reach the threshold; a block of candidates that can't reach it in any list
+   isn't even sent to the queries. Candidates are laid into blocks by length, so that short ones share blocks.
+3. An entry's possible score is what lists passed on of it, and the threshold for each list that didn't. Where that reaches T, the
+   complete score is worked out. Each block passes on its k best, which are ranked for each query.
 
 Queries and candidates are packed into blocks of a fixed number of rows, blocks into groups of a fixed number of blocks,
-and every group of queries meets every group of candidates in a cell of a grid. A cell is merged by its number: a task
+and a group of queries meets a group of candidates in a cell of a grid. A cell is merged by its number: a task
 holds the queries of one cell, whatever the number of queries and candidates. No table is broadcast or collected.
 
 Scores are integers and exact: products run in double precision while their sums stay below 2^53, else in 64-bit
@@ -26,6 +28,9 @@ vec_id. An empty table gives an empty table, and other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -55,8 +60,33 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(finite, F.lit(False))).select("vec_id", whole.alias("vector"), F.size("embedding").alias("width"))
 
 
+def _bounds(width: int) -> np.ndarray:
+    """Where the segments of a vector begin, and the end."""
+    return np.linspace(0, width, min(SEGMENTS, width) + 1).astype(int)
+
+
+def _lengths(vectors: np.ndarray, cuts=None) -> np.ndarray:
+    """Length of each segment of each row, rounded up."""
+    cuts = _bounds(vectors.shape[1]) if cuts is None else cuts
+    return np.stack([np.sqrt((vectors[:, a:b].astype(float) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-9 for a, b in zip(cuts[:-1], cuts[1:], strict=True)], axis=1)
+
+
+def _least(cut: np.ndarray, lists: int) -> np.ndarray:
+    """The threshold of each list. Scores are whole numbers, so that rounding can't lose an entry."""
+    return cut / lists - 1 - np.abs(np.where(np.isfinite(cut), cut, 0)) * 1e-9
+
+
+def _needed(cut: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each query and list the length that a candidate's segment must have to reach the threshold."""
+    least = _least(cut, lengths.shape[1])[:, None]
+    return np.where(least > 0, least / lengths, 0.0)
+
+
 class _Pack:
-    """mapInArrow function: rows (vec_id, vector, width, extra) to blocks of one width."""
+    """mapInArrow function: rows (vec_id, vector, width, extra) to blocks of one width.
+
+    ``longest`` has the greatest length of each segment; ``need`` the least length that a candidate's segment must have for one of the rows, as a
+    query with the cutoff ``extra``, to reach its threshold there."""
 
     def __init__(self, rows: int):
         self.rows = rows
@@ -69,9 +99,12 @@ class _Pack:
             nonlocal number
             ids, vectors, extra = zip(*held.pop(width), strict=True)
             number += 1
-            columns = [part, number, width, np.array(ids, np.int64).tobytes(), np.stack(vectors).tobytes(), np.array(extra, np.float64).tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], ["part", "number", "width", "ids", "vectors", "extra"])
+            rows = np.stack(vectors)
+            lengths = _lengths(rows)
+            need = _needed(np.array(extra), lengths).min(axis=0)
+            columns = [part, number, width, np.array(ids, np.int64).tobytes(), rows.tobytes(), np.array(extra, np.float64).tobytes(), lengths.max(axis=0).tolist(), need.tolist()]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], ["part", "number", "width", "ids", "vectors", "extra", "longest", "need"])
 
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
@@ -85,7 +118,7 @@ class _Pack:
 
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
-    return rows.mapInArrow(_Pack(size), "part int, number int, width int, ids binary, vectors binary, extra binary")
+    return rows.mapInArrow(_Pack(size), "part int, number int, width int, ids binary, vectors binary, extra binary, longest array<double>, need array<double>")
 
 
 def _numbered(blocks: DataFrame, group: int, least: int = 1) -> tuple[DataFrame, int]:
@@ -118,7 +151,7 @@ class _Cells:
                     raise ValueError("scores could pass 64-bit integers")
                 if largest >= 2.0**53:
                     q, c = q.astype(np.int64), c.astype(np.int64)
-                bounds = np.linspace(0, width, min(SEGMENTS, width) + 1).astype(int)
+                bounds = _bounds(width)
                 yield q_ids, c_ids, cut, [(q[:, a:b], c[:, a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -143,26 +176,43 @@ class _Cutoffs(_Cells):
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[known]), pa.array(kth[known])], ["query_id", "cutoff"])
 
 
+def uniform_entries(segments: list[tuple[np.ndarray, np.ndarray]], cut: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which pairs (query, candidate) can reach the queries' cutoffs, by the entries that lists pass on; and how many partial scores were worked out."""
+    n, lists = len(segments[0][1]), len(segments)
+    least = _least(cut, lists)
+    needs = _needed(cut, np.concatenate([_lengths(q, [0, q.shape[1]]) for q, _ in segments], axis=1)).min(axis=0, initial=np.inf)
+    possible, passed, touched = np.repeat(least[:, None] * lists, n, axis=1), np.zeros((len(cut), n), bool), 0
+    for (q, c), need in zip(segments, needs.tolist(), strict=True):
+        length = _lengths(c, [0, c.shape[1]])[:, 0]
+        order = np.argsort(-length, kind="stable")
+        reach = order[: np.searchsorted(-length[order], -need, "right")]
+        if not len(reach):
+            continue
+        partial = (q @ c[reach].T).astype(float)
+        touched += partial.size
+        sent = partial >= least[:, None]
+        with np.errstate(invalid="ignore"):
+            possible[:, reach] += np.where(sent, partial - least[:, None], 0.0)
+        passed[:, reach] |= sent
+    return passed & ((possible >= (lists * least - lists)[:, None]) | ~np.isfinite(cut)[:, None]), touched
+
+
 class _Entries(_Cells):
     """mapInArrow function, phases two and three: entries that can suffice, resolved; k of each block at most."""
 
     def __call__(self, batches):
         for q_ids, c_ids, cut, segments in self.cells(batches):
-            last_q, last_c = segments[-1]
-            partial = sum(q @ c.T for q, c in segments[:-1]) if len(segments) > 1 else np.zeros((len(q_ids), len(c_ids)), last_q.dtype)
-            long_q, long_c = (np.sqrt((x.astype(float) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-9 for x in (last_q, last_c))
-            reach = np.multiply.outer(long_q, long_c)
-            reach += partial
-            slack = 1 + np.abs(cut) * 1e-9
-            enough = (reach >= (cut - np.where(np.isfinite(slack), slack, 0))[:, None]) & (c_ids[None, :] != q_ids[:, None])
+            enough, _ = uniform_entries(segments, cut)
+            enough &= c_ids[None, :] != q_ids[:, None]
             row, column = np.nonzero(enough)
             if len(row) * 4 > enough.size:  # most remain: cheaper all together
-                score = (partial + last_q @ last_c.T)[row, column]
+                score = sum(q @ c.T for q, c in segments)[row, column]
             else:
-                score = partial[row, column]
+                score = np.zeros(len(row), segments[0][0].dtype)
                 for lo in range(0, len(row), 1 << 16):
                     part = slice(lo, lo + (1 << 16))
-                    score[part] += np.einsum("ij,ij->i", last_q[row[part]], last_c[column[part]])
+                    for q, c in segments:
+                        score[part] += np.einsum("ij,ij->i", q[row[part]], c[column[part]])
             stays = score >= cut[row]
             row, column, score = row[stays], column[stays], score[stays].astype(np.int64)
             order = np.lexsort((c_ids[column], -score, row))
@@ -172,8 +222,20 @@ class _Entries(_Cells):
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[row[top]]), pa.array(c_ids[column[top]]), pa.array(score[top])], ["query_id", "vec_id", "score"])
 
 
+def _sent(queries: DataFrame, candidates: DataFrame, n_query: int) -> DataFrame:
+    """(part, number, i): which groups i of queries a block of candidates is sent to: those whose threshold some list of it can reach.
+
+    Decided on the lengths of blocks alone, before a vector is copied.
+    """
+    lists = range(1, SEGMENTS + 1)
+    asked = queries.groupBy("width", F.col("grp").alias("i")).agg(*(F.min(F.try_element_at("need", F.lit(s))).alias(f"need{s}") for s in lists))
+    blocks = candidates.select("width", "part", "number", "longest", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("i"))
+    reaches = [F.coalesce(F.try_element_at("longest", F.lit(s)) >= F.col(f"need{s}"), F.lit(False)) for s in lists]
+    return blocks.join(asked, ["width", "i"]).where(reduce(or_, reaches)).select("part", "number", "i")
+
+
 def _grid(queries: DataFrame, candidates: DataFrame, n_query: int, groups: range) -> DataFrame:
-    """Every block of queries beside every block of candidates of its width, of these groups of candidates.
+    """Blocks of queries beside blocks of candidates of their width, of these groups of candidates, where these can matter.
 
     Cells are merged, so that a task goes from cell to cell and holds the queries of one.
     """
@@ -181,7 +243,7 @@ def _grid(queries: DataFrame, candidates: DataFrame, n_query: int, groups: range
     q = queries.select("width", F.col("grp").alias("i"), F.explode(numbers).alias("j"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.col("extra").alias("cut"))
     step = groups[1] - groups[0] if len(groups) > 1 else 1
     c = candidates.where((F.col("grp") <= groups[-1]) & (F.col("grp") % step == groups[0] % step))
-    c = c.select("width", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("i"), F.col("grp").alias("j"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c"))
+    c = c.join(_sent(queries, c, n_query), ["part", "number"]).select("width", "i", F.col("grp").alias("j"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c"))
     return c.hint("merge").join(q.hint("merge"), ["width", "i", "j"]).select("width", "q_ids", "q", "cut", "c_ids", "c")
 
 
@@ -194,7 +256,9 @@ def top_k(vectors: DataFrame, query_ids: str = "vec_id % 50 = 0", k: int = 5) ->
     rows = valid(vectors)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     blank = F.lit(None).cast("double").alias("extra")
-    candidates, groups = _numbered(staged(packed(rows.select("vec_id", "vector", "width", blank), BLOCK_ROWS), "vector-blocks"), CANDIDATE_BLOCKS, parts)
+    length = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x)
+    laid = rows.withColumn("length", length).repartitionByRange(parts, F.col("length").desc(), F.col("vec_id"))
+    candidates, groups = _numbered(staged(packed(laid.select("vec_id", "vector", "width", blank), BLOCK_ROWS), "vector-blocks"), CANDIDATE_BLOCKS, parts)
     asked = rows.where(query_ids).groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", "vector", F.size("vector").alias("width"))
     asked = staged(asked, "query-vectors")
     ranks = "query_id long, rank int, vec_id long, score long"
