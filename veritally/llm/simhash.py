@@ -20,13 +20,12 @@ similarity 0.8 shares a key with probability 0.996, one of 0.9 all but surely. T
 
 1. In each bucket all are compared with one of them, the one that shares most keys with others, as it is the most
    likely origin of the rest.
-2. In buckets that hold several groups still, all members of different groups are compared, in blocks of ``BLOCK``
-   rows, so that a large bucket is dealt to many tasks. No turn is limited and nothing is left open.
+2. In buckets that hold several groups still, all members of different groups are compared, in cells of two blocks of bounded
+   size, so that a large bucket is dealt to many tasks. No turn is limited and nothing is left open. A cell joins groups as it
+   finds links, so it passes on fewer links than it has members, and no pair that isn't similar.
 
 Compared means: by complete distance (a fingerprint of 256 bits and the minima give an estimate of the similarity, which
-must come to ``NEAR``), and what passes by the whole shingle sets, which decide. Only pairs that pass the estimate are
-ever written, so a large group costs a comparison in numpy for each pair of a bucket with open members, and reading sets for
-those close to the limit.
+must come to ``NEAR``), and what passes by the whole shingle sets, which decide.
 
 Equal fingerprints (in ``without_copies``: equal shingle sets) are one node. The components of the links are
 the groups.
@@ -67,7 +66,8 @@ BANDS, ROWS = 14, 5
 #: Estimated similarity that candidates must reach: all but one in some hundred pairs of similarity 0.8 do. For sets
 #: below ``FEW`` shingles estimates are rough.
 NEAR, ROUGH, FEW = 0.72, 0.5, 32
-BLOCK = 8192
+#: Members of a block, and bytes of their shingle sets.
+BLOCK, BLOCK_BYTES = 8192, 32 << 20
 #: Size of the bitmap that tells addresses of large buckets (8 MB, whatever their number).
 FILTER_BITS = 1 << 26
 #: A fingerprint with more comparisons than this is dealt to several tasks.
@@ -192,8 +192,13 @@ def sketch(values: np.ndarray) -> bytes:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+    """Jaccard similarity of two sorted arrays without repeats; empty sets are equal."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0.0 if len(b) else 1.0
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
 
 
 _MINIMA = np.random.Generator(np.random.Philox(key=SEED)).integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -292,30 +297,57 @@ def _near(batches):
             yield batch.select([0, 1]).filter(pa.array(is_near(u, v, size_u, size_v)))
 
 
-def _cells(batches):
-    """mapInArrow function: members of buckets, by cell, to (u, v) that can be similar and are in different groups.
+class _Cell:
+    """The members of one cell (address, ci, cj): those of block ci against those of cj, or among themselves if it is the same."""
+
+    def __init__(self, rows: pa.Table):
+        column = lambda c: rows.column(c).combine_chunks()
+        self.address, ci, cj = (rows.column(c)[0].as_py() for c in ("address", "ci", "cj"))
+        self.node, self.size, block = (column(c).to_numpy() for c in ("node", "size", "block"))
+        _, self.group = np.unique(column("root").to_numpy(), return_inverse=True)
+        self.mark, self.hashes = _rows(column("mark")), column("hashes")
+        self.keys = column("keys").flatten().to_numpy().reshape(-1, BANDS)
+        self.one, self.left, self.right = ci == cj, np.flatnonzero(block == ci), np.flatnonzero(block == cj)
+
+    def set(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.hashes[i].as_buffer(), np.uint64)
+
+    def links(self) -> list[tuple[int, int]]:
+        """Pairs of similar members of different groups that join all groups that similar pairs join."""
+        bits = np.ascontiguousarray(self.mark[:, : WIDE_BITS // 8]).view("<u8")
+        found, step = [], max(1, (1 << 20) // max(len(self.right), 1))
+        for lo in range(0, len(self.left), step):
+            own = self.left[lo : lo + step]
+            apart = sum(np.bitwise_count(bits[own][:, None, w] ^ bits[self.right][None, :, w]).astype(np.int16) for w in range(WIDE_WORDS))
+            for i, near in zip(own.tolist(), apart <= WIDE_BITS // 3, strict=True):
+                found += self._of(i, self.right[near])
+        return found
+
+    def _of(self, i: int, others: np.ndarray) -> list[tuple[int, int]]:
+        others = others[(self.group[others] != self.group[i]) & ((others > i) | (not self.one))]
+        if len(others):
+            first = np.argmax(self.keys[others] == self.keys[i], axis=1)  # a pair is a matter of the first key it shares
+            others = others[self.keys[i][first] == self.address]
+        if not len(others):
+            return []
+        mine = np.broadcast_to(self.mark[i], (len(others), self.mark.shape[1]))
+        likely = estimate(mine, self.mark[others])
+        others = others[np.argsort(-likely, kind="stable")]
+        others = others[is_near(mine, self.mark[others], np.broadcast_to(self.size[i], len(others)), self.size[others])]
+        out, own = [], self.set(i)
+        for j in others.tolist():
+            if self.group[j] != self.group[i] and similarity(own, self.set(j)) >= SIMILAR:
+                out.append((int(self.node[i]), int(self.node[j])))
+                self.group[self.group == self.group[j]] = self.group[i]
+        return out
 
-    A cell (address, ci, cj) holds blocks ci and cj of a bucket (one, if they are the same), and comes in one piece.
-    """
 
-    def compare(rows: pa.Table):
-        node, root, size, block = (rows.column(c).to_numpy() for c in ("node", "root", "size", "block"))
-        mark = _rows(rows.column("mark"))
-        bits = np.ascontiguousarray(mark[:, : WIDE_BITS // 8]).view("<u8")
-        one, left = rows.column("ci")[0].as_py() == rows.column("cj")[0].as_py(), np.flatnonzero(block == rows.column("ci")[0].as_py())
-        right = left if one else np.flatnonzero(block == rows.column("cj")[0].as_py())
-        step = max(1, (1 << 20) // max(len(right), 1))
-        for lo in range(0, len(left), step):
-            own = left[lo : lo + step]
-            apart = sum(np.bitwise_count(bits[own, None, w] ^ bits[None, right, w]).astype(np.int16) for w in range(WIDE_WORDS))
-            i, j = np.nonzero((apart <= WIDE_BITS // 3) & (root[own][:, None] != root[right][None]))
-            i, j = own[i], right[j]
-            if one:
-                i, j = i[i < j], j[i < j]
-            for at in range(0, len(i), 1 << 16):
-                u, v = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                near = is_near(mark[u], mark[v], size[u], size[v])
-                yield pa.RecordBatch.from_arrays([pa.array(node[u[near]]), pa.array(node[v[near]])], ["u", "v"])
+def _cells(batches):
+    """mapInArrow function: members of buckets, each cell in one piece, to (u, v) that join groups."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found = np.array(_Cell(pa.Table.from_batches(held)).links(), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
     held: list[pa.RecordBatch] = []
     last = None
@@ -327,12 +359,12 @@ def _cells(batches):
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             now = tuple(cell[:, lo])
             if now != last and held:
-                yield from compare(pa.Table.from_batches(held))
+                yield out(held)
                 held = []
             held.append(batch.slice(lo, hi - lo))
             last = now
     if held:
-        yield from compare(pa.Table.from_batches(held))
+        yield out(held)
 
 
 def _similar(batches):
@@ -354,12 +386,17 @@ def _dealt(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
     return salted.join(held.select(F.col("node").alias("u"), F.col(column).alias("of_u")), "u").join(drawn, ["v", "salt"]).select("u", "v", "of_u", "of_v")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar."""
-    wanted = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node"), "wanted")
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes): the whole shingle sets of the wanted nodes, from the texts."""
+    wanted = staged(wanted.distinct().join(nodes.select("node", "first_id"), "node"), "wanted")
     marked = _bitmap(wanted.select(F.xxhash64("first_id").alias("address")))  # else all texts would become sets
     found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_Sets(marked), "node long, hashes binary")
-    sets = staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    return staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar."""
+    sets = _sets(docs, nodes, pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")))
     return _dealt(pairs, sets, "hashes").mapInArrow(_similar, "u long, v long")
 
 
@@ -392,14 +429,17 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     placed = shared.where("n > 2").join(roots, F.col("node") == F.col("member"), "left").select("address", "n", "node", F.coalesce("root", "node").alias("root"))
     placed = staged(placed, "placed")
     mixed = placed.groupBy("address").agg(F.min("root").alias("least"), F.max("root").alias("last")).where("least <> last").select("address")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = placed.join(mixed, "address").select("address", "node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    members = members.join(nodes.select("node", "size", "mark"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = members.select("address", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "node", "root", "size", "mark")
+    members = placed.join(mixed, "address").select("address", "node", "root")
+    members = staged(members.join(nodes.select("node", "size", "mark", "keys"), "node"), "members")
+    if members.isEmpty():
+        return same
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES)).cast("int")
+    cut = members.groupBy("address").agg(F.greatest(F.lit(1), blocks).alias("blocks"))
+    whole = members.join(_sets(docs, nodes, members.select("node")), "node").join(cut, "address")
+    whole = whole.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = whole.select("address", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "node", "root", "size", "mark", "keys", "hashes")
     cells = cells.repartition(parts, "address", "ci", "cj").sortWithinPartitions("address", "ci", "cj")
-    open_pairs = cells.mapInArrow(_cells, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    rest = staged(open_pairs, "open")
-    return same if rest.isEmpty() else same.unionByName(staged(_verified(docs, nodes, rest), "similar"))
+    return same.unionByName(staged(cells.mapInArrow(_cells, "u long, v long"), "more"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
