@@ -55,3 +55,39 @@ def running(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Co
     local = rows.select("*", *(F.sum(c).over(inside).alias(f"_run_{n}") for n, c in sums.items()))
     joined = local.join(renamed, match)
     return joined.select(*df.columns, *((F.col(f"_run_{n}") + F.col(f"_base_{n}")).alias(n) for n in sums), *(totals or {}).values())
+
+
+#: Ranges of one narrowing step, and distinct values that are looked at one by one.
+_RANGES, _FEW = 4096, 10_000
+
+
+def smallest(df: DataFrame, u: Column, tie: Column, k: int) -> Column:
+    """Whether a row is among the k with the smallest (u, tie), u uniform in [0, 1); exactly k if no pair repeats.
+
+    The k-th is found by counting rows in ranges of u, then in parts of the range that holds it, until few are left: two or three
+    aggregates of a fixed number of groups, whatever the number of rows.
+    """
+    low, width, before = 0.0, 1.0, 0
+    rows = df.select(u.alias("u"), tie.alias("t"))
+    while True:
+        inside = rows.where((F.col("u") >= low) & (F.col("u") < low + width))
+        part = F.least(F.floor((F.col("u") - low) / (width / _RANGES)), F.lit(_RANGES - 1)).cast("int")
+        counts = sorted((r["p"], r["n"]) for r in inside.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+        for p, n in counts:
+            if before + n >= k:
+                break
+            before += n
+        else:
+            return F.lit(True)  # no more than k rows
+        low, width = low + p * (width / _RANGES), width / _RANGES
+        if n <= _FEW or width < 2.0**-50:
+            break
+    found = rows.where((F.col("u") >= low) & (F.col("u") < low + width)).groupBy("u", "t").agg(F.count("*").alias("n")).orderBy("u", "t").limit(_FEW).collect()
+    for r in found:
+        before += r["n"]
+        if before >= k:
+            break
+    if r["t"] is None:
+        return u <= r["u"]
+    last = F.lit(r["t"]) if not hasattr(r["t"], "asDict") else F.struct(*(F.lit(v).alias(c) for c, v in r["t"].asDict().items()))
+    return (u < r["u"]) | ((u == r["u"]) & (tie <= last))

@@ -95,30 +95,35 @@ class FunctionDetector:
         return df.select("unit_id", (self.sign * self.expression).cast("double").alias("score"))
 
 
-class LogisticDetector:
-    """A supervised classifier on the labelled rows."""
+class ClassifierDetector:
+    """Any supervised classifier of ``pyspark.ml`` on the labelled rows; without one a logistic regression with a unit L2 penalty."""
 
     wants_unlabeled = False
 
-    def __init__(self, features: list[str], name: str = "logistic"):
-        self.features, self.name, self.model = features, name, None
+    def __init__(self, features: list[str], base=None, name: str = "classifier"):
+        self.features, self.base, self.name, self.model = features, base, name, None
 
-    def fit(self, df: DataFrame) -> LogisticDetector:
-        from .pu import checked, logistic
+    def fit(self, df: DataFrame) -> ClassifierDetector:
+        from .pu import PUElkanNoto, assembled
 
-        rows = checked(df.where("y is not null"), self.features, "y", "unit_id")
-        self.model = logistic(rows.count()).fit(rows)
+        rows, n = PUElkanNoto()._rows(assembled(df.where("y is not null"), self.features, "unit_id", "y"))
+        self.model = PUElkanNoto().setBase(self.base)._fitted(rows, sum(n.values()))
         return self
 
     def score(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-
-        from .pu import positive
+        from .pu import _scored as scored
+        from .pu import assembled
 
         if self.model is None:
             raise AnalysisError("fit first")
-        rows = VectorAssembler(inputCols=self.features, outputCol="features").transform(df.select("unit_id", *(double(f).alias(f) for f in self.features)))
-        return positive(self.model, rows).select("unit_id", F.col("g").alias("score"))
+        return scored(self.model, assembled(df, self.features, "unit_id"), "features", False).select(F.col("row_id").alias("unit_id"), F.col("g").alias("score"))
+
+
+class LogisticDetector(ClassifierDetector):
+    """A logistic regression on the labelled rows."""
+
+    def __init__(self, features: list[str], name: str = "logistic"):
+        super().__init__(features, None, name)
 
 
 class PUDetector:
