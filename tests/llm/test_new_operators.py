@@ -291,3 +291,48 @@ def test_blocks_that_cannot_matter_are_not_sent(spark, monkeypatch):
     assert found == sorted(want)
     everything, passed, bounded = sizes[-1]
     assert bounded and passed < 0.5 * everything
+
+
+def test_severity_by_hand(spark, monkeypatch):
+    """A document's severity from the weights and thresholds of the model, word by word; a hot doc_id doesn't fill the sample."""
+    from veritally.llm import toxicity
+    from veritally.llm.text import KEEP, MIX, MIX_2, _BYTE, _spread
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.vocabulary.tolist(), model.weights.tolist(), strict=True))
+    mask = (1 << 64) - 1
+
+    def whole(word):
+        """The hash of a word of eight bytes at most."""
+        lane = int.from_bytes(word[:8].ljust(8, b"\0"), "little")
+        return int(_spread(np.array([lane ^ (len(word) * int(MIX_2) & mask)], np.uint64))[0]) ^ int(toxicity.WHOLE)
+
+    def beginning(word, n):
+        total, power = 0, 1
+        for b in word[:n]:
+            total, power = (total + int(_BYTE[b]) * power) & mask, power * int(MIX) & mask
+        return int(_spread(np.array([(total + n * int(MIX_2) + 1) & mask], np.uint64))[0])
+
+    assert len(KEEP) == 9 and len(weight) > 10
+    rows = {r.doc_id: r for r in toxicity.severity_table(docs, labels).collect()}
+    seen = 0
+    for d in docs.where("length(text) < 500").collect():
+        clean = re.sub(rb"[^a-z\x80-\xff]", b" ", (d.text or "").lower().encode())
+        words = clean.split()
+        if any(b > 127 for b in clean) or any(len(w) > 8 for w in words):  # capitals beyond ASCII and long words are hashed otherwise
+            continue
+        count = Counter()
+        for w in words:
+            count[whole(w)] += 1
+            for n in range(3, len(w) + 1):
+                count[beginning(w, n)] += 1
+        known = {f: c for f, c in count.items() if f in weight}
+        score = sum(weight[f] * np.log1p(100 * c / (len(words) + toxicity.SMOOTHING)) for f, c in known.items())
+        want = sum(1 / (1 + np.exp(t - score)) for t in model.thresholds) if known else 0.0
+        assert abs(rows[d.doc_id].severity - want) < 1e-9
+        seen += 1
+    assert seen >= 5
+    hot = docs.unionByName(docs.where("doc_id = 0").crossJoin(spark.range(500)).drop("id"))
+    again = toxicity.fit(hot, labels.unionByName(labels.where("doc_id = 0").crossJoin(spark.range(50)).drop("id")))
+    assert (again.vocabulary == model.vocabulary).all() and np.allclose(again.weights, model.weights)

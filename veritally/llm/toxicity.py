@@ -5,12 +5,12 @@ linear score minus the k-th threshold: the thresholds are ordered and share the
 output is the expected severity, the sum of these probabilities; a document is rejected when
 P(grade >= 1) reaches one half.
 
-Features are words and word beginnings (abuse is inflected), each by its density in the text on a
-log scale. Labels only say toxic or not, so toxic rows are graded by how much of the vocabulary that
+Features are whole words, of any length, and word beginnings of 3 to 10 bytes (abuse is inflected), each by its
+density in the text on a log scale. Labels only say toxic or not, so toxic rows are graded by how much of the vocabulary that
 marks toxic rows they hold: thirds of that mass are grades 1 to 3.
 
-The model is fitted on a bounded sample of labelled rows (``PER_CLASS`` toxic and three times as
-many clean ones, by a hash of doc_id) and on the ``FEATURES`` features most associated with the
+The model is fitted on a bounded sample of labelled documents (``PER_CLASS`` toxic doc_ids and three times as
+many clean ones, by a hash of doc_id; of several rows of a doc_id one text counts, always the same) and on the ``FEATURES`` features most associated with the
 label in that sample; an L1 penalty leaves few weights. Scoring covers every row and whole texts.
 
 Null and empty texts, and texts without a letter, have severity 0. Labels with a null doc_id or a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._common import documents, staged
 from .bpe import byte_ranges
-from .text import flat, letters, prefix_hashes, words
+from .text import flat, letters, prefix_hashes, word_hashes, words
 
 GRADES = 3
 PER_CLASS = 3000
@@ -36,6 +36,8 @@ FEATURES = 4000
 PREFIXES = range(3, 11)
 SMOOTHING = 50.0
 PENALTY = 2e-4
+#: Sets whole words apart from beginnings of the same bytes.
+WHOLE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,7 +45,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw, at = flat(texts)
     raw = letters(raw)
     start, end, text = words(raw, at)
-    owner, feature = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    owner, feature = [text], [word_hashes(raw, start, end) ^ WHOLE]
     for _, which, value in prefix_hashes(raw, start, end, PREFIXES):
         owner.append(text[which])
         feature.append(value)
@@ -101,10 +103,10 @@ class _Rows:
 
     def __call__(self, batches):
         lookup = _Lookup(self.vocabulary)
-        for batch in batches:
-            owner, place, value = lookup.counts(batch.column(0))
-            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            columns = [batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(place)), pa.ListArray.from_arrays(pa.array(ends), pa.array(value))]
+        for part in (batch.slice(lo, hi - lo) for batch in batches for lo, hi in byte_ranges(batch.column(0))):
+            owner, place, value = lookup.counts(part.column(0))
+            ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
+            columns = [part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(place)), pa.ListArray.from_arrays(pa.array(ends), pa.array(value))]
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "places", "amounts"])
 
 
@@ -188,11 +190,12 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_features: int = FEATURES) -> Model:
     """Learn from a bounded sample of the labelled documents."""
-    known = documents(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = documents(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(per_class).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(3 * per_class))
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = staged(documents(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
+    met = documents(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = met.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    sample = staged(one.select("t.text", "toxic"), "toxicity-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     if len(size) < 2:
