@@ -73,22 +73,22 @@ def test_red_team_records(spark):
         raise ValueError("no")
 
     sample = spark.range(1)
-    found = {r.detector: r for r in redteam.red_team({"nan": lambda _: math.nan, "fires": lambda _: 0.01, "calm": lambda _: 0.5, "broken": broken}, {"level_shift": sample}, spark).collect()}
+    found = {r.detector: r for r in redteam.red_team({"nan": lambda _: math.nan, "fires": lambda _: 0.01, "calm": lambda _: 0.5, "broken": broken}, {"level_shift": sample}).collect()}
     assert found["nan"].pvalue is None and not found["nan"].fired and "nan" in found["nan"].error
     assert found["fires"].fired and found["fires"].error is None and not found["calm"].fired
     assert found["broken"].error == "ValueError: no"
-    results = redteam.red_team({"a": lambda _: 0.01, "b": lambda _: 0.9}, {"level_shift": sample, "ocr_noise": sample}, spark)
+    results = redteam.red_team({"a": lambda _: 0.01, "b": lambda _: 0.9}, {"level_shift": sample, "ocr_noise": sample})
     assert [r.detector for r in redteam.casualties(results).collect()] == ["a", "a"] and redteam.survivors(results, "b").count() == 2 and redteam.survivors(results, "a").count() == 0
     for arguments in (({}, {"level_shift": sample}), ({"a": lambda _: 0.1}, {})):
         with pytest.raises(RedTeamError):
-            redteam.red_team(*arguments, spark)
+            redteam.red_team(*arguments)
 
 
 def test_ocr_threshold_and_gate(spark):
     rates = spark.createDataFrame([(r, f) for r, fires in ((0.02, 1), (0.05, 3), (0.1, 4)) for f in [True] * fires + [False] * (4 - fires)], "rate double, fired boolean")
     assert redteam.firing_threshold(rates).first()["threshold"] == 0.05
-    gates = spark.createDataFrame([(0.05, 0.1), (0.1, 0.1), (None, 0.1)], "t double, m double").select(redteam.ocr_gate(F.col("t"), F.col("m")).alias("g"))
-    assert [r.g for r in gates.collect()] == [True, False, False]
+    gates = spark.createDataFrame([(0.05, 0.1), (0.1, 0.1), (0.2, 0.1), (None, 0.1)], "t double, m double").select(redteam.ocr_gate(F.col("t"), F.col("m")).alias("g"))
+    assert [r.g for r in gates.collect()] == [False, False, True, False]
 
 
 def _entry(**fields):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,46 +74,101 @@ def reweighting(df: DataFrame, period: str, good: str, quantity: str, price: str
     return volume.join(F.broadcast(total), F.lit(True)).select(period, (100.0 * F.col("value") / F.col("base_value")).alias("volume_index"))  # one row
 
 
-def misread(value: Column, row_id: Column, rate: float, confusion: dict[int, int] | None = None, seed: int = 0) -> Column:
-    """Digits of an integer, each misread with chance ``rate``: any other digit, or by a map of alike shapes."""
-    text = F.abs(F.rint(value.cast("double"))).cast("long").cast("string")
-    digits = F.transform(F.split(text, ""), lambda c: c.cast("int"))
+def misread(value: Column, row_id: Column, rate: Column | float, confusion: dict[int, int] | None = None, seed: int = 0, positions: Sequence[int] | None = None) -> Column:
+    """Digits of an integer, each misread with chance ``rate``: any other digit, or by a map of alike shapes.
+
+    ``positions`` are the digits that can be misread, counted from the right (0 is the last); by default all. A number keeps its sign.
+    """
+    whole = F.rint(value.cast("double")).cast("long")
+    text = F.abs(whole).cast("string")
+    digits = F.filter(F.transform(F.split(text, ""), lambda c: c.cast("int")), lambda c: c.isNotNull())
 
     def read(d: Column, i: Column) -> Column:
         wrong = seeding.uniform(seed, row_id, i) < rate
+        if positions is not None:
+            wrong = wrong & (F.size(digits) - 1 - i).isin(*(int(p) for p in positions))
         if confusion is None:
             other = F.pmod(d + 1 + F.floor(9 * seeding.uniform(seed, "to", row_id, i)).cast("int"), F.lit(10))
         else:
             other = F.coalesce(F.create_map(*(F.lit(x) for pair in confusion.items() for x in pair))[d], d)
         return F.when(wrong, other).otherwise(d).cast("string")
 
-    return F.array_join(F.transform(F.filter(digits, lambda c: c.isNotNull()), read), "").cast("long")
+    return F.when(whole < 0, -1).otherwise(1) * F.array_join(F.transform(digits, read), "").cast("long")
 
 
-def ocr_noise(df: DataFrame, value: str, row_id: str, rate: float, confusion: dict[int, int] | None = None, seed: int = 0) -> DataFrame:
+def ocr_noise(df: DataFrame, value: str, row_id: str, rate: float, confusion: dict[int, int] | None = None, seed: int = 0, positions: Sequence[int] | None = None) -> DataFrame:
     require(0 <= rate <= 1, f"rate must lie in 0..1; got {rate}", RedTeamError)
-    return df.withColumn("misread", misread(F.col(value), F.col(row_id), rate, confusion, seed))
+    require(positions is None or (len(positions) > 0 and all(p >= 0 for p in positions)), f"positions must be places from the right; got {positions!r}", RedTeamError)
+    return df.withColumn("misread", misread(F.col(value), F.col(row_id), rate, confusion, seed, positions))
+
+
+#: A detector on a table of many samples: (table, keys of a sample) to (keys, pvalue), a row for each sample.
+TableDetector = Callable[[DataFrame, Sequence[str]], DataFrame]
+RESULT = "detector string, trap string, n long, fired boolean, pvalue double, error string"
 
 
-def red_team(detectors: dict[str, Callable[[DataFrame], float]], samples: dict[str, DataFrame], spark: SparkSession, alpha: float = 0.05) -> DataFrame:
-    """Every detector on every trap: (detector, trap, fired, pvalue, error). A detector gives a p-value for a sample.
+def red_team(detectors: dict[str, Callable | TableDetector], samples: dict[str, DataFrame], alpha: float = 0.05, by_table: Sequence[str] = ()) -> DataFrame:
+    """Every detector on every trap, in one plan: (detector, trap, n, fired, pvalue, error). No pair can be left out.
 
-    A detector that fails, or whose p-value isn't a finite number, didn't fire: its p-value is null and its error recorded.
+    Samples are tables of the same columns. A detector gives a p-value for a sample that it gets as a pandas table; those named in ``by_table``
+    get all samples as one Spark table with the key ``trap``, and give (trap, pvalue). The pairs of the first kind are groups of one
+    job, a pair to a task, so their samples must fit one; of the second kind samples can be of any size.
+
+    A detector that fails, gives no p-value, or one that isn't a finite number, didn't fire: its p-value is null and the error recorded.
     """
     require(bool(detectors) and bool(samples), "need at least one detector and one trap", RedTeamError)
-    rows = []
-    for trap_name, sample in samples.items():
-        trap(trap_name)
-        for name, detector in detectors.items():
+    require(0 < alpha < 1, f"alpha must lie in (0, 1); got {alpha}", RedTeamError)
+    require(set(by_table) <= set(detectors), f"no detectors {sorted(set(by_table) - set(detectors))}", RedTeamError)
+    for name in samples:
+        trap(name)
+    rows = reduce(DataFrame.unionByName, (df.withColumn("trap", F.lit(name)) for name, df in samples.items()))
+    spark = rows.sparkSession
+    every = spark.createDataFrame([(d, t) for d in detectors for t in samples], "detector string, trap string")
+    sizes = rows.groupBy("trap").agg(F.count("*").alias("n"))
+    parts = []
+    small = {name: f for name, f in detectors.items() if name not in by_table}
+    if small:
+        cells = rows.select("*", F.explode(F.array(*(F.lit(n) for n in small))).alias("detector"))
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            name, error, p = frame["detector"].iloc[0], None, None
             try:
-                p = float(detector(sample))
-                if math.isfinite(p):
-                    rows.append((name, trap_name, p <= alpha, p, None))
-                else:
-                    rows.append((name, trap_name, False, None, f"the p-value is {p}"))
+                found = small[name](frame.drop(columns=["detector", "trap"]))
+                p = float(getattr(found, "pvalue", found))
+                if not math.isfinite(p):
+                    p, error = None, f"the p-value is {p}"
             except Exception as failure:  # noqa: BLE001  what a detector raises is part of the result
-                rows.append((name, trap_name, False, None, f"{type(failure).__name__}: {str(failure)[:200]}"))
-    return spark.createDataFrame(rows, "detector string, trap string, fired boolean, pvalue double, error string")
+                error = f"{type(failure).__name__}: {str(failure)[:200]}"
+            return pd.DataFrame({"detector": [name], "trap": [frame["trap"].iloc[0]], "pvalue": pd.array([p], "Float64"), "error": [error]})
+
+        parts.append(cells.groupBy("detector", "trap").applyInPandas(run, "detector string, trap string, pvalue double, error string"))
+    for name in by_table:
+        parts.append(detectors[name](rows, ["trap"]).select(F.lit(name).alias("detector"), "trap", F.col("pvalue").cast("double").alias("pvalue"), F.lit(None).cast("string").alias("error")))
+    found = every.join(sizes, "trap", "left").join(reduce(DataFrame.unionAll, parts), ["detector", "trap"], "left")
+    usable = F.col("pvalue").isNotNull() & ~F.isnan("pvalue")
+    error = F.when(~usable, F.coalesce("error", F.lit("no usable p-value")))
+    return found.select("detector", "trap", F.coalesce("n", F.lit(0)).alias("n"), (usable & (F.coalesce("pvalue", F.lit(1.0)) <= alpha)).alias("fired"), F.when(usable, F.col("pvalue")).alias("pvalue"), error.alias("error"))
+
+
+def ocr_firings(df: DataFrame, value: str, row_id: str, detector: TableDetector, rates: Sequence[float], n_replicates: int = 20, alpha: float = 0.05, confusion: dict[int, int] | None = None, seed: int = 0, positions: Sequence[int] | None = (0,)) -> DataFrame:
+    """(rate, replicate, pvalue, fired) of a detector on a table whose digits are misread at every rate, in every replicate.
+
+    The grid is a key of one job: each row is copied to all its cells within a task, and the detector, which gets (rate, replicate, misread) with the first two as
+    keys, adds them up before the shuffle. A null or NaN p-value didn't fire.
+    """
+    require(bool(rates) and all(0 <= r <= 1 for r in rates), "need error rates in 0..1", RedTeamError)
+    require(n_replicates >= 1 and 0 < alpha < 1, "need a replicate, and alpha in (0, 1)", RedTeamError)
+    grid = df.select(value, row_id, F.explode(F.array(*(F.lit(float(r)) for r in sorted(set(rates))))).alias("rate")).select("*", F.explode(F.sequence(F.lit(1), F.lit(n_replicates))).alias("replicate"))
+    name = F.concat_ws(":", "replicate", F.col(row_id))
+    cells = grid.select("rate", "replicate", misread(F.col(value), name, F.col("rate"), confusion, seed, positions).alias("misread"))
+    p = F.col("pvalue").cast("double")
+    return detector(cells, ["rate", "replicate"]).select("rate", "replicate", p.alias("pvalue"), F.coalesce((p <= alpha) & ~F.isnan(p), F.lit(False)).alias("fired"))
+
+
+def ocr_firing_threshold(df: DataFrame, value: str, row_id: str, detector: TableDetector, rates: Sequence[float], fire_share: float = 0.5, **options) -> DataFrame:
+    """(threshold): the smallest rate at which the detector fires in more than a share of replicates; null if at none, which doesn't mean that it is safe."""
+    require(0 < fire_share < 1, f"fire_share must lie in (0, 1); got {fire_share}", RedTeamError)
+    return firing_threshold(ocr_firings(df, value, row_id, detector, rates, **options), fire_share)
 
 
 def casualties(results: DataFrame) -> DataFrame:
@@ -129,5 +186,8 @@ def firing_threshold(rates: DataFrame, fire_share: float = 0.5) -> DataFrame:
 
 
 def ocr_gate(threshold: Column, measured: Column) -> Column:
-    """True if the measured error rate suffices to explain the finding."""
-    return F.coalesce(threshold < measured, F.lit(False))
+    """Whether a digit test may run on data with this measured error rate: it lies below the rate at which the test fires.
+
+    Without a threshold (the test fired at no rate) it may not: what was never made to fire isn't known to be safe.
+    """
+    return F.coalesce(measured < threshold, F.lit(False))

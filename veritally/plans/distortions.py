@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..core import seeding, special
-from ..operators import control, inject, power, redteam
+from ..operators import control, digits, inject, power, redteam
 from ..sources import atlas
 from .registry import load, query, r6, shown
 
@@ -192,3 +192,32 @@ def redteam_reweighting(spark, sf_dir):
 @query()
 def redteam_ocr(spark, sf_dir):
     return shown(redteam.ocr_noise(load(spark, sf_dir, "orders").select("o_orderkey", F.rint("o_totalprice").cast("long").alias("price")), "price", "o_orderkey", 0.05, redteam.GLYPHS))
+
+
+_RATES, _REPLICATES_OCR = (0.0, 0.02, 0.05, 0.1, 0.3), 10
+_LAST = seeding.uniform_sql("'0'", "concat_ws(':', r, o_orderkey)", "length(CAST(price AS VARCHAR)) - 1")
+#: Chi-square of ten cells against the 95 % point with nine degrees of freedom.
+_FIRED = f"""WITH o AS (SELECT o_orderkey, CAST(round_even(o_totalprice, 0) AS BIGINT) AS price FROM orders),
+g AS (SELECT o_orderkey, price % 10 AS d, rate, r, {_LAST} AS u FROM o CROSS JOIN (SELECT unnest({list(_RATES)!r}) AS rate) a CROSS JOIN range(1, {_REPLICATES_OCR + 1}) t(r)),
+m AS (SELECT rate, r, CASE WHEN u < rate AND d IN (3, 5, 6, 9) THEN 8 ELSE d END AS d FROM g),
+c AS (SELECT rate, r, d, count(*) AS n FROM m GROUP BY ALL),
+x AS (SELECT rate, r, sum(n) AS n, sum(n * n) AS q FROM c GROUP BY rate, r),
+f AS (SELECT rate, r, 10.0 * q / n - n > 16.918977604620448 AS fired FROM x)"""
+
+
+def _terminal(table, by):
+    return digits.terminal_digit_test(table, "misread", by)
+
+
+@query(f"{_FIRED} SELECT {r6('rate')} AS rate, CAST(r AS BIGINT) AS replicate, fired FROM f")
+def redteam_ocr_firings(spark, sf_dir):
+    """Last digits of prices, misread by alike shapes."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.rint("o_totalprice").cast("long").alias("price"))
+    found = redteam.ocr_firings(orders, "price", "o_orderkey", _terminal, _RATES, _REPLICATES_OCR, confusion=redteam.GLYPHS)
+    return shown(found, "rate", "replicate", "fired")
+
+
+@query(f"{_FIRED}, s AS (SELECT rate, avg(CASE WHEN fired THEN 1.0 ELSE 0 END) AS share FROM f GROUP BY rate) SELECT {r6('min(rate) FILTER (share > 0.5)')} AS threshold FROM s")
+def redteam_ocr_threshold(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.rint("o_totalprice").cast("long").alias("price"))
+    return shown(redteam.ocr_firing_threshold(orders, "price", "o_orderkey", _terminal, _RATES, n_replicates=_REPLICATES_OCR, confusion=redteam.GLYPHS))
