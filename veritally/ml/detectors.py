@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.columns import double, finite
@@ -80,19 +81,69 @@ def too_smooth(df: DataFrame, unit: str, value: str, order: str, n_perm: int = 1
 
 
 class FunctionDetector:
-    """Any column expression, or SQL, of a row's features as a detector without fitting."""
+    """Any function of a row's features as a detector without fitting: a column, SQL, or a callable.
+
+    A callable gets the named columns as pandas Series, whole Arrow batches at a time, and gives the scores of their rows.
+    """
 
     wants_unlabeled = False
 
-    def __init__(self, expression: Column | str, name: str = "function", higher_is_suspicious: bool = True):
-        self.expression = F.expr(expression) if isinstance(expression, str) else expression
+    def __init__(self, expression: Column | str | Callable[..., pd.Series], name: str = "function", higher_is_suspicious: bool = True, columns: list[str] | None = None):
+        if callable(expression):
+            require(bool(columns), "a callable needs the names of its columns")
+
+            def apply(*parts: pd.Series) -> pd.Series:
+                return pd.Series(expression(*parts), dtype="float64")
+
+            self.expression = F.pandas_udf(apply, "double", F.PandasUDFType.SCALAR)(*(F.col(c) for c in columns))
+        else:
+            self.expression = F.expr(expression) if isinstance(expression, str) else expression
         self.name, self.sign = name, 1 if higher_is_suspicious else -1
 
     def fit(self, df: DataFrame) -> FunctionDetector:
         return self
 
     def score(self, df: DataFrame) -> DataFrame:
-        return df.select("unit_id", (self.sign * self.expression).cast("double").alias("score"))
+        score = (self.sign * self.expression).cast("double")
+        refuse = F.raise_error(F.lit("a detector's score isn't a finite number")).cast("double")
+        return df.select("unit_id", score.alias("score")).select("unit_id", F.when(finite(F.col("score")), F.col("score")).otherwise(refuse).alias("score"))
+
+
+class UnitDetector:
+    """Any function of all values of a unit as a detector without fitting, on a table in long form (unit_id, ...).
+
+    The callable gets the named columns of one unit as pandas Series and gives its score; it is an aggregate of one job, so a
+    unit's rows must fit a task. Units whose values can be counted or summed are better served by the registered detectors.
+    """
+
+    wants_unlabeled = False
+
+    def __init__(self, function: Callable[..., float], columns: list[str], name: str = "unit", higher_is_suspicious: bool = True, min_len: int = 1):
+        require(bool(columns), "name the columns that the function gets")
+        self.function, self.columns, self.name, self.min_len = function, columns, name, min_len
+        self.sign = 1 if higher_is_suspicious else -1
+
+    def fit(self, df: DataFrame) -> UnitDetector:
+        return self
+
+    def aggregate(self):
+        """The function as a grouped aggregate, for ``agg`` and for SQL."""
+        function, sign = self.function, self.sign
+
+        def apply(*parts: pd.Series) -> float:
+            return sign * float(function(*parts))
+
+        return F.pandas_udf(apply, "double", F.PandasUDFType.GROUPED_AGG)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        found = df.groupBy("unit_id").agg(self.aggregate()(*(F.col(c) for c in self.columns)).alias("score"))
+        return _scored(df, found, "unit_id", F.col("score"), self.min_len, self.columns[0])
+
+
+def register_sql(spark: SparkSession, detectors: list[UnitDetector]) -> None:
+    """Make unit detectors aggregates of SQL under their names: ``SELECT unit_id, name(x) FROM t GROUP BY unit_id``."""
+    for d in detectors:
+        spark.udf.register(d.name, d.aggregate())
 
 
 class ClassifierDetector:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import digits
 from .registry import load, query, r6, shown
 
@@ -119,3 +120,11 @@ SELECT k AS l_linestatus, n, {r6("r")} AS repeated, {r6("a")} AS adjacent, {r6("
 def terminal_pair(spark, sf_dir):
     cents = load(spark, sf_dir, "lineitem").select("l_linestatus", F.rint(F.col("l_extendedprice") * 100).alias("cents"))
     return shown(digits.terminal_pair_test(cents, "cents", ["l_linestatus"]), "l_linestatus", "n", "repeated", "adjacent", "repeated_z", "adjacent_z")
+
+
+@query(f"""WITH {_LINES} SELECT k AS l_returnflag, max(n) AS n, {r6("max(n) * sum((o / total - share) * (o / total - share) / share)")} AS chi2, {r6("avg(abs(o / total - share))")} AS mad FROM d GROUP BY k""")
+def sql_leading_digits(spark, sf_dir):
+    """By a table function in SQL."""
+    tables.register_tables(spark)
+    load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("k"), F.col("l_extendedprice").alias("x")).createOrReplaceTempView("vt_values")
+    return shown(spark.sql("SELECT k AS l_returnflag, n, chi2, mad FROM vt_leading_digits(TABLE(vt_values) PARTITION BY k)"))

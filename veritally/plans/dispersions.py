@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..core import seeding
+from ..functions import tables
 from ..operators import balance, dispersion
 from .registry import load, query, r6, shown
 
@@ -74,9 +75,12 @@ for _detrend in ("none", "diff", "linear"):
     _too_smooth(_detrend)
 
 
-@query(f"""WITH {_DAILY}, {_walk("none")}, w AS (SELECT k, t - 6 AS start, t AS stop, var_samp(x) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS s2 FROM s),
+_ROLLING = f"""WITH {_DAILY}, {_walk("none")}, w AS (SELECT k, t - 6 AS start, t AS stop, var_samp(x) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS s2 FROM s),
 p AS (SELECT *, 6 * s2 / 50.0 AS x FROM w WHERE start >= 0)
-SELECT k AS event_type, start, stop AS "end", {r6("s2")} AS s2, {r6("x")} AS statistic, {r6("1 - exp(-x / 2) * (1 + x / 2 + (x / 2) * (x / 2) / 2)")} AS pvalue FROM p""")
+SELECT k AS event_type, start, stop AS "end", {r6("s2")} AS s2, {r6("x")} AS statistic, {r6("1 - exp(-x / 2) * (1 + x / 2 + (x / 2) * (x / 2) / 2)")} AS pvalue FROM p"""
+
+
+@query(_ROLLING)
 def rolling_floor(spark, sf_dir):
     found = dispersion.rolling_variance_floor(_daily(spark, sf_dir), "n_events", ["day"], 50.0, 7, ["event_type"])
     return shown(found, "event_type", "start", "end", "s2", "statistic", "pvalue")
@@ -123,3 +127,22 @@ def ks_balance(spark, sf_dir):
 @query()
 def carlisle_table(spark, sf_dir):
     return shown(balance.carlisle_test(_baseline(spark, sf_dir), "mean", "sd", "n", "variable"))
+
+
+def _series_view(spark, sf_dir) -> None:
+    tables.register_tables(spark)
+    _daily(spark, sf_dir).select(F.col("event_type").alias("k"), F.col("day").alias("t"), F.col("n_events").cast("double").alias("x")).createOrReplaceTempView("vt_series")
+
+
+@query(_ROLLING)
+def sql_rolling_floor(spark, sf_dir):
+    """The same by a table function in SQL."""
+    _series_view(spark, sf_dir)
+    found = spark.sql("SELECT k AS event_type, start, end, s2, statistic, pvalue FROM vt_rolling_floor(TABLE(vt_series) PARTITION BY (k) ORDER BY (t), 50.0D, 7)")
+    return shown(found)
+
+
+@query(f"WITH {_eta('none')} SELECT k AS event_type, m AS n, {r6('s2')} AS s2, {r6('eta')} AS eta FROM e")
+def sql_smoothness(spark, sf_dir):
+    _series_view(spark, sf_dir)
+    return shown(spark.sql("SELECT k AS event_type, n, s2, eta FROM vt_smoothness(TABLE(vt_series) PARTITION BY k ORDER BY t)"))
