@@ -45,16 +45,50 @@ def validate(df: DataFrame) -> None:
     require(facts["bad"] == 0, "y must be 0, 1 or null")
 
 
+def _dealt(loads: list[int], size: int, count: int) -> list[tuple[int, list[int], int]]:
+    """Where ``count`` groups of one size go, each to the fold that is lightest so far (the first of equals): (first rank, folds in turn, ranks).
+
+    While the lightest folds are far below the rest they are filled in turn, whole rounds at once. ``loads`` is brought up to date.
+    """
+    out, rank = [], 0
+    while rank < count:
+        order = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+        low = loads[order[0]]
+        turn = [f for f in order if loads[f] < low + size]  # all get one before any of them gets another
+        beyond = [loads[f] for f in order[len(turn) :]]
+        top = loads[turn[-1]]
+        # Whole rounds that end before a fold beyond becomes lighter than one in turn.
+        rounds = max(1, (min(beyond) - top - 1) // size) if beyond else (count - rank) // len(turn) + 1
+        ranks = min(count - rank, rounds * len(turn))
+        out.append((rank, turn, ranks))
+        for i, f in enumerate(turn):
+            loads[f] += size * (ranks // len(turn) + (i < ranks % len(turn)))
+        rank += ranks
+    return out
+
+
 def group_folds(df: DataFrame, n_splits: int) -> DataFrame:
-    """(grp, fold): groups by size downwards, each to the fold that is lightest so far."""
-    sizes = df.groupBy("grp").agg(F.count("*").alias("n")).where("grp is not null").orderBy(F.col("n").desc(), "grp").collect()
-    require(len(sizes) >= n_splits, f"{len(sizes)} groups can't make {n_splits} folds")
-    load, rows = [0] * n_splits, []
-    for r in sizes:
-        fold = load.index(min(load))
-        load[fold] += r["n"]
-        rows.append((r["grp"], fold))
-    return df.sparkSession.createDataFrame(rows, f"grp {dict(df.dtypes)['grp']}, fold int")
+    """(grp, fold): groups by size downwards, then by name, each to the fold that is lightest so far.
+
+    Groups aren't collected: the driver deals out sizes, of which there are fewer than the root of twice the rows, and a group takes
+    its fold by its rank among those of its size.
+    """
+    sizes = df.groupBy("grp").agg(F.count("*").alias("n")).where("grp is not null")
+    classes = sizes.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.col("n").desc()).collect()
+    total = sum(r["c"] for r in classes)
+    require(total >= n_splits, f"{total} groups can't make {n_splits} folds")
+    loads, runs = [0] * n_splits, []
+    for r in classes:
+        runs += [(r["n"], first, turn, ranks) for first, turn, ranks in _dealt(loads, r["n"], r["c"])]
+    plan = df.sparkSession.createDataFrame(runs, "size long, first long, turn array<int>, ranks long")
+    # A number in the order of the names: the first bytes of text, or the value itself.
+    name = F.rpad(F.hex(F.encode(F.col("grp"), "UTF-8")), 12, "0") if dict(df.dtypes)["grp"] == "string" else None
+    place = F.conv(F.substring(name, 1, 12), 16, 10).cast("double") if name is not None else F.col("grp").cast("double")
+    rows = sizes.withColumn("_place", place)
+    ranked = running(rows, ["n"], value_bucket(rows, "_place"), [F.col("grp")], {"nth": F.lit(1).cast("long")})
+    met = ranked.join(plan, (F.col("n") == F.col("size")) & (F.col("nth") > F.col("first")) & (F.col("nth") <= F.col("first") + F.col("ranks")))
+    nth = (F.col("nth") - 1 - F.col("first")) % F.size("turn")
+    return met.select("grp", F.element_at("turn", nth.cast("int") + 1).alias("fold"))
 
 
 def folds(df: DataFrame, spec: EvalSpec) -> DataFrame:

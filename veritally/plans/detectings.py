@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..core import seeding
 from ..ml import detectors
 from ..operators.bunching import Window
 from .digits import _table
@@ -41,6 +42,11 @@ def detector_underdispersion(spark, sf_dir):
     return shown(detectors.make("underdispersion")(_weekly(spark, sf_dir), "unit_id", "x"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT event_type AS k, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY 1, 2),
+o AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY day) - 1 AS t, x FROM d), a AS (SELECT k, t, x - p AS x FROM (SELECT *, lag(x) OVER (PARTITION BY k ORDER BY t) AS p FROM o) WHERE p IS NOT NULL),
+w AS (SELECT k, x, x - lag(x) OVER (PARTITION BY k ORDER BY t) AS d FROM a), e AS (SELECT k, count(*) AS m, var_samp(x) AS s2, sum(d * d) / (count(*) - 1) / var_samp(x) AS eta FROM w GROUP BY k),
+u AS (SELECT k, t, x, r, {seeding.uniform_sql("'0'", "r", "k", "t")} AS u FROM a CROSS JOIN range(1, 200) z(r)), n AS (SELECT k, r, x - lag(x) OVER (PARTITION BY k, r ORDER BY u, t) AS d FROM u),
+q AS (SELECT e.k, r, sum(d * d) / ((max(m) - 1) * max(s2)) AS v, max(eta) AS eta FROM n JOIN e USING (k) GROUP BY e.k, r)
+SELECT k AS unit_id, {r6("-(1 + count(*) FILTER (v <= eta)) / 200.0")} AS score FROM q GROUP BY k""")
 def detector_too_smooth(spark, sf_dir):
-    return shown(detectors.make("too_smooth")(_weekly(spark, sf_dir), "unit_id", "x", "day", n_perm=49))
+    return shown(detectors.make("too_smooth")(_weekly(spark, sf_dir), "unit_id", "x", "day"))

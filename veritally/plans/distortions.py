@@ -189,7 +189,11 @@ def redteam_reweighting(spark, sf_dir):
     return shown(redteam.reweighting(lines, "y", "p_brand", "l_quantity", "p_retailprice", 1995))
 
 
-@query()
+_DIGIT = seeding.uniform_sql("'0'", "o_orderkey", "i")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(CAST(round_even(o_totalprice, 0) AS BIGINT) AS VARCHAR) AS s FROM orders)
+SELECT o_orderkey, CAST(s AS BIGINT) AS price, CAST(array_to_string([CASE WHEN {_DIGIT} < 0.05 AND s[i + 1] IN ('3', '5', '6', '9') THEN '8' ELSE s[i + 1] END FOR i IN range(length(s))], '') AS BIGINT) AS misread FROM o""")
 def redteam_ocr(spark, sf_dir):
     return shown(redteam.ocr_noise(load(spark, sf_dir, "orders").select("o_orderkey", F.rint("o_totalprice").cast("long").alias("price")), "price", "o_orderkey", 0.05, redteam.GLYPHS))
 

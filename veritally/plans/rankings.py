@@ -107,7 +107,25 @@ def pu_bagging(spark, sf_dir):
     return shown(pu.Bagging(["x0", "x1"], n_estimators=3, seed=3).fit(rows, "s", "unit_id").score(rows, "unit_id", use_oob=True))
 
 
-@query()
+#: The greedy rule, one group after the other.
+_FOLDS = """s AS (SELECT source AS grp, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS i FROM documents WHERE source IS NOT NULL GROUP BY source),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS grp, CAST(NULL AS BIGINT) AS fold, CAST([0, 0, 0, 0] AS BIGINT[]) AS loads
+  UNION ALL SELECT s.i, s.grp, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT), CAST([loads[j] + CASE WHEN j = list_position(loads, list_min(loads)) THEN n ELSE 0 END FOR j IN [1, 2, 3, 4]] AS BIGINT[]) FROM g JOIN s ON s.i = g.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {_FOLDS} SELECT grp, fold FROM g WHERE i > 0")
+def group_folds(spark, sf_dir):
+    return shown(harness.group_folds(_features(spark, sf_dir), 4))
+
+
+@query(f"""WITH RECURSIVE {_FOLDS}, {_ROWS}, t AS (SELECT doc_id, x.s, y, fold FROM x JOIN g ON x.source = g.grp WHERE g.i > 0),
+c AS (SELECT fold, s, count(*) AS m, sum(y) AS pos FROM t GROUP BY fold, s), h AS (SELECT *, sum(m) OVER w AS selected, sum(pos) OVER w AS hits FROM c WINDOW w AS (PARTITION BY fold ORDER BY s DESC)),
+r AS (SELECT fold, y, row_number() OVER (PARTITION BY fold ORDER BY s DESC, doc_id) AS a, row_number() OVER (PARTITION BY fold ORDER BY y DESC, doc_id) AS b, greatest(1, ceil(0.1 * count(*) OVER (PARTITION BY fold))) AS cut FROM t),
+k AS (SELECT fold, max(cut) AS cut, coalesce(sum(y) FILTER (a <= cut), 0) AS hit, sum(y) AS pos, sum(y / log2(a + 1.0)) FILTER (a <= cut) AS gain, sum(y / log2(b + 1.0)) FILTER (b <= cut) AS best FROM r GROUP BY fold),
+m AS (SELECT fold, 'roc_auc' AS metric, 'all' AS k, sum((m - pos) * (hits - pos + pos / 2.0)) / (sum(pos) * sum(m - pos)) AS value FROM h GROUP BY fold
+  UNION ALL SELECT fold, 'average_precision', 'all', sum(pos * hits / selected) / sum(pos) FROM h GROUP BY fold
+  UNION ALL SELECT fold, 'precision', '10%', hit / cut FROM k UNION ALL SELECT fold, 'recall', '10%', hit / pos FROM k UNION ALL SELECT fold, 'ndcg', '10%', gain / best FROM k)
+SELECT fold, metric, k, {r6("value")} AS value FROM m UNION ALL SELECT NULL, metric, k, {r6("avg(value)")} FROM m GROUP BY metric, k""")
 def group_fold_eval(spark, sf_dir):
     return shown(harness.evaluate(detectors.FunctionDetector("x0"), _features(spark, sf_dir), harness.EvalSpec("group", n_splits=4, ks=(0.1,))))
 
