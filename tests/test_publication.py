@@ -4,6 +4,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from veritally.core.errors import AtlasError, CatalogueError, RedTeamError
 from veritally.operators import control, power, redteam
@@ -47,6 +48,34 @@ def test_published_atlas_is_looked_up(spark, measured, tmp_path):
         found.select("other")
 
 
+def test_folder_of_atlases(spark, measured, ladder, tmp_path):
+    folder = f"{tmp_path}/all"
+    atlas.publish_atlas(measured, f"{folder}/one.parquet", "m", "unit", seed=7)
+    atlas.publish_atlas(measured, f"{folder}/copy.parquet", "m", "unit", seed=7)
+    atlas.publish_atlas(ladder, f"{folder}/ladder.parquet", "m", "precinct", semantics="sum_then_ratio", seed=8)
+    atlas.publish_atlas(measured, f"{folder}/within/deeper.parquet", "m", "region", seed=9)  # not looked into
+    listed = {r.atlas: r for r in atlas.atlas_table(spark, folder).collect()}
+    assert set(listed) == {"one.parquet", "copy.parquet", "ladder.parquet"} and not any(r.problem for r in listed.values())
+    one = listed["one.parquet"]
+    assert (one.method, one.aggregation, one.seed, one.n_rows, one.sample_sizes, one.effect_sizes) == ("m", "unit", 7, 8, [50, 100], [0.0, 0.1, 0.2, 0.3])
+    assert one.fingerprint == listed["copy.parquet"].fingerprint != listed["ladder.parquet"].fingerprint
+    found = atlas.PowerLookup(spark, folder=folder)
+    assert len(found) == 2 and found.rungs() == ["precinct", "unit"] and found.select("m", "unit").count() == 8 and found.minimum_detectable_effect("m", 100, "unit") == 0.2
+    with pytest.raises(AtlasError, match="2 atlases match.*seed 7.*seed 8"):
+        found.select("m")
+    assert "m (unit)" in found.describe()
+    measured.withColumn("_spec", F.when(F.col("n") == 50, '{"method": "m", "library_version": "1"}').otherwise('{"method": "m", "library_version": "2"}')).write.parquet(f"{folder}/mixed.parquet")
+    atlas.save_atlas(measured, f"{folder}/bare.parquet")
+    atlas.save_atlas(measured, f"{folder}/other.parquet", {"method": "x", "library_version": "1", "aggregation": "unit"})
+    problems = {r.atlas: r.problem for r in atlas.atlas_table(spark, folder).collect() if r.problem}
+    assert problems == {"mixed.parquet": "its rows disagree on the settings", "bare.parquet": "it has no settings or version", "other.parquet": "its rows are of another method"}
+    with pytest.raises(AtlasError, match="mixed.parquet: its rows disagree"):
+        atlas.PowerLookup(spark, folder=folder)
+    with pytest.raises(AtlasError, match="without settings"):
+        measured.write.parquet(f"{tmp_path}/plain/a.parquet")
+        atlas.read_atlases(spark, f"{tmp_path}/plain")
+
+
 def test_atlas_refusals(spark, measured, tmp_path):
     path = f"{tmp_path}/no"
     mixed = measured.union(_atlas(spark, [(0.0, 0.1)], alpha=0.1))

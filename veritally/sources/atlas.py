@@ -1,4 +1,8 @@
-"""Power atlases as Parquet: saved with their settings, published after checks, looked up without guessing."""
+"""Power atlases as Parquet: saved with their settings, published after checks, looked up without guessing.
+
+A folder of atlases (``*.parquet``, each a file or a folder of part files) is one table with the name of its atlas in every row; what is
+checked and told apart are groups of that table.
+"""
 
 from __future__ import annotations
 
@@ -50,16 +54,53 @@ def publish_atlas(frame: DataFrame, path: str, method: str, aggregation: str, se
     save_atlas(frame.select(*COLUMNS), path, {"method": method, "aggregation": aggregation, "semantics": semantics, "seed": seed, "settings": settings or {}, "library_version": __version__})
 
 
+def read_atlases(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of the atlases of a folder, with ``_atlas`` (the name of the file or part folder) and ``_spec``. Folders within are not looked into."""
+    rows = spark.read.option("recursiveFileLookup", "false").option("mergeSchema", "true").parquet(f"{folder.rstrip('/')}/*.parquet")
+    require({*COLUMNS, "_spec"} <= set(rows.columns), f"{folder} holds atlases without settings", AtlasError)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.parquet)(/[^/]*)?$", 1)
+    return rows.select(name.alias("_atlas"), "_spec", *COLUMNS)
+
+
+def atlas_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each atlas of a folder: its name, method, aggregation, semantics, seed, version, rows, sizes, effects, and fingerprint.
+
+    Equal fingerprints are the same atlas under two names. ``problem`` says what is wrong with one: rows that disagree on the settings, no settings or
+    no version, a method in the rows that isn't that of the settings.
+    """
+    spec = F.from_json("_spec", "method string, aggregation string, semantics string, seed long, library_version string")
+    rows = read_atlases(spark, folder).withColumn("spec", spec).withColumn("row", F.xxhash64(*COLUMNS).cast("decimal(38,0)"))
+    out = rows.groupBy("_atlas").agg(
+        F.min("_spec").alias("settings"), F.max("_spec").alias("other"), F.count_if(F.col("_spec").isNull()).alias("bare"), F.count("*").alias("n_rows"), F.sort_array(F.collect_set("n")).alias("sample_sizes"),
+        F.sort_array(F.collect_set("effect_size")).alias("effect_sizes"), F.min("spec").alias("s"), F.sum("row").alias("h"), F.min("method").alias("low"), F.max("method").alias("high"), F.countDistinct("alpha").alias("alphas"),
+    )
+    problem = (
+        F.when((F.col("settings") != F.col("other")) | ((F.col("bare") > 0) & F.col("settings").isNotNull()), "its rows disagree on the settings")
+        .when(F.coalesce("s.library_version", F.lit("")) == "", "it has no settings or version")
+        .when((F.col("low") != F.col("high")) | (F.col("low") != F.col("s.method")), "its rows are of another method")
+        .when(F.col("alphas") != 1, "it mixes levels of alpha")
+    )
+    fingerprint = F.sha2(F.concat_ws(":", "settings", F.col("h").cast("string")), 256)
+    return out.select(F.col("_atlas").alias("atlas"), "s.method", "s.aggregation", "s.semantics", "s.seed", "s.library_version", "n_rows", "sample_sizes", "effect_sizes", fingerprint.alias("fingerprint"), problem.alias("problem"), "settings")
+
+
 class PowerLookup:
-    """Published atlases by method and rung; equal ones count once."""
+    """Published atlases by method and rung, from paths of single ones, or with ``folder`` all of a folder; equal ones count once."""
 
-    def __init__(self, spark: SparkSession, paths: str | Sequence[str]):
+    def __init__(self, spark: SparkSession, paths: str | Sequence[str] = (), folder: str | None = None):
         self.entries: dict[str, tuple[DataFrame, dict]] = {}
         for path in [paths] if isinstance(paths, str) else paths:
             rows, spec = load_atlas(spark, path)
             require(bool(spec.get("library_version")), f"{path} has no settings or version", AtlasError)
             total = rows.agg(F.sum(F.xxhash64(*COLUMNS).cast("decimal(38,0)")).alias("h")).first()["h"]
             self.entries[f"{json.dumps(spec, sort_keys=True)}:{total}"] = (rows, spec)
+        if folder is not None:
+            listed = atlas_table(spark, folder).collect()  # a row for each atlas
+            bad = [r for r in listed if r["problem"]]
+            require(not bad, "; ".join(f"{r['atlas']}: {r['problem']}" for r in bad), AtlasError)
+            every = read_atlases(spark, folder)
+            for r in listed:
+                self.entries.setdefault(r["fingerprint"], (every.where(F.col("_atlas") == r["atlas"]).drop("_atlas", "_spec"), json.loads(r["settings"])))
 
     def __len__(self) -> int:
         return len(self.entries)
@@ -67,13 +108,14 @@ class PowerLookup:
     def methods(self) -> list[str]:
         return sorted({s["method"] for _, s in self.entries.values()})
 
-    def rungs(self, method: str) -> list[str]:
-        return sorted({s["aggregation"] for _, s in self.entries.values() if s["method"] == method})
+    def rungs(self, method: str | None = None) -> list[str]:
+        return sorted({s["aggregation"] for _, s in self.entries.values() if method in (None, s["method"])})
 
     def select(self, method: str, aggregation: str | None = None) -> DataFrame:
-        found = [rows for rows, s in self.entries.values() if s["method"] == method and aggregation in (None, s["aggregation"])]
-        require(len(found) == 1, f"{len(found)} atlases match method {method!r} and aggregation {aggregation!r}", AtlasError)
-        return found[0]
+        found = [(rows, s) for rows, s in self.entries.values() if s["method"] == method and aggregation in (None, s["aggregation"])]
+        cited = "; ".join(cite(s) for _, s in found)
+        require(len(found) == 1, f"{len(found)} atlases match method {method!r} and aggregation {aggregation!r}{': ' * bool(cited)}{cited}", AtlasError)
+        return found[0][0]
 
     def minimum_detectable_effect(self, method: str, n: int, aggregation: str | None = None, target_power: float = 0.8) -> float:
         row = minimum_detectable_effect(self.select(method, aggregation).where(F.col("n") == n), target_power).first()
@@ -86,4 +128,10 @@ class PowerLookup:
         return bool(row and row["detectable"])
 
     def describe(self) -> str:
-        return "\n".join(f"{s['method']} ({s['aggregation']}), version {s['library_version']}" for _, s in self.entries.values())
+        return "\n".join(cite(s) for _, s in self.entries.values())
+
+
+def cite(spec: dict) -> str:
+    """An atlas in one line."""
+    seed = "" if spec.get("seed") is None else f", seed {spec['seed']}"
+    return f"{spec['method']} ({spec['aggregation']}), version {spec['library_version']}{seed}"
