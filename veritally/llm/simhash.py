@@ -303,8 +303,9 @@ class _Cell:
     def __init__(self, rows: pa.Table):
         column = lambda c: rows.column(c).combine_chunks()
         self.address, ci, cj = (rows.column(c)[0].as_py() for c in ("address", "ci", "cj"))
-        self.node, self.size, block = (column(c).to_numpy() for c in ("node", "size", "block"))
-        _, self.group = np.unique(column("root").to_numpy(), return_inverse=True)
+        self.size, block = (column(c).to_numpy() for c in ("size", "block"))
+        self.root, self.group = np.unique(column("root").to_numpy(), return_inverse=True)
+        self.first = self.group.copy()
         self.mark, self.hashes = _rows(column("mark")), column("hashes")
         self.keys = column("keys").flatten().to_numpy().reshape(-1, BANDS)
         self.one, self.left, self.right = ci == cj, np.flatnonzero(block == ci), np.flatnonzero(block == cj)
@@ -313,7 +314,7 @@ class _Cell:
         return np.frombuffer(self.hashes[i].as_buffer(), np.uint64)
 
     def links(self) -> list[tuple[int, int]]:
-        """Pairs of similar members of different groups that join all groups that similar pairs join."""
+        """Pairs of groups (roots) with similar members, enough to join all groups that such pairs join."""
         bits = np.ascontiguousarray(self.mark[:, : WIDE_BITS // 8]).view("<u8")
         found, step = [], max(1, (1 << 20) // max(len(self.right), 1))
         for lo in range(0, len(self.left), step):
@@ -337,13 +338,13 @@ class _Cell:
         out, own = [], self.set(i)
         for j in others.tolist():
             if self.group[j] != self.group[i] and similarity(own, self.set(j)) >= SIMILAR:
-                out.append((int(self.node[i]), int(self.node[j])))
+                out.append((int(self.root[self.first[i]]), int(self.root[self.first[j]])))
                 self.group[self.group == self.group[j]] = self.group[i]
         return out
 
 
 def _cells(batches):
-    """mapInArrow function: members of buckets, each cell in one piece, to (u, v) that join groups."""
+    """mapInArrow function: members of buckets, each cell in one piece, to the roots (u, v) of groups to join."""
 
     def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         found = np.array(_Cell(pa.Table.from_batches(held)).links(), np.int64).reshape(-1, 2)
@@ -411,8 +412,8 @@ def _bitmap(addresses: DataFrame) -> np.ndarray:
     return out
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v) of similar nodes, enough to connect the groups but for pairs that share no key."""
+def similar_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) of all nodes that have a similar one, by group; what is missed are links of pairs that share no key."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = nodes.select("node", F.explode("keys").alias("address"))
     buckets = staged(met.groupBy("address").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -425,21 +426,25 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     near = staged(_dealt(tried, marked, "seen").mapInArrow(_near, "u long, v long"), "near")
     same = staged(_verified(docs, nodes, near), "similar")
     # buckets that still hold several groups; in one of two members both have been compared
-    roots = components(same).withColumnRenamed("node", "member")
-    placed = shared.where("n > 2").join(roots, F.col("node") == F.col("member"), "left").select("address", "n", "node", F.coalesce("root", "node").alias("root"))
+    roots = staged(components(same), "roots")
+    placed = shared.where("n > 2").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("address", "n", "node", F.coalesce("root", "node").alias("root"))
     placed = staged(placed, "placed")
     mixed = placed.groupBy("address").agg(F.min("root").alias("least"), F.max("root").alias("last")).where("least <> last").select("address")
     members = placed.join(mixed, "address").select("address", "node", "root")
     members = staged(members.join(nodes.select("node", "size", "mark", "keys"), "node"), "members")
     if members.isEmpty():
-        return same
+        return roots
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES)).cast("int")
     cut = members.groupBy("address").agg(F.greatest(F.lit(1), blocks).alias("blocks"))
     whole = members.join(_sets(docs, nodes, members.select("node")), "node").join(cut, "address")
     whole = whole.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = whole.select("address", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "node", "root", "size", "mark", "keys", "hashes")
     cells = cells.repartition(parts, "address", "ci", "cj").sortWithinPartitions("address", "ci", "cj")
-    return same.unionByName(staged(cells.mapInArrow(_cells, "u long, v long"), "more"))
+    joined = components(staged(cells.select("address", "ci", "cj", "block", "root", "size", "mark", "keys", "hashes").mapInArrow(_cells, "u long, v long"), "more"))
+    joined = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))  # of roots; those that were alone have no row in roots
+    moved = roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    alone = joined.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return moved.unionByName(alone)
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
@@ -447,7 +452,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     named = documents(docs, "doc_id", "text").where("doc_id is not null")
     marked = staged(named.mapInArrow(_marks, f"doc_id long, {MARKS}"), "marks")
     nodes = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("mark").alias("mark"), F.first("keys").alias("keys")), "nodes")
-    roots = components(similar_links(named, nodes))
+    roots = similar_roots(named, nodes)
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").select("first_id", F.coalesce("root", "node").alias("root"))
     stays = rooted.groupBy("root").agg(F.min("first_id").alias("doc_id")).select("doc_id")
     kept = docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
