@@ -65,7 +65,7 @@ def test_integer_excess_finds_planted(spark):
     for values, low, high in ((num, -4, 4), (planted, 6, 1e9)):
         rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(values, den))], "i long, num double, den double")
         exact = percent.integer_excess_exact(rows, "num", "den").first()
-        drawn = percent.integer_excess(rows, "num", "den", "i", n_mc=100).first()
+        drawn = percent.integer_excess(rows, "num", "den", n_mc=100).first()
         assert low < exact["z"] < high and low < drawn["z"] < high
         assert drawn["expected_mean"] == pytest.approx(exact["expected_mean"], rel=0.1)
 

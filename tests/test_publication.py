@@ -53,7 +53,7 @@ def test_folder_of_atlases(spark, measured, ladder, tmp_path):
     atlas.publish_atlas(measured, f"{folder}/one.parquet", "m", "unit", seed=7)
     atlas.publish_atlas(measured, f"{folder}/copy.parquet", "m", "unit", seed=7)
     atlas.publish_atlas(ladder, f"{folder}/ladder.parquet", "m", "precinct", semantics="sum_then_ratio", seed=8)
-    atlas.publish_atlas(measured, f"{folder}/within/deeper.parquet", "m", "region", seed=9)  # not looked into
+    atlas.publish_atlas(measured, f"{folder}/within/deeper.parquet", "m", "unit", seed=9)  # not looked into
     listed = {r.atlas: r for r in atlas.atlas_table(spark, folder).collect()}
     assert set(listed) == {"one.parquet", "copy.parquet", "ladder.parquet"} and not any(r.problem for r in listed.values())
     one = listed["one.parquet"]

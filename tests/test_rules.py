@@ -54,7 +54,7 @@ def test_null_keys_stay(spark):
     assert keys(dispersion.too_smooth_test(df, "x", ["t"], ["k"], n_perm=9)) == both
     assert keys(bunching.bunching_linear(df, "x", 40.0, bunching.Window.of(4.0, 8.0, 8.0), ["k"])) == both
     assert keys(percent.integer_excess_exact(df, "num", "den", ["k"])) == both
-    drawn = percent.integer_excess(df, "num", "den", "t", ["k"], n_mc=5)
+    drawn = percent.integer_excess(df, "num", "den", ["k"], n_mc=5)
     assert keys(drawn) == both and drawn.where("mc_pvalue is null").count() == 0
     table = spark.createDataFrame([(k, v, g, 50.0 + g + v % 3, 10.0, 20) for k in ("a", None) for v in range(8) for g in range(3)], "k string, v int, g int, mean double, sd double, n int")
     assert keys(balance.carlisle_test(table, "mean", "sd", "n", "v", ["k"])) == both

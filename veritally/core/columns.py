@@ -86,3 +86,17 @@ def on_keys(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "in
     for k in by:
         match = match & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
     return left.join(renamed, match, how).drop(*(f"_right_{k}" for k in by))
+
+
+def jsonable(df: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as one JSON text with its missing fields; NaN and infinities, which JSON has no numbers for, are null."""
+    kinds = dict(df.dtypes)
+
+    def plain(x: Column, kind: str) -> Column:
+        if kind in ("double", "float"):
+            return F.when(finite(x), x)
+        if kind in ("array<double>", "array<float>"):
+            return F.transform(x, lambda v: F.when(finite(v), v))
+        return x
+
+    return df.select(F.to_json(F.struct(*(plain(F.col(f"`{c}`"), kinds[c]).alias(c) for c in df.columns)), {"ignoreNullFields": "false"}).alias(name))

@@ -183,15 +183,18 @@ class PUDetector:
     wants_unlabeled = True
 
     def __init__(self, features: list[str], kind: str = "elkan_noto", name: str | None = None, **options):
-        from .pu import Bagging, ElkanNoto
-
         require(kind in ("elkan_noto", "bagging"), f"unknown kind {kind!r}")
-        self.learner = (ElkanNoto if kind == "elkan_noto" else Bagging)(features, **options)
+        self.features, self.kind, self.options, self.learner = features, kind, options, None
         self.name = name or kind
 
     def fit(self, df: DataFrame) -> PUDetector:
-        self.learner.fit(df.withColumn("_s", F.when(F.col("y") == 1, 1).otherwise(0)), "_s", "unit_id")
+        from .pu import Bagging, ElkanNoto
+
+        learner = (ElkanNoto if self.kind == "elkan_noto" else Bagging)(self.features, **self.options)
+        self.learner = learner.fit(df.withColumn("_s", F.when(F.col("y") == 1, 1).otherwise(0)), "_s", "unit_id")
         return self
 
     def score(self, df: DataFrame) -> DataFrame:
+        if self.learner is None:
+            raise AnalysisError("fit first")
         return self.learner.score(df, "unit_id").select(F.col("row_id").alias("unit_id"), "score")

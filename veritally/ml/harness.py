@@ -6,6 +6,7 @@ time. Folds are a column, so a detector without fitting is graded for all folds
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -129,7 +130,7 @@ def evaluate(detector, df: DataFrame, spec: EvalSpec) -> DataFrame:
     placed = folds(df, spec)
     parts = []
     for fold in [0] if spec.split != "group" else range(spec.n_splits):
-        fitted = detector.fit(training(placed, fold, detector.wants_unlabeled, spec.split == "none"))
+        fitted = copy.copy(detector).fit(training(placed, fold, detector.wants_unlabeled, spec.split == "none"))
         test = placed.where((F.col("fold") == fold) & F.col("y").isNotNull())
         parts.append(fitted.score(test).join(test.select("unit_id", "y", "fold"), "unit_id"))
     scored = parts[0]
@@ -150,11 +151,14 @@ def evaluate(detector, df: DataFrame, spec: EvalSpec) -> DataFrame:
 
 @dataclass
 class Transfer:
-    """Ranked scores of the target, calibration on the source, and flagged shares of controls."""
+    """Ranked scores of the target, calibration on the source, flagged shares of controls, and how the detector did at home, if asked."""
 
     scores: DataFrame
     calibration: DataFrame
     controls: DataFrame | None
+    source_report: DataFrame | None = None
+    n_source_fit: int = 0
+    detector: object = None
 
 
 def flagged_shares(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("control",)) -> DataFrame:
@@ -171,19 +175,28 @@ def flagged_shares(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] =
     return on_keys(passed, total, by).select(*by, F.col("v").alias("threshold"), (F.col("above") / F.col("n")).alias("flagged_share"))
 
 
-def transfer(detector, source: DataFrame, target: DataFrame, controls: DataFrame | None = None, max_points: int = 100) -> Transfer:
+def transfer(detector, source: DataFrame, target: DataFrame, controls: DataFrame | None = None, max_points: int = 100, source_spec: EvalSpec | None = None, fit_on: str = "auto") -> Transfer:
     """Fit on the source, rank the target, calibrate on the source, and score controls with the same detector.
 
-    Calibration thresholds are at most ``max_points`` rows.
+    With ``source_spec`` the detector is first evaluated on folds of the source, so that the ranking goes with an out-of-sample record.
+    ``fit_on``: "labeled" or "all" rows of the source, or "auto": what the detector wants, as in an evaluation. The calibration is
+    in-sample; its thresholds are at most ``max_points`` rows.
     """
+    require(fit_on in ("auto", "labeled", "all"), f"fit_on must be auto, labeled or all; got {fit_on!r}")
     validate(source)
-    fitted = detector.fit(source if detector.wants_unlabeled else source.where("y is not null"))
+    labelled = source.where("y is not null")
+    require(not labelled.isEmpty(), "the source has no labelled rows")
+    require(not target.isEmpty(), "the target is empty")
+    report = evaluate(detector, source, source_spec) if source_spec is not None else None
+    everything = fit_on == "all" or (fit_on == "auto" and detector.wants_unlabeled)
+    rows = source if everything else labelled
+    fitted = copy.copy(detector).fit(rows)  # fitting replaces parts of a detector, it doesn't change them
     found = fitted.score(target)
     scores = running(found, [], value_bucket(found, "score"), [F.col("score").desc(), F.col("unit_id")], {"rank": F.lit(1).cast("long")}, True)
-    labelled = fitted.score(source).join(source.where("y is not null").select("unit_id", "y"), "unit_id")
-    calibration = ranking.calibration_curve(labelled, "y", "score", "unit_id", max_points=max_points)
+    known = fitted.score(labelled).join(labelled.select("unit_id", "y"), "unit_id")
+    calibration = ranking.calibration_curve(known, "y", "score", "unit_id", max_points=max_points)
     shares = None
     if controls is not None:
         scored = fitted.score(controls).join(controls.select("unit_id", "control"), "unit_id")
         shares = flagged_shares(scored, calibration)
-    return Transfer(scores, calibration, shares)
+    return Transfer(scores, calibration, shares, report, rows.count(), fitted)

@@ -1,13 +1,15 @@
 """Integer percentages: an excess of shares that lie on whole per cents.
 
 The null is binomial: each unit's numerator is redrawn with its own share. In ``exact`` mode the
-mean and variance of the number of hits are sums of lattice probabilities; in Monte-Carlo mode the
-replicates of a unit are drawn by a generator keyed by seed, key and unit, and partial sums by
-replicate leave the workers, never a row for each unit and replicate.
+mean and variance of the number of hits are sums of lattice probabilities. In Monte-Carlo mode units of one key with the same denominator,
+share and weight are drawn together: how many of them fall on each whole per cent in a replicate is a multinomial draw with the
+chances of the lattice, by a generator keyed by seed, key, denominator, share and weight. So a replicate costs distinct (denominator, share)
+pairs, not units, and what leaves a worker is a number for each replicate and whole per cent.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -129,44 +131,58 @@ def integer_excess_exact(df: DataFrame, num: str, den: str, by: Sequence[str] =
     return _finish(on_keys(seen, null, by))
 
 
-def integer_excess(df: DataFrame, num: str, den: str, unit: str, by: Sequence[str] = (), tolerance: float = 0.05, min_denominator: int = 100, neighbour_bins: int = 5, n_mc: int = 200, seed: int = 0, weight: str | None = None) -> DataFrame:
+def _lattice(n: int, p: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The whole per cents near which 100 k / n can lie for k ~ Binomial(n, p), and the chance of each."""
+    k = np.arange(n + 1)
+    whole = np.rint(100.0 * k / n)
+    k = k[np.abs(100.0 * k / n - whole) <= tolerance]
+    whole = whole[k].astype(int)
+    if p <= 0 or p >= 1:
+        chance = (k == (0 if p <= 0 else n)).astype(float)
+    else:
+        chance = np.exp([math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in k.tolist()])
+    total = np.bincount(whole, chance, 101)
+    return np.flatnonzero(total), total[total > 0]
+
+
+def integer_excess(df: DataFrame, num: str, den: str, by: Sequence[str] = (), tolerance: float = 0.05, min_denominator: int = 100, neighbour_bins: int = 5, n_mc: int = 200, seed: int = 0, weight: str | None = None) -> DataFrame:
     """Monte-Carlo mode: z, one-sided p, Monte-Carlo p, and the excess at each of 0..100 per cent.
 
-    ``unit`` identifies a unit, so that its draws don't depend on partitions. Keys without a usable
-    unit get a row with n = 0 and no statistics.
+    Draws don't depend on partitions. Keys without a usable unit get a row with n = 0 and no statistics.
     """
     _check(tolerance, min_denominator)
     require(n_mc >= 1, f"n_mc must be at least 1; got {n_mc}")
-    units = _units(df.withColumn("_unit", F.xxhash64(F.lit(seed), unit)), num, den, [*by, "_unit"], min_denominator, weight)
-    keys = list(by)
+    units, keys = _units(df, num, den, by, min_denominator, weight), list(by)
+    alike = units.where("pct is not null").groupBy(*keys, "den", "pct", "w").agg(F.count("*").alias("m"))
+    alike = alike.select(*keys, F.xxhash64(F.lit(seed), *keys, "den", "pct", "w").alias("h"), "den", "pct", "w", "m")
 
     def draw(batches):
-        """Partial sums by key and replicate; replicate -1 is what was observed."""
+        """For each key: hits by replicate, then the means over replicates and what was observed at each whole per cent."""
         for frame in batches:
             parts: dict[tuple, np.ndarray] = {}
             for row in frame.itertuples(index=False):
-                key = tuple(row[: len(keys)])
-                u, pct, d, w = row[len(keys) :]
-                generator = np.random.Generator(np.random.Philox(key=int(u) & (2**64 - 1)))
-                drawn = 100.0 * generator.binomial(int(d), pct / 100.0, n_mc) / d
-                values = np.append(drawn, pct)
-                whole = np.rint(values)
-                hit = np.flatnonzero(np.abs(values - whole) <= tolerance)
-                table = parts.setdefault(key, np.zeros((n_mc + 1, 101)))
-                table[hit, whole[hit].astype(int)] += w
-            out = [(*key, r if r < n_mc else -1, float(t[r].sum()), t[r].tolist()) for key, t in parts.items() for r in range(n_mc + 1)]
-            yield pd.DataFrame(out, columns=[*keys, "replicate", "hits", "cells"])
+                key, (h, n, pct, w, m) = tuple(row[: len(keys)]), row[len(keys) :]
+                total = parts.setdefault(key, np.zeros(n_mc + 202))
+                places, chances = _lattice(int(n), pct / 100.0, tolerance)
+                rest = max(0.0, 1.0 - chances.sum())
+                drawn = np.random.Generator(np.random.Philox(key=int(h) & (2**64 - 1))).multinomial(int(m), np.append(chances, rest) / (chances.sum() + rest), n_mc)[:, :-1]
+                total[:n_mc] += w * drawn.sum(axis=1)
+                total[n_mc + places] += w * drawn.mean(axis=0)
+                if abs(pct - np.rint(pct)) <= tolerance:
+                    total[n_mc + 101 + int(np.rint(pct))] += w * m
+            yield pd.DataFrame([(*key, t.tolist()) for key, t in parts.items()], columns=[*keys, "sums"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
-    schema = (kinds + ", " if kinds else "") + "replicate int, hits double, cells array<double>"
-    drawn = units.where("pct is not null").select(*keys, "_unit", "pct", "den", "w").mapInPandas(draw, schema)
-    sums = drawn.groupBy(*keys, "replicate").agg(F.sum("hits").alias("hits"), *(F.sum(F.col("cells")[i]).alias(f"c{i}") for i in range(101)))
-    null, seen = F.col("replicate") >= 0, F.col("replicate") < 0
-    stats = sums.groupBy(*keys).agg(
-        F.avg(F.when(null, F.col("hits"))).alias("expected_mean"), F.coalesce(F.stddev_samp(F.when(null, F.col("hits"))), F.lit(0.0)).alias("expected_sd"), F.collect_list(F.when(null, F.col("hits"))).alias("null"),
-        F.array(*(F.max(F.when(seen, F.col(f"c{i}"))) - F.avg(F.when(null, F.col(f"c{i}"))) for i in range(101))).alias("per_integer"),
-    )
+    drawn = alike.mapInPandas(draw, (kinds + ", " if kinds else "") + "sums array<double>")
+    each = drawn.select(*keys, F.posexplode("sums").alias("at", "v")).groupBy(*keys, "at").agg(F.sum("v").alias("v"))
+    whole = each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("sums"))  # as many as replicates and per cents
+    null = F.slice("sums", 1, n_mc)
+    cell = lambda i: F.element_at("sums", n_mc + 102 + i) - F.element_at("sums", n_mc + 1 + i)
+    mean = F.aggregate(null, F.lit(0.0), lambda a, x: a + x) / n_mc
+    stats = whole.select(*keys, null.alias("null"), mean.alias("expected_mean"), F.array(*(cell(i) for i in range(101))).alias("per_integer"))
+    squares = F.aggregate("null", F.lit(0.0), lambda a, x: a + (x - F.col("expected_mean")) * (x - F.col("expected_mean")))
+    stats = stats.withColumn("expected_sd", F.sqrt(squares / max(n_mc - 1, 1)))
     counts = _observed(units, keys, tolerance, neighbour_bins)
     joined = on_keys(counts, stats, keys, "left")
-    reached = F.size(F.filter("null", lambda h: h >= F.col("observed")))
+    reached = F.size(F.filter("null", lambda x: x >= F.col("observed") - 1e-9 * F.greatest(F.lit(1.0), F.col("observed"))))
     return _finish(joined.withColumn("mc_pvalue", (1 + reached) / (n_mc + 1.0))).drop("null")

@@ -83,7 +83,7 @@ def placebo_share(spark, sf_dir):
 x AS (SELECT o_totalprice, threshold, id FROM orders CROSS JOIN t WHERE threshold < 1000000), {_dense("id", "o_totalprice", "x", "threshold", 10000.0)}, {_fit(2, 2)}
 SELECT k AS id, {r6("n")} AS n, {r6("e / h")} AS normalized_excess FROM f""")
 def catalogue_scan(spark, sf_dir):
-    entry = lambda i, v, t: (i, v, t, "notch", "above", "bonus", "rule", ["size"], "candidate", "")
+    entry = lambda i, v, t: (i, v, t, "notch", "above", "bonus", "rule", ["size"], "unverified", "")
     listed = spark.createDataFrame([entry("price", "o_totalprice", 250_000.0), entry("far", "o_totalprice", 9e8), entry("gone", "no_column", 1.0)], catalogue.SCHEMA)
     return shown(catalogue.scan_all(load(spark, sf_dir, "orders"), listed, _WINDOW), "id", "n", "normalized_excess")
 

@@ -49,5 +49,5 @@ def integer_excess_exact(spark, sf_dir):
 
 @query()
 def integer_excess_by_group(spark, sf_dir):
-    found = percent.integer_excess(_units(spark, sf_dir), "num", "den", "l_suppkey", ["s_nationkey"], seed=7)
+    found = percent.integer_excess(_units(spark, sf_dir), "num", "den", ["s_nationkey"], seed=7)
     return shown(found, "s_nationkey", "n", "observed", "expected_mean", "expected_sd", "z", "pvalue", "mc_pvalue", "per_integer", "n_excluded_small")

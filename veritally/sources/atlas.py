@@ -44,7 +44,15 @@ def publish_atlas(frame: DataFrame, path: str, method: str, aggregation: str, se
         require(semantics in SEMANTICS, f"a ladder needs semantics among {SEMANTICS}", AtlasError)
         rungs = {r["level"] for r in frame.select("level").distinct().collect()}
         require(aggregation in rungs, f"no rung {aggregation!r}; there are {sorted(rungs)}", AtlasError)
+        held = {r["semantics"] for r in frame.where(F.col("level") == aggregation).select("semantics").distinct().collect()}
+        require(semantics in held, f"rung {aggregation!r} was measured for {sorted(held)}, not {semantics!r}", AtlasError)
+        stated = (settings or {}).get("semantics", semantics)
+        require(stated == semantics, f"the settings say {stated!r}, but {semantics!r} is published", AtlasError)
+        sizes = frame.where((F.col("level") == aggregation) & (F.col("semantics") == semantics)).agg(F.max("mean_group_size")).first()[0]
+        settings = {"mean_group_size": sizes, **(settings or {})}
         frame = from_ladder(frame, aggregation, semantics, method)
+    else:
+        require(aggregation == "unit", f"a frame without levels is a curve of units, not of {aggregation!r}", AtlasError)
     missing = set(COLUMNS) - set(frame.columns)
     require(not missing, f"columns are missing: {sorted(missing)}", AtlasError)
     facts = frame.agg(F.collect_set("method").alias("methods"), F.countDistinct("alpha").alias("alphas"), F.count("*").alias("n")).first()

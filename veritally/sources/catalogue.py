@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.errors import CatalogueError, require
-from ..operators.bunching import Window, bin_counts, bunching
+from ..operators.bunching import Kink, Notch, Window, bin_counts, bunching
 
 SCHEMA = "id string, variable string, threshold double, kind string, side string, incentive string, evidence string, confounds array<string>, status string, notes string"
-KINDS, SIDES, STATUSES = ("notch", "kink"), ("above", "below"), ("documented", "candidate", "rejected")
+KINDS, SIDES, STATUSES = ("notch", "kink"), ("above", "below"), ("verified", "unverified")
 
 
 def load_notches(spark: SparkSession, path: str) -> DataFrame:
@@ -46,6 +46,15 @@ def rules() -> list[tuple[str, str, Column]]:
     ]
 
 
+def to_notch(entry: Row | dict) -> Notch | Kink:
+    """The threshold of an entry as the estimators take it, with its id as label."""
+    e = entry.asDict() if isinstance(entry, Row) else entry
+    kind, side = e.get("kind") or KINDS[0], e.get("side") or SIDES[0]
+    require(kind in KINDS, f"kind is unknown: {kind!r}", CatalogueError)
+    require(e.get("threshold") is not None, f"entry {e.get('id')!r} has no threshold", CatalogueError)
+    return Kink(float(e["threshold"]), e["id"]) if kind == "kink" else Notch(float(e["threshold"]), side, e["id"])
+
+
 def validate_notches(catalogue: DataFrame) -> DataFrame:
     """All problems at once: (id, severity, problem)."""
     found = F.array(*(F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(text).alias("problem"))) for severity, text, when in rules()))
