@@ -1,10 +1,13 @@
 """Dispersion and balance queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..core import seeding
 from ..functions import tables
 from ..operators import balance, dispersion
+from ..streaming import series
 from .registry import load, query, r6, shown
 
 
@@ -146,3 +149,18 @@ def sql_rolling_floor(spark, sf_dir):
 def sql_smoothness(spark, sf_dir):
     _series_view(spark, sf_dir)
     return shown(spark.sql("SELECT k AS event_type, n, s2, eta FROM vt_smoothness(TABLE(vt_series) PARTITION BY k ORDER BY t)"))
+
+
+@query("""WITH v AS (SELECT event_type AS k, ts, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+c AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY AS passed FROM v),
+w AS (SELECT k, ts, t - 6 AS start, t AS stop, var_samp(x) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS s2 FROM v),
+p AS (SELECT *, 6 * s2 / 500.0 AS x FROM w CROSS JOIN c WHERE start >= 0 AND ts < passed)
+""" + f"""SELECT k AS event_type, start, stop AS "end", {r6("s2")} AS s2, {r6("x")} AS statistic, {r6("1 - exp(-x / 2) * (1 + x / 2 + (x / 2) * (x / 2) / 2)")} AS pvalue FROM p""")
+def stream_rolling_floor(spark, sf_dir):
+    """The events as a stream: windows that the watermark has passed at its end."""
+    source = f"{sf_dir}/events.parque[t]"  # a pattern: a stream takes a single file only so
+    stream = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(source)
+    found = series.rolling_floor(stream, "event_type", "ts", "value", "event_id", 500.0, 7, "1 day")
+    place = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/veritally-stream-{uuid.uuid4().hex}"
+    found.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return shown(spark.read.schema(found.schema).parquet(f"{place}/rows"), "k", "start", "end", "s2", "statistic", "pvalue").withColumnRenamed("k", "event_type")
