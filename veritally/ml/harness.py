@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core.columns import on_keys
@@ -164,14 +163,14 @@ class Transfer:
 def flagged_shares(scores: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("control",)) -> DataFrame:
     """Share of each control's scores at or above every threshold.
 
-    Thresholds and scores are put in one order and counted as they pass, so no score meets every
-    threshold.
+    Thresholds and scores are put in one order and counted as they pass, bucket by bucket, so no score meets every
+    threshold and no control is one task's work.
     """
     total = scores.groupBy(*by).agg(F.count("*").alias("n"))
     cuts = total.select(*by).join(F.broadcast(thresholds.select("threshold").distinct()), F.lit(True)).select(*by, F.col("threshold").alias("v"), F.lit(0).alias("is_score"))
     points = scores.select(*by, F.col("score").alias("v"), F.lit(1).alias("is_score")).union(cuts)
-    down = W.partitionBy(*by).orderBy(F.col("v").desc(), F.col("is_score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    passed = points.withColumn("above", F.sum("is_score").over(down)).where("is_score = 0")
+    counted = running(points, by, value_bucket(points, "v"), [F.col("v").desc(), F.col("is_score").desc()], {"above": F.col("is_score").cast("long")}, True)
+    passed = counted.where("is_score = 0")
     return on_keys(passed, total, by).select(*by, F.col("v").alias("threshold"), (F.col("above") / F.col("n")).alias("flagged_share"))
 
 
