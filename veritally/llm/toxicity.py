@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import documents, staged
-from .bpe import byte_ranges
+from .bpe import byte_ranges, give_back
 from .text import flat, letters, prefix_hashes, word_hashes, words
 
 GRADES = 3
@@ -96,7 +96,7 @@ class _Lookup:
 
 
 class _Rows:
-    """mapInArrow function: sparse feature rows of the sample."""
+    """mapInArrow function: sparse feature rows of the sample, places and amounts as bytes: few objects for the driver."""
 
     def __init__(self, vocabulary: np.ndarray):
         self.vocabulary = vocabulary
@@ -105,8 +105,9 @@ class _Rows:
         lookup = _Lookup(self.vocabulary)
         for part in (batch.slice(lo, hi - lo) for batch in batches for lo, hi in byte_ranges(batch.column(0))):
             owner, place, value = lookup.counts(part.column(0))
-            ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
-            columns = [part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(place)), pa.ListArray.from_arrays(pa.array(ends), pa.array(value))]
+            ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).tolist()
+            place, cuts = place.astype("<i4"), list(zip(ends[:-1], ends[1:], strict=True))
+            columns = [part.column(1), pa.array([place[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([value[a:b].tobytes() for a, b in cuts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "places", "amounts"])
 
 
@@ -209,13 +210,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_featur
     gain = {np.uint64(r["feature"] & (2**64 - 1)): r["gain"] for r in rows}
     vocabulary = np.sort(np.array(list(gain), np.uint64))
     gains = np.maximum(np.array([gain[v] for v in vocabulary]), 0)
-    found = sample.mapInArrow(_Rows(vocabulary), "toxic int, places array<long>, amounts array<double>").toPandas()
-    sizes = found["places"].str.len().to_numpy()
-    x = Sparse(np.repeat(np.arange(len(found)), sizes), np.concatenate(found["places"].to_numpy()).astype(np.int64), np.concatenate(found["amounts"].to_numpy()).astype(float), len(found), len(vocabulary))
-    toxic = found["toxic"].to_numpy() > 0
+    found = sample.mapInArrow(_Rows(vocabulary), "toxic int, places binary, amounts binary").collect()
+    places, amounts = (np.frombuffer(b"".join(r[c] for r in found), kind) for c, kind in (("places", "<i4"), ("amounts", "<f8")))
+    x = Sparse(np.repeat(np.arange(len(found)), [len(r["places"]) // 4 for r in found]), places.astype(np.int64), amounts, len(found), len(vocabulary))
+    toxic = np.array([r["toxic"] for r in found]) > 0
+    del found
     mass = x.dot(gains)
     grade = np.where(toxic, 1 + np.searchsorted(np.quantile(mass[toxic], np.arange(1, GRADES) / GRADES), mass, "right"), 0)
-    return Model(vocabulary, *cumulative_link(x, grade, GRADES))
+    model = Model(vocabulary, *cumulative_link(x, grade, GRADES))
+    del x, places, amounts
+    give_back()
+    return model
 
 
 class _Score:
