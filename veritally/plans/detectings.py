@@ -21,7 +21,14 @@ def detector_terminal_digit(spark, sf_dir):
     return shown(detectors.make("terminal_digit")(load(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "unit_id"), "unit_id", "l_extendedprice"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT l_returnflag AS k, l_suppkey AS s, CAST(sum(l_linenumber) AS DOUBLE) AS num, count(*) * 7 + 100 AS den FROM lineitem GROUP BY 1, 2),
+x AS (SELECT * FROM l WHERE k IN (SELECT k FROM l GROUP BY k HAVING count(*) >= 50)),
+d AS (SELECT k, s, den, num / den AS p, unnest(range(0, den + 1)) AS j FROM x),
+h AS (SELECT k, s, CASE WHEN p <= 0 THEN (CASE WHEN j = 0 THEN 1.0 ELSE 0 END) WHEN p >= 1 THEN (CASE WHEN j = den THEN 1.0 ELSE 0 END)
+        ELSE exp(lgamma(den + 1) - lgamma(j + 1) - lgamma(den - j + 1) + j * ln(p) + (den - j) * ln(1 - p)) END AS c FROM d WHERE abs(100.0 * j / den - round_even(100.0 * j / den, 0)) <= 0.05),
+c AS (SELECT k, s, sum(c) AS c FROM h GROUP BY 1, 2),
+z AS (SELECT x.k, count(*) FILTER (abs(100.0 * num / den - round_even(100.0 * num / den, 0)) <= 0.05) AS o, sum(coalesce(c, 0)) AS m, sqrt(sum(coalesce(c, 0) * (1 - coalesce(c, 0)))) AS sd FROM x LEFT JOIN c USING (k, s) GROUP BY 1)
+SELECT k AS unit_id, {r6("(o - m) / sd")} AS score FROM z""")
 def detector_integer_excess(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_linenumber").cast("double").alias("num"), (F.count("*") * 7 + 100).cast("double").alias("den"))
     big = lines.groupBy("l_returnflag").agg(F.count("*").alias("c")).where("c >= 50").select("l_returnflag")

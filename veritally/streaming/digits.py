@@ -23,8 +23,9 @@ def windowed_digit_counts(stream: DataFrame, ts: str, value: str, by: Sequence[s
 
 
 def chi2_of_counts(counts: DataFrame, by: Sequence[str], position: str = "first") -> DataFrame:
-    """Chi-square of finished counts (keys, digit, n)."""
+    """Chi-square of finished counts (keys, digit, n); several rows of a digit, as from several windows, are added up first."""
     shares = F.create_map(*(x for d, p in zip(support(position), expected(position), strict=True) for x in (F.lit(int(d)).cast("long"), F.lit(p))))
     share = shares[F.col("digit").cast("long")]
-    out = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / share).alias("q"))
+    whole = counts.groupBy(*by, "digit").agg(F.sum("n").alias("n"))
+    out = whole.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / share).alias("q"))
     return out.select(*by, "n", (F.col("q") / F.col("n") - F.col("n")).alias("chi2"))
