@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, staged
+from ._common import SMALL_BATCHES, documents, staged
 from .bpe import byte_ranges, word_codec
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, closing: int = 1) -> Da
     The pieces (without their ids) are written once to the shared folder, as their ranks must not
     change between counting and placing.
     """
-    cut = staged(pieces(docs, path, window, closing), "pieces")
+    cut = staged(pieces(docs, path, window, closing), "pieces", SMALL_BATCHES)
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
