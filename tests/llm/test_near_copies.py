@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veritally.llm import simhash
 
@@ -103,6 +104,56 @@ def test_estimate_and_keys():
     assert (simhash.minima([np.zeros(0, np.uint64)]) == np.iinfo(np.uint64).max).all()
 
 
+def test_tables_hold_all_pairs_within_reach(spark):
+    """Fingerprints up to ``REACH`` bits apart share an address, however the bits lie; unrelated ones don't."""
+    rng = np.random.default_rng(9)
+    rows, pairs = [], []
+    for n in (0, 1, 8, 16, simhash.REACH):
+        for spread in (True, False):
+            one = rng.integers(0, 2, simhash.WIDE_BITS)
+            flips = np.arange(n) * 32 % 256 + np.arange(n) * 32 // 256 if spread else rng.permutation(simhash.WIDE_BITS)[:n]
+            other = one.copy()
+            other[flips] ^= 1
+            assert (one != other).sum() == n
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows) + k, bytearray(np.packbits(x).tobytes() + b"rest")) for k, x in enumerate((one, other))]
+    met = simhash.table_rows(spark.createDataFrame(rows, "node long, mark binary"))
+    assert met.count() == len(rows) * simhash.WIDE_SEGMENTS * 33
+    assert {(r.u, r.v) for r in met.toDF("u", "address").join(met.toDF("v", "address"), "address").where("u < v").collect()} == set(pairs)
+
+
+def test_tables_find_copies_that_share_no_minima(spark):
+    """Two groups of edited texts and single ones, all with keys of their own: what is found is found by the tables."""
+    rng = random.Random(10)
+    bases = [[f"b{k}-{i}" for i in range(300)] for k in range(12)]
+    texts = [edited(rng, bases[k], 1) for k in (0, 1) for _ in range(40)] + [" ".join(b) for b in bases[2:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    marked = docs.mapInArrow(simhash._marks, f"doc_id long, {simhash.MARKS}")
+    nodes = marked.withColumnRenamed("doc_id", "first_id").withColumn("keys", F.transform("keys", lambda _, i: F.xxhash64("node", i))).localCheckpoint()
+    roots = {r.node: r.root for r in simhash.similar_roots(docs, nodes).collect()}
+    node = [r.node for r in nodes.orderBy("first_id").collect()]
+    assert all(roots[n] == min(node[:40]) for n in node[:40]) and all(roots[n] == min(node[40:80]) for n in node[40:80])
+    assert len(roots) == 80
+
+
+def test_tables_look_at_all_pairs_of_mixed_buckets(spark):
+    """Members of different groups up to ``REACH`` bits apart, and none of one group or further apart, in blocks as in one."""
+    rng = np.random.default_rng(11)
+    one = rng.integers(0, 2, simhash.WIDE_BITS)
+    rows = []
+    for k in range(60):
+        bits = one.copy()
+        bits[rng.permutation(simhash.WIDE_BITS)[: k // 3]] ^= 1
+        rows.append((7, k, k % 4, bytearray(np.packbits(bits).tobytes())))
+    bits = [np.unpackbits(np.frombuffer(r[3], np.uint8)) for r in rows]
+    want = {(i, j) for i in range(60) for j in range(i) if i % 4 != j % 4 and (bits[i] != bits[j]).sum() <= simhash.REACH}
+    assert 0 < len(want) < 60 * 59 / 2
+    members = spark.createDataFrame(rows, "address long, node long, root long, bits binary")
+    for block in (8192, 16):
+        cells = simhash._in_cells(members, F.count("*") / block, "node", "bits")
+        assert {(r.u, r.v) for r in cells.mapInArrow(simhash._reached, "u long, v long").collect()} == want
+
+
 ODD = [
     (1, "", "en"), (2, None, "en"), (3, " \n\t ", None), (4, "one", None), (4, "one", None), (None, "no id here", "en"), (None, None, None), (5, " ".join(f"w{i % 700}x{i}" for i in range(40_000)), "en"),
     (6, "x" * 100_000, "en"), (7, "12345 67.8 *** $$$", "fr"), (8, "中文 🙂 é", "de"),

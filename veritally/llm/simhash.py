@@ -13,19 +13,23 @@ linked to the smallest of them, so the work stays in proportion, without a cap.
 only if both are in hot buckets: otherwise one finds the other in the bucket that isn't.)
 
 ``without_copies`` keeps one document of each group of similar ones: sets of five-word shingles with a Jaccard
-similarity of ``SIMILAR`` at least. At that similarity fingerprints differ in 15 % of their bits, too many for tables
-by segments (they'd need hundreds of rows from each document, growing with the corpus), so candidates meet by another
-index: ``BANDS`` keys of ``ROWS`` minima each, 14 rows from each document, whatever the corpus. A pair of
-similarity 0.8 shares a key with probability 0.996, one of 0.9 all but surely. Then
-
-1. In each bucket all are compared with one of them, the one that shares most keys with others, as it is the most
-   likely origin of the rest.
-2. In buckets that hold several groups still, all members of different groups are compared, in cells of two blocks of bounded
+similarity of ``SIMILAR`` at least. It does so by the same index over wider fingerprints: 256 bits in ``WIDE_SEGMENTS``
+segments of 32, in tables by (segment, value). Both the holder and the prober enumerate the ball of one bit, so they meet if
+some segment differs in two bits at most; fingerprints up to ``REACH`` bits apart always do. That is all but some pairs of
+similarity 0.95, about 97 % of those of 0.9, and 64 % at 0.8, where fingerprints differ in 15 % of their bits. Balls that reach
+all of those would take thousands of rows from each document. So that no link is left to chance there, documents
+also meet by ``BANDS`` keys of ``ROWS`` minima each: a pair of similarity 0.8 shares one with probability 0.996. Then
+
+1. In each bucket of either kind all are compared with one of them, the one that shares most buckets with others, as it
+   is the most likely origin of the rest.
+2. In buckets of minima that hold several groups still, all members of different groups are compared, in cells of two blocks of bounded
    size, so that a large bucket is dealt to many tasks. No turn is limited and nothing is left open. A cell joins groups as it
    finds links, so it passes on fewer links than it has members, and no pair that isn't similar.
+3. In buckets of the tables that hold several groups even then, all pairs of different groups up to ``REACH`` bits apart
+   are looked up, in such cells, by fingerprints alone.
 
-Compared means: by complete distance (a fingerprint of 256 bits and the minima give an estimate of the similarity, which
-must come to ``NEAR``), and what passes by the whole shingle sets, which decide.
+Compared means: by complete distance (at most ``REACH``, or the fingerprints and the minima give an estimate of the similarity
+that comes to ``NEAR``), and what passes by the whole shingle sets, which decide.
 
 Equal fingerprints (in ``without_copies``: equal shingle sets) are one node. The components of the links are
 the groups.
@@ -61,6 +65,9 @@ WIDE_SHINGLE = 5
 WIDE_WORDS = 4
 WIDE_BITS = 64 * WIDE_WORDS
 SIMILAR = 0.8
+#: Segments of wide fingerprints, and the distance up to which two share an address: else each segment would differ in three bits.
+WIDE_SEGMENTS, WIDE_RADIUS = 8, 1
+REACH = WIDE_SEGMENTS * (2 * WIDE_RADIUS + 1) - 1
 #: Keys of each document, and minima in a key.
 BANDS, ROWS = 14, 5
 #: Estimated similarity that candidates must reach: all but one in some hundred pairs of similarity 0.8 do. For sets
@@ -225,19 +232,24 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the fingerprints, for rows of marks."""
+    n = WIDE_BITS // 8
+    return np.bitwise_count(np.ascontiguousarray(a[:, :n]).view("<u8") ^ np.ascontiguousarray(b[:, :n]).view("<u8")).sum(axis=1)
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity by fingerprints (their angle) and by the lowest bytes of the minima, for rows of marks."""
     n = WIDE_BITS // 8
-    apart = np.bitwise_count(np.ascontiguousarray(a[:, :n]).view("<u8") ^ np.ascontiguousarray(b[:, :n]).view("<u8")).sum(axis=1)
-    cosine = np.cos(np.pi * apart / WIDE_BITS)
+    cosine = np.cos(np.pi * distance(a, b) / WIDE_BITS)
     same = ((a[:, n:] == b[:, n:]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
     return 0.55 * same + 0.45 * cosine / (2 - cosine)
 
 
 def is_near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Whether pairs of marks can be similar: sizes allow it, and the estimate comes near."""
+    """Whether pairs of marks can be similar: sizes allow it, and fingerprints are within ``REACH`` or the estimate comes near."""
     low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    return (low >= SIMILAR * high) & (estimate(a, b) >= np.where(low < FEW, ROUGH, NEAR))
+    return (low >= SIMILAR * high) & ((distance(a, b) <= REACH) | (estimate(a, b) >= np.where(low < FEW, ROUGH, NEAR)))
 
 
 def _node(values: np.ndarray) -> int:
@@ -343,13 +355,8 @@ class _Cell:
         return out
 
 
-def _cells(batches):
-    """mapInArrow function: members of buckets, each cell in one piece, to the roots (u, v) of groups to join."""
-
-    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        found = np.array(_Cell(pa.Table.from_batches(held)).links(), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
-
+def _by_cell(batches):
+    """The rows of each cell, which lie together, as a table."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -360,12 +367,35 @@ def _cells(batches):
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             now = tuple(cell[:, lo])
             if now != last and held:
-                yield out(held)
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(lo, hi - lo))
             last = now
     if held:
-        yield out(held)
+        yield pa.Table.from_batches(held)
+
+
+def _cells(batches):
+    """mapInArrow function: members of buckets of minima, each cell in one piece, to the roots (u, v) of groups to join."""
+    for rows in _by_cell(batches):
+        found = np.array(_Cell(rows).links(), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+
+def _reached(batches):
+    """mapInArrow function: members of buckets of the tables, each cell in one piece, to those (u, v) of different groups up to ``REACH`` bits apart."""
+    for rows in _by_cell(batches):
+        ci, cj = (rows.column(c)[0].as_py() for c in ("ci", "cj"))
+        block, node, root = (rows.column(c).combine_chunks().to_numpy() for c in ("block", "node", "root"))
+        bits = _rows(rows.column("bits").combine_chunks()).view("<u8")
+        left, right = np.flatnonzero(block == ci), np.flatnonzero(block == cj)
+        step = max(1, (1 << 20) // max(len(right), 1))
+        for lo in range(0, len(left), step):
+            own = left[lo : lo + step]
+            apart = sum(np.bitwise_count(bits[own][:, None, w] ^ bits[right][None, :, w]).astype(np.int16) for w in range(WIDE_WORDS))
+            i, j = np.nonzero((apart <= REACH) & (root[own][:, None] != root[right][None, :]))
+            i, j = node[own[i]], node[right[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["u", "v"])
 
 
 def _similar(batches):
@@ -412,41 +442,79 @@ def _bitmap(addresses: DataFrame) -> np.ndarray:
     return out
 
 
-def similar_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that have a similar one, by group; what is missed are links of pairs that share no key."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = nodes.select("node", F.explode("keys").alias("address"))
+def table_rows(nodes: DataFrame) -> DataFrame:
+    """(node, address): for each segment of the fingerprint all values in its ball, with the number of the segment as one integer."""
+    width = WIDE_BITS // WIDE_SEGMENTS
+    values = F.array(*(F.conv(F.hex(F.substring("mark", s * width // 8 + 1, width // 8)), 16, 10).cast("long") for s in range(WIDE_SEGMENTS)))
+    masks = F.array(*(F.lit(m).cast("long") for m in ball_masks(width, WIDE_RADIUS)))
+    cut = nodes.select("node", F.posexplode(values).alias("segment", "value")).select("node", "segment", "value", F.explode(masks).alias("mask"))
+    return cut.select("node", (F.col("value").bitwiseXOR(F.col("mask")) * WIDE_SEGMENTS + F.col("segment")).alias("address"))
+
+
+def _shared(met: DataFrame) -> DataFrame:
+    """(address, node, n) of addresses that n nodes share, n > 1."""
     buckets = staged(met.groupBy("address").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = staged(met.join(buckets, "address"), "shared")
-    # the member of a bucket that meets most others is what all are compared with
+    return staged(met.join(buckets, "address"), "shared")
+
+
+def _tried(shared: DataFrame) -> DataFrame:
+    """(u, v): all of a bucket with the member of it that meets most others."""
     weight = shared.groupBy("node").agg(F.sum("n").alias("w"))
     centre = shared.join(weight, "node").groupBy("address").agg(F.max(F.struct("w", "node")).alias("c")).select("address", F.col("c.node").alias("v"))
-    tried = staged(shared.join(centre, "address").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "tried")
-    marked = nodes.select("node", F.struct("size", "mark").alias("seen"))
-    near = staged(_dealt(tried, marked, "seen").mapInArrow(_near, "u long, v long"), "near")
-    same = staged(_verified(docs, nodes, near), "similar")
-    # buckets that still hold several groups; in one of two members both have been compared
-    roots = staged(components(same), "roots")
+    return shared.join(centre, "address").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(address, node, root) of buckets that hold several groups; in one of two members both have been compared."""
     placed = shared.where("n > 2").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("address", "n", "node", F.coalesce("root", "node").alias("root"))
     placed = staged(placed, "placed")
     mixed = placed.groupBy("address").agg(F.min("root").alias("least"), F.max("root").alias("last")).where("least <> last").select("address")
-    members = placed.join(mixed, "address").select("address", "node", "root")
-    members = staged(members.join(nodes.select("node", "size", "mark", "keys"), "node"), "members")
-    if members.isEmpty():
-        return roots
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES)).cast("int")
-    cut = members.groupBy("address").agg(F.greatest(F.lit(1), blocks).alias("blocks"))
-    whole = members.join(_sets(docs, nodes, members.select("node")), "node").join(cut, "address")
-    whole = whole.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = whole.select("address", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "node", "root", "size", "mark", "keys", "hashes")
-    cells = cells.repartition(parts, "address", "ci", "cj").sortWithinPartitions("address", "ci", "cj")
-    joined = components(staged(cells.select("address", "ci", "cj", "block", "root", "size", "mark", "keys", "hashes").mapInArrow(_cells, "u long, v long"), "more"))
-    joined = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))  # of roots; those that were alone have no row in roots
+    return placed.join(mixed, "address").select("address", "node", "root")
+
+
+def _in_cells(members: DataFrame, blocks: F.Column, *columns: str) -> DataFrame:
+    """The members of each cell (address, ci, cj) of two blocks together."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = members.groupBy("address").agg(F.greatest(F.lit(1), F.ceil(blocks).cast("int")).alias("blocks"))
+    whole = members.join(cut, "address").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = whole.select("address", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "root", *columns)
+    return cells.repartition(parts, "address", "ci", "cj").sortWithinPartitions("address", "ci", "cj")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after joining the groups whose roots are linked; those that were alone have no row in ``roots``."""
+    joined = components(links).select(F.col("node").alias("old"), F.col("root").alias("new"))
     moved = roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
     alone = joined.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
     return moved.unionByName(alone)
 
 
+def similar_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) of all nodes that have a similar one, by group; what is missed are links of pairs that share neither address nor key."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tables = _shared(table_rows(nodes.select("node", "mark").repartition(parts)))  # hundreds of rows from each node
+    shared = _shared(nodes.select("node", F.explode("keys").alias("address")))
+    tried = staged(_tried(tables).unionByName(_tried(shared)).distinct(), "tried")
+    marked = nodes.select("node", F.struct("size", "mark").alias("seen"))
+    near = staged(_dealt(tried, marked, "seen").mapInArrow(_near, "u long, v long"), "near")
+    roots = staged(components(staged(_verified(docs, nodes, near), "similar")), "roots")
+    members = staged(_mixed(shared, roots).join(nodes.select("node", "size", "mark", "keys"), "node"), "members")
+    if not members.isEmpty():
+        whole = members.join(_sets(docs, nodes, members.select("node")), "node")
+        blocks = F.greatest(F.count("*") / BLOCK, F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES)
+        cells = _in_cells(whole, blocks, "size", "mark", "keys", "hashes")
+        roots = staged(_joined(roots, staged(cells.mapInArrow(_cells, "u long, v long"), "more")), "roots")
+    bits = nodes.select("node", F.substring("mark", 1, WIDE_BITS // 8).alias("bits"))
+    members = staged(_mixed(tables, roots).join(bits, "node"), "members")
+    if not members.isEmpty():
+        near = staged(_in_cells(members, F.count("*") / BLOCK, "node", "bits").mapInArrow(_reached, "u long, v long").distinct(), "near")
+        found = staged(_verified(docs, nodes, near), "similar")
+        for end in ("u", "v"):
+            found = found.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        roots = _joined(roots, found)
+    return roots
+
+
 def without_copies(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each group of similar ones, all columns kept; of several rows of one doc_id one stays, always the same."""
     named = documents(docs, "doc_id", "text").where("doc_id is not null")
