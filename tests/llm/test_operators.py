@@ -536,6 +536,20 @@ def test_op8_writes_shards(spark, odd, empty, tmp_path):
     assert all(r.path for r in queries.op8_tokenstore(spark, SF).collect())
 
 
+def test_tokenstore_takes_small_batches(spark, tmp_path, monkeypatch):
+    """Tasks that hold a vocabulary or whole shards get small batches, and records don't depend on their size."""
+    seen, docs = [], spark.read.parquet(f"{SF}/documents.parquet").coalesce(1)
+    whole = sorted(tokenstore.records(docs, WORD, shard_rows=32).drop("shard").collect())
+
+    def noted(df, name, settings=None, write=tokenstore.staged):
+        seen.append((name, (settings or {}).get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return write(df, name, settings and settings | {"spark.sql.execution.arrow.maxRecordsPerBatch": "7"})
+
+    monkeypatch.setattr(tokenstore, "staged", noted)
+    assert sorted(tokenstore.store(docs, WORD, f"file://{tmp_path}", shard_rows=32).drop("shard", "path").collect()) == whole
+    assert {name for name, _ in seen} == {"sequences", "shard-index"} and {most for _, most in seen} == {"1000"}
+
+
 def test_op8_rewrites_other_bytes(odd, tmp_path):
     folder = f"file://{tmp_path}/shards"
     for key in (1, 2):  # files of equal sizes

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, shared_dir, staged
+from ._common import SMALL_BATCHES, documents, shared_dir, staged
 from .bpe import byte_ranges, word_codec
 
 ROUNDS = 6
@@ -129,7 +129,7 @@ class _Slots:
 
 def _sequences(docs: DataFrame, path: str, window: int, closing: int, width: int) -> tuple[DataFrame, dict[int, int], int]:
     """The sequences, the number of the first one of each partition, and how many there are."""
-    cut = staged(documents(docs, "text").mapInArrow(_Sequences(path, window, closing, width), SEQUENCES), "sequences")
+    cut = staged(documents(docs, "text").mapInArrow(_Sequences(path, window, closing, width), SEQUENCES), "sequences", SMALL_BATCHES)
     counts = sorted((r["part"], r["n"]) for r in cut.groupBy("part").agg(F.count("*").alias("n")).collect())
     bases, n = {}, 0
     for part, size in counts:
@@ -262,7 +262,7 @@ def store(docs: DataFrame, path: str, folder: str = "", key: int = 1, window: in
     index = spark.createDataFrame([], INDEX)
     for first in range(0, shards, each):
         rows = _in_order(cut, _Slots(bases, order, window * width, shard_rows, range(first, min(shards, first + each))))
-        index = index.unionByName(staged(rows.mapInArrow(_Write(folder, False), INDEX), "shard-index"))
+        index = index.unionByName(staged(rows.mapInArrow(_Write(folder, False), INDEX), "shard-index", SMALL_BATCHES))
     return index.mapInArrow(_Read(folder, window * width), RECORDS + ", path string")
 
 
