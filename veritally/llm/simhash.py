@@ -20,8 +20,8 @@ similarity 0.95, about 97 % of those of 0.9, and 64 % at 0.8, where fingerprints
 all of those would take thousands of rows from each document. So that no link is left to chance there, documents
 also meet by ``BANDS`` keys of ``ROWS`` minima each: a pair of similarity 0.8 shares one with probability 0.996. Then
 
-1. In each bucket of either kind all are compared with one of them, the one that shares most buckets with others, as it
-   is the most likely origin of the rest.
+1. In each bucket all are compared with one of them: in one of minima the one that shares most keys with others, as it
+   is the most likely origin of the rest, in one of the tables that with the smallest hash.
 2. In buckets of minima that hold several groups still, all members of different groups are compared, in cells of two blocks of bounded
    size, so that a large bucket is dealt to many tasks. No turn is limited and nothing is left open. A cell joins groups as it
    finds links, so it passes on fewer links than it has members, and no pair that isn't similar.
@@ -452,8 +452,8 @@ def table_rows(nodes: DataFrame) -> DataFrame:
 
 
 def _shared(met: DataFrame) -> DataFrame:
-    """(address, node, n) of addresses that n nodes share, n > 1."""
-    buckets = staged(met.groupBy("address").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    """(address, node, n, least) of addresses that n nodes share, n > 1, with the smallest of them."""
+    buckets = staged(met.groupBy("address").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "buckets")
     return staged(met.join(buckets, "address"), "shared")
 
 
@@ -494,7 +494,8 @@ def similar_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tables = _shared(table_rows(nodes.select("node", "mark").repartition(parts)))  # hundreds of rows from each node
     shared = _shared(nodes.select("node", F.explode("keys").alias("address")))
-    tried = staged(_tried(tables).unionByName(_tried(shared)).distinct(), "tried")
+    met = tables.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    tried = staged(met.unionByName(_tried(shared)).distinct(), "tried")
     marked = nodes.select("node", F.struct("size", "mark").alias("seen"))
     near = staged(_dealt(tried, marked, "seen").mapInArrow(_near, "u long, v long"), "near")
     roots = staged(components(staged(_verified(docs, nodes, near), "similar")), "roots")
