@@ -154,6 +154,60 @@ def test_tables_look_at_all_pairs_of_mixed_buckets(spark):
         assert {(r.u, r.v) for r in cells.mapInArrow(simhash._reached, "u long, v long").collect()} == want
 
 
+def family_nodes(spark, texts):
+    marked = spark.createDataFrame(list(enumerate(texts)), SCHEMA).mapInArrow(simhash._marks, f"doc_id long, {simhash.MARKS}")
+    return marked.dropDuplicates(["node"]).withColumnRenamed("doc_id", "first_id").localCheckpoint()
+
+
+def test_large_family_is_compared_a_few_times_a_member(spark, monkeypatch):
+    """Texts of one origin, some alike and some similar: what is compared doesn't grow with all that meet in some address."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    texts = [edited(rng, base, rng.randint(1, 12)) for _ in range(1200)]
+    compared, dealt = [], simhash._dealt
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return dealt(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_dealt", counted)
+    nodes = family_nodes(spark, texts)
+    simhash.similar_roots(spark.createDataFrame(list(enumerate(texts)), SCHEMA), nodes).collect()
+    assert 0 < sum(compared) < 8 * len(texts)
+
+
+def test_tables_have_a_row_for_each_value_of_a_ball_at_most(spark):
+    """However many fingerprints hold a value; and every pair up to ``REACH`` bits apart is led to one group or left to the second look."""
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(300)]
+    nodes = family_nodes(spark, [edited(rng, base, 1 + i % 9) for i in range(300)])
+    tables = simhash._tables(nodes.select("node", "mark"))
+    assert 0 < tables.groupBy("address").count().agg(F.max("count")).first()[0] <= 33
+    assert tables.groupBy("address", "value").count().where("count > 1").isEmpty()
+    fp = {r.node: np.unpackbits(np.frombuffer(r.mark[: simhash.WIDE_BITS // 8], np.uint8)) for r in nodes.collect()}
+    close = {(u, v) for u in fp for v in fp if u > v and (fp[u] != fp[v]).sum() <= simhash.REACH}
+    alone = nodes.select("node", F.col("node").alias("root"), "size", "mark")
+    led = {(r.u, r.v) for r in simhash._in_tables(tables, alone).mapInArrow(simhash._led, "u long, v long").collect()}
+    assert led <= close and {x for p in led for x in p} == {x for p in close for x in p}
+
+
+@pytest.mark.parametrize("block", [8192, 16])
+def test_lists_of_holders_give_all_pairs_of_different_groups(spark, monkeypatch, block):
+    """All pairs up to ``REACH`` bits apart, in blocks as in one, and others only if they can be similar."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(14)
+    base = [f"b{i}" for i in range(300)]
+    nodes = family_nodes(spark, [edited(rng, base, 1 + i % 9) for i in range(150)])
+    placed = nodes.select("node", F.pmod("node", F.lit(3)).alias("root"), "size", "mark")
+    rows = {r.node: r for r in placed.collect()}
+    marks = {n: np.frombuffer(r.mark, np.uint8)[None] for n, r in rows.items()}
+    pairs = [(u, v) for u in rows for v in rows if u > v and rows[u].root != rows[v].root]
+    close = {(u, v) for u, v in pairs if simhash.distance(marks[u], marks[v])[0] <= simhash.REACH}
+    likely = {(u, v) for u, v in pairs if simhash.is_near(marks[u], marks[v], np.array([rows[u]["size"]]), np.array([rows[v]["size"]]))[0]}
+    found = {(r.u, r.v) for r in simhash._in_tables(simhash._tables(placed), placed).mapInArrow(simhash._reached, "u long, v long").collect()}
+    assert close and close <= found <= close | likely
+
+
 ODD = [
     (1, "", "en"), (2, None, "en"), (3, " \n\t ", None), (4, "one", None), (4, "one", None), (None, "no id here", "en"), (None, None, None), (5, " ".join(f"w{i % 700}x{i}" for i in range(40_000)), "en"),
     (6, "x" * 100_000, "en"), (7, "12345 67.8 *** $$$", "fr"), (8, "中文 🙂 é", "de"),

@@ -14,19 +14,22 @@ only if both are in hot buckets: otherwise one finds the other in the bucket tha
 
 ``without_copies`` keeps one document of each group of similar ones: sets of five-word shingles with a Jaccard
 similarity of ``SIMILAR`` at least. It does so by the same index over wider fingerprints: 256 bits in ``WIDE_SEGMENTS``
-segments of 32, in tables by (segment, value). Both the holder and the prober enumerate the ball of one bit, so they meet if
-some segment differs in two bits at most; fingerprints up to ``REACH`` bits apart always do. That is all but some pairs of
+segments of 32, in tables by (segment, value) with a list of the holders of each value. Every value in use enumerates the ball of
+one bit once, however many hold it; two values of a segment share an address if they differ in two bits at most, and an address
+has 33 values at most. Fingerprints up to ``REACH`` bits apart always meet so. That is all but some pairs of
 similarity 0.95, about 97 % of those of 0.9, and 64 % at 0.8, where fingerprints differ in 15 % of their bits. Balls that reach
 all of those would take thousands of rows from each document. So that no link is left to chance there, documents
 also meet by ``BANDS`` keys of ``ROWS`` minima each: a pair of similarity 0.8 shares one with probability 0.996. Then
 
-1. In each bucket all are compared with one of them: in one of minima the one that shares most keys with others, as it
-   is the most likely origin of the rest, in one of the tables that with the smallest hash.
+1. In each bucket all are compared with one of them. In one of minima it is the one that shares most keys with others, as it
+   is the most likely origin of the rest. In one of the tables complete distances are worked out in the bucket: whoever is
+   within ``REACH`` of one that no earlier one has led is led by it, a leader is linked to one close member that another leads,
+   and only these pairs, one for each member at most, leave it.
 2. In buckets of minima that hold several groups still, all members of different groups are compared, in cells of two blocks of bounded
    size, so that a large bucket is dealt to many tasks. No turn is limited and nothing is left open. A cell joins groups as it
    finds links, so it passes on fewer links than it has members, and no pair that isn't similar.
 3. In buckets of the tables that hold several groups even then, all pairs of different groups up to ``REACH`` bits apart
-   are looked up, in such cells, by fingerprints alone.
+   are looked up, in such cells, by fingerprints alone; all are also compared with the member that has the smallest hash.
 
 Compared means: by complete distance (at most ``REACH``, or the fingerprints and the minima give an estimate of the similarity
 that comes to ``NEAR``), and what passes by the whole shingle sets, which decide.
@@ -382,20 +385,71 @@ def _cells(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
 
+def _members(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """block, node, root, mark and size (None if there is none) of a cell's members, which come one by one or in lists."""
+    block = rows.column("block").combine_chunks().to_numpy()
+    if "holders" in rows.column_names:
+        lists = rows.column("holders").combine_chunks()
+        node, root, size, mark = lists.flatten().flatten()
+        return np.repeat(block, lists.value_lengths().to_numpy()), node.to_numpy(), root.to_numpy(), _rows(mark), size.to_numpy()
+    node, root, mark = (rows.column(c).combine_chunks() for c in ("node", "root", "bits"))
+    return block, node.to_numpy(), root.to_numpy(), _rows(mark), None
+
+
+def _within(rows: pa.Table, block: np.ndarray, mark: np.ndarray):
+    """For runs of members of block ci: their places, those of block cj, and which pairs are up to ``REACH`` bits apart."""
+    ci, cj = (rows.column(c)[0].as_py() for c in ("ci", "cj"))
+    bits = np.ascontiguousarray(mark[:, : WIDE_BITS // 8]).view("<u8")
+    left, right = np.flatnonzero(block == ci), np.flatnonzero(block == cj)
+    step = max(1, (1 << 20) // max(len(right), 1))
+    for lo in range(0, len(left), step):
+        own = left[lo : lo + step]
+        yield own, right, sum(np.bitwise_count(bits[own][:, None, w] ^ bits[right][None, :, w]).astype(np.int16) for w in range(WIDE_WORDS)) <= REACH
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+
+def _led(batches):
+    """mapInArrow function: members of buckets of the tables, each cell in one piece, to (u, v) up to ``REACH`` bits apart: each member with one that leads it, leaders with a member led by another."""
+    for rows in _by_cell(batches):
+        block, node, _, mark, _ = _members(rows)
+        order = np.argsort(node, kind="stable")  # the same leaders in all buckets, so that pairs repeat
+        block, node, mark = block[order], node[order], mark[order]
+        free, u, v = np.ones(len(node), bool), [], []
+        for own, right, near in _within(rows, block, mark):
+            near &= node[own][:, None] != node[right][None, :]
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                if free[own[k]]:
+                    met = right[near[k]]
+                    met = np.concatenate([met[free[met]], met[~free[met]][:1]])
+                    free[met] = False
+                    u.append(np.full(len(met), node[own[k]]))
+                    v.append(node[met])
+        if u:
+            yield _pairs(np.concatenate(u), np.concatenate(v))
+
+
 def _reached(batches):
-    """mapInArrow function: members of buckets of the tables, each cell in one piece, to those (u, v) of different groups up to ``REACH`` bits apart."""
+    """mapInArrow function: members of buckets of the tables, each cell in one piece, to (u, v) of different groups: all that are up to ``REACH`` bits apart.
+
+    Where sizes are given, also those that can be similar to the smallest member.
+    """
     for rows in _by_cell(batches):
-        ci, cj = (rows.column(c)[0].as_py() for c in ("ci", "cj"))
-        block, node, root = (rows.column(c).combine_chunks().to_numpy() for c in ("block", "node", "root"))
-        bits = _rows(rows.column("bits").combine_chunks()).view("<u8")
-        left, right = np.flatnonzero(block == ci), np.flatnonzero(block == cj)
-        step = max(1, (1 << 20) // max(len(right), 1))
-        for lo in range(0, len(left), step):
-            own = left[lo : lo + step]
-            apart = sum(np.bitwise_count(bits[own][:, None, w] ^ bits[right][None, :, w]).astype(np.int16) for w in range(WIDE_WORDS))
-            i, j = np.nonzero((apart <= REACH) & (root[own][:, None] != root[right][None, :]))
-            i, j = node[own[i]], node[right[j]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["u", "v"])
+        block, node, root, mark, size = _members(rows)
+        if (root == root[0]).all():
+            continue
+        for own, right, near in _within(rows, block, mark):
+            i, j = np.nonzero(near & (root[own][:, None] != root[right][None, :]))
+            if len(i):
+                yield _pairs(node[own[i]], node[right[j]])
+        if size is not None:
+            least = np.argmin(node)
+            other = np.flatnonzero(root != root[least])
+            other = other[is_near(mark[other], np.broadcast_to(mark[least], (len(other), mark.shape[1])), size[other], np.broadcast_to(size[least], len(other)))]
+            if len(other):
+                yield _pairs(node[other], np.full(len(other), node[least]))
 
 
 def _similar(batches):
@@ -442,18 +496,50 @@ def _bitmap(addresses: DataFrame) -> np.ndarray:
     return out
 
 
-def table_rows(nodes: DataFrame) -> DataFrame:
-    """(node, address): for each segment of the fingerprint all values in its ball, with the number of the segment as one integer."""
+def segment_values(nodes: DataFrame) -> DataFrame:
+    """(node, value): the values of the segments of its fingerprint, each with the number of the segment as one integer."""
     width = WIDE_BITS // WIDE_SEGMENTS
     values = F.array(*(F.conv(F.hex(F.substring("mark", s * width // 8 + 1, width // 8)), 16, 10).cast("long") for s in range(WIDE_SEGMENTS)))
-    masks = F.array(*(F.lit(m).cast("long") for m in ball_masks(width, WIDE_RADIUS)))
-    cut = nodes.select("node", F.posexplode(values).alias("segment", "value")).select("node", "segment", "value", F.explode(masks).alias("mask"))
-    return cut.select("node", (F.col("value").bitwiseXOR(F.col("mask")) * WIDE_SEGMENTS + F.col("segment")).alias("address"))
+    return nodes.select("node", F.posexplode(values).alias("segment", "value")).select("node", (F.col("value") * WIDE_SEGMENTS + F.col("segment")).alias("value"))
+
+
+def balls(values: DataFrame) -> DataFrame:
+    """Each row of values with all addresses in the ball of its value."""
+    masks = F.array(*(F.lit(m * WIDE_SEGMENTS).cast("long") for m in ball_masks(WIDE_BITS // WIDE_SEGMENTS, WIDE_RADIUS)))
+    return values.select("*", F.explode(masks).alias("mask")).withColumn("address", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+
+
+def table_rows(nodes: DataFrame) -> DataFrame:
+    """(node, address): for each segment of the fingerprint all values in its ball."""
+    return balls(segment_values(nodes)).select("node", "address")
+
+
+def _tables(nodes: DataFrame) -> DataFrame:
+    """(address, value, blocks) of addresses where fingerprints meet: those of several values, or of one that several nodes hold.
+
+    Values are expanded, not nodes: an address has no more rows than the ball has values, whatever the size of a group.
+    """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = staged(segment_values(nodes).groupBy("value").agg(F.count("*").alias("n")), "values")
+    met = balls(values.repartition(parts))  # dozens of rows from each
+    buckets = met.groupBy("address").agg(F.count("*").alias("k"), F.sum("n").alias("held"), F.max(F.when(F.col("value") == F.col("address"), F.col("n"))).alias("own"))
+    buckets = staged(buckets.where("k > 1 or own > 1").select("address", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "buckets")
+    return staged(met.select("address", "value").join(buckets, "address"), "shared")
+
+
+def _in_tables(tables: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The cells of the tables, with the (node, root, size, mark) of those that hold a value in lists of bounded length."""
+    held = segment_values(nodes).join(tables.select("value").distinct(), "value", "left_semi")
+    many = staged(held.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "many")
+    part = F.pmod(F.xxhash64("node"), F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)))
+    held = held.join(many, "value", "left").select("value", "node", part.alias("part")).join(nodes, "node")
+    lists = staged(held.groupBy("value", "part").agg(F.collect_list(F.struct("node", "root", "size", "mark")).alias("holders")), "lists")
+    return _cut(tables.join(lists, "value").withColumn("block", F.pmod(F.xxhash64("value", "part"), F.col("blocks")).cast("int")), "holders")
 
 
 def _shared(met: DataFrame) -> DataFrame:
-    """(address, node, n, least) of addresses that n nodes share, n > 1, with the smallest of them."""
-    buckets = staged(met.groupBy("address").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "buckets")
+    """(address, node, n) of addresses that n nodes share, n > 1."""
+    buckets = staged(met.groupBy("address").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     return staged(met.join(buckets, "address"), "shared")
 
 
@@ -474,10 +560,15 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _in_cells(members: DataFrame, blocks: F.Column, *columns: str) -> DataFrame:
     """The members of each cell (address, ci, cj) of two blocks together."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = members.groupBy("address").agg(F.greatest(F.lit(1), F.ceil(blocks).cast("int")).alias("blocks"))
-    whole = members.join(cut, "address").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = whole.select("address", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "root", *columns)
+    return _cut(members.join(cut, "address").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "root", *columns)
+
+
+def _cut(members: DataFrame, *columns: str) -> DataFrame:
+    """Members that know their block and the number of blocks of their address, copied to the cells of that block."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = whole.select("address", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", *columns)
     return cells.repartition(parts, "address", "ci", "cj").sortWithinPartitions("address", "ci", "cj")
 
 
@@ -491,13 +582,14 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def similar_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of all nodes that have a similar one, by group; what is missed are links of pairs that share neither address nor key."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tables = _shared(table_rows(nodes.select("node", "mark").repartition(parts)))  # hundreds of rows from each node
+    tables = _tables(nodes.select("node", "mark"))
+    alone = nodes.select("node", F.col("node").alias("root"), "size", "mark")
+    led = _in_tables(tables, alone).mapInArrow(_led, "u long, v long")
     shared = _shared(nodes.select("node", F.explode("keys").alias("address")))
-    met = tables.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    tried = staged(met.unionByName(_tried(shared)).distinct(), "tried")
+    tried = staged(_tried(shared), "tried")
     marked = nodes.select("node", F.struct("size", "mark").alias("seen"))
-    near = staged(_dealt(tried, marked, "seen").mapInArrow(_near, "u long, v long"), "near")
+    near = _dealt(tried, marked, "seen").mapInArrow(_near, "u long, v long")
+    near = staged(led.unionByName(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near")
     roots = staged(components(staged(_verified(docs, nodes, near), "similar")), "roots")
     members = staged(_mixed(shared, roots).join(nodes.select("node", "size", "mark", "keys"), "node"), "members")
     if not members.isEmpty():
@@ -505,10 +597,9 @@ def similar_roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         blocks = F.greatest(F.count("*") / BLOCK, F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES)
         cells = _in_cells(whole, blocks, "size", "mark", "keys", "hashes")
         roots = staged(_joined(roots, staged(cells.mapInArrow(_cells, "u long, v long"), "more")), "roots")
-    bits = nodes.select("node", F.substring("mark", 1, WIDE_BITS // 8).alias("bits"))
-    members = staged(_mixed(tables, roots).join(bits, "node"), "members")
-    if not members.isEmpty():
-        near = staged(_in_cells(members, F.count("*") / BLOCK, "node", "bits").mapInArrow(_reached, "u long, v long").distinct(), "near")
+    placed = nodes.select("node", "size", "mark").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "mark")
+    near = staged(_in_tables(tables, placed).mapInArrow(_reached, "u long, v long").distinct(), "near")
+    if not near.isEmpty():
         found = staged(_verified(docs, nodes, near), "similar")
         for end in ("u", "v"):
             found = found.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
