@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritally.core.errors import AnalysisError
-from veritally.ml import harness
+from veritally.ml import detectors, harness
 
 
 def greedy(sizes, n_splits):
@@ -59,3 +59,39 @@ def test_few_groups(spark):
     with pytest.raises(AnalysisError):
         harness.group_folds(df, 3)
     assert harness.group_folds(df.withColumn("grp", F.lit("")).union(df), 2).count() == 3
+
+
+def test_folds_can_be_filtered(spark):
+    """One group of five rows and seven of two: those of two are dealt in two runs, and a filter on the fold goes below the join with them."""
+    sizes = {"a": 5, **{f"b{i}": 2 for i in range(7)}}
+    df = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "grp string, i int")
+    assert [len(r[1]) for r in harness._dealt([5, 0, 0], 2, 7)] == [2, 3]
+    found = harness.group_folds(df, 3)
+    assert {r.grp: r.fold for r in found.where("fold is not null").collect()} == greedy(sizes, 3)
+    assert {r.grp for r in found.where("fold = 1").collect()} == {g for g, f in greedy(sizes, 3).items() if f == 1}
+
+
+def test_the_plan_of_folds_is_not_repeated(spark):
+    rng = random.Random(8)
+    rows = [(i, f"g{rng.randrange(9)}" if i % 11 else None, rng.random(), rng.randrange(2) if i % 7 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "unit_id long, grp string, x double, y int")
+    spec = harness.EvalSpec("group", n_splits=3, ks=(0.1,))
+
+    class Fitted(detectors.FunctionDetector):
+        fits = True
+
+    found = [harness.evaluate(kind("x"), df, spec) for kind in (detectors.FunctionDetector, Fitted)]
+    for one in found:
+        assert one._jdf.queryExecution().executedPlan().toString().count("Exchange ") < 100  # 2,700 with the folds and the input in every metric
+    key = lambda r: (str(r.fold), r.metric, r.k)
+    a, b = (sorted(one.collect(), key=key) for one in found)
+    assert list(map(key, a)) == list(map(key, b)) and len(a) == 4 * 5
+    assert [r.value for r in a] == pytest.approx([r.value for r in b])
+    fold = {r.grp: r.fold for r in harness.group_folds(df, 3).collect()}
+    for f in range(3):
+        tested = [(x, y) for _, g, x, y in rows if y is not None and fold.get(g) == f]
+        pairs = [(p > q) for p, y in tested if y for q, z in tested if not z]
+        assert next(r.value for r in a if r.fold == f and r.metric == "roc_auc") == pytest.approx(sum(pairs) / len(pairs))
+    for m in harness.METRICS:
+        each = [r.value for r in a if r.fold is not None and r.metric == m]
+        assert next(r.value for r in a if r.fold is None and r.metric == m) == pytest.approx(sum(each) / 3)

@@ -23,6 +23,12 @@ def _shared_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="veritally-"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder; what is built on it reads that and doesn't carry its plan."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v): the smallest node that is linked to it. Nodes can be of any type that has an order."""
     _shared_folder(edges.sparkSession)

@@ -86,7 +86,7 @@ class FunctionDetector:
     A callable gets the named columns as pandas Series, whole Arrow batches at a time, and gives the scores of their rows.
     """
 
-    wants_unlabeled = False
+    wants_unlabeled = fits = False
 
     def __init__(self, expression: Column | str | Callable[..., pd.Series], name: str = "function", higher_is_suspicious: bool = True, columns: list[str] | None = None):
         if callable(expression):
@@ -116,7 +116,7 @@ class UnitDetector:
     unit's rows must fit a task. Units whose values can be counted or summed are better served by the registered detectors.
     """
 
-    wants_unlabeled = False
+    wants_unlabeled = fits = False
 
     def __init__(self, function: Callable[..., float], columns: list[str], name: str = "unit", higher_is_suspicious: bool = True, min_len: int = 1):
         require(bool(columns), "name the columns that the function gets")

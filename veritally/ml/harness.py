@@ -9,12 +9,14 @@ from __future__ import annotations
 import copy
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.columns import on_keys
 from ..core.errors import require
+from ..core.graph import checkpointed
 from ..core.order import running, value_bucket
 from ..operators import ranking
 
@@ -87,8 +89,9 @@ def group_folds(df: DataFrame, n_splits: int) -> DataFrame:
     rows = sizes.withColumn("_place", place)
     ranked = running(rows, ["n"], value_bucket(rows, "_place"), [F.col("grp")], {"nth": F.lit(1).cast("long")})
     met = ranked.join(plan, (F.col("n") == F.col("size")) & (F.col("nth") > F.col("first")) & (F.col("nth") <= F.col("first") + F.col("ranks")))
-    nth = (F.col("nth") - 1 - F.col("first")) % F.size("turn")
-    return met.select("grp", F.element_at("turn", nth.cast("int") + 1).alias("fold"))
+    # Of any rank, as a filter on the fold is worked out before the join's ranges.
+    nth = F.pmod(F.col("nth") - 1 - F.col("first"), F.size("turn"))
+    return met.select("grp", F.get("turn", nth.cast("int")).alias("fold"))
 
 
 def folds(df: DataFrame, spec: EvalSpec) -> DataFrame:
@@ -123,19 +126,24 @@ def training(df: DataFrame, fold: int, wants_unlabeled: bool, same: bool = False
 def evaluate(detector, df: DataFrame, spec: EvalSpec) -> DataFrame:
     """A row for each fold, metric and k, and their unweighted means (fold null).
 
-    Folds whose labelled test rows have one class only are left out.
+    Folds whose labelled test rows have one class only are left out. A detector that says ``fits = False`` scores the rows of all
+    folds at once. What several plans read is checkpointed, as every use would otherwise repeat the plan of the folds.
     """
     validate(df)
     placed = folds(df, spec)
-    parts = []
-    for fold in [0] if spec.split != "group" else range(spec.n_splits):
-        fitted = copy.copy(detector).fit(training(placed, fold, detector.wants_unlabeled, spec.split == "none"))
-        test = placed.where((F.col("fold") == fold) & F.col("y").isNotNull())
-        parts.append(fitted.score(test).join(test.select("unit_id", "y", "fold"), "unit_id"))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    scored = scored.cache()  # several metrics read it
+
+    def tested(fitted, test: DataFrame) -> DataFrame:
+        return fitted.score(test).join(test.select("unit_id", "y", "fold"), "unit_id")
+
+    if getattr(detector, "fits", True):
+        placed, parts = checkpointed(placed), []
+        for fold in [0] if spec.split != "group" else range(spec.n_splits):
+            fitted = copy.copy(detector).fit(training(placed, fold, detector.wants_unlabeled, spec.split == "none"))
+            parts.append(tested(fitted, placed.where((F.col("fold") == fold) & F.col("y").isNotNull())))
+        scored = reduce(DataFrame.unionByName, parts)
+    else:
+        scored = tested(detector, placed.where("fold is not null and y is not null"))
+    scored = checkpointed(scored)
     mixed = [r["fold"] for r in scored.groupBy("fold").agg(F.min("y").alias("low"), F.max("y").alias("high")).where("low < high").collect()]
     require(bool(mixed), "no fold has labelled test rows of both classes")
     scored = scored.where(F.col("fold").isin(mixed))
@@ -145,7 +153,8 @@ def evaluate(detector, df: DataFrame, spec: EvalSpec) -> DataFrame:
     at = ranking.at_k(scored, *arguments, list(spec.ks), by=["fold"])
     at = at.select("fold", "k", F.expr("stack(3, 'precision', `precision`, 'recall', recall, 'ndcg', ndcg) as (metric, value)")).select("fold", "metric", "k", "value")
     single = whole.union(precision).union(at).where(F.col("metric").isin(*spec.metrics))
-    return single.union(single.groupBy("metric", "k").agg(F.avg("value").alias("value")).select(F.lit(None).cast("int").alias("fold"), "metric", "k", "value"))
+    means = single.select(F.explode(F.array(F.col("fold"), F.lit(None).cast("int"))).alias("fold"), "metric", "k", "value")  # a fold's own mean is its value
+    return means.groupBy("fold", "metric", "k").agg(F.avg("value").alias("value"))
 
 
 @dataclass
