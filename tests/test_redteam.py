@@ -62,6 +62,34 @@ def test_positions_and_signs(spark):
             redteam.ocr_noise(df, "v", "id", 0.1, **bad)
 
 
+@pytest.mark.parametrize("confusion", [None, redteam.GLYPHS])
+@pytest.mark.parametrize("positions", [None, [0], [0, 2, 5]])
+def test_numbers_are_drawn_once_for_all_rates(spark, confusion, positions):
+    """Each cell of the grid is what ``ocr_noise`` gives at its rate, from one draw for each digit of a row's replicate."""
+    values = [0, 7, -95, 3569, 10**15 + 3, None, *range(400, 460)]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v long")
+    rates, seen = [0.0, 0.2, 0.5, 1.0], []
+
+    def keep(table, by):
+        seen.append(table)
+        return table.groupBy(*by).agg(F.lit(0.5).alias("pvalue"))
+
+    redteam.ocr_firings(df, "v", "id", keep, rates, 2, confusion=confusion, seed=6, positions=positions)
+    got = Counter(map(tuple, seen[0].select("rate", "replicate", "misread").collect()))
+    want = Counter()
+    for rate in rates:
+        for r in (1, 2):
+            named = df.select(F.concat_ws(":", F.lit(r), "id").alias("name"), "v")
+            want += Counter((rate, r, x.misread) for x in redteam.ocr_noise(named, "v", "name", rate, confusion, seed=6, positions=positions).collect())
+    assert got == want
+    plan = seen[0]._jdf.queryExecution().optimizedPlan()
+    above = [plan]
+    while "Generate explode" not in above[-1].nodeName() + " " + above[-1].simpleString(99):
+        above.append(above[-1].children().head())
+    assert not any("md5" in p.simpleString(10**5) for p in above)  # the rates are dealt last
+    assert "md5" in plan.toString()
+
+
 def test_threshold_of_the_detector_itself(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(rng.integers(1000, 100_000, 3000))], "id long, v long")

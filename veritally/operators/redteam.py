@@ -74,26 +74,49 @@ def reweighting(df: DataFrame, period: str, good: str, quantity: str, price: str
     return volume.join(F.broadcast(total), F.lit(True)).select(period, (100.0 * F.col("value") / F.col("base_value")).alias("volume_index"))  # one row
 
 
+def _whole(value: Column) -> Column:
+    return F.rint(value.cast("double")).cast("long")
+
+
+def _slip(whole: Column, row_id: Column, place: Column, confusion: dict[int, int] | None, seed: int) -> tuple[Column, Column]:
+    """Of the digit at a place, counted from the right: the rate above which it is misread, and by how much the size of the number then changes.
+
+    Both are null where there is no such digit, or none that can be taken for another.
+    """
+    size = F.abs(whole)
+    at = F.length(size.cast("string")) - 1 - place
+    unit = F.pow(F.lit(10.0), place).cast("long")
+    d = (F.call_function("div", size, unit) % 10).cast("int")
+    there = at >= 0
+    if confusion is None:
+        other = F.pmod(d + 1 + F.floor(9 * seeding.uniform(seed, "to", row_id, at)).cast("int"), F.lit(10))
+    else:
+        there = there & d.isin(*confusion)
+        other = F.coalesce(*(F.when(d == x, F.lit(y)) for x, y in confusion.items()), d)
+    return F.when(there, seeding.uniform(seed, row_id, at)), F.when(there, (other - d) * unit)
+
+
+def _places(whole: Column) -> Column:
+    return F.sequence(F.lit(0), F.length(F.abs(whole).cast("string")) - 1)
+
+
+def _changed(whole: Column, change: Column) -> Column:
+    return F.when(whole < 0, -1).otherwise(1) * (F.abs(whole) + change)
+
+
+def _counted(slip: tuple[Column, Column], rate: Column | float) -> Column:
+    return F.when(slip[0] < rate, slip[1]).otherwise(F.lit(0).cast("long"))
+
+
 def misread(value: Column, row_id: Column, rate: Column | float, confusion: dict[int, int] | None = None, seed: int = 0, positions: Sequence[int] | None = None) -> Column:
     """Digits of an integer, each misread with chance ``rate``: any other digit, or by a map of alike shapes.
 
     ``positions`` are the digits that can be misread, counted from the right (0 is the last); by default all. A number keeps its sign.
     """
-    whole = F.rint(value.cast("double")).cast("long")
-    text = F.abs(whole).cast("string")
-    digits = F.filter(F.transform(F.split(text, ""), lambda c: c.cast("int")), lambda c: c.isNotNull())
-
-    def read(d: Column, i: Column) -> Column:
-        wrong = seeding.uniform(seed, row_id, i) < rate
-        if positions is not None:
-            wrong = wrong & (F.size(digits) - 1 - i).isin(*(int(p) for p in positions))
-        if confusion is None:
-            other = F.pmod(d + 1 + F.floor(9 * seeding.uniform(seed, "to", row_id, i)).cast("int"), F.lit(10))
-        else:
-            other = F.coalesce(F.create_map(*(F.lit(x) for pair in confusion.items() for x in pair))[d], d)
-        return F.when(wrong, other).otherwise(d).cast("string")
-
-    return F.when(whole < 0, -1).otherwise(1) * F.array_join(F.transform(digits, read), "").cast("long")
+    whole = _whole(value)
+    if positions is None:
+        return _changed(whole, F.aggregate(_places(whole), F.lit(0).cast("long"), lambda a, p: a + _counted(_slip(whole, row_id, p, confusion, seed), rate)))
+    return _changed(whole, sum((_counted(_slip(whole, row_id, F.lit(int(p)), confusion, seed), rate) for p in sorted(set(positions))), F.lit(0).cast("long")))
 
 
 def ocr_noise(df: DataFrame, value: str, row_id: str, rate: float, confusion: dict[int, int] | None = None, seed: int = 0, positions: Sequence[int] | None = None) -> DataFrame:
@@ -154,13 +177,23 @@ def ocr_firings(df: DataFrame, value: str, row_id: str, detector: TableDetector,
     """(rate, replicate, pvalue, fired) of a detector on a table whose digits are misread at every rate, in every replicate.
 
     The grid is a key of one job: each row is copied to all its cells within a task, and the detector, which gets (rate, replicate, misread) with the first two as
-    keys, adds them up before the shuffle. A null or NaN p-value didn't fire.
+    keys, adds them up before the shuffle. Random numbers are drawn once for a row's replicate: its digits are the same ``misread`` at every rate, only
+    with more of them wrong. A null or NaN p-value didn't fire.
     """
     require(bool(rates) and all(0 <= r <= 1 for r in rates), "need error rates in 0..1", RedTeamError)
     require(n_replicates >= 1 and 0 < alpha < 1, "need a replicate, and alpha in (0, 1)", RedTeamError)
-    grid = df.select(value, row_id, F.explode(F.array(*(F.lit(float(r)) for r in sorted(set(rates))))).alias("rate")).select("*", F.explode(F.sequence(F.lit(1), F.lit(n_replicates))).alias("replicate"))
-    name = F.concat_ws(":", "replicate", F.col(row_id))
-    cells = grid.select("rate", "replicate", misread(F.col(value), name, F.col("rate"), confusion, seed, positions).alias("misread"))
+    rows = df.select(_whole(F.col(value)).alias("_whole"), F.col(row_id).alias("_id"), F.explode(F.sequence(F.lit(1), F.lit(n_replicates))).alias("replicate"))
+    whole, name = F.col("_whole"), F.concat_ws(":", "replicate", F.col("_id"))
+    slips = lambda place: _slip(whole, name, place, confusion, seed)
+    if positions is None:
+        drawn = {"_slips": F.transform(_places(whole), lambda p: F.struct(*(c.alias(n) for n, c in zip(("below", "change"), slips(p), strict=True))))}
+        change = F.aggregate("_slips", F.lit(0).cast("long"), lambda a, x: a + _counted((x["below"], x["change"]), F.col("rate")))
+    else:
+        places = sorted({int(p) for p in positions})
+        drawn = {f"_{n}{p}": c for p in places for n, c in zip(("below", "change"), slips(F.lit(p)), strict=True)}
+        change = sum((_counted((F.col(f"_below{p}"), F.col(f"_change{p}")), F.col("rate")) for p in places), F.lit(0).cast("long"))
+    grid = rows.select("replicate", "_whole", *(c.alias(n) for n, c in drawn.items())).select("*", F.explode(F.array(*(F.lit(float(r)) for r in sorted(set(rates))))).alias("rate"))
+    cells = grid.select("rate", "replicate", _changed(whole, change).alias("misread"))
     p = F.col("pvalue").cast("double")
     return detector(cells, ["rate", "replicate"]).select("rate", "replicate", p.alias("pvalue"), F.coalesce((p <= alpha) & ~F.isnan(p), F.lit(False)).alias("fired"))
 
