@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from veritally.core.errors import RedTeamError
 from veritally.operators import digits, dispersion, redteam
+from veritally.plans import catalogue
+
+from .conftest import SF
 
 
 def _mean_test(frame):
@@ -111,3 +114,11 @@ def test_threshold_of_the_detector_itself(spark):
             redteam.ocr_firings(df, "v", "id", terminal, **bad)
     with pytest.raises(RedTeamError):
         redteam.ocr_firing_threshold(df, "v", "id", terminal, rates, fire_share=1.0)
+
+
+def test_the_threshold_draws_below_its_rates(spark):
+    """One number for the last digit, before rows are copied to the rates."""
+    lines = catalogue.queries()["redteam_ocr_threshold"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    drawn = [i for i, line in enumerate(lines) if "md5" in line]
+    rates = [i for i, line in enumerate(lines) if "Generate explode([0.0" in line]
+    assert len(drawn) == len(rates) == 1 and rates[0] < drawn[0] and lines[drawn[0]].count("md5") == 1
