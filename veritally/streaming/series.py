@@ -6,11 +6,11 @@ the watermark. A key keeps a window, or a few sums, and the rows that still wait
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..core import special
@@ -23,7 +23,7 @@ _WAITING = "at array<long>, tie array<long>, x array<double>"
 def _waiting(stream: DataFrame, key: str, ts: str, value: str, tie: str, watermark: str):
     """(k, ts, at in microseconds, tie, x) of the values that aren't missing, by key."""
     time = F.col(ts).cast("timestamp")
-    rows = stream.select(F.col(key).alias("k"), time.alias("ts"), F.unix_micros(time).alias("at"), F.col(tie).cast("long").alias("tie"), double(value).alias("x"))
+    rows = stream.select(F.col(key).alias("k"), time.alias("ts"), F.unix_micros(time).alias("at"), F.coalesce(F.col(tie).cast("long"), F.lit(-(1 << 63))).alias("tie"), double(value).alias("x"))
     return rows.where(finite(F.col("x")) & F.col("ts").isNotNull()).withWatermark("ts", watermark).groupBy("k")
 
 
@@ -45,32 +45,146 @@ def _keep(state: GroupState, values: tuple, waiting: tuple[list, list, list]) ->
         state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
 
+#: Rows that are sorted at once, and rows of a block in the state.
+_RUN, _BLOCK = 1 << 20, 1 << 14
+#: Runs of a key that are merged into one when there are more.
+_RUNS = 64
+#: Values of windows that are worked out at once.
+_VALUES = 1 << 20
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200"}
+
+
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """Rows (at, tie, x as its bits) in columns of an array of longs, in order."""
+    return rows[:, np.lexsort((rows[2].view(float), rows[1], rows[0]))]
+
+
+class _Waiting:
+    """The rows of a key that wait, in the state: sorted runs in blocks, and a list of the runs (number, next block, row in it, blocks, time of the next row)."""
+
+    def __init__(self, blocks, runs: list[list[int]]):
+        self.blocks, self.runs = blocks, runs
+
+    def _block(self, run: int, block: int) -> np.ndarray:
+        return np.frombuffer(self.blocks.getValue((run, block))[0], "int64").reshape(3, -1)
+
+    def add(self, parts) -> None:
+        """A run of parts that are in order, one after the other."""
+        run, blocks, held, first = max((r[0] for r in self.runs), default=-1) + 1, 0, np.empty((3, 0), "int64"), None
+        for part in parts:
+            held = np.concatenate([held, part], axis=1)
+            first = int(held[0, 0]) if first is None and held.shape[1] else first
+            while held.shape[1] >= _BLOCK:
+                self.blocks.updateValue((run, blocks), (held[:, :_BLOCK].tobytes(),))
+                held, blocks = held[:, _BLOCK:], blocks + 1
+        if held.shape[1]:
+            self.blocks.updateValue((run, blocks), (held.tobytes(),))
+            blocks += 1
+        if blocks:
+            self.runs.append([run, 0, 0, blocks, first])
+
+    def take(self, until: int | None = None):
+        """Rows before a time (all without one), in order, a part at a time; they leave the state. Holds a block of each run."""
+        runs, loaded = list(self.runs), {}
+        while heads := [r for r in runs if r[1] < r[3] and (until is None or r[4] < until)]:
+            for r in heads:
+                if r[0] not in loaded:
+                    loaded[r[0]] = self._block(r[0], r[1])[:, r[2] :]
+            rows = np.concatenate([loaded[r[0]] for r in heads], axis=1)
+            sizes = [loaded[r[0]].shape[1] for r in heads]
+            whose, ends = np.repeat(np.arange(len(heads)), sizes), np.cumsum(sizes) - 1
+            order = np.lexsort((rows[2].view(float), rows[1], rows[0]))
+            # What a run has beyond its block comes after the last row of it.
+            last = np.isin(order, [e for e, r in zip(ends, heads, strict=True) if r[1] + 1 < r[3]])
+            order = order[: int(np.argmax(last)) + 1 if last.any() else len(order)]
+            if until is not None:
+                order = order[: int(np.searchsorted(rows[0, order], until))]
+            for r, taken in zip(heads, np.bincount(whose[order], minlength=len(heads)).tolist(), strict=True):
+                left = loaded[r[0]][:, taken:]
+                r[2] += taken
+                if not left.shape[1]:
+                    self.blocks.removeKey((r[0], r[1]))
+                    r[1], r[2] = r[1] + 1, 0
+                    if r[1] == r[3]:
+                        del loaded[r[0]]
+                        continue
+                    left = self._block(r[0], r[1])
+                loaded[r[0]], r[4] = left, int(left[0, 0])
+            yield rows[:, order]
+        self.runs = [r for r in self.runs if r[1] < r[3]]
+
+    def merge(self) -> None:
+        """One run of many; the new one's number is above theirs, so no block is overwritten."""
+        old = _Waiting(self.blocks, self.runs)
+        self.add(old.take())
+        self.runs = self.runs[-1:]
+
+
+class _RollingFloor(StatefulProcessor):
+    """Waiting rows lie in the state store, which keeps them on disk; a task holds a part of them at a time."""
+
+    def __init__(self, floor_variance: float, window: int, alpha: float):
+        self.floor_variance, self.window, self.alpha = floor_variance, window, alpha
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "n long, recent binary, runs binary")
+        self.blocks = handle.getMapState("blocks", "run long, block long", "content binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        return self._step(key, rows, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return self._step(key, (), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _step(self, key, frames, watermark: int):
+        n, recent, runs = self.kept.get() if self.kept.exists() else (0, b"", b"")
+        waiting, recent = _Waiting(self.blocks, np.frombuffer(runs, "int64").reshape(-1, 5).tolist()), np.frombuffer(recent)
+        new, size = [], 0
+        for frame in frames:
+            new.append(np.stack([frame["at"].to_numpy("int64"), frame["tie"].to_numpy("int64"), frame["x"].to_numpy(float).view("int64")]))
+            size += len(frame)
+            if size >= _RUN:
+                waiting.add([_sorted(np.concatenate(new, axis=1))])
+                new, size = [], 0
+        if size:
+            waiting.add([_sorted(np.concatenate(new, axis=1))])
+        for part in waiting.take(watermark * 1000):
+            x = np.concatenate([recent, part[2].view(float)])
+            for i in range(0, len(x) - self.window + 1, many := max(1, _VALUES // self.window)):
+                yield self._windows(key[0], n - len(recent) + i, x[i : i + many + self.window - 1])
+            n, recent = n + part.shape[1], x[len(x) - min(len(x), self.window - 1) :]
+        if len(waiting.runs) > _RUNS:
+            waiting.merge()
+        if waiting.runs:
+            self.handle.registerTimer(max(min(r[4] for r in waiting.runs) // 1000 + 1, watermark + 1))
+        self.kept.update((n, recent.tobytes(), np.array(waiting.runs, "int64").tobytes()))
+
+    def _windows(self, key, start: int, x: np.ndarray) -> pd.DataFrame:
+        values = np.lib.stride_tricks.sliding_window_view(x, self.window)
+        s2 = ((values - values.mean(axis=1, keepdims=True)) ** 2).sum(axis=1) / (self.window - 1)
+        statistic = (self.window - 1) * s2 / self.floor_variance
+        p = np.array([special.chi2_cdf(v, self.window - 1) for v in statistic.tolist()])
+        first = np.arange(start, start + len(s2))
+        return pd.DataFrame({"k": [key] * len(s2), "start": first, "end": first + self.window - 1, "s2": s2, "statistic": statistic, "pvalue": p, "flag": p < self.alpha})
+
+
 def rolling_floor(stream: DataFrame, key: str, ts: str, value: str, tie: str, floor_variance: float, window: int, watermark: str = "1 day", alpha: float = 0.05) -> DataFrame:
     """(k, start, end, s2, statistic, pvalue, flag) of every window of consecutive values, as ``dispersion.rolling_variance_floor`` gives it; append mode.
 
-    ``tie`` orders rows of one time.
+    ``tie`` orders rows of one time. Rows that wait are kept by RocksDB, which the session is set to: it is the only state store that
+    keeps them on disk, so neither a batch nor the rows that wait need fit into memory.
     """
     require(floor_variance > 0 and window >= 2 and 0 < alpha < 1, "the floor must be positive, the window hold two values, and alpha lie in (0, 1)")
-
-    def step(k, frames, state: GroupState):
-        n, recent, *held = state.get if state.exists else (0, [], [], [], [])
-        due, waiting = _due(state, frames, tuple(held))
-        recent, out = list(recent), []
-        for _, _, x in due:
-            recent = [*recent[-(window - 1) :], x]
-            n += 1
-            if len(recent) == window:
-                mean = math.fsum(recent) / window
-                s2 = math.fsum((v - mean) ** 2 for v in recent) / (window - 1)
-                statistic = (window - 1) * s2 / floor_variance
-                p = special.chi2_cdf(statistic, window - 1)
-                out.append((k[0], n - window, n - 1, s2, statistic, p, p < alpha))
-        _keep(state, (n, recent), waiting)
-        yield pd.DataFrame(out, columns=["k", "start", "end", "s2", "statistic", "pvalue", "flag"])
-
-    kind = dict(stream.dtypes)[key]
-    result = f"k {kind}, start long, end long, s2 double, statistic double, pvalue double, flag boolean"
-    return _waiting(stream, key, ts, value, tie, watermark).applyInPandasWithState(step, result, f"n long, recent array<double>, {_WAITING}", "append", GroupStateTimeout.EventTimeTimeout)
+    for k, v in _STORE.items():
+        stream.sparkSession.conf.set(k, v)
+    result = f"k {dict(stream.dtypes)[key]}, start long, end long, s2 double, statistic double, pvalue double, flag boolean"
+    rows = _waiting(stream, key, ts, value, tie, watermark)
+    return rows.transformWithStateInPandas(_RollingFloor(floor_variance, window, alpha), result, "append", "EventTime")
 
 
 def smoothness(stream: DataFrame, key: str, ts: str, value: str, tie: str, watermark: str = "1 day") -> DataFrame:
